@@ -158,3 +158,114 @@ def sentence_score_histogram(spark, sf_dir):
 def score_boxplot(spark, sf_dir):
     """Box-plot summary of the document x parameter scores."""
     return stats.boxplot(_doc_similarity(spark, sf_dir), "score")
+
+
+# ---------------------------------------------------------------- text family
+from ..operators import terms  # noqa: E402
+from ..functions.text import word_count  # noqa: E402
+from .tables import load  # noqa: E402
+
+# Invented stand-in for the reference's language model: surface -> (tag, lemma).
+# "workers" is absent from the test corpus on purpose.
+LEMMA_ROWS = [
+    ("that", "SCONJ", "that"),
+    ("with", "ADP", "with"),
+    ("this", "DET", "this"),
+    ("from", "ADP", "from"),
+    ("dans", "ADP", "dans"),
+    ("pour", "ADP", "pour"),
+    ("sich", "PRON", "sich"),
+    ("tion", "NOUN", "tion"),
+    ("orantion", "NOUN", "orant"),
+    ("thatin", "VERB", "thatine"),
+    ("hehely", "ADJ", "hehe"),
+    ("then", "ADV", "then"),
+    ("workers", "NOUN", "worker"),
+]
+TOP_WORDS = 20
+TOP_PHRASES = 50
+
+
+def lemma_table(spark):
+    return spark.createDataFrame(LEMMA_ROWS, "surface string, pos string, lemma string")
+
+
+@register
+def sentences(spark, sf_dir):
+    """Every document split into sentences: (doc_id, sentence_index, sentence)."""
+    return terms.sentences(load(spark, sf_dir, "documents"))
+
+
+@register
+def corpus_size(spark, sf_dir):
+    """Sentences per document."""
+    return terms.corpus_size(load(spark, sf_dir, "documents"))
+
+
+@register
+def word_count_profile(spark, sf_dir):
+    """describe() of the whitespace word counts of all documents."""
+    docs = load(spark, sf_dir, "documents")
+    return stats.describe(docs.select(word_count(F.col("text")).alias("word_count")), "word_count")
+
+
+@register
+def word_count_by_lang(spark, sf_dir):
+    """describe() of word counts per language."""
+    docs = load(spark, sf_dir, "documents")
+    return stats.describe(docs.select("lang", word_count(F.col("text")).alias("word_count")), "word_count", by="lang")
+
+
+@register
+def clean_tokens(spark, sf_dir):
+    """Archive cleaning per document: cleaned string and token count."""
+    docs = terms.clean_tokens(load(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "clean_text_str", F.size("clean_text_list").cast("long").alias("n_tokens"))
+
+
+@register
+def term_frequency(spark, sf_dir):
+    """Word counts over the whole corpus (alphabetic, > 3 letters, stopwords removed)."""
+    return terms.word_counts(load(spark, sf_dir, "documents"))
+
+
+@register
+def top_terms(spark, sf_dir):
+    """The 20 most frequent words with word-cloud weights."""
+    return terms.top_terms(terms.word_counts(load(spark, sf_dir, "documents")), TOP_WORDS)
+
+
+@register
+def term_frequency_by_group(spark, sf_dir):
+    """The 20 most frequent words per conversation role, with weights per role."""
+    conv = load(spark, sf_dir, "conversations")
+    return terms.top_terms(terms.word_counts(conv, by="role"), TOP_WORDS, by="role")
+
+
+@register
+def phrase_frequency(spark, sf_dir):
+    """The 50 most frequent two-word phrases over all documents, with weights."""
+    counts = terms.phrase_counts(load(spark, sf_dir, "documents"))
+    return terms.top_terms(counts, TOP_PHRASES, term="phrase")
+
+
+@register
+def phrase_frequency_by_lang(spark, sf_dir):
+    """The 20 most frequent two-word phrases per language."""
+    counts = terms.phrase_counts(load(spark, sf_dir, "documents"), by="lang")
+    return terms.top_terms(counts, TOP_WORDS, by="lang", term="phrase")
+
+
+@register
+def lemma_frequency(spark, sf_dir):
+    """Word counts with lemmas and part-of-speech filtering from a lemma table."""
+    return terms.word_counts(load(spark, sf_dir, "documents"), lemmas=lemma_table(spark))
+
+
+@register
+def documents_by(spark, sf_dir):
+    """Documents per value of each metadata column: (column, value, n), one scan."""
+    docs = load(spark, sf_dir, "documents")
+    from ..operators import coverage as cov
+
+    return cov.documents_by(docs, ["lang", "source"], key="doc_id")

@@ -153,3 +153,107 @@ ORACLE["sentence_score_histogram"] = (
     f"{histogram_sql('mm', 'm', 30)}"
 )
 ORACLE["score_boxplot"] = f"WITH {DOC_SIM}, {boxplot_sql('dsim', 'score')}"
+
+
+# ---------------------------------------------------------------- text family
+from ..functions.text import LETTERS, NON_WS, PUNCT, SENTENCE_END, TRIM, WS  # noqa: E402
+from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS  # noqa: E402
+
+
+def _lit_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def sent_arr(text: str) -> str:
+    marked = f"regexp_replace(coalesce({text}, ''), '{SENTENCE_END}', '\\1' || chr(1), 'g')"
+    return (
+        f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: regexp_replace(s, '{TRIM}', '', 'g')), "
+        "lambda s: s <> '')"
+    )
+
+
+def word_count_sql(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '{NON_WS}+'))::BIGINT"
+
+
+def letters_sql(text: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({text}, '')), '{LETTERS}')"
+
+
+SENTS = f"sents AS (SELECT doc_id, unnest(range(len(a)))::BIGINT AS sentence_index, unnest(a) AS sentence FROM (SELECT doc_id, {sent_arr('text')} AS a FROM documents))"
+
+ORACLE["sentences"] = f"WITH {SENTS} SELECT doc_id, sentence_index, sentence FROM sents"
+ORACLE["corpus_size"] = f"SELECT doc_id, len({sent_arr('text')})::BIGINT AS corpus_size FROM documents"
+ORACLE["word_count_profile"] = (
+    f"WITH wc AS (SELECT {word_count_sql('text')} AS word_count FROM documents) {describe_sql('wc', 'word_count')}"
+)
+ORACLE["word_count_by_lang"] = (
+    f"WITH wc AS (SELECT lang, {word_count_sql('text')} AS word_count FROM documents) "
+    f"{describe_sql('wc', 'word_count', 'lang')}"
+)
+
+_CLEAN = f"lower(regexp_replace(regexp_replace(text, '{PUNCT}', '', 'g'), '{TRIM}', '', 'g'))"
+_CLEAN_TOKS = (
+    f"list_filter(list_filter(regexp_split_to_array({_CLEAN}, '{WS}+'), lambda w: w <> ''), "
+    f"lambda w: NOT list_contains({_lit_list(ENGLISH_STOPWORDS)}, w))"
+)
+ORACLE["clean_tokens"] = (
+    f"SELECT doc_id, array_to_string(t, ' ') AS clean_text_str, len(t)::BIGINT AS n_tokens "
+    f"FROM (SELECT doc_id, {_CLEAN_TOKS} AS t FROM documents)"
+)
+
+_STOP = _lit_list(ANALYSIS_STOPWORDS)
+
+
+def words_sql(src: str, by: str | None = None, lemmas: str | None = None) -> str:
+    """(by, term, n) word counts over ``src`` (which has ``text`` and optionally ``by``)."""
+    g = f"{by}, " if by else ""
+    toks = f"SELECT {g}unnest({letters_sql('text')}) AS surface FROM {src}"
+    if lemmas:
+        body = (
+            f"SELECT {g}coalesce(l.lemma, t.surface) AS term, l.pos AS tag FROM ({toks}) t "
+            f"LEFT JOIN {lemmas} l ON l.surface = t.surface WHERE length(t.surface) >= 4"
+        )
+        cond = f"NOT list_contains({_STOP}, term) AND (tag IS NULL OR list_contains({_lit_list(CONTENT_POS)}, tag))"
+    else:
+        body = f"SELECT {g}surface AS term FROM ({toks}) WHERE length(surface) >= 4"
+        cond = f"NOT list_contains({_STOP}, term)"
+    return f"SELECT {g}term, count(*)::BIGINT AS n FROM ({body}) WHERE {cond} GROUP BY {g}term"
+
+
+def top_sql(counts: str, n: int, by: str | None = None, term: str = "term") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    g = f"{by}, " if by else ""
+    return (
+        f"SELECT {g}rank::BIGINT AS rank, {term}, n, round(n / max(n) OVER ({part[:-1] if by else ''}), 6) + 0.0 AS weight FROM "
+        f"(SELECT *, row_number() OVER ({part}ORDER BY n DESC, {term}) AS rank FROM ({counts})) WHERE rank <= {n}"
+    )
+
+
+def phrases_sql(by: str | None = None) -> str:
+    g = f"{by}, " if by else ""
+    sents = f"SELECT {g}unnest({sent_arr('text')}) AS sentence FROM documents"
+    toks = f"SELECT {g}{letters_sql('sentence')} AS toks FROM ({sents})"
+    idx = f"SELECT {g}toks, unnest(range(1, len(toks))) AS i FROM ({toks})"
+    pairs = f"SELECT {g}toks[i] AS a, toks[i + 1] AS b FROM ({idx})"
+    keep = lambda x: f"length({x}) >= 3 AND NOT list_contains({_STOP}, {x})"
+    return f"SELECT {g}a || ' ' || b AS phrase, count(*)::BIGINT AS n FROM ({pairs}) WHERE {keep('a')} AND {keep('b')} GROUP BY {g}a, b"
+
+
+def _lemma_values() -> str:
+    from .catalog import LEMMA_ROWS
+
+    rows = ", ".join(f"('{s}', '{p}', '{l}')" for s, p, l in LEMMA_ROWS)
+    return f"lem(surface, pos, lemma) AS (VALUES {rows})"
+
+
+ORACLE["term_frequency"] = words_sql("documents")
+ORACLE["top_terms"] = top_sql(words_sql("documents"), 20)
+ORACLE["term_frequency_by_group"] = top_sql(words_sql("conversations", "role"), 20, "role")
+ORACLE["phrase_frequency"] = top_sql(phrases_sql(), 50, term="phrase")
+ORACLE["phrase_frequency_by_lang"] = top_sql(phrases_sql("lang"), 20, "lang", term="phrase")
+ORACLE["lemma_frequency"] = f"WITH {_lemma_values()} {words_sql('documents', lemmas='lem')}"
+ORACLE["documents_by"] = (
+    "SELECT 'lang' AS \"column\", lang AS value, count(doc_id)::BIGINT AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang "
+    "UNION ALL SELECT 'source', source, count(doc_id)::BIGINT FROM documents WHERE source IS NOT NULL GROUP BY source"
+)
