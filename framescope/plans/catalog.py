@@ -269,3 +269,76 @@ def documents_by(spark, sf_dir):
     from ..operators import coverage as cov
 
     return cov.documents_by(docs, ["lang", "source"], key="doc_id")
+
+
+# ---------------------------------------------------------------- term-count search (SIM2)
+from ..operators import sparse  # noqa: E402
+
+# Sparse scores at sf0.01: p90 ~ .12, p99 ~ .43 over the top-5 rows.
+SPARSE_THRESHOLD = 0.4
+
+
+def _bench_queries(spark, sf_dir):
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _sparse_matches(spark, sf_dir, with_sentence=False):
+    return sparse.topk_sparse(
+        load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), TOP_K, with_sentence=with_sentence
+    )
+
+
+@register
+def topk_sparse(spark, sf_dir):
+    """Top-5 sentences per (document, benchmark item) by term-count cosine."""
+    return _sparse_matches(spark, sf_dir)
+
+
+@register
+def review_candidates_text(spark, sf_dir):
+    """Term-count matches at or above the threshold, with the sentence text."""
+    m = search.review_candidates(_sparse_matches(spark, sf_dir, with_sentence=True), SPARSE_THRESHOLD)
+    return m.select("doc_id", "query_id", "rank", "score", "sentence_index", "sentence")
+
+
+@register
+def evidence_sentences(spark, sf_dir):
+    """Distinct (parameter, document, sentence) evidence among the review candidates (repeated lines collapse)."""
+    m = search.review_candidates(_sparse_matches(spark, sf_dir, with_sentence=True), SPARSE_THRESHOLD)
+    return m.select("query_id", "doc_id", "sentence").distinct()
+
+
+@register
+def query_keywords(spark, sf_dir):
+    """Each benchmark item's three rarest terms by corpus document frequency."""
+    kw = sparse.rarest_terms(load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir))
+    return kw.select("query_id", F.array_join("keywords", ", ").alias("keywords"))
+
+
+def _strategy_means(spark, sf_dir):
+    return sparse.compare_strategies(load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), TOP_K)
+
+
+@register
+def compare_strategies(spark, sf_dir):
+    """Per document: mean top-5 score over all items for each phrasing, and their difference."""
+    per_doc = sparse.document_strategy_means(_strategy_means(spark, sf_dir))
+    wide = per_doc.groupBy("doc_id").pivot("strategy", ["definition", "keywords"]).agg(F.first("mean_micro"))
+    return wide.select(
+        "doc_id",
+        (F.col("definition") / F.lit(1e6)).alias("overall_avg_def_only"),
+        (F.col("keywords") / F.lit(1e6)).alias("overall_avg_with_keywords"),
+        ((F.col("keywords") - F.col("definition")) / F.lit(1e6)).alias("difference"),
+    )
+
+
+@register
+def strategy_summary(spark, sf_dir):
+    """Across documents: mean of per-document means, and the pooled mean of all (document, item) means."""
+    m = _strategy_means(spark, sf_dir)
+    per_doc = m.groupBy("doc_id", "strategy").agg(F.avg("mean_score").alias("m"))
+    docs = per_doc.groupBy("strategy").agg(F.avg("m").alias("doc_mean"))
+    pooled = m.groupBy("strategy").agg(F.avg("mean_score").alias("pooled_mean"))
+    return docs.join(pooled, "strategy").select(
+        "strategy", F.round("doc_mean", 6).alias("doc_mean"), F.round("pooled_mean", 6).alias("pooled_mean")
+    )

@@ -257,3 +257,82 @@ ORACLE["documents_by"] = (
     "SELECT 'lang' AS \"column\", lang AS value, count(doc_id)::BIGINT AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang "
     "UNION ALL SELECT 'source', source, count(doc_id)::BIGINT FROM documents WHERE source IS NOT NULL GROUP BY source"
 )
+
+
+# ---------------------------------------------------------------- term-count search (SIM2)
+_ENG = _lit_list(ENGLISH_STOPWORDS)
+SPARSE_T = 0.4
+
+
+def sparse_topk_sql(queries: str, qkeys: list[str], k: int = 5) -> str:
+    """CTE chain ending in ``ranked``: brute-force top-k over every (sentence, query) pair.
+
+    ``queries`` is a relation with columns qkeys + qtext.
+    """
+    qk = ", ".join(qkeys)
+    qk_q = ", ".join(f"q.{c}" for c in qkeys)
+    qk_on = " AND ".join(f"d.{c} = p.{c}" for c in qkeys)
+    qn_on = " AND ".join(f"qn.{c} = p.{c}" for c in qkeys)
+    qtf_on = "q.term = t.term"
+    return f"""{SENTS},
+st AS (SELECT doc_id, sentence_index, unnest({letters_sql('sentence')}) AS term FROM sents),
+tf AS (SELECT doc_id, sentence_index, term, count(*) AS tf FROM st WHERE NOT list_contains({_ENG}, term) GROUP BY doc_id, sentence_index, term),
+nrm AS (SELECT doc_id, sentence_index, sqrt(sum(tf * tf)) AS norm FROM tf GROUP BY doc_id, sentence_index),
+qrel AS ({queries}),
+qt0 AS (SELECT {qk}, unnest({letters_sql('qtext')}) AS term FROM qrel),
+qtf AS (SELECT {qk}, term, count(*) AS qtf FROM qt0 WHERE NOT list_contains({_ENG}, term) GROUP BY {qk}, term),
+qn AS (SELECT {qk}, sqrt(sum(qtf * qtf)) AS qnorm FROM qtf GROUP BY {qk}),
+dots AS (SELECT t.doc_id, t.sentence_index, {qk_q}, sum(t.tf * q.qtf) AS dot FROM tf t JOIN qtf q ON {qtf_on} GROUP BY t.doc_id, t.sentence_index, {qk_q}),
+pairs AS (SELECT s.doc_id, s.sentence_index, {qk_q} FROM sents s CROSS JOIN (SELECT DISTINCT {qk} FROM qrel) q),
+pscores AS (SELECT p.*, round(coalesce(d.dot / (n.norm * qn.qnorm), 0), 6) + 0.0 AS score FROM pairs p
+  LEFT JOIN dots d ON d.doc_id = p.doc_id AND d.sentence_index = p.sentence_index AND {qk_on}
+  LEFT JOIN nrm n ON n.doc_id = p.doc_id AND n.sentence_index = p.sentence_index
+  LEFT JOIN qn ON {qn_on}),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {qk} ORDER BY score DESC, sentence_index) AS rank FROM pscores) WHERE rank <= {k})"""
+
+
+_BENCH = "SELECT item_id AS query_id, text AS qtext FROM benchmark"
+ORACLE["topk_sparse"] = (
+    f"WITH {sparse_topk_sql(_BENCH, ['query_id'])} SELECT doc_id, query_id, rank::BIGINT AS rank, score, sentence_index FROM ranked"
+)
+ORACLE["review_candidates_text"] = (
+    f"WITH {sparse_topk_sql(_BENCH, ['query_id'])} SELECT r.doc_id, r.query_id, r.rank::BIGINT AS rank, r.score, "
+    f"r.sentence_index, s.sentence FROM ranked r JOIN sents s ON s.doc_id = r.doc_id AND s.sentence_index = r.sentence_index "
+    f"WHERE r.score >= {SPARSE_T}"
+)
+ORACLE["evidence_sentences"] = (
+    f"WITH {sparse_topk_sql(_BENCH, ['query_id'])} SELECT DISTINCT r.query_id, r.doc_id, s.sentence FROM ranked r "
+    f"JOIN sents s ON s.doc_id = r.doc_id AND s.sentence_index = r.sentence_index WHERE r.score >= {SPARSE_T}"
+)
+
+KEYWORDS = f"""qterms AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({letters_sql('text')}) AS term FROM benchmark)
+                WHERE NOT list_contains({_ENG}, term)),
+dterms AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({letters_sql('text')}) AS term FROM documents)
+           WHERE term IN (SELECT term FROM qterms)),
+dfreq AS (SELECT term, count(*) AS df FROM dterms GROUP BY term),
+kwr AS (SELECT q.query_id, q.term, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(f.df, 0), q.term) AS r
+        FROM qterms q LEFT JOIN dfreq f ON f.term = q.term),
+kw AS (SELECT query_id, list(term ORDER BY r) AS keywords FROM kwr WHERE r <= 3 GROUP BY query_id)"""
+
+ORACLE["query_keywords"] = f"WITH {KEYWORDS} SELECT query_id, array_to_string(keywords, ', ') AS keywords FROM kw"
+
+_BOTH = (
+    "SELECT item_id AS query_id, 'definition' AS strategy, text AS qtext FROM benchmark UNION ALL "
+    "SELECT b.item_id, 'keywords', b.text || '. Related terms: ' || coalesce(array_to_string(kw.keywords, ', '), '') "
+    "FROM benchmark b LEFT JOIN kw ON kw.query_id = b.item_id"
+)
+_MEANS = (
+    f"WITH {KEYWORDS}, {sparse_topk_sql(_BOTH, ['query_id', 'strategy'])}, "
+    "means AS (SELECT doc_id, query_id, strategy, count(*) AS n, sum(round(score * 1e6)::BIGINT) AS score_micro, "
+    "avg(score) AS mean_score FROM ranked GROUP BY doc_id, query_id, strategy)"
+)
+ORACLE["compare_strategies"] = f"""{_MEANS},
+pdm AS (SELECT doc_id, strategy, (2 * sum(score_micro) + sum(n)) // (2 * sum(n)) AS m FROM means GROUP BY doc_id, strategy),
+pd AS (SELECT doc_id, max(m) FILTER (WHERE strategy = 'definition') AS d, max(m) FILTER (WHERE strategy = 'keywords') AS k
+       FROM pdm GROUP BY doc_id)
+SELECT doc_id, d / 1e6 AS overall_avg_def_only, k / 1e6 AS overall_avg_with_keywords, (k - d) / 1e6 AS difference FROM pd"""
+ORACLE["strategy_summary"] = f"""{_MEANS},
+pdm AS (SELECT doc_id, strategy, avg(mean_score) AS m FROM means GROUP BY doc_id, strategy),
+a AS (SELECT strategy, avg(m) AS doc_mean FROM pdm GROUP BY strategy),
+b AS (SELECT strategy, avg(mean_score) AS pooled_mean FROM means GROUP BY strategy)
+SELECT a.strategy, round(a.doc_mean, 6) AS doc_mean, round(b.pooled_mean, 6) AS pooled_mean FROM a JOIN b ON a.strategy = b.strategy"""
