@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dense, search, stats
@@ -342,3 +342,202 @@ def strategy_summary(spark, sf_dir):
     return docs.join(pooled, "strategy").select(
         "strategy", F.round("doc_mean", 6).alias("doc_mean"), F.round("pooled_mean", 6).alias("pooled_mean")
     )
+
+
+# ---------------------------------------------------------------- reviewed codes and coverage
+from ..operators import codes  # noqa: E402
+from ..operators import coverage as cov  # noqa: E402
+
+DIMENSIONS = ["lang", "source"]
+
+
+def bench_framework(spark, sf_dir):
+    """The benchmark items as a framework: (pos, parameter, category, subcategory, definition).
+
+    Names i000..; a two-level hierarchy by rule: subcategory s<item mod 5>,
+    category c0 for s0-s2 and c1 for s3-s4.
+    """
+    b = load(spark, sf_dir, "benchmark")
+    sub = F.col("item_id") % 5
+    return b.select(
+        F.col("item_id").alias("pos"),
+        F.format_string("i%03d", F.col("item_id")).alias("parameter"),
+        F.when(sub < 3, "c0").otherwise("c1").alias("category"),
+        F.concat(F.lit("s"), sub.cast("string")).alias("subcategory"),
+        F.col("text").alias("definition"),
+    )
+
+
+def bench_parameters(spark, sf_dir) -> list[str]:
+    from ..operators.search import query_ids
+
+    return [f"i{i:03d}" for i in query_ids(load(spark, sf_dir, "benchmark"), "item_id")]
+
+
+def review_table(spark, sf_dir):
+    """Stand-in for the manual review: each candidate sentence coded with its best items.
+
+    One row per (document, sentence) at or above the threshold; the codes are
+    item definitions, primary = best score, alternates 1-4 next (ties by item).
+    """
+    m = search.review_candidates(_sparse_matches(spark, sf_dir, with_sentence=True), SPARSE_THRESHOLD)
+    defs = F.broadcast(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("definition")))
+    w = Window.partitionBy("doc_id", "sentence_index").orderBy(F.desc("score"), F.asc("query_id"))
+    coded = m.join(defs, "query_id").withColumn("code_rank", F.row_number().over(w)).where(F.col("code_rank") <= 5)
+    wide = coded.groupBy("doc_id", "sentence_index", "sentence").pivot("code_rank", [1, 2, 3, 4, 5]).agg(F.first("definition"))
+    sizes = terms.corpus_size(load(spark, sf_dir, "documents"))
+    return wide.join(sizes, "doc_id").select(
+        F.col("doc_id").alias("policy_title"), "sentence_index", "sentence", "corpus_size",
+        *[F.col(str(i + 1)).alias(c) for i, c in enumerate(codes.CODE_COLUMNS)],
+    )
+
+
+def _melted(spark, sf_dir):
+    return codes.melt_codes(review_table(spark, sf_dir), bench_framework(spark, sf_dir))
+
+
+def _metadata(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("title"), *DIMENSIONS)
+
+
+def _frequency(spark, sf_dir):
+    return codes.parameter_frequency(_melted(spark, sf_dir), bench_framework(spark, sf_dir))
+
+
+def _coverage(spark, sf_dir):
+    n = len(bench_parameters(spark, sf_dir))
+    return cov.coverage_by_doc(codes.count_codes(_melted(spark, sf_dir)), _metadata(spark, sf_dir), n)
+
+
+_FREQ_COLS = ["parameter", "category", "subcategory", "definition", "total_appearances", "num_docs"]
+
+
+@register
+def melt_codes(spark, sf_dir):
+    """Review codes melted to one row per non-NULL code, mapped to parameter names by definition."""
+    return _melted(spark, sf_dir).select("policy_title", "sentence", "variable", "parameter")
+
+
+@register
+def count_codes(spark, sf_dir):
+    """Codes per (document, parameter)."""
+    return codes.count_codes(_melted(spark, sf_dir))
+
+
+@register
+def doc_parameter_matrix(spark, sf_dir):
+    """Documents x parameters with metadata and corpus size; NULL counts for documents without codes."""
+    counts = codes.count_codes(_melted(spark, sf_dir))
+    sizes = review_table(spark, sf_dir).select("policy_title", "corpus_size").distinct()
+    return codes.doc_parameter_matrix(counts, _metadata(spark, sf_dir), bench_parameters(spark, sf_dir), corpus_sizes=sizes)
+
+
+@register
+def parameter_frequency(spark, sf_dir):
+    """Overall appearances and documents per parameter, every parameter of the framework."""
+    return _frequency(spark, sf_dir).select(*_FREQ_COLS)
+
+
+@register
+def rollup_frequency(spark, sf_dir):
+    """Subcategory roll-up: appearances summed, documents averaged."""
+    r = codes.rollup_frequency(_frequency(spark, sf_dir))
+    return r.select("subcategory", "total_appearances", (F.round("num_docs", 6) + F.lit(0.0)).alias("num_docs"))
+
+
+def _ranked(spark, sf_dir, metric, ascending):
+    t = codes.top_parameters(_frequency(spark, sf_dir), metric, 10, ascending)
+    return t.select(*_FREQ_COLS, (F.round("avg_mentions_per_doc", 6) + F.lit(0.0)).alias("avg_mentions_per_doc"))
+
+
+@register
+def top_adopted(spark, sf_dir):
+    """Ten parameters in the most documents, ties in framework order."""
+    return _ranked(spark, sf_dir, "num_docs", False)
+
+
+@register
+def bottom_adopted(spark, sf_dir):
+    """Ten parameters in the fewest documents, ties in framework order."""
+    return _ranked(spark, sf_dir, "num_docs", True)
+
+
+@register
+def top_frequent(spark, sf_dir):
+    """Ten parameters with the most appearances, ties in framework order."""
+    return _ranked(spark, sf_dir, "total_appearances", False)
+
+
+@register
+def mentions_summary(spark, sf_dir):
+    """Mean mentions per document over parameters (0/0 skipped) and how many were skipped."""
+    f = codes.with_mentions_per_doc(_frequency(spark, sf_dir))
+    return f.agg(
+        (F.round(F.avg("avg_mentions_per_doc"), 6) + F.lit(0.0)).alias("average_mentions_per_doc"),
+        F.count_if(F.col("avg_mentions_per_doc").isNull()).cast("long").alias("n_undefined"),
+    )
+
+
+@register
+def mentions_histogram(spark, sf_dir):
+    """15-bin histogram of mentions per document across parameters."""
+    f = codes.with_mentions_per_doc(_frequency(spark, sf_dir))
+    return stats.histogram(f.select(F.round("avg_mentions_per_doc", 6).alias("m")), "m", 15)
+
+
+@register
+def mentions_kde(spark, sf_dir):
+    """Gaussian KDE of mentions per document (Scott bandwidth, 200 points), scaled to the 15-bin histogram."""
+    f = codes.with_mentions_per_doc(_frequency(spark, sf_dir))
+    return stats.kde(f.select(F.round("avg_mentions_per_doc", 6).alias("m")), "m", 200, 0.0, 15)
+
+
+@register
+def quadrants(spark, sf_dir):
+    """Breadth x depth quadrant of each parameter, mid-lines at the medians."""
+    return codes.quadrants(_frequency(spark, sf_dir), "median", "median").drop("pos")
+
+
+@register
+def quadrant_bounds(spark, sf_dir):
+    """Axis limits of the breadth x depth chart."""
+    return codes.plot_bounds(_frequency(spark, sf_dir))
+
+
+@register
+def coverage_by_doc(spark, sf_dir):
+    """Parameters mentioned, mentions and framework coverage for every document."""
+    return _coverage(spark, sf_dir)
+
+
+@register
+def coverage_avg(spark, sf_dir):
+    """Average of each coverage metric over documents."""
+    return cov.coverage_averages(_coverage(spark, sf_dir))
+
+
+@register
+def coverage_by_dim(spark, sf_dir):
+    """Mean coverage per language and per source."""
+    return cov.coverage_by(_coverage(spark, sf_dir), _metadata(spark, sf_dir), DIMENSIONS)
+
+
+@register
+def coverage_vs_length(spark, sf_dir):
+    """(document, sentences, coverage): coverage against document length."""
+    sizes = terms.corpus_size(load(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "title")
+    return _coverage(spark, sf_dir).join(sizes, "title").select("title", "corpus_size", "framework_coverage")
+
+
+@register
+def coverage_bootstrap(spark, sf_dir):
+    """Mean coverage per language with a seeded Poisson-bootstrap 95 % interval (rows-only check)."""
+    c = _coverage(spark, sf_dir).join(_metadata(spark, sf_dir), "title")
+    return stats.bootstrap_mean(c, "framework_coverage", "lang", "title", replicates=200)
+
+
+@register
+def distribution_by_dim(spark, sf_dir):
+    """Parameter counts per language and per source, normalised to row percentages."""
+    counts = codes.counts_long(codes.count_codes(_melted(spark, sf_dir)), _metadata(spark, sf_dir))
+    return cov.distribution_by(counts, _metadata(spark, sf_dir), DIMENSIONS, bench_parameters(spark, sf_dir))

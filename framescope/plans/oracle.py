@@ -336,3 +336,127 @@ pdm AS (SELECT doc_id, strategy, avg(mean_score) AS m FROM means GROUP BY doc_id
 a AS (SELECT strategy, avg(m) AS doc_mean FROM pdm GROUP BY strategy),
 b AS (SELECT strategy, avg(mean_score) AS pooled_mean FROM means GROUP BY strategy)
 SELECT a.strategy, round(a.doc_mean, 6) AS doc_mean, round(b.pooled_mean, 6) AS pooled_mean FROM a JOIN b ON a.strategy = b.strategy"""
+
+
+# ---------------------------------------------------------------- reviewed codes and coverage
+_CODE_COLS = ["primary_paramater", "alt_parameter_1", "alt_parameter_2", "alt_parameter_3", "alt_parameter_4"]
+_REVIEW = f"""{sparse_topk_sql(_BENCH, ['query_id'])},
+cand AS (SELECT r.doc_id, r.query_id, r.score, r.sentence_index, s.sentence, b.text AS definition FROM ranked r
+         JOIN sents s ON s.doc_id = r.doc_id AND s.sentence_index = r.sentence_index
+         JOIN benchmark b ON b.item_id = r.query_id WHERE r.score >= {SPARSE_T}),
+coded AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_index ORDER BY score DESC, query_id) AS code_rank FROM cand),
+csize AS (SELECT doc_id, len({sent_arr('text')})::BIGINT AS corpus_size FROM documents),
+review AS (SELECT c.doc_id AS policy_title, c.sentence_index, c.sentence, z.corpus_size,
+  {', '.join(f"max(CASE WHEN c.code_rank = {i + 1} THEN c.definition END) AS {n}" for i, n in enumerate(_CODE_COLS))}
+  FROM coded c JOIN csize z ON z.doc_id = c.doc_id GROUP BY c.doc_id, c.sentence_index, c.sentence, z.corpus_size),
+bfw AS (SELECT item_id AS pos, printf('i%03d', item_id) AS parameter,
+        CASE WHEN item_id % 5 < 3 THEN 'c0' ELSE 'c1' END AS category, 's' || (item_id % 5)::VARCHAR AS subcategory,
+        text AS definition FROM benchmark),
+melted AS (SELECT u.policy_title, u.sentence, u.variable, f.parameter FROM
+           (SELECT policy_title, sentence, variable, parameter_value FROM review
+            UNPIVOT (parameter_value FOR variable IN ({', '.join(_CODE_COLS)}))) u
+           LEFT JOIN bfw f ON f.definition = u.parameter_value),
+counts AS (SELECT policy_title, parameter, count(*)::BIGINT AS count FROM melted
+           WHERE policy_title IS NOT NULL AND parameter IS NOT NULL GROUP BY policy_title, parameter),
+freq AS (SELECT f.pos, f.parameter, f.category, f.subcategory, f.definition,
+         coalesce(a.t, 0)::BIGINT AS total_appearances, coalesce(a.d, 0)::BIGINT AS num_docs FROM bfw f
+         LEFT JOIN (SELECT parameter, count(*) AS t, count(DISTINCT policy_title) AS d FROM melted
+                    WHERE parameter IS NOT NULL GROUP BY parameter) a ON a.parameter = f.parameter),
+meta AS (SELECT doc_id AS title, lang, source FROM documents),
+cov AS (SELECT m.title, coalesce(p.p, 0)::BIGINT AS total_params_mentioned, coalesce(p.m, 0)::BIGINT AS total_mentions,
+        round(coalesce(p.p, 0) / (SELECT count(*) FROM benchmark)::DOUBLE, 6) + 0.0 AS framework_coverage
+        FROM meta m LEFT JOIN (SELECT policy_title, count(*) FILTER (WHERE count > 0) AS p, sum(count) AS m
+                               FROM counts GROUP BY policy_title) p ON p.policy_title = m.title)"""
+
+_FREQ = "parameter, category, subcategory, definition, total_appearances, num_docs"
+_AVG_M = "CASE WHEN num_docs = 0 THEN NULL ELSE total_appearances::DOUBLE / num_docs END"
+
+ORACLE["melt_codes"] = f"WITH {_REVIEW} SELECT policy_title, sentence, variable, parameter FROM melted"
+ORACLE["count_codes"] = f"WITH {_REVIEW} SELECT * FROM counts"
+
+
+ORACLE["parameter_frequency"] = f"WITH {_REVIEW} SELECT {_FREQ} FROM freq"
+ORACLE["rollup_frequency"] = (
+    f"WITH {_REVIEW} SELECT subcategory, sum(total_appearances)::BIGINT AS total_appearances, "
+    "round(avg(num_docs), 6) + 0.0 AS num_docs FROM freq WHERE subcategory IS NOT NULL GROUP BY subcategory"
+)
+
+
+def _ranked_sql(metric: str, asc: bool) -> str:
+    d = "ASC" if asc else "DESC"
+    return (
+        f"WITH {_REVIEW} SELECT {_FREQ}, round({_AVG_M}, 6) + 0.0 AS avg_mentions_per_doc FROM freq "
+        f"ORDER BY {metric} {d}, pos LIMIT 10"
+    )
+
+
+ORACLE["top_adopted"] = _ranked_sql("num_docs", False)
+ORACLE["bottom_adopted"] = _ranked_sql("num_docs", True)
+ORACLE["top_frequent"] = _ranked_sql("total_appearances", False)
+ORACLE["mentions_summary"] = (
+    f"WITH {_REVIEW} SELECT round(avg({_AVG_M}), 6) + 0.0 AS average_mentions_per_doc, "
+    f"count(*) FILTER (WHERE ({_AVG_M}) IS NULL)::BIGINT AS n_undefined FROM freq"
+)
+ORACLE["mentions_histogram"] = (
+    f"WITH {_REVIEW}, mm AS (SELECT round({_AVG_M}, 6) AS m FROM freq), {histogram_sql('mm', 'm', 15)}"
+)
+
+
+def kde_sql(src: str, col: str, gridsize: int = 200, hist_bins: int = 15) -> str:
+    return f"""ks AS (SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi, stddev_samp({col}) AS sd FROM {src}),
+kp AS (SELECT n, lo, hi, pow(n, -0.2) * sd AS h, (hi - lo) / {gridsize - 1} AS step FROM ks),
+kg AS (SELECT range AS point FROM range({gridsize})),
+kd AS (SELECT g.point, sum(exp(-(((p.lo + g.point * p.step) - v.{col}) / p.h) * (((p.lo + g.point * p.step) - v.{col}) / p.h) / 2)) AS s
+       FROM kg g CROSS JOIN kp p CROSS JOIN (SELECT {col} FROM {src} WHERE {col} IS NOT NULL) v GROUP BY g.point)
+SELECT d.point::INTEGER AS point, round(p.lo + d.point * p.step, 6) + 0.0 AS x,
+       round(d.s / (p.n * p.h * sqrt(2 * pi())), 6) + 0.0 AS density,
+       round(d.s / (p.n * p.h * sqrt(2 * pi())) * (p.n * ((p.hi - p.lo) / {hist_bins})), 6) + 0.0 AS count_density
+FROM kd d CROSS JOIN kp p"""
+
+
+ORACLE["mentions_kde"] = f"WITH {_REVIEW}, mm AS (SELECT round({_AVG_M}, 6) AS m FROM freq), {kde_sql('mm', 'm')}"
+ORACLE["quadrants"] = f"""WITH {_REVIEW},
+mid AS (SELECT median(num_docs) AS x, median(total_appearances) AS y FROM freq)
+SELECT parameter, num_docs, total_appearances,
+  CASE WHEN num_docs >= mid.x AND total_appearances >= mid.y THEN 'high breadth, high depth'
+       WHEN num_docs >= mid.x THEN 'high breadth, low depth'
+       WHEN total_appearances >= mid.y THEN 'low breadth, high depth'
+       ELSE 'low breadth, low depth' END AS quadrant
+FROM freq, mid"""
+ORACLE["quadrant_bounds"] = (
+    f"WITH {_REVIEW} SELECT (min(num_docs) - 0.5)::DOUBLE AS x_min, (max(num_docs) + 0.5)::DOUBLE AS x_max, "
+    "(min(total_appearances) - 1)::BIGINT AS y_min, (max(total_appearances) + 2)::BIGINT AS y_max FROM freq"
+)
+ORACLE["coverage_by_doc"] = f"WITH {_REVIEW} SELECT * FROM cov"
+ORACLE["coverage_avg"] = f"""WITH {_REVIEW}
+SELECT 'total_params_mentioned' AS metric, round(avg(total_params_mentioned), 6) + 0.0 AS average_value FROM cov
+UNION ALL SELECT 'total_mentions', round(avg(total_mentions), 6) + 0.0 FROM cov
+UNION ALL SELECT 'framework_coverage', round(avg(framework_coverage), 6) + 0.0 FROM cov"""
+ORACLE["coverage_by_dim"] = f"""WITH {_REVIEW},
+cl AS (SELECT 'lang' AS dimension, m.lang AS value, c.framework_coverage FROM cov c JOIN meta m ON m.title = c.title
+       UNION ALL SELECT 'source', m.source, c.framework_coverage FROM cov c JOIN meta m ON m.title = c.title)
+SELECT dimension, value, count(*)::BIGINT AS n_docs, round(avg(framework_coverage), 6) + 0.0 AS mean_coverage
+FROM cl WHERE value IS NOT NULL GROUP BY dimension, value"""
+ORACLE["coverage_vs_length"] = f"""WITH {_REVIEW}
+SELECT c.title, z.corpus_size, c.framework_coverage FROM cov c JOIN csize z ON z.doc_id = c.title"""
+ORACLE["distribution_by_dim"] = f"""WITH {_REVIEW},
+dd AS (SELECT title, 'lang' AS dimension, lang AS value FROM meta WHERE lang IS NOT NULL
+       UNION ALL SELECT title, 'source', source FROM meta WHERE source IS NOT NULL),
+sums AS (SELECT d.dimension, d.value, c.parameter, sum(c.count) AS n FROM counts c JOIN dd d ON d.title = c.policy_title
+         GROUP BY d.dimension, d.value, c.parameter),
+grid AS (SELECT v.dimension, v.value, f.parameter FROM (SELECT DISTINCT dimension, value FROM dd) v CROSS JOIN bfw f),
+dgrid AS (SELECT g.dimension, g.value, g.parameter, coalesce(s.n, 0)::BIGINT AS n FROM grid g
+         LEFT JOIN sums s ON s.dimension = g.dimension AND s.value = g.value AND s.parameter = g.parameter)
+SELECT dimension, value, parameter, n,
+  round(CASE WHEN sum(n) OVER (PARTITION BY dimension, value) = 0 THEN NULL
+             ELSE n * 100.0 / sum(n) OVER (PARTITION BY dimension, value) END, 6) + 0.0 AS pct
+FROM dgrid"""
+
+
+def doc_matrix_sql(parameters: list[str]) -> str:
+    cols = ", ".join(f"coalesce(max(CASE WHEN parameter = '{p}' THEN count END), 0)::BIGINT AS {p}" for p in parameters)
+    return f"""WITH {_REVIEW},
+wide AS (SELECT policy_title, {cols} FROM counts GROUP BY policy_title),
+sizes AS (SELECT DISTINCT policy_title, corpus_size FROM review)
+SELECT m.title, m.lang, m.source, z.corpus_size, {', '.join('w.' + p for p in parameters)}
+FROM meta m LEFT JOIN sizes z ON z.policy_title = m.title LEFT JOIN wide w ON w.policy_title = m.title"""
