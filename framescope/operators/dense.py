@@ -37,20 +37,21 @@ _MAX_CELLS = 4_000_000
 def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, limit: int):
     """Yield (ids, normalised matrix) blocks of the query side, each at most ``limit`` rows."""
     q = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
-    n = q.count()
-    nblocks = max(1, -(-n // limit))
-    if nblocks > 1:
-        # hash blocks are near-equal; a block over the limit is split again
-        q = q.withColumn("_blk", F.pmod(F.xxhash64(query_id), F.lit(nblocks * 2)))
-        parts = [q.where(F.col("_blk") == b).drop("_blk") for b in range(nblocks * 2)]
-    else:
-        parts = [q]
-    for part in parts:
-        rows = part.collect()
-        if not rows:
+    pending = [(q, 0)]
+    while pending:
+        part, salt = pending.pop()
+        n = part.count()
+        if n == 0:
+            continue
+        if n > limit:
+            # split into hash blocks (a fresh salt each level); every query lands in exactly one block
+            if salt > 8:
+                raise ValueError("query side cannot be split under the broadcast limit (duplicate ids?)")
+            m = 2 * -(-n // limit)
+            blk = F.pmod(F.xxhash64(F.col(query_id), F.lit(salt)), F.lit(m))
+            pending.extend((part.where(blk == b), salt + 1) for b in range(m))
             continue
-        if len(rows) > limit:
-            raise ValueError("query block over the broadcast limit")
+        rows = part.collect()
         ids = np.array([r[0] for r in rows])
         mat = l2_normalise(stack([r[1] for r in rows]))
         yield ids, mat
