@@ -75,6 +75,30 @@ def _query_key_rows(queries: DataFrame, qkeys: list[str]) -> list:
     return q.collect()
 
 
+def _rank(scored: DataFrame, k: int, key: str, qkeys: list[str]) -> DataFrame:
+    w = Window.partitionBy(key, *qkeys).orderBy(F.desc("score"), F.asc("sentence_index"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def attach_sentences(rows: DataFrame, sents: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """Adds the sentence text to (key, sentence_index, ...) rows.
+
+    Both inputs are clustered by the document key, so instead of a join
+    (which at scale re-shuffles every sentence by (key, sentence_index)) the
+    rows and the sentences are unioned and the text is spread with a window
+    over (key, sentence_index): a local sort, no exchange.
+    """
+    cols = [c for c in rows.columns if c not in (key, "sentence_index")]
+    left = rows.select(key, "sentence_index", *cols, F.lit(None).cast("string").alias("sentence"), F.lit(True).alias("_row"))
+    right = sents.select(
+        key, "sentence_index", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in cols], "sentence",
+        F.lit(False).alias("_row"),
+    )
+    w = Window.partitionBy(key, "sentence_index")
+    both = left.unionByName(right).withColumn("sentence", F.max("sentence").over(w))
+    return both.where(F.col("_row")).drop("_row")
+
+
 def topk_sparse(
     docs: DataFrame,
     queries: DataFrame,
@@ -87,27 +111,35 @@ def topk_sparse(
     stopwords=ENGLISH_STOPWORDS,
     partitions: int | None = None,
     with_sentence: bool = False,
+    min_score: float | None = None,
 ) -> DataFrame:
     """Top-k sentences per (document, query) by term-count cosine.
 
     Output: (key, qkeys..., rank, score, sentence_index[, sentence]).
+
+    ``min_score`` > 0 returns only the top-k rows scoring at least that much
+    (the review candidates). It is exact: every row ranked above a row that
+    reaches ``min_score`` reaches it too, so the filter runs *before* the
+    window and the zero-score fill is not needed.
     """
     qkeys = list(query_keys)
     sents = document_sentences(docs, key, text, partitions)
     qterms = query_terms(queries.select(*qkeys, query_text), qkeys, query_text, stopwords)
     scored = sparse_scores(sents, qterms, qkeys, key=key, stopwords=stopwords)
-    # zero-score candidates: the first k sentences of each document, for every query
-    rows = _query_key_rows(queries, qkeys)
-    lit_keys = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in qkeys]) for r in rows])
-    zeros = sents.where(F.col("sentence_index") < k).select(
-        key, "sentence_index", F.explode(lit_keys).alias("_q")
-    ).select(key, "sentence_index", *[F.col("_q")[c].alias(c) for c in qkeys], F.lit(0.0).alias("score"))
-    cand = scored.unionByName(zeros).groupBy(key, "sentence_index", *qkeys).agg(F.max("score").alias("score"))
-    w = Window.partitionBy(key, *qkeys).orderBy(F.desc("score"), F.asc("sentence_index"))
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if min_score is not None and min_score > 0:
+        top = _rank(scored.where(F.col("score") >= F.lit(float(min_score))), k, key, qkeys)
+    else:
+        # zero-score candidates: the first k sentences of each document, for every query
+        rows = _query_key_rows(queries, qkeys)
+        lit_keys = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in qkeys]) for r in rows])
+        zeros = sents.where(F.col("sentence_index") < k).select(
+            key, "sentence_index", F.explode(lit_keys).alias("_q")
+        ).select(key, "sentence_index", *[F.col("_q")[c].alias(c) for c in qkeys], F.lit(0.0).alias("score"))
+        cand = scored.unionByName(zeros).groupBy(key, "sentence_index", *qkeys).agg(F.max("score").alias("score"))
+        top = _rank(cand, k, key, qkeys)
     out = top.select(key, *qkeys, F.col("rank").cast("long").alias("rank"), "score", "sentence_index")
     if with_sentence:
-        out = out.join(sents, [key, "sentence_index"])
+        out = attach_sentences(out, sents, key=key)
     return out
 
 
@@ -144,11 +176,15 @@ def compare_strategies(
     query_id: str = "query_id", query_text: str = "text", keywords: DataFrame | None = None,
     stopwords=ENGLISH_STOPWORDS,
 ) -> DataFrame:
-    """Mean top-k score per (document, query, strategy) for both phrasings, in one scoring pass (CMP1).
-
+    """Both query phrasings scored in one pass (CMP1): per (document, strategy) the exact top-k sum.
+
+    Output (key, strategy, score_micro, k_used, n_queries): ``score_micro`` is
+    the sum of the top-k scores over all queries in units of 1e-6, ``k_used``
+    = min(k, sentences). The mean top-k score of a (document, query) is its
+    sum / k_used, and the document's mean over queries is
+    score_micro / (k_used * n_queries). Zero-score rows add nothing to a sum,
+    so only pairs sharing a term are ranked -- no zero fill is needed.
     ``keywords``: (query_id, keywords array); derived with :func:`rarest_terms` when omitted.
-    Output: (key, query_id, strategy, n, score_micro, mean_score) with strategy 'definition' / 'keywords';
-    ``score_micro`` is the exact sum of the top-k scores in units of 1e-6.
     """
     if keywords is None:
         keywords = rarest_terms(docs, queries, key=key, text=text, query_keys=[query_id], query_text=query_text, stopwords=stopwords)
@@ -156,24 +192,27 @@ def compare_strategies(
     kw = queries.join(keywords, query_id, "left").select(
         query_id, F.lit("keywords").alias("strategy"), keyword_query(F.col(query_text), F.col("keywords")).alias("qtext")
     )
-    both = defs.unionByName(kw)
-    top = topk_sparse(docs, both, k, key=key, text=text, query_keys=[query_id, "strategy"], query_text="qtext", stopwords=stopwords)
+    qkeys = [query_id, "strategy"]
+    n_queries = len(_query_key_rows(queries, [query_id]))
+    sents = document_sentences(docs, key, text)
+    qterms = query_terms(defs.unionByName(kw), qkeys, "qtext", stopwords)
+    top = _rank(sparse_scores(sents, qterms, qkeys, key=key, stopwords=stopwords), k, key, qkeys)
     micro = F.round(F.col("score") * F.lit(1e6)).cast("long")
-    return top.groupBy(key, query_id, "strategy").agg(
-        F.count("*").cast("long").alias("n"),
-        F.sum(micro).alias("score_micro"),
-        F.avg("score").alias("mean_score"),
+    sums = top.groupBy(key, "strategy").agg(F.sum(micro).alias("score_micro"))
+    sizes = sents.groupBy(key).agg(F.least(F.count("*"), F.lit(k)).cast("long").alias("k_used"))
+    grid = sizes.select(key, "k_used", F.explode(F.array(F.lit("definition"), F.lit("keywords"))).alias("strategy"))
+    return grid.join(sums, [key, "strategy"], "left").select(
+        key, "strategy", F.coalesce("score_micro", F.lit(0)).cast("long").alias("score_micro"), "k_used",
+        F.lit(n_queries).cast("long").alias("n_queries"),
     )
 
 
-def document_strategy_means(means: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """(key, strategy, mean_micro, mean): mean over queries of the mean top-k score, per document.
+def document_strategy_means(sums: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(key, strategy, mean_micro, mean): a document's mean over queries of the mean top-k score.
 
-    Every query of a document keeps the same number of rows (min(k, sentences)),
-    so the mean of means equals sum(scores) / sum(rows). It is rounded half-up
-    to whole micro-units in integer arithmetic: such means often sit exactly on
-    a rounding tie, and integer rounding resolves it the same way everywhere.
+    Rounded half-up to whole micro-units in integer arithmetic: such means
+    often sit exactly on a rounding tie, and integer rounding resolves it the
+    same way on every engine.
     """
-    agg = means.groupBy(key, "strategy").agg(F.sum("score_micro").alias("s"), F.sum("n").alias("c"))
-    mean_micro = F.expr("(2 * s + c) div (2 * c)")
-    return agg.select(key, "strategy", mean_micro.alias("mean_micro"), (mean_micro / F.lit(1e6)).alias("mean"))
+    mean_micro = F.expr("(2 * score_micro + k_used * n_queries) div (2 * k_used * n_queries)")
+    return sums.select(key, "strategy", mean_micro.alias("mean_micro"), (mean_micro / F.lit(1e6)).alias("mean"))

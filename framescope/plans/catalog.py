@@ -282,12 +282,18 @@ def _bench_queries(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _sparse_matches(spark, sf_dir, with_sentence=False):
+def _sparse_matches(spark, sf_dir, with_sentence=False, min_score=None):
     return sparse.topk_sparse(
-        load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), TOP_K, with_sentence=with_sentence
+        load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), TOP_K, with_sentence=with_sentence,
+        min_score=min_score,
     )
 
 
+def _sparse_candidates(spark, sf_dir):
+    """Top-5 term-count matches at or above the threshold, with sentence text."""
+    return _sparse_matches(spark, sf_dir, with_sentence=True, min_score=SPARSE_THRESHOLD)
+
+
 @register
 def topk_sparse(spark, sf_dir):
     """Top-5 sentences per (document, benchmark item) by term-count cosine."""
@@ -297,15 +303,13 @@ def topk_sparse(spark, sf_dir):
 @register
 def review_candidates_text(spark, sf_dir):
     """Term-count matches at or above the threshold, with the sentence text."""
-    m = search.review_candidates(_sparse_matches(spark, sf_dir, with_sentence=True), SPARSE_THRESHOLD)
-    return m.select("doc_id", "query_id", "rank", "score", "sentence_index", "sentence")
+    return _sparse_candidates(spark, sf_dir).select("doc_id", "query_id", "rank", "score", "sentence_index", "sentence")
 
 
 @register
 def evidence_sentences(spark, sf_dir):
     """Distinct (parameter, document, sentence) evidence among the review candidates (repeated lines collapse)."""
-    m = search.review_candidates(_sparse_matches(spark, sf_dir, with_sentence=True), SPARSE_THRESHOLD)
-    return m.select("query_id", "doc_id", "sentence").distinct()
+    return _sparse_candidates(spark, sf_dir).select("query_id", "doc_id", "sentence").distinct()
 
 
 @register
@@ -335,13 +339,18 @@ def compare_strategies(spark, sf_dir):
 @register
 def strategy_summary(spark, sf_dir):
     """Across documents: mean of per-document means, and the pooled mean of all (document, item) means."""
-    m = _strategy_means(spark, sf_dir)
-    per_doc = m.groupBy("doc_id", "strategy").agg(F.avg("mean_score").alias("m"))
-    docs = per_doc.groupBy("strategy").agg(F.avg("m").alias("doc_mean"))
-    pooled = m.groupBy("strategy").agg(F.avg("mean_score").alias("pooled_mean"))
-    return docs.join(pooled, "strategy").select(
-        "strategy", F.round("doc_mean", 6).alias("doc_mean"), F.round("pooled_mean", 6).alias("pooled_mean")
+    sums = _strategy_means(spark, sf_dir)
+    per_doc = sums.select(
+        "strategy",
+        (F.col("score_micro") / (F.col("k_used") * F.col("n_queries")) / F.lit(1e6)).alias("doc_mean"),
+        (F.col("score_micro") / F.col("k_used") / F.lit(1e6)).alias("sum_of_query_means"),
+        "n_queries",
+    )
+    out = per_doc.groupBy("strategy").agg(
+        F.avg("doc_mean").alias("doc_mean"),
+        (F.sum("sum_of_query_means") / F.sum("n_queries")).alias("pooled_mean"),
     )
+    return out.select("strategy", F.round("doc_mean", 6).alias("doc_mean"), F.round("pooled_mean", 6).alias("pooled_mean"))
 
 
 # ---------------------------------------------------------------- reviewed codes and coverage
@@ -380,7 +389,7 @@ def review_table(spark, sf_dir):
     One row per (document, sentence) at or above the threshold; the codes are
     item definitions, primary = best score, alternates 1-4 next (ties by item).
     """
-    m = search.review_candidates(_sparse_matches(spark, sf_dir, with_sentence=True), SPARSE_THRESHOLD)
+    m = _sparse_candidates(spark, sf_dir)
     defs = F.broadcast(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("definition")))
     w = Window.partitionBy("doc_id", "sentence_index").orderBy(F.desc("score"), F.asc("query_id"))
     coded = m.join(defs, "query_id").withColumn("code_rank", F.row_number().over(w)).where(F.col("code_rank") <= 5)
