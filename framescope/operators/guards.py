@@ -51,3 +51,27 @@ def require_small(df: DataFrame, max_rows: int, what: str) -> int:
     if n > max_rows:
         raise TooLargeToBroadcast(f"{what}: more than {max_rows} rows; use the block path")
     return n
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when ``df`` has fewer partitions than the cluster has cores.
+
+    A few large input files (e.g. one Parquet file with four row groups) would
+    otherwise leave the CPU-heavy text stages on a handful of tasks. At scale
+    the input already has many more splits than cores and nothing happens.
+    Spark sorts before a round-robin repartition, so a retried task
+    reproduces the same assignment.
+    """
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def key_partitions(df: DataFrame, partitions: int | None = None) -> int:
+    """Partition count for an explicit repartition by key: the session's shuffle setting, at least the core count."""
+    if partitions:
+        return partitions
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

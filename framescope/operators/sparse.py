@@ -14,9 +14,9 @@ Plan (one shuffle of the raw documents, then none):
    term therefore never meets a shuffle. Beyond the limit it is a shuffle
    join on the term, with AQE's skew-join split as the backstop.
 3. Pairs that share no term score 0 and are never materialised. Because
-   torch.topk returns min(k, n) sentences even when they score 0, the first
-   k sentences of each document are offered to every query at score 0; a
-   (document, query) keeps exactly min(k, sentences) rows (G9).
+   torch.topk returns min(k, n) sentences even when they score 0, a
+   (document, query) with m < min(k, n) nonzero rows is completed with the
+   lowest unused sentence indexes at score 0 (G9); see ``_complete_topk``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.text import letter_tokens, sentence_array
 from ..functions.vectors import ROUND_DIGITS
 from ..functions.wordlists import ENGLISH_STOPWORDS
-from .guards import MAX_BROADCAST_QUERIES, MAX_BROADCAST_QUERY_TERMS, checked_broadcast, require_small
+from .guards import MAX_BROADCAST_QUERIES, MAX_BROADCAST_QUERY_TERMS, checked_broadcast, key_partitions, require_small, spread
 
 
 def _not_stop(term: Column, stopwords) -> Column:
@@ -50,7 +50,9 @@ def query_terms(queries: DataFrame, qkeys: list[str], text: str, stopwords=ENGLI
 def document_sentences(docs: DataFrame, key: str, text: str, partitions: int | None = None) -> DataFrame:
     """(key, sentence_index, sentence), clustered by the document key (one shuffle of raw text)."""
     d = docs.select(key, text)
-    d = d.repartition(partitions, key) if partitions else d.repartition(key)
+    # an explicit count: AQE would coalesce a by-column repartition to a few
+    # tasks, but the text work after it is CPU-bound
+    d = d.repartition(key_partitions(d, partitions), key)
     return d.select(key, F.posexplode(sentence_array(F.col(text))).alias("sentence_index", "sentence")).select(
         key, F.col("sentence_index").cast("long").alias("sentence_index"), "sentence"
     )
@@ -99,6 +101,40 @@ def attach_sentences(rows: DataFrame, sents: DataFrame, *, key: str = "doc_id")
     return both.where(F.col("_row")).drop("_row")
 
 
+def _complete_topk(sents: DataFrame, top: DataFrame, query_rows: list, k: int, key: str, qkeys: list[str]) -> DataFrame:
+    """The ranked nonzero rows plus score-0 rows completing each (document, query) to min(k, n) rows.
+
+    With m nonzero rows ranked, the fill is the lowest sentence indexes not
+    among them, ranked m+1.. (ties at 0 go by sentence index); they all lie
+    in [0, min(k, n)), so no pair outside the top-k is materialised. The
+    per-document grid and the ranked rows meet in one ``groupBy`` on
+    (document, query) that collects at most k rows per group: both inputs
+    are clustered by the document key, so it runs without an exchange, and
+    the ranked rows are computed once.
+    """
+    lit_keys = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in qkeys]) for r in query_rows])
+    row_t = "struct<rank:long,score:double,sentence_index:long>"
+    sizes = sents.groupBy(key).agg(F.least(F.count("*"), F.lit(k)).cast("long").alias("kk"))
+    grid = sizes.select(key, "kk", F.explode(lit_keys).alias("_q")).select(
+        key, *[F.col("_q")[c].alias(c) for c in qkeys], "kk", F.lit(None).cast(row_t).alias("row")
+    )
+    ranked = top.select(
+        key, *qkeys, F.lit(None).cast("long").alias("kk"),
+        F.struct(F.col("rank").cast("long").alias("rank"), "score", "sentence_index").alias("row"),
+    )
+    g = grid.unionByName(ranked).groupBy(key, *qkeys).agg(F.max("kk").alias("kk"), F.collect_list("row").alias("rows"))
+    g = g.where(F.col("kk").isNotNull())
+    m = F.size("rows")
+    taken = F.transform("rows", lambda r: r["sentence_index"])
+    free = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("kk") - 1, F.lit(0))), lambda i: ~F.array_contains(taken, i))
+    fill = F.transform(
+        F.slice(free, 1, F.greatest(F.col("kk") - m, F.lit(0)).cast("int")),
+        lambda i, j: F.struct((m + j + 1).cast("long").alias("rank"), F.lit(0.0).alias("score"), i.alias("sentence_index")),
+    )
+    out = g.select(key, *qkeys, F.explode(F.concat("rows", fill)).alias("r"))
+    return out.select(key, *qkeys, "r.rank", "r.score", "r.sentence_index")
+
+
 def topk_sparse(
     docs: DataFrame,
     queries: DataFrame,
@@ -128,16 +164,10 @@ def topk_sparse(
     scored = sparse_scores(sents, qterms, qkeys, key=key, stopwords=stopwords)
     if min_score is not None and min_score > 0:
         top = _rank(scored.where(F.col("score") >= F.lit(float(min_score))), k, key, qkeys)
+        out = top.select(key, *qkeys, F.col("rank").cast("long").alias("rank"), "score", "sentence_index")
     else:
-        # zero-score candidates: the first k sentences of each document, for every query
-        rows = _query_key_rows(queries, qkeys)
-        lit_keys = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in qkeys]) for r in rows])
-        zeros = sents.where(F.col("sentence_index") < k).select(
-            key, "sentence_index", F.explode(lit_keys).alias("_q")
-        ).select(key, "sentence_index", *[F.col("_q")[c].alias(c) for c in qkeys], F.lit(0.0).alias("score"))
-        cand = scored.unionByName(zeros).groupBy(key, "sentence_index", *qkeys).agg(F.max("score").alias("score"))
-        top = _rank(cand, k, key, qkeys)
-    out = top.select(key, *qkeys, F.col("rank").cast("long").alias("rank"), "score", "sentence_index")
+        top = _rank(scored, k, key, qkeys)
+        out = _complete_topk(sents, top, _query_key_rows(queries, qkeys), k, key, qkeys)
     if with_sentence:
         out = attach_sentences(out, sents, key=key)
     return out
@@ -156,7 +186,7 @@ def rarest_terms(
     qkeys = list(query_keys)
     qt = term_counts(queries.select(*qkeys, query_text), qkeys, query_text, stopwords).select(*qkeys, "term")
     vocab = checked_broadcast(qt.select("term").distinct(), MAX_BROADCAST_QUERY_TERMS, "query vocabulary").df
-    dt = docs.select(key, F.explode(letter_tokens(F.col(text))).alias("term")).join(vocab, "term", "left_semi")
+    dt = spread(docs.select(key, text)).select(key, F.explode(letter_tokens(F.col(text))).alias("term")).join(vocab, "term", "left_semi")
     df = dt.groupBy("term").agg(F.countDistinct(key).alias("df"))
     ranked = qt.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     w = Window.partitionBy(*qkeys).orderBy("df", "term")

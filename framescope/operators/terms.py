@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, letter_tokens, sentence_array, split_words, word_count
 from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS
-from .guards import MAX_BROADCAST_LOOKUP, checked_broadcast
+from .guards import MAX_BROADCAST_LOOKUP, checked_broadcast, spread
 
 # Lemma tables up to this size are inlined as a map literal in the plan.
 MAX_INLINE_LEMMAS = 20_000
@@ -115,7 +115,7 @@ def word_counts(
     """(by..., term, n): alphabetic words longer than ``min_length - 1`` on the surface,
     lemmatised, stopwords removed on the lemma, part of speech in ``keep_pos`` when known (G24)."""
     keys = _keys(by)
-    toks = tokens_long(df, text=text, keys=keys).where(F.length("surface") >= min_length)
+    toks = tokens_long(spread(df.select(*keys, text)), text=text, keys=keys).where(F.length("surface") >= min_length)
     toks = _apply_lemmas(toks, lemmas)
     cond = _not_stop(F.col("term"), stopwords)
     if keep_pos is not None and lemmas is not None:
@@ -139,7 +139,8 @@ def phrase_counts(
     lemma is not a stopword.
     """
     keys = _keys(by)
-    sents = sentences(df, key=key, text=text, keep=[k for k in keys if k != key])
+    keep = [k for k in keys if k != key]
+    sents = sentences(spread(df.select(key, *keep, text)), key=key, text=text, keep=keep)
     maps = _lemma_map(lemmas)
     if lemmas is None or maps is not None:
         toks = letter_tokens(F.col("sentence"))
