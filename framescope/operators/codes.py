@@ -27,24 +27,27 @@ def _small(df: DataFrame, what: str) -> DataFrame:
 
 def melt_codes(
     review: DataFrame, framework: DataFrame, *, doc: str = "policy_title", sentence: str = "sentence",
-    code_columns=CODE_COLUMNS,
+    code_columns=CODE_COLUMNS, keep=(),
 ) -> DataFrame:
-    """(doc, sentence, variable, parameter_value, parameter): one row per non-NULL code (RSH1, FLT1, JN1).
+    """(doc, sentence, *keep, variable, parameter_value, parameter): one row per non-NULL code (RSH1, FLT1, JN1).
 
     ``framework`` has (parameter, definition); a code missing from it keeps a NULL parameter.
     """
-    long = review.unpivot([doc, sentence], list(code_columns), "variable", "parameter_value")
+    long = review.unpivot([doc, sentence, *keep], list(code_columns), "variable", "parameter_value")
     long = long.where(F.col("parameter_value").isNotNull())
     names = _small(framework.select(F.col("definition").alias("parameter_value"), "parameter"), "framework")
     return long.join(names, "parameter_value", "left")
 
 
-def count_codes(melted: DataFrame, *, doc: str = "policy_title") -> DataFrame:
-    """(doc, parameter, count) over codes with a known document and parameter (AGG1)."""
+def count_codes(melted: DataFrame, *, doc: str = "policy_title", carry=()) -> DataFrame:
+    """(doc, parameter, count, *carry) over codes with a known document and parameter (AGG1).
+
+    ``carry`` columns are per-document values (e.g. corpus_size) kept alongside.
+    """
     return (
         melted.where(F.col(doc).isNotNull() & F.col("parameter").isNotNull())
         .groupBy(doc, "parameter")
-        .agg(F.count("*").cast("long").alias("count"))
+        .agg(F.count("*").cast("long").alias("count"), *[F.max(c).alias(c) for c in carry])
     )
 
 
@@ -120,16 +123,26 @@ def doc_parameter_matrix(
 ) -> DataFrame:
     """Documents x parameters (CMP9): metadata, corpus size, one count column per parameter in the given order.
 
+    One conditional aggregation per document (what ``pivot`` expands to);
+    when ``counts`` carries ``corpus_size`` it is taken in the same pass.
     Counts are zero-filled *before* the metadata join (G3): a document with
-    no codes at all has NULL counts, a document with codes has 0 for the
-    parameters it lacks. ``corpus_sizes`` is (doc, corpus_size), one size per document (G17).
+    no codes at all has NULL counts (and NULL corpus size), a document with
+    codes has 0 for the parameters it lacks. ``corpus_sizes`` (doc,
+    corpus_size) may be given instead, one size per document (G17).
     """
-    wide = counts.groupBy(doc).pivot("parameter", parameters).agg(F.first("count"))
-    wide = wide.select(doc, *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).cast("long").alias(p) for p in parameters])
+    cells = [
+        F.coalesce(F.sum(F.when(F.col("parameter") == F.lit(p), F.col("count"))), F.lit(0)).cast("long").alias(p)
+        for p in parameters
+    ]
+    extra = [F.max("corpus_size").alias("corpus_size")] if "corpus_size" in counts.columns else []
+    wide = counts.groupBy(doc).agg(*extra, *cells)
     meta = metadata
-    if corpus_sizes is not None:
+    if corpus_sizes is not None and not extra:
         meta = meta.join(corpus_sizes.withColumnRenamed(doc, "_k"), meta[title] == F.col("_k"), "left").drop("_k")
-    return meta.join(wide.withColumnRenamed(doc, "_k"), meta[title] == F.col("_k"), "left").drop("_k")
+    out = meta.join(wide.withColumnRenamed(doc, "_k"), meta[title] == F.col("_k"), "left").drop("_k")
+    if extra:
+        out = out.select(*metadata.columns, "corpus_size", *parameters)
+    return out
 
 
 def counts_long(counts: DataFrame, docs: DataFrame, *, doc: str = "policy_title", title: str = "title") -> DataFrame:

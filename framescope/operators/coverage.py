@@ -75,3 +75,9 @@ def distribution_by(
     )
     total = F.sum("n").over(Window.partitionBy("dimension", "value"))
     return full.withColumn("pct", F.round(F.try_divide(F.col("n") * F.lit(100.0), total), 6) + F.lit(0.0))
+
+
+def coverage_over_time(cov: DataFrame, docs: DataFrame, *, date: str = "date", fmt: str = "MM-dd-yyyy", title: str = "title") -> DataFrame:
+    """(title, date, framework_coverage) for documents with a parseable date; bad or missing dates dropped (CMP14, G22)."""
+    d = docs.select(title, F.to_date(F.try_to_timestamp(F.col(date), F.lit(fmt))).alias("date"))
+    return cov.join(d, title).where(F.col("date").isNotNull()).select(title, "date", "framework_coverage")

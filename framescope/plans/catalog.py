@@ -436,9 +436,9 @@ def count_codes(spark, sf_dir):
 @register
 def doc_parameter_matrix(spark, sf_dir):
     """Documents x parameters with metadata and corpus size; NULL counts for documents without codes."""
-    counts = codes.count_codes(_melted(spark, sf_dir))
-    sizes = review_table(spark, sf_dir).select("policy_title", "corpus_size").distinct()
-    return codes.doc_parameter_matrix(counts, _metadata(spark, sf_dir), bench_parameters(spark, sf_dir), corpus_sizes=sizes)
+    melted = codes.melt_codes(review_table(spark, sf_dir), bench_framework(spark, sf_dir), keep=["corpus_size"])
+    counts = codes.count_codes(melted, carry=["corpus_size"])
+    return codes.doc_parameter_matrix(counts, _metadata(spark, sf_dir), bench_parameters(spark, sf_dir))
 
 
 @register
@@ -550,3 +550,14 @@ def distribution_by_dim(spark, sf_dir):
     """Parameter counts per language and per source, normalised to row percentages."""
     counts = codes.counts_long(codes.count_codes(_melted(spark, sf_dir)), _metadata(spark, sf_dir))
     return cov.distribution_by(counts, _metadata(spark, sf_dir), DIMENSIONS, bench_parameters(spark, sf_dir))
+
+
+@register
+def adherence_with_metadata(spark, sf_dir):
+    """Every document's metadata left-joined to its adherence flags (NULL where a document has no vectors)."""
+    fw = F.broadcast(vector_framework(spark, sf_dir))
+    long = _dense_adherence(spark, sf_dir).join(fw, "query_id").select("doc", "parameter", F.col("adheres").cast("long").alias("adheres"))
+    wide = search.pivot_matrix(long, "doc", "parameter", "adheres", sorted(parameter_names()), fill=0, strict=True)
+    meta = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("title"), *DIMENSIONS)
+    wide = wide.withColumn("doc", F.col("doc").cast("long"))
+    return meta.join(wide, meta["title"] == wide["doc"], "left").drop("doc")

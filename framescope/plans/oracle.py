@@ -460,3 +460,9 @@ wide AS (SELECT policy_title, {cols} FROM counts GROUP BY policy_title),
 sizes AS (SELECT DISTINCT policy_title, corpus_size FROM review)
 SELECT m.title, m.lang, m.source, z.corpus_size, {', '.join('w.' + p for p in parameters)}
 FROM meta m LEFT JOIN sizes z ON z.policy_title = m.title LEFT JOIN wide w ON w.policy_title = m.title"""
+
+ORACLE["adherence_with_metadata"] = f"""WITH {SV}, {QV}, {FW}, {SCORES}, {MATCHES}, {DOCS}, {_adh(str(T))},
+long AS (SELECT a.doc, f.parameter, a.adheres::BIGINT AS adheres FROM adh a JOIN fw f ON f.query_id = a.query_id),
+wide AS (SELECT doc, {_pivot('adheres', sorted(parameter_names()), '0')} FROM long GROUP BY doc)
+SELECT m.doc_id AS title, m.lang, m.source, {', '.join('w.' + p for p in sorted(parameter_names()))}
+FROM documents m LEFT JOIN wide w ON w.doc = m.doc_id"""

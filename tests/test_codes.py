@@ -119,3 +119,11 @@ def test_documents_by_drops_null_values(spark):
     rows = {(r.column, r.value): r.n for r in cov.documents_by(metadata_df(spark), ["org_type", "geography"]).collect()}
     assert rows == {("org_type", "union"): 1, ("org_type", "company"): 1, ("org_type", "nonprofit"): 1,
                     ("geography", "Global"): 1, ("geography", "US"): 1, ("geography", "EU"): 2}
+
+
+def test_coverage_over_time_drops_bad_dates(spark, melted):
+    counts = codes.count_codes(melted)
+    meta = metadata_df(spark)
+    rows = cov.coverage_over_time(cov.coverage_by_doc(counts, meta, 5), meta).collect()
+    # 'January 2026' and the NULL date are dropped
+    assert sorted((r.title, str(r.date)) for r in rows) == [("Harbor Charter", "2024-03-14"), ("Quiet Note", "2023-11-02")]
