@@ -79,7 +79,7 @@ def _partial_topk(docs: np.ndarray, sidx: np.ndarray, scores: np.ndarray, k: int
     return rows[sel], cols[sel]
 
 
-def _scorer(bc, doc: str, sentence_index: str, vector: str, k: int | None):
+def _scorer(bc, doc: str, sentence_index: str, vector: str, k: int | None, carry=()):
     def run(batches):
         ids, qmat = bc.value
         step = max(1, _MAX_CELLS // max(1, len(ids)))
@@ -93,14 +93,10 @@ def _scorer(bc, doc: str, sentence_index: str, vector: str, k: int | None):
                 d = part[doc].to_numpy()
                 s = part[sentence_index].to_numpy()
                 r, c = _partial_topk(d, s, scores, k)
-                yield pd.DataFrame(
-                    {
-                        doc: d[r],
-                        "query_id": ids[c],
-                        "score": scores[r, c],
-                        sentence_index: s[r],
-                    }
-                )
+                out = {doc: d[r], "query_id": ids[c], "score": scores[r, c], sentence_index: s[r]}
+                for col in carry:
+                    out[col] = part[col].to_numpy()[r]
+                yield pd.DataFrame(out)
 
     return run
 
@@ -116,16 +112,18 @@ def score_dense(
     query_id: str = "query_id",
     query_vector: str = "embedding",
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+    carry=(),
 ) -> DataFrame:
     """Cosine scores of sentences against queries.
 
     With ``k`` set: partial top-k per (doc, query) (call :func:`topk_dense`
     for the final ranking). With ``k=None``: every (row, query) score -- use
     only when the result itself is that matrix (e.g. documents x parameters).
-    Output: (doc, query_id, score, sentence_index).
+    Output: (doc, query_id, score, sentence_index, *carry); ``carry`` columns
+    (e.g. the sentence text) ride along with the rows that survive.
     """
     spark = sentences.sparkSession
-    src = sentences.select(doc, sentence_index, vector).where(F.col(vector).isNotNull())
+    src = sentences.select(doc, sentence_index, vector, *carry).where(F.col(vector).isNotNull())
     fields = {f.name: f.dataType for f in src.schema.fields}
     qtype = queries.schema[query_id].dataType
     schema = T.StructType(
@@ -134,12 +132,13 @@ def score_dense(
             T.StructField("query_id", qtype),
             T.StructField("score", T.DoubleType()),
             T.StructField(sentence_index, fields[sentence_index]),
+            *[T.StructField(c, fields[c]) for c in carry],
         ]
     )
     out = None
     for ids, mat in _query_blocks(queries, query_id, query_vector, max_broadcast_queries):
         bc = spark.sparkContext.broadcast((ids, mat))
-        part = src.mapInPandas(_scorer(bc, doc, sentence_index, vector, k), schema)
+        part = src.mapInPandas(_scorer(bc, doc, sentence_index, vector, k, tuple(carry)), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], schema)
@@ -185,3 +184,33 @@ def mean_vectors(rows: DataFrame, *, key: str = "doc", vector: str = "embedding"
     return avg.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias(vector)
     )
+
+
+def topk_text(
+    docs: DataFrame,
+    queries: DataFrame,
+    make_encoder,
+    k: int = 5,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    query_id: str = "query_id",
+    query_text: str = "text",
+    batch_size: int = 64,
+) -> DataFrame:
+    """The reference's extraction end to end (E1): split documents into sentences, encode sentences
+    and queries with the user's batch encoder, and keep the top-k sentences per (document, query).
+
+    Output: (key, query_id, rank, score, sentence_index, sentence). Queries are
+    encoded once (not once per document); the sentence text rides through the
+    scorer with the partial top-k rows, so no join back to the sentences is needed.
+    """
+    from ..sources.sinks import encode_with
+    from .terms import sentences as split_sentences
+
+    sents = split_sentences(docs, key=key, text=text)
+    sv = encode_with(sents, "sentence", make_encoder, batch_size=batch_size)
+    qv = encode_with(queries.select(query_id, query_text), query_text, make_encoder, batch_size=batch_size)
+    partial = score_dense(sv, qv, k, doc=key, query_id=query_id, carry=("sentence",))
+    top = rank_topk(partial, k, doc=key)
+    return top.select(key, "query_id", "rank", "score", "sentence_index", "sentence")

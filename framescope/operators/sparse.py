@@ -214,19 +214,46 @@ def compare_strategies(
     sum / k_used, and the document's mean over queries is
     score_micro / (k_used * n_queries). Zero-score rows add nothing to a sum,
     so only pairs sharing a term are ranked -- no zero fill is needed.
+
+    The two phrasings share their terms, so the query side carries both term
+    counts on one row per (query, term): one join and one aggregation give
+    both dot products of every (sentence, query) pair.
     ``keywords``: (query_id, keywords array); derived with :func:`rarest_terms` when omitted.
     """
     if keywords is None:
         keywords = rarest_terms(docs, queries, key=key, text=text, query_keys=[query_id], query_text=query_text, stopwords=stopwords)
-    defs = queries.select(query_id, F.lit("definition").alias("strategy"), F.col(query_text).alias("qtext"))
+    defs = queries.select(query_id, F.col(query_text).alias("qtext"))
     kw = queries.join(keywords, query_id, "left").select(
-        query_id, F.lit("keywords").alias("strategy"), keyword_query(F.col(query_text), F.col("keywords")).alias("qtext")
+        query_id, keyword_query(F.col(query_text), F.col("keywords")).alias("qtext")
+    )
+    qd = query_terms(defs, [query_id], "qtext", stopwords).select(query_id, "term", F.col("qtf").alias("qtf_d"), F.col("qnorm").alias("qn_d"))
+    qk = query_terms(kw, [query_id], "qtext", stopwords).select(query_id, "term", F.col("qtf").alias("qtf_k"), F.col("qnorm").alias("qn_k"))
+    both = qd.join(qk, [query_id, "term"], "full").select(
+        query_id, "term", F.coalesce("qtf_d", F.lit(0)).alias("qtf_d"), F.coalesce("qtf_k", F.lit(0)).alias("qtf_k")
     )
-    qkeys = [query_id, "strategy"]
+    norms = qd.select(query_id, "qn_d").distinct().join(qk.select(query_id, "qn_k").distinct(), query_id, "full")
+    side = checked_broadcast(both.join(norms, query_id, "left"), MAX_BROADCAST_QUERY_TERMS, "query terms").df
     n_queries = len(_query_key_rows(queries, [query_id]))
+
     sents = document_sentences(docs, key, text)
-    qterms = query_terms(defs.unionByName(kw), qkeys, "qtext", stopwords)
-    top = _rank(sparse_scores(sents, qterms, qkeys, key=key, stopwords=stopwords), k, key, qkeys)
+    tf = term_counts(sents, [key, "sentence_index"], "sentence", stopwords)
+    tf = tf.withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key, "sentence_index"))))
+    dots = tf.join(side, "term").groupBy(key, "sentence_index", query_id).agg(
+        F.sum(F.col("tf") * F.col("qtf_d")).alias("dot_d"), F.sum(F.col("tf") * F.col("qtf_k")).alias("dot_k"),
+        F.max("norm").alias("norm"), F.max("qn_d").alias("qn_d"), F.max("qn_k").alias("qn_k"),
+    )
+
+    def score(dot, qn):
+        return F.round(F.col(dot) / (F.col("norm") * F.col(qn)), ROUND_DIGITS) + F.lit(0.0)
+
+    pairs = dots.select(
+        key, "sentence_index", query_id,
+        F.explode(F.array(
+            F.struct(F.lit("definition").alias("strategy"), score("dot_d", "qn_d").alias("score")),
+            F.struct(F.lit("keywords").alias("strategy"), score("dot_k", "qn_k").alias("score")),
+        )).alias("p"),
+    ).select(key, "sentence_index", query_id, "p.strategy", "p.score").where(F.col("score") > 0)
+    top = _rank(pairs, k, key, [query_id, "strategy"])
     micro = F.round(F.col("score") * F.lit(1e6)).cast("long")
     sums = top.groupBy(key, "strategy").agg(F.sum(micro).alias("score_micro"))
     sizes = sents.groupBy(key).agg(F.least(F.count("*"), F.lit(k)).cast("long").alias("k_used"))

@@ -53,6 +53,12 @@ def with_word_count(docs: DataFrame, *, text: str = "text", out: str = "word_cou
     return docs.withColumn(out, word_count(F.col(text)))
 
 
+def _dedupe_lemmas(lemmas: DataFrame) -> DataFrame:
+    """One (pos, lemma) per surface form, chosen deterministically (smallest lemma, then tag)."""
+    best = F.min(F.struct("lemma", "pos"))
+    return lemmas.groupBy("surface").agg(best.alias("b")).select("surface", F.col("b.pos").alias("pos"), F.col("b.lemma").alias("lemma"))
+
+
 def _lemma_map(lemmas: DataFrame | None):
     """(map surface->lemma, map surface->pos) literals for a small lemma table, else None."""
     if lemmas is None:
@@ -60,7 +66,7 @@ def _lemma_map(lemmas: DataFrame | None):
     n = lemmas.limit(MAX_INLINE_LEMMAS + 1).count()
     if n > MAX_INLINE_LEMMAS:
         return None
-    rows = lemmas.select("surface", "pos", "lemma").dropDuplicates(["surface"]).collect()
+    rows = _dedupe_lemmas(lemmas).collect()
     keys = F.array(*[F.lit(r["surface"]) for r in rows]) if rows else F.array().cast("array<string>")
     lem = F.map_from_arrays(keys, F.array(*[F.lit(r["lemma"]) for r in rows]) if rows else F.array().cast("array<string>"))
     pos = F.map_from_arrays(keys, F.array(*[F.lit(r["pos"]) for r in rows]) if rows else F.array().cast("array<string>"))
@@ -97,7 +103,7 @@ def _apply_lemmas(tokens: DataFrame, lemmas: DataFrame | None) -> DataFrame:
     """Adds ``term`` (lemma or surface) and ``tag`` (NULL when unknown) by a checked broadcast join."""
     if lemmas is None:
         return tokens.withColumn("term", F.col("surface")).withColumn("tag", F.lit(None).cast("string"))
-    table = lemmas.select("surface", F.col("pos").alias("tag"), F.col("lemma")).dropDuplicates(["surface"])
+    table = _dedupe_lemmas(lemmas).select("surface", F.col("pos").alias("tag"), "lemma")
     side = checked_broadcast(table, MAX_BROADCAST_LOOKUP, "lemma table").df
     return tokens.join(side, "surface", "left").withColumn("term", F.coalesce(F.col("lemma"), F.col("surface")))
 

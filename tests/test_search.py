@@ -147,3 +147,19 @@ def test_mean_vectors(spark):
     rows = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0]), ("b", [2.0, 2.0])], "doc string, embedding array<float>")
     got = {r.doc: r.embedding for r in dense.mean_vectors(rows, key="doc").collect()}
     assert got == {"a": [2.0, 4.0], "b": [2.0, 2.0]}
+
+
+def test_topk_text_with_user_encoder(spark):
+    # a toy encoder: letter counts of a, e, i, o, u -- enough to make the flow observable
+    def make_encoder():
+        def enc(texts):
+            return np.array([[t.lower().count(c) for c in "aeiou"] for t in texts], dtype=np.float32)
+
+        return enc
+
+    docs = spark.createDataFrame([(1, "Aaa aa. Eee ee. Mixed ae."), (2, "Only one sentence here.")], "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "aaaa"), (1, "eeee")], "query_id long, text string")
+    rows = dense.topk_text(docs, queries, make_encoder, 2).orderBy("doc_id", "query_id", "rank").collect()
+    got = [(r.doc_id, r.query_id, r.rank, r.sentence) for r in rows]
+    assert got[:4] == [(1, 0, 1, "Aaa aa."), (1, 0, 2, "Mixed ae."), (1, 1, 1, "Eee ee."), (1, 1, 2, "Mixed ae.")]
+    assert [(r.doc_id, r.rank) for r in rows[4:]] == [(2, 1), (2, 1)]  # one sentence -> one row per query (G9)
