@@ -172,6 +172,15 @@ def topk_dense(
     )
 
 
+def best_dense(sentences: DataFrame, queries: DataFrame, **kw) -> DataFrame:
+    """Best score per (doc, query) per Arrow batch: (doc, query_id, score, sentence_index).
+
+    Enough for adherence (any(top-k >= t) is max >= t): no sort or window,
+    the final max is a partial aggregation downstream.
+    """
+    return score_dense(sentences, queries, 1, **kw)
+
+
 def mean_vectors(rows: DataFrame, *, key: str = "doc", vector: str = "embedding") -> DataFrame:
     """Element-wise mean vector per key: (key, embedding).
 

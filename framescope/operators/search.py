@@ -63,15 +63,25 @@ def adherence_long(
 ) -> DataFrame:
     """Dense (doc, query_id, adheres) grid: 1 when a top-k score is >= threshold (inclusive).
 
-    A document with no matches for a query (or no sentences at all) gets 0.
+    ``matches`` may be the top-k rows or any superset/subset that keeps each
+    (doc, query)'s best score -- e.g. ``dense.best_dense`` -- since
+    any(top-k >= t) is max >= t. A document with no matches for a query (or
+    no sentences at all) gets 0; documents outside ``docs`` are left out.
     ``threshold='mean'`` derives it from the matches (G12).
     """
     t = _threshold(matches, threshold, doc)
     ids = query_ids(queries, query_id)
-    grid = parameter_grid(docs, ids, doc=doc)
-    best = best_scores(matches, doc=doc)
+    qtype = matches.schema["query_id"].dataType
+    grid = parameter_grid(docs, ids, doc=doc).select(
+        doc, F.col("query_id").cast(qtype).alias("query_id"), F.lit(None).cast("double").alias("score"), F.lit(1).alias("in_grid")
+    )
+    scored = matches.select(doc, "query_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("in_grid"))
+    # grid and scores meet in one aggregation (partial max on the map side) instead of a join
+    best = grid.unionByName(scored).groupBy(doc, "query_id").agg(
+        F.max("score").alias("best_score"), F.max("in_grid").alias("in_grid")
+    )
     flag = F.coalesce((F.col("best_score") >= F.lit(t)).cast("int"), F.lit(0))
-    return grid.join(best, [doc, "query_id"], "left").select(doc, "query_id", flag.alias("adheres"))
+    return best.where(F.col("in_grid") == 1).select(doc, "query_id", flag.alias("adheres"))
 
 
 def coverage(adherence: DataFrame, *, doc: str = "doc") -> DataFrame:

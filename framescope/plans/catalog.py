@@ -39,8 +39,8 @@ def _vector_docs(spark, sf_dir):
 
 
 def _dense_adherence(spark, sf_dir, threshold=THRESHOLD):
-    matches = _dense_matches(spark, sf_dir)
-    return search.adherence_long(matches, _vector_docs(spark, sf_dir), query_vectors(spark, sf_dir), threshold)
+    best = dense.best_dense(sentence_vectors(spark, sf_dir), query_vectors(spark, sf_dir))
+    return search.adherence_long(best, _vector_docs(spark, sf_dir), query_vectors(spark, sf_dir), threshold)
 
 
 @register
@@ -561,3 +561,25 @@ def adherence_with_metadata(spark, sf_dir):
     meta = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("title"), *DIMENSIONS)
     wide = wide.withColumn("doc", F.col("doc").cast("long"))
     return meta.join(wide, meta["title"] == wide["doc"], "left").drop("doc")
+
+
+def _word_counts(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select(word_count(F.col("text")).alias("word_count"))
+
+
+@register
+def word_count_histogram(spark, sf_dir):
+    """30 equal-width bins of document word counts."""
+    return stats.histogram(_word_counts(spark, sf_dir), "word_count", 30)
+
+
+@register
+def word_count_boxplot(spark, sf_dir):
+    """Box-plot summary of document word counts."""
+    return stats.boxplot(_word_counts(spark, sf_dir), "word_count")
+
+
+@register
+def word_count_kde(spark, sf_dir):
+    """Gaussian KDE of document word counts on 200 points (Scott bandwidth)."""
+    return stats.kde(_word_counts(spark, sf_dir), "word_count", 200, 0.0, 30)

@@ -466,3 +466,8 @@ long AS (SELECT a.doc, f.parameter, a.adheres::BIGINT AS adheres FROM adh a JOIN
 wide AS (SELECT doc, {_pivot('adheres', sorted(parameter_names()), '0')} FROM long GROUP BY doc)
 SELECT m.doc_id AS title, m.lang, m.source, {', '.join('w.' + p for p in sorted(parameter_names()))}
 FROM documents m LEFT JOIN wide w ON w.doc = m.doc_id"""
+
+_WC = f"wc AS (SELECT {word_count_sql('text')}::DOUBLE AS word_count FROM documents)"
+ORACLE["word_count_histogram"] = f"WITH {_WC}, {histogram_sql('wc', 'word_count', 30)}"
+ORACLE["word_count_boxplot"] = f"WITH {_WC}, {boxplot_sql('wc', 'word_count')}"
+ORACLE["word_count_kde"] = f"WITH {_WC}, {kde_sql('wc', 'word_count', 200, 30)}"
