@@ -82,13 +82,14 @@ def _rank(scored: DataFrame, k: int, key: str, qkeys: list[str]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def attach_sentences(rows: DataFrame, sents: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """Adds the sentence text to (key, sentence_index, ...) rows.
+def attach_sentences(rows: DataFrame, sents: DataFrame, *, key: str = "doc_id", corpus_size: bool = False) -> DataFrame:
+    """Adds the sentence text (and optionally the document's sentence count) to (key, sentence_index, ...) rows.
 
     Both inputs are clustered by the document key, so instead of a join
     (which at scale re-shuffles every sentence by (key, sentence_index)) the
     rows and the sentences are unioned and the text is spread with a window
-    over (key, sentence_index): a local sort, no exchange.
+    over (key, sentence_index): a local sort, no exchange. The sentence count
+    is a second window over the key on the same sorted rows.
     """
     cols = [c for c in rows.columns if c not in (key, "sentence_index")]
     left = rows.select(key, "sentence_index", *cols, F.lit(None).cast("string").alias("sentence"), F.lit(True).alias("_row"))
@@ -96,8 +97,9 @@ def attach_sentences(rows: DataFrame, sents: DataFrame, *, key: str = "doc_id")
         key, "sentence_index", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in cols], "sentence",
         F.lit(False).alias("_row"),
     )
-    w = Window.partitionBy(key, "sentence_index")
-    both = left.unionByName(right).withColumn("sentence", F.max("sentence").over(w))
+    both = left.unionByName(right).withColumn("sentence", F.max("sentence").over(Window.partitionBy(key, "sentence_index")))
+    if corpus_size:
+        both = both.withColumn("corpus_size", F.count_if(~F.col("_row")).over(Window.partitionBy(key)).cast("long"))
     return both.where(F.col("_row")).drop("_row")
 
 
@@ -148,10 +150,11 @@ def topk_sparse(
     partitions: int | None = None,
     with_sentence: bool = False,
     min_score: float | None = None,
+    with_corpus_size: bool = False,
 ) -> DataFrame:
     """Top-k sentences per (document, query) by term-count cosine.
 
-    Output: (key, qkeys..., rank, score, sentence_index[, sentence]).
+    Output: (key, qkeys..., rank, score, sentence_index[, sentence][, corpus_size]).
 
     ``min_score`` > 0 returns only the top-k rows scoring at least that much
     (the review candidates). It is exact: every row ranked above a row that
@@ -168,8 +171,10 @@ def topk_sparse(
     else:
         top = _rank(scored, k, key, qkeys)
         out = _complete_topk(sents, top, _query_key_rows(queries, qkeys), k, key, qkeys)
-    if with_sentence:
-        out = attach_sentences(out, sents, key=key)
+    if with_sentence or with_corpus_size:
+        out = attach_sentences(out, sents, key=key, corpus_size=with_corpus_size)
+        if not with_sentence:
+            out = out.drop("sentence")
     return out
 
 

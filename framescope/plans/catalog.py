@@ -289,9 +289,12 @@ def _sparse_matches(spark, sf_dir, with_sentence=False, min_score=None):
     )
 
 
-def _sparse_candidates(spark, sf_dir):
+def _sparse_candidates(spark, sf_dir, with_corpus_size=False):
     """Top-5 term-count matches at or above the threshold, with sentence text."""
-    return _sparse_matches(spark, sf_dir, with_sentence=True, min_score=SPARSE_THRESHOLD)
+    return sparse.topk_sparse(
+        load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), TOP_K, with_sentence=True,
+        min_score=SPARSE_THRESHOLD, with_corpus_size=with_corpus_size,
+    )
 
 
 @register
@@ -389,13 +392,14 @@ def review_table(spark, sf_dir):
     One row per (document, sentence) at or above the threshold; the codes are
     item definitions, primary = best score, alternates 1-4 next (ties by item).
     """
-    m = _sparse_candidates(spark, sf_dir)
+    m = _sparse_candidates(spark, sf_dir, with_corpus_size=True)
     defs = F.broadcast(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("definition")))
     w = Window.partitionBy("doc_id", "sentence_index").orderBy(F.desc("score"), F.asc("query_id"))
     coded = m.join(defs, "query_id").withColumn("code_rank", F.row_number().over(w)).where(F.col("code_rank") <= 5)
-    wide = coded.groupBy("doc_id", "sentence_index", "sentence").pivot("code_rank", [1, 2, 3, 4, 5]).agg(F.first("definition"))
-    sizes = terms.corpus_size(load(spark, sf_dir, "documents"))
-    return wide.join(sizes, "doc_id").select(
+    wide = coded.groupBy("doc_id", "sentence_index", "sentence", "corpus_size").pivot("code_rank", [1, 2, 3, 4, 5]).agg(
+        F.first("definition")
+    )
+    return wide.select(
         F.col("doc_id").alias("policy_title"), "sentence_index", "sentence", "corpus_size",
         *[F.col(str(i + 1)).alias(c) for i, c in enumerate(codes.CODE_COLUMNS)],
     )
