@@ -40,18 +40,17 @@ def _query_blocks(queries: DataFrame, query_id: str, query_vector: str, limit: i
     pending = [(q, 0)]
     while pending:
         part, salt = pending.pop()
-        n = part.count()
-        if n == 0:
+        rows = part.limit(limit + 1).collect()  # size check and fetch in one job
+        if not rows:
             continue
-        if n > limit:
+        if len(rows) > limit:
             # split into hash blocks (a fresh salt each level); every query lands in exactly one block
             if salt > 8:
                 raise ValueError("query side cannot be split under the broadcast limit (duplicate ids?)")
-            m = 2 * -(-n // limit)
+            m = 2 * -(-part.count() // limit)
             blk = F.pmod(F.xxhash64(F.col(query_id), F.lit(salt)), F.lit(m))
             pending.extend((part.where(blk == b), salt + 1) for b in range(m))
             continue
-        rows = part.collect()
         ids = np.array([r[0] for r in rows])
         mat = l2_normalise(stack([r[1] for r in rows]))
         yield ids, mat

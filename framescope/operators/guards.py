@@ -45,6 +45,14 @@ def checked_broadcast(df: DataFrame, max_rows: int, what: str = "side") -> Check
     return Checked(df, n, False)
 
 
+def collect_small(df: DataFrame, max_rows: int, what: str) -> list:
+    """Rows of a side that must be small (it is brought to the driver), checked and fetched in one job."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise TooLargeToBroadcast(f"{what}: more than {max_rows} rows; use the block path")
+    return rows
+
+
 def require_small(df: DataFrame, max_rows: int, what: str) -> int:
     """Row count of a side that must be small (it is collected); raise otherwise."""
     n = df.limit(max_rows + 1).count()

@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .guards import MAX_BROADCAST_QUERIES, require_small
+from .guards import MAX_BROADCAST_QUERIES, collect_small
 
 
 def query_ids(queries: DataFrame, query_id: str = "query_id") -> list:
     """The framework's query ids, sorted (the framework is small and size-checked)."""
     q = queries.select(query_id).distinct()
-    require_small(q, MAX_BROADCAST_QUERIES, "framework")
-    return sorted(r[0] for r in q.collect())
+    return sorted(r[0] for r in collect_small(q, MAX_BROADCAST_QUERIES, "framework"))
 
 
 def mean_topk_threshold(matches: DataFrame, *, doc: str = "doc") -> float:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.text import letter_tokens, sentence_array
 from ..functions.vectors import ROUND_DIGITS
 from ..functions.wordlists import ENGLISH_STOPWORDS
-from .guards import MAX_BROADCAST_QUERIES, MAX_BROADCAST_QUERY_TERMS, checked_broadcast, key_partitions, require_small, spread
+from .guards import MAX_BROADCAST_QUERIES, MAX_BROADCAST_QUERY_TERMS, checked_broadcast, collect_small, key_partitions, spread
 
 
 def _not_stop(term: Column, stopwords) -> Column:
@@ -72,9 +72,7 @@ def sparse_scores(sents: DataFrame, qterms: DataFrame, qkeys: list[str], *, key:
 
 
 def _query_key_rows(queries: DataFrame, qkeys: list[str]) -> list:
-    q = queries.select(*qkeys).distinct()
-    require_small(q, MAX_BROADCAST_QUERIES, "framework")
-    return q.collect()
+    return collect_small(queries.select(*qkeys).distinct(), MAX_BROADCAST_QUERIES, "framework")
 
 
 def _rank(scored: DataFrame, k: int, key: str, qkeys: list[str]) -> DataFrame:

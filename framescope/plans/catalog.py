@@ -587,3 +587,13 @@ def word_count_boxplot(spark, sf_dir):
 def word_count_kde(spark, sf_dir):
     """Gaussian KDE of document word counts on 200 points (Scott bandwidth)."""
     return stats.kde(_word_counts(spark, sf_dir), "word_count", 200, 0.0, 30)
+
+
+@register
+def label_code_matrix(spark, sf_dir):
+    """Reviewed labels as codes: quality/toxic flags melted to codes (value 1 kept), counted per document
+    and pivoted next to every document's metadata; unlabelled documents keep NULL counts (G3)."""
+    labels = load(spark, sf_dir, "labels")
+    long = labels.unpivot(["doc_id"], ["quality", "toxic"], "parameter", "flag").where(F.col("flag") == 1)
+    counts = long.groupBy(F.col("doc_id").alias("policy_title"), "parameter").agg(F.count("*").cast("long").alias("count"))
+    return codes.doc_parameter_matrix(counts, _metadata(spark, sf_dir), ["quality", "toxic"])

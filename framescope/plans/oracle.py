@@ -471,3 +471,9 @@ _WC = f"wc AS (SELECT {word_count_sql('text')}::DOUBLE AS word_count FROM docume
 ORACLE["word_count_histogram"] = f"WITH {_WC}, {histogram_sql('wc', 'word_count', 30)}"
 ORACLE["word_count_boxplot"] = f"WITH {_WC}, {boxplot_sql('wc', 'word_count')}"
 ORACLE["word_count_kde"] = f"WITH {_WC}, {kde_sql('wc', 'word_count', 200, 30)}"
+
+ORACLE["label_code_matrix"] = """WITH long AS (SELECT doc_id, parameter FROM labels UNPIVOT (flag FOR parameter IN (quality, toxic)) WHERE flag = 1),
+counts AS (SELECT doc_id, parameter, count(*)::BIGINT AS count FROM long GROUP BY doc_id, parameter),
+wide AS (SELECT doc_id, coalesce(sum(CASE WHEN parameter = 'quality' THEN count END), 0)::BIGINT AS quality,
+                coalesce(sum(CASE WHEN parameter = 'toxic' THEN count END), 0)::BIGINT AS toxic FROM counts GROUP BY doc_id)
+SELECT d.doc_id AS title, d.lang, d.source, w.quality, w.toxic FROM documents d LEFT JOIN wide w ON w.doc_id = d.doc_id"""
