@@ -70,11 +70,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Spark sorts before a round-robin repartition, so a retried task
     reproduces the same assignment.
     """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # noqa: BLE001 -- no RDD view (e.g. Spark Connect): leave the input as it is
+        return df
+    return df.repartition(target) if n < target else df
 
 
 def key_partitions(df: DataFrame, partitions: int | None = None) -> int:

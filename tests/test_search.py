@@ -163,3 +163,15 @@ def test_topk_text_with_user_encoder(spark):
     got = [(r.doc_id, r.query_id, r.rank, r.sentence) for r in rows]
     assert got[:4] == [(1, 0, 1, "Aaa aa."), (1, 0, 2, "Mixed ae."), (1, 1, 1, "Eee ee."), (1, 1, 2, "Mixed ae.")]
     assert [(r.doc_id, r.rank) for r in rows[4:]] == [(2, 1), (2, 1)]  # one sentence -> one row per query (G9)
+
+
+def test_sparse_topk_same_when_query_terms_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(1, "Fair wages now. Unrelated words here. Wages wages wages. Nothing."), (2, "Safety rules and fair pay.")],
+        "doc_id long, text string",
+    )
+    queries = spark.createDataFrame([(10, "fair wages"), (11, "safety rules pay")], "query_id long, text string")
+    a = sorted(tuple(r) for r in sparse.topk_sparse(docs, queries, 3, with_sentence=True).collect())
+    monkeypatch.setattr(sparse, "MAX_BROADCAST_QUERY_TERMS", 0)  # shuffle join on the term instead
+    b = sorted(tuple(r) for r in sparse.topk_sparse(docs, queries, 3, with_sentence=True).collect())
+    assert a == b and len(a) == 3 * 2 + 1 * 2  # doc 2 has one sentence (G9)
