@@ -597,3 +597,18 @@ def label_code_matrix(spark, sf_dir):
     long = labels.unpivot(["doc_id"], ["quality", "toxic"], "parameter", "flag").where(F.col("flag") == 1)
     counts = long.groupBy(F.col("doc_id").alias("policy_title"), "parameter").agg(F.count("*").cast("long").alias("count"))
     return codes.doc_parameter_matrix(counts, _metadata(spark, sf_dir), ["quality", "toxic"])
+
+
+@register
+def extraction_table(spark, sf_dir):
+    """The full extraction table: top-5 sentences per (document, item) with corpus size, names, query and sentence text."""
+    top = sparse.topk_sparse(
+        load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), TOP_K, with_sentence=True, with_corpus_size=True
+    )
+    fw = F.broadcast(bench_framework(spark, sf_dir).select(
+        F.col("pos").alias("query_id"), "parameter", "category", F.col("definition").alias("query")
+    ))
+    return top.join(fw, "query_id").select(
+        F.col("doc_id").alias("policy_title"), "corpus_size", "query_id", "parameter", "category", "query",
+        F.col("rank").alias("sentence_rank"), F.col("score").alias("sentence_score"), "sentence", "sentence_index",
+    )

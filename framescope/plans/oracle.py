@@ -477,3 +477,11 @@ counts AS (SELECT doc_id, parameter, count(*)::BIGINT AS count FROM long GROUP B
 wide AS (SELECT doc_id, coalesce(sum(CASE WHEN parameter = 'quality' THEN count END), 0)::BIGINT AS quality,
                 coalesce(sum(CASE WHEN parameter = 'toxic' THEN count END), 0)::BIGINT AS toxic FROM counts GROUP BY doc_id)
 SELECT d.doc_id AS title, d.lang, d.source, w.quality, w.toxic FROM documents d LEFT JOIN wide w ON w.doc_id = d.doc_id"""
+
+ORACLE["extraction_table"] = f"""WITH {sparse_topk_sql(_BENCH, ['query_id'])},
+csz AS (SELECT doc_id, count(*)::BIGINT AS corpus_size FROM sents GROUP BY doc_id)
+SELECT r.doc_id AS policy_title, c.corpus_size, r.query_id, printf('i%03d', r.query_id) AS parameter,
+       CASE WHEN r.query_id % 5 < 3 THEN 'c0' ELSE 'c1' END AS category, b.text AS query,
+       r.rank::BIGINT AS sentence_rank, r.score AS sentence_score, s.sentence, r.sentence_index
+FROM ranked r JOIN sents s ON s.doc_id = r.doc_id AND s.sentence_index = r.sentence_index
+JOIN csz c ON c.doc_id = r.doc_id JOIN benchmark b ON b.item_id = r.query_id"""
