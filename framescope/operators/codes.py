@@ -75,6 +75,23 @@ def rollup_frequency(freq: DataFrame, level: str = "subcategory") -> DataFrame:
     )
 
 
+def hierarchy_rollup(freq: DataFrame, levels=("category", "subcategory", "parameter")) -> DataFrame:
+    """Frequencies rolled up the framework hierarchy in one aggregation (``rollup``):
+    one row per node at every level plus the grand total; ``level`` names the
+    deepest grouped column ('total' for the grand total)."""
+    levels = list(levels)
+    agg = freq.rollup(*levels).agg(
+        F.sum("total_appearances").cast("long").alias("total_appearances"),
+        F.avg("num_docs").alias("num_docs"),
+        F.grouping_id(*levels).alias("_gid"),
+    )
+    depth = F.lit(len(levels)) - sum(
+        (F.col("_gid").bitwiseAND(F.lit(1 << (len(levels) - 1 - i))) > 0).cast("int") for i in range(len(levels))
+    )
+    label = F.element_at(F.array(F.lit("total"), *[F.lit(l) for l in levels]), depth + 1)
+    return agg.select(label.alias("level"), *levels, "total_appearances", "num_docs")
+
+
 def with_mentions_per_doc(freq: DataFrame) -> DataFrame:
     """Adds avg_mentions_per_doc = total / num_docs, NULL for 0/0."""
     return freq.withColumn("avg_mentions_per_doc", F.try_divide(F.col("total_appearances").cast("double"), F.col("num_docs")))

@@ -612,3 +612,11 @@ def extraction_table(spark, sf_dir):
         F.col("doc_id").alias("policy_title"), "corpus_size", "query_id", "parameter", "category", "query",
         F.col("rank").alias("sentence_rank"), F.col("score").alias("sentence_score"), "sentence", "sentence_index",
     )
+
+
+@register
+def hierarchy_rollup(spark, sf_dir):
+    """Appearances and mean documents per node of the category > subcategory > parameter hierarchy."""
+    r = codes.hierarchy_rollup(_frequency(spark, sf_dir))
+    return r.select("level", "category", "subcategory", "parameter", "total_appearances",
+                    (F.round("num_docs", 6) + F.lit(0.0)).alias("num_docs"))

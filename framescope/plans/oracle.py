@@ -485,3 +485,10 @@ SELECT r.doc_id AS policy_title, c.corpus_size, r.query_id, printf('i%03d', r.qu
        r.rank::BIGINT AS sentence_rank, r.score AS sentence_score, s.sentence, r.sentence_index
 FROM ranked r JOIN sents s ON s.doc_id = r.doc_id AND s.sentence_index = r.sentence_index
 JOIN csz c ON c.doc_id = r.doc_id JOIN benchmark b ON b.item_id = r.query_id"""
+
+ORACLE["hierarchy_rollup"] = f"""WITH {_REVIEW}
+SELECT CASE grouping(category, subcategory, parameter) WHEN 0 THEN 'parameter' WHEN 1 THEN 'subcategory'
+            WHEN 3 THEN 'category' ELSE 'total' END AS level,
+       category, subcategory, parameter, sum(total_appearances)::BIGINT AS total_appearances,
+       round(avg(num_docs), 6) + 0.0 AS num_docs
+FROM freq GROUP BY ROLLUP (category, subcategory, parameter)"""

@@ -127,3 +127,13 @@ def test_coverage_over_time_drops_bad_dates(spark, melted):
     rows = cov.coverage_over_time(cov.coverage_by_doc(counts, meta, 5), meta).collect()
     # 'January 2026' and the NULL date are dropped
     assert sorted((r.title, str(r.date)) for r in rows) == [("Harbor Charter", "2024-03-14"), ("Quiet Note", "2023-11-02")]
+
+
+def test_hierarchy_rollup_levels(spark, melted):
+    freq = codes.parameter_frequency(melted, framework_df(spark))
+    rows = {(r.level, r.category, r.subcategory, r.parameter): (r.total_appearances, r.num_docs)
+            for r in codes.hierarchy_rollup(freq).collect()}
+    assert rows[("total", None, None, None)] == (9, 1.4)
+    assert rows[("category", "Working conditions", None, None)] == (8, 2.0)
+    assert rows[("subcategory", "Contracts", "Voice", None)] == (1, 0.5)
+    assert rows[("parameter", "Working conditions", "Wages", "Pay floor")] == (4, 2.0)
