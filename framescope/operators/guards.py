@@ -53,14 +53,6 @@ def collect_small(df: DataFrame, max_rows: int, what: str) -> list:
     return rows
 
 
-def require_small(df: DataFrame, max_rows: int, what: str) -> int:
-    """Row count of a side that must be small (it is collected); raise otherwise."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise TooLargeToBroadcast(f"{what}: more than {max_rows} rows; use the block path")
-    return n
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when ``df`` has fewer partitions than the cluster has cores.
 

@@ -38,11 +38,6 @@ def _threshold(matches: DataFrame, threshold, doc: str) -> float:
     return float(threshold)
 
 
-def best_scores(matches: DataFrame, *, doc: str = "doc") -> DataFrame:
-    """Highest score per (doc, query_id); ``any(top-k >= t)`` is ``max >= t``."""
-    return matches.groupBy(doc, "query_id").agg(F.max("score").alias("best_score"))
-
-
 def parameter_grid(docs: DataFrame, ids: list, *, doc: str = "doc") -> DataFrame:
     """Every (document, query_id): each document row fans out to the framework's ids.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, letter_tokens, sentence_array, split_words, word_count
+from ..functions.text import clean_text, letter_tokens, sentence_array, split_words
 from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS
 from .guards import MAX_BROADCAST_LOOKUP, checked_broadcast, spread
 
@@ -49,10 +49,6 @@ def corpus_size(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, F.size(sentence_array(F.col(text))).cast("long").alias("corpus_size"))
 
 
-def with_word_count(docs: DataFrame, *, text: str = "text", out: str = "word_count") -> DataFrame:
-    return docs.withColumn(out, word_count(F.col(text)))
-
-
 def _dedupe_lemmas(lemmas: DataFrame) -> DataFrame:
     """One (pos, lemma) per surface form, chosen deterministically (smallest lemma, then tag)."""
     best = F.min(F.struct("lemma", "pos"))

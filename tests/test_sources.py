@@ -110,3 +110,23 @@ def test_encode_with_user_batch_encoder(spark):
     df = spark.createDataFrame([("aa",), ("bab",)], "s string")
     rows = sorted((r.s, r.embedding) for r in sinks.encode_with(df, "s", make_encoder, batch_size=1).collect())
     assert rows == [("aa", [2.0, 2.0]), ("bab", [3.0, 1.0])]
+
+
+def test_review_csv_and_preview(spark, tmp_dir, capsys):
+    from fixtures import REVIEW
+
+    p = os.path.join(tmp_dir, "review_results.csv")
+    with open(p, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(["policy_title", "sentence", "corpus_size", "primary_paramater", "alt_parameter_1",
+                    "alt_parameter_2", "alt_parameter_3", "alt_parameter_4"])
+        for r in REVIEW:
+            w.writerow(["" if v is None else v for v in r])
+    df = readers.read_review(spark, p)
+    rows = df.collect()
+    assert len(rows) == len(REVIEW)
+    assert {r.policy_title for r in rows} >= {"Harbor Charter ", "Ghost Policy"}  # trailing space kept (G15)
+    assert sum(r.alt_parameter_1 is None for r in rows) == 4
+    sinks.preview(df, 2)
+    out = capsys.readouterr().out
+    assert "policy_title" in out and "only showing top 2 rows" in out
