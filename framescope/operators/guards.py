@@ -70,9 +70,31 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if n < target else df
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (file sizes for a scan), or None when unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def key_partitions(df: DataFrame, partitions: int | None = None) -> int:
-    """Partition count for an explicit repartition by key: the session's shuffle setting, at least the core count."""
+    """Partition count for an explicit repartition by key.
+
+    At least the session's ``spark.sql.shuffle.partitions``, the core count,
+    and as many partitions as the input has splits of
+    ``spark.sql.files.maxPartitionBytes`` -- so a 100 TB input is not squeezed
+    into a default of 200 partitions.
+    """
     if partitions:
         return partitions
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = estimated_bytes(df)
+    try:
+        split_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    except Exception:  # noqa: BLE001
+        split_bytes = 128 * 1024 * 1024
+    if size:
+        n = max(n, -(-size // split_bytes))
+    return n

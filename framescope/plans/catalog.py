@@ -81,7 +81,7 @@ def adherence_matrix(spark, sf_dir):
         "doc", "parameter", F.col("adheres").cast("long").alias("adheres")
     )
     names = sorted(parameter_names())
-    return search.pivot_matrix(long, "doc", "parameter", "adheres", names, fill=0, strict=True)
+    return search.pivot_matrix(long, "doc", "parameter", "adheres", names, fill=0)
 
 
 @register
@@ -561,7 +561,7 @@ def adherence_with_metadata(spark, sf_dir):
     """Every document's metadata left-joined to its adherence flags (NULL where a document has no vectors)."""
     fw = F.broadcast(vector_framework(spark, sf_dir))
     long = _dense_adherence(spark, sf_dir).join(fw, "query_id").select("doc", "parameter", F.col("adheres").cast("long").alias("adheres"))
-    wide = search.pivot_matrix(long, "doc", "parameter", "adheres", sorted(parameter_names()), fill=0, strict=True)
+    wide = search.pivot_matrix(long, "doc", "parameter", "adheres", sorted(parameter_names()), fill=0)
     meta = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("title"), *DIMENSIONS)
     wide = wide.withColumn("doc", F.col("doc").cast("long"))
     return meta.join(wide, meta["title"] == wide["doc"], "left").drop("doc")
