@@ -95,6 +95,6 @@ def key_partitions(df: DataFrame, partitions: int | None = None) -> int:
         split_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     except Exception:  # noqa: BLE001
         split_bytes = 128 * 1024 * 1024
-    if size:
+    if size and size < (1 << 60):  # Spark reports about Long.MaxValue when it cannot estimate
         n = max(n, -(-size // split_bytes))
-    return n
+    return int(min(n, 1_000_000))
