@@ -130,3 +130,14 @@ def test_review_csv_and_preview(spark, tmp_dir, capsys):
     sinks.preview(df, 2)
     out = capsys.readouterr().out
     assert "policy_title" in out and "only showing top 2 rows" in out
+
+
+def test_text_folder_skips_undecodable_file(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "docs")
+    os.makedirs(d)
+    with open(os.path.join(d, "good.txt"), "w", encoding="utf-8") as f:
+        f.write("Fine text.")
+    with open(os.path.join(d, "bad.txt"), "wb") as f:
+        f.write(b"broken \xff\xfe bytes")
+    names = [r.filename for r in readers.read_text_folder(spark, d).collect()]
+    assert names == ["good.txt"]  # the reference skips a file it cannot decode
