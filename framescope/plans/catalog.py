@@ -620,3 +620,36 @@ def hierarchy_rollup(spark, sf_dir):
     r = codes.hierarchy_rollup(_frequency(spark, sf_dir))
     return r.select("level", "category", "subcategory", "parameter", "total_appearances",
                     (F.round("num_docs", 6) + F.lit(0.0)).alias("num_docs"))
+
+
+def _coded_sentences(spark, sf_dir, known_only=False):
+    """One row per code with its sentence, as the reference's melted table (a sentence with three codes appears three times)."""
+    m = _melted(spark, sf_dir).select("policy_title", "parameter", "sentence")
+    return m.where(F.col("parameter").isNotNull()) if known_only else m
+
+
+@register
+def coded_top_terms(spark, sf_dir):
+    """The 20 most frequent words over the coded sentences."""
+    return terms.top_terms(terms.word_counts(_coded_sentences(spark, sf_dir), text="sentence"), TOP_WORDS)
+
+
+@register
+def coded_terms_by_parameter(spark, sf_dir):
+    """The 20 most frequent words in the sentences coded with each parameter."""
+    counts = terms.word_counts(_coded_sentences(spark, sf_dir, True), text="sentence", by="parameter")
+    return terms.top_terms(counts, TOP_WORDS, by="parameter")
+
+
+@register
+def coded_top_phrases(spark, sf_dir):
+    """The 50 most frequent two-word phrases over the coded sentences."""
+    counts = terms.phrase_counts(_coded_sentences(spark, sf_dir), text="sentence", key="policy_title")
+    return terms.top_terms(counts, TOP_PHRASES, term="phrase")
+
+
+@register
+def coded_phrases_by_parameter(spark, sf_dir):
+    """The 20 most frequent two-word phrases in the sentences coded with each parameter."""
+    counts = terms.phrase_counts(_coded_sentences(spark, sf_dir, True), text="sentence", key="policy_title", by="parameter")
+    return terms.top_terms(counts, TOP_WORDS, by="parameter", term="phrase")

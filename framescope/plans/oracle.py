@@ -230,9 +230,9 @@ def top_sql(counts: str, n: int, by: str | None = None, term: str = "term") -> s
     )
 
 
-def phrases_sql(by: str | None = None) -> str:
+def phrases_sql(by: str | None = None, src: str = "documents") -> str:
     g = f"{by}, " if by else ""
-    sents = f"SELECT {g}unnest({sent_arr('text')}) AS sentence FROM documents"
+    sents = f"SELECT {g}unnest({sent_arr('text')}) AS sentence FROM {src}"
     toks = f"SELECT {g}{letters_sql('sentence')} AS toks FROM ({sents})"
     idx = f"SELECT {g}toks, unnest(range(1, len(toks))) AS i FROM ({toks})"
     pairs = f"SELECT {g}toks[i] AS a, toks[i + 1] AS b FROM ({idx})"
@@ -492,3 +492,12 @@ SELECT CASE grouping(category, subcategory, parameter) WHEN 0 THEN 'parameter' W
        category, subcategory, parameter, sum(total_appearances)::BIGINT AS total_appearances,
        round(avg(num_docs), 6) + 0.0 AS num_docs
 FROM freq GROUP BY ROLLUP (category, subcategory, parameter)"""
+
+_CODED = "mt AS (SELECT policy_title, parameter, sentence AS text FROM melted)"
+_CODED_K = "mk AS (SELECT policy_title, parameter, sentence AS text FROM melted WHERE parameter IS NOT NULL)"
+ORACLE["coded_top_terms"] = f"WITH {_REVIEW}, {_CODED} {top_sql(words_sql('mt'), 20)}"
+ORACLE["coded_terms_by_parameter"] = f"WITH {_REVIEW}, {_CODED_K} {top_sql(words_sql('mk', 'parameter'), 20, 'parameter')}"
+ORACLE["coded_top_phrases"] = f"WITH {_REVIEW}, {_CODED} {top_sql(phrases_sql(src='mt'), 50, term='phrase')}"
+ORACLE["coded_phrases_by_parameter"] = (
+    f"WITH {_REVIEW}, {_CODED_K} {top_sql(phrases_sql('parameter', src='mk'), 20, 'parameter', term='phrase')}"
+)
