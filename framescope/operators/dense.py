@@ -21,12 +21,16 @@ unioned -- every (sentence, query) pair is still scored exactly once.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import vectors as _vectors
+from ..functions.shipping import by_value
 from ..functions.vectors import l2_normalise, round_scores, stack
 from .guards import MAX_BROADCAST_QUERIES
 
@@ -222,3 +226,7 @@ def topk_text(
     partial = score_dense(sv, qv, k, doc=key, query_id=query_id, carry=("sentence",))
     top = rank_topk(partial, k, doc=key)
     return top.select(key, "query_id", "rank", "score", "sentence_index", "sentence")
+
+
+# the scorer's helpers travel with its closure to the Python workers
+by_value(sys.modules[__name__], _vectors)
