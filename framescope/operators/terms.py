@@ -165,7 +165,8 @@ def phrase_counts(
         phrases = sents.select(*keys, F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("phrase"))
     else:
         # large lemma table: exploded tokens, joined, paired with lead() per sentence
-        toks = sents.select(*keys, key, "sentence_index", F.posexplode(letter_tokens(F.col("sentence"))).alias("position", "surface"))
+        ids = list(dict.fromkeys([*keys, key, "sentence_index"]))
+        toks = sents.select(*ids, F.posexplode(letter_tokens(F.col("sentence"))).alias("position", "surface"))
         toks = _apply_lemmas(toks, lemmas)
         toks = toks.withColumn("kept", (F.length("surface") >= min_length) & _not_stop(F.col("term"), stopwords))
         w = Window.partitionBy(key, "sentence_index").orderBy("position")

@@ -106,3 +106,12 @@ def test_top_terms_ties_and_weights(spark):
 def test_file_slug_and_base_name(spark):
     assert one(spark, tx.file_slug, "Health & Safety Risks") == "health_and_safety_risks"
     assert one(spark, tx.base_name, "/a/b/c.txt") == "c.txt"
+
+
+def test_phrase_counts_grouped_by_the_document_key(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Fair wages matter."), (2, "Fair wages now. Fair pay.")], "doc_id long, text string")
+    lem = spark.createDataFrame([("wages", "NOUN", "wage")], "surface string, pos string, lemma string")
+    inline = sorted(tuple(r) for r in terms.phrase_counts(docs, by="doc_id", lemmas=lem).collect())
+    monkeypatch.setattr(terms, "MAX_INLINE_LEMMAS", 0)
+    joined = sorted(tuple(r) for r in terms.phrase_counts(docs, by="doc_id", lemmas=lem).collect())
+    assert inline == joined == [(1, "fair wage", 1), (1, "wage matter", 1), (2, "fair pay", 1), (2, "fair wage", 1)]
