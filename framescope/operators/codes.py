@@ -51,13 +51,22 @@ def count_codes(melted: DataFrame, *, doc: str = "policy_title", carry=()) -> Da
     )
 
 
-def parameter_frequency(melted: DataFrame, framework: DataFrame, *, doc: str = "policy_title") -> DataFrame:
+def parameter_frequency(
+    melted: DataFrame, framework: DataFrame, *, doc: str = "policy_title", approx_docs: float | None = None
+) -> DataFrame:
     """Overall frequency in framework order (CMP10): (pos, parameter, category, subcategory, definition,
-    total_appearances, num_docs); parameters never coded get 0 (PRJ6)."""
+    total_appearances, num_docs); parameters never coded get 0 (PRJ6).
+
+    ``num_docs`` is exact by default (the reference's ``nunique``); pass
+    ``approx_docs`` (a relative standard deviation, e.g. 0.01) to opt in to
+    HyperLogLog++ (``approx_count_distinct``), which needs no (parameter,
+    document) shuffle on very large corpora.
+    """
+    docs = F.countDistinct(doc) if approx_docs is None else F.approx_count_distinct(doc, approx_docs)
     agg = (
         melted.where(F.col("parameter").isNotNull())
         .groupBy("parameter")
-        .agg(F.count("*").cast("long").alias("total_appearances"), F.countDistinct(doc).cast("long").alias("num_docs"))
+        .agg(F.count("*").cast("long").alias("total_appearances"), docs.cast("long").alias("num_docs"))
     )
     fw = framework.select("pos", "parameter", "category", "subcategory", "definition")
     return fw.join(agg, "parameter", "left").select(

@@ -137,3 +137,9 @@ def test_hierarchy_rollup_levels(spark, melted):
     assert rows[("category", "Working conditions", None, None)] == (8, 2.0)
     assert rows[("subcategory", "Contracts", "Voice", None)] == (1, 0.5)
     assert rows[("parameter", "Working conditions", "Wages", "Pay floor")] == (4, 2.0)
+
+
+def test_approximate_document_counts_are_opt_in(spark, melted):
+    exact = {r.parameter: r.num_docs for r in codes.parameter_frequency(melted, framework_df(spark)).collect()}
+    approx = {r.parameter: r.num_docs for r in codes.parameter_frequency(melted, framework_df(spark), approx_docs=0.01).collect()}
+    assert approx == exact  # HyperLogLog++ is exact at these cardinalities
