@@ -1,6 +1,6 @@
 """Ship worker-side code by value.
 
-The vector scorer runs inside Python workers (``mapInPandas``). Its closure
+The vector scorer runs inside Python workers (``mapInArrow``). Its closure
 calls helpers defined at module level; cloudpickle would pickle those *by
 reference*, and a worker that cannot import this package (a cluster
 executor, or a driver that put the package on its own ``sys.path`` only)

@@ -4,8 +4,9 @@ Plan (no cross join, no all-pairs output):
 
 1. The query side (the framework) is size-checked and its L2-normalised
    matrix is broadcast once.
-2. ``mapInPandas`` scores each Arrow batch of sentence vectors with one
-   matrix product (numpy/BLAS) and keeps only a *partial* top-k per
+2. ``mapInArrow`` scores each Arrow batch of sentence vectors with one
+   matrix product (numpy/BLAS; the batch's list column is reshaped into a
+   matrix without a per-row loop) and keeps only a *partial* top-k per
    (document, query) inside the batch. A document whose sentences span many
    batches or partitions (a hot document) contributes at most k rows per
    batch, so what is shuffled is bounded by batches x k, never by the number
@@ -82,24 +83,42 @@ def _partial_topk(docs: np.ndarray, sidx: np.ndarray, scores: np.ndarray, k: int
     return rows[sel], cols[sel]
 
 
-def _scorer(bc, doc: str, sentence_index: str, vector: str, k: int | None, carry=()):
+def _matrix(col) -> np.ndarray:
+    """(n, d) float64 matrix from an Arrow list column of equal-length vectors, without a per-row loop."""
+    import pyarrow as pa
+
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    offsets = col.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    if n and not (lengths == lengths[0]).all():
+        raise ValueError("vectors of different lengths")
+    d = int(lengths[0]) if n else 0
+    values = col.flatten().to_numpy(zero_copy_only=False)
+    return values.astype(np.float64, copy=False).reshape(n, d)
+
+
+def _scorer(bc, doc: str, sentence_index: str, vector: str, k: int | None, carry, qtype):
     def run(batches):
+        import pyarrow as pa
+
         ids, qmat = bc.value
         step = max(1, _MAX_CELLS // max(1, len(ids)))
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo : lo + step]
-                if part.empty:
+        for rb in batches:
+            for lo in range(0, rb.num_rows, step):
+                part = rb.slice(lo, step)
+                if part.num_rows == 0:
                     continue
-                x = l2_normalise(stack(part[vector].to_numpy()))
+                x = l2_normalise(_matrix(part.column(vector)))
                 scores = round_scores(x @ qmat.T)
-                d = part[doc].to_numpy()
-                s = part[sentence_index].to_numpy()
+                d = part.column(doc).to_numpy(zero_copy_only=False)
+                s = part.column(sentence_index).to_numpy(zero_copy_only=False)
                 r, c = _partial_topk(d, s, scores, k)
-                out = {doc: d[r], "query_id": ids[c], "score": scores[r, c], sentence_index: s[r]}
-                for col in carry:
-                    out[col] = part[col].to_numpy()[r]
-                yield pd.DataFrame(out)
+                take = pa.array(r, type=pa.int64())
+                cols = [part.column(doc).take(take), pa.array(ids[c]).cast(qtype), pa.array(scores[r, c], type=pa.float64()),
+                        part.column(sentence_index).take(take), *[part.column(col).take(take) for col in carry]]
+                yield pa.RecordBatch.from_arrays(cols, names=[doc, "query_id", "score", sentence_index, *carry])
 
     return run
 
@@ -138,10 +157,13 @@ def score_dense(
             *[T.StructField(c, fields[c]) for c in carry],
         ]
     )
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    qarrow = to_arrow_type(qtype)
     out = None
     for ids, mat in _query_blocks(queries, query_id, query_vector, max_broadcast_queries):
         bc = spark.sparkContext.broadcast((ids, mat))
-        part = src.mapInPandas(_scorer(bc, doc, sentence_index, vector, k, tuple(carry)), schema)
+        part = src.mapInArrow(_scorer(bc, doc, sentence_index, vector, k, tuple(carry), qarrow), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], schema)
