@@ -8,6 +8,8 @@ reads it as "ungreedy"), and an explicit whitespace class instead of ``\\s``
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,10 +40,26 @@ def trim_ws(s: Column) -> Column:
     return F.regexp_replace(s, TRIM, "")
 
 
-def sentence_array(text: Column) -> Column:
-    """The document's sentences in order, as an array (empty for NULL text)."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1" + _MARK)
+_DOT = "\ue000"  # private-use stand-in for a period that does not end a sentence
+
+
+def sentence_array(text: Column, abbreviations=()) -> Column:
+    """The document's sentences in order, as an array (empty for NULL text).
+
+    ``abbreviations`` (e.g. ``["e.g.", "i.e.", "et al."]``, matched without
+    case on a word boundary) do not end a sentence: their periods are masked
+    before the split and restored after it.
+    """
+    t = F.coalesce(text, F.lit(""))
+    if abbreviations:
+        alts = "|".join(re.escape(a.rstrip(".")) for a in sorted(abbreviations, key=len, reverse=True))
+        # mask the final period of a listed abbreviation (inner periods are followed by a
+        # letter and never end a sentence)
+        t = F.regexp_replace(t, r"(?i)\b(" + alts + r")\.", "$1" + _DOT)
+    marked = F.regexp_replace(t, SENTENCE_END, "$1" + _MARK)
     parts = F.transform(F.split(marked, _MARK), trim_ws)
+    if abbreviations:
+        parts = F.transform(parts, lambda x: F.replace(x, F.lit(_DOT), F.lit(".")))
     return F.filter(parts, lambda s: s != "")
 
 

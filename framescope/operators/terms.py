@@ -37,16 +37,20 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep=()) -> DataFrame:
-    """(key, *keep, sentence_index, sentence): one row per sentence, index from 0 in document order."""
-    return docs.select(key, *keep, F.posexplode(sentence_array(F.col(text))).alias("sentence_index", "sentence")).select(
+def sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep=(), abbreviations=()) -> DataFrame:
+    """(key, *keep, sentence_index, sentence): one row per sentence, index from 0 in document order.
+
+    ``abbreviations`` lists forms such as "e.g." that do not end a sentence.
+    """
+    arr = sentence_array(F.col(text), abbreviations)
+    return docs.select(key, *keep, F.posexplode(arr).alias("sentence_index", "sentence")).select(
         key, *keep, F.col("sentence_index").cast("long").alias("sentence_index"), "sentence"
     )
 
 
-def corpus_size(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def corpus_size(docs: DataFrame, *, key: str = "doc_id", text: str = "text", abbreviations=()) -> DataFrame:
     """(key, corpus_size): sentences per document; 0 when the text is missing."""
-    return docs.select(key, F.size(sentence_array(F.col(text))).cast("long").alias("corpus_size"))
+    return docs.select(key, F.size(sentence_array(F.col(text), abbreviations)).cast("long").alias("corpus_size"))
 
 
 def _dedupe_lemmas(lemmas: DataFrame) -> DataFrame:

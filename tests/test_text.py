@@ -115,3 +115,12 @@ def test_phrase_counts_grouped_by_the_document_key(spark, monkeypatch):
     monkeypatch.setattr(terms, "MAX_INLINE_LEMMAS", 0)
     joined = sorted(tuple(r) for r in terms.phrase_counts(docs, by="doc_id", lemmas=lem).collect())
     assert inline == joined == [(1, "fair wage", 1), (1, "wage matter", 1), (2, "fair pay", 1), (2, "fair wage", 1)]
+
+
+def test_sentence_split_with_abbreviations(spark):
+    docs = spark.createDataFrame([(1, "See e.g. the note by Smith et al. on pay. Next one. I.e. done.")], "doc_id long, text string")
+    plain = [r.sentence for r in terms.sentences(docs).orderBy("sentence_index").collect()]
+    assert len(plain) == 6
+    kept = [r.sentence for r in terms.sentences(docs, abbreviations=["e.g.", "i.e.", "et al."]).orderBy("sentence_index").collect()]
+    assert kept == ["See e.g. the note by Smith et al. on pay.", "Next one.", "I.e. done."]
+    assert terms.corpus_size(docs, abbreviations=["e.g.", "i.e.", "et al."]).first().corpus_size == 3
