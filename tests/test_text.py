@@ -124,3 +124,13 @@ def test_sentence_split_with_abbreviations(spark):
     kept = [r.sentence for r in terms.sentences(docs, abbreviations=["e.g.", "i.e.", "et al."]).orderBy("sentence_index").collect()]
     assert kept == ["See e.g. the note by Smith et al. on pay.", "Next one.", "I.e. done."]
     assert terms.corpus_size(docs, abbreviations=["e.g.", "i.e.", "et al."]).first().corpus_size == 3
+
+
+def test_stopwords_are_an_argument(spark):
+    # The stopword list is a parameter of the operator, not a global defined later
+    docs = spark.createDataFrame([(1, "Workers need fair wages; workers want safety.")], "doc_id long, text string")
+    default = {r.term for r in terms.word_counts(docs).collect()}
+    assert "workers" not in default and "need" not in default
+    custom = {r.term: r.n for r in terms.word_counts(docs, stopwords=["fair"]).collect()}
+    assert custom == {"workers": 2, "need": 1, "wages": 1, "want": 1, "safety": 1}
+    assert {r.term for r in terms.word_counts(docs, stopwords=None).collect()} == {"workers", "need", "fair", "wages", "want", "safety"}
