@@ -224,7 +224,11 @@ def compare_strategies(
     ``keywords``: (query_id, keywords array); derived with :func:`rarest_terms` when omitted.
     """
     if keywords is None:
-        keywords = rarest_terms(docs, queries, key=key, text=text, query_keys=[query_id], query_text=query_text, stopwords=stopwords)
+        kw_plan = rarest_terms(docs, queries, key=key, text=text, query_keys=[query_id], query_text=query_text, stopwords=stopwords)
+        # one row per query (a proven bound): fetch once so the several branches that read it do not recompute it
+        keywords = docs.sparkSession.createDataFrame(
+            collect_small(kw_plan, MAX_BROADCAST_QUERIES, "keywords"), kw_plan.schema
+        )
     defs = queries.select(query_id, F.col(query_text).alias("qtext"))
     kw = queries.join(keywords, query_id, "left").select(
         query_id, keyword_query(F.col(query_text), F.col("keywords")).alias("qtext")
