@@ -176,17 +176,25 @@ def bootstrap_mean(
 ) -> DataFrame:
     """Group mean with a Poisson-bootstrap interval: (by, n, mean, lo, hi) (AGG18).
 
-    Each row fans out to ``replicates`` weighted copies, aggregated
-    partially per (group, replicate); a hot group therefore costs
-    ``replicates`` rows per partition, never its row count.
+    Each row fans out to ``replicates`` weighted copies plus replicate 0
+    (weight 1, the point estimate), aggregated partially per (group,
+    replicate); a hot group therefore costs ``replicates`` + 1 rows per
+    partition, never its row count. One pass over the input: the point
+    estimate and the interval come from the same aggregation. NULL values
+    carry no weight.
     """
     x = F.col(value).cast("double")
-    reps = df.select(by, key, x.alias("x"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    w = poisson1_weight(F.col(key), F.col("rep"), seed)
+    reps = df.select(by, key, x.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("rep"))
+    w = F.when(F.col("x").isNull(), F.lit(0)).when(F.col("rep") == 0, F.lit(1)).otherwise(poisson1_weight(F.col(key), F.col("rep"), seed))
     per_rep = reps.select(by, "rep", "x", w.alias("w")).groupBy(by, "rep").agg(
-        (F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m")
+        (F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"),
+        F.sum("w").cast("long").alias("n"),
     )
     a = (1 - level) / 2
-    ci = per_rep.groupBy(by).agg(F.percentile("m", F.array(F.lit(a), F.lit(1 - a))).alias("ci"))
-    point = df.groupBy(by).agg(F.count(x).cast("long").alias("n"), _r(F.avg(x)).alias("mean"))
-    return point.join(ci, by, "left").select(by, "n", "mean", _r(F.col("ci")[0]).alias("lo"), _r(F.col("ci")[1]).alias("hi"))
+    point = F.col("rep") == 0
+    out = per_rep.groupBy(by).agg(
+        F.max(F.when(point, F.col("n"))).alias("n"),
+        F.max(F.when(point, F.col("m"))).alias("mean"),
+        F.percentile(F.when(~point, F.col("m")), F.array(F.lit(a), F.lit(1 - a))).alias("ci"),
+    )
+    return out.select(by, "n", _r(F.col("mean")).alias("mean"), _r(F.col("ci")[0]).alias("lo"), _r(F.col("ci")[1]).alias("hi"))

@@ -85,3 +85,10 @@ def test_poisson_weights_have_mean_one(spark):
     df = spark.range(20000).select(stats.poisson1_weight(F.col("id"), F.lit(1), 3).alias("w"))
     m, v = df.agg(F.avg("w"), F.var_pop("w")).first()
     assert m == pytest.approx(1.0, abs=0.03) and v == pytest.approx(1.0, abs=0.06)
+
+
+def test_bootstrap_point_estimate_ignores_nulls(spark):
+    rows = [(i, "g", float(i)) for i in range(1, 11)] + [(99, "g", None)]
+    df = spark.createDataFrame(rows, "k long, g string, x double")
+    r = stats.bootstrap_mean(df, "x", "g", "k", replicates=50).first()
+    assert r.n == 10 and r.mean == 5.5 and r.lo < 5.5 < r.hi
