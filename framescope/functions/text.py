@@ -56,11 +56,14 @@ def sentence_array(text: Column, abbreviations=()) -> Column:
         # mask the final period of a listed abbreviation (inner periods are followed by a
         # letter and never end a sentence)
         t = F.regexp_replace(t, r"(?i)\b(" + alts + r")\.", "$1" + _DOT)
-    marked = F.regexp_replace(t, SENTENCE_END, "$1" + _MARK)
-    parts = F.transform(F.split(marked, _MARK), trim_ws)
+    # The break consumes all whitespace after the punctuation, so only the
+    # document's own leading/trailing whitespace needs trimming: trim once,
+    # split, drop empty pieces -- built-in array functions, no lambdas.
+    marked = F.regexp_replace(trim_ws(t), SENTENCE_END, "$1" + _MARK)
+    parts = F.array_remove(F.split(marked, _MARK), "")
     if abbreviations:
         parts = F.transform(parts, lambda x: F.replace(x, F.lit(_DOT), F.lit(".")))
-    return F.filter(parts, lambda s: s != "")
+    return parts
 
 
 def strip_bom(text: Column) -> Column:
@@ -75,7 +78,7 @@ def clean_text(text: Column) -> Column:
 
 def split_words(s: Column) -> Column:
     """Whitespace tokens of a string, empty pieces dropped."""
-    return F.filter(F.split(s, WS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(s, WS + "+"), "")
 
 
 def letter_tokens(text: Column) -> Column:
