@@ -289,10 +289,10 @@ def _sparse_matches(spark, sf_dir, with_sentence=False, min_score=None):
     )
 
 
-def _sparse_candidates(spark, sf_dir, with_corpus_size=False):
-    """Top-5 term-count matches at or above the threshold, with sentence text."""
+def _sparse_candidates(spark, sf_dir, with_corpus_size=False, with_sentence=True):
+    """Top-5 term-count matches at or above the threshold, with sentence text unless not needed."""
     return sparse.topk_sparse(
-        load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), TOP_K, with_sentence=True,
+        load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), TOP_K, with_sentence=with_sentence,
         min_score=SPARSE_THRESHOLD, with_corpus_size=with_corpus_size,
     )
 
@@ -386,27 +386,30 @@ def bench_parameters(spark, sf_dir) -> list[str]:
     return [f"i{i:03d}" for i in query_ids(load(spark, sf_dir, "benchmark"), "item_id")]
 
 
-def review_table(spark, sf_dir):
+def review_table(spark, sf_dir, with_text=True):
     """Stand-in for the manual review: each candidate sentence coded with its best items.
 
     One row per (document, sentence) at or above the threshold; the codes are
     item definitions, primary = best score, alternates 1-4 next (ties by item).
+    ``with_text=False`` leaves out the sentence text and the corpus size (their
+    attachment is a second pass over all sentences); the counts that only key
+    on the sentence are the same either way.
     """
-    m = _sparse_candidates(spark, sf_dir, with_corpus_size=True)
+    m = _sparse_candidates(spark, sf_dir, with_corpus_size=with_text, with_sentence=with_text)
     defs = F.broadcast(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("definition")))
     w = Window.partitionBy("doc_id", "sentence_index").orderBy(F.desc("score"), F.asc("query_id"))
     coded = m.join(defs, "query_id").withColumn("code_rank", F.row_number().over(w)).where(F.col("code_rank") <= 5)
-    wide = coded.groupBy("doc_id", "sentence_index", "sentence", "corpus_size").pivot("code_rank", [1, 2, 3, 4, 5]).agg(
-        F.first("definition")
-    )
+    extra = ["sentence", "corpus_size"] if with_text else []
+    wide = coded.groupBy("doc_id", "sentence_index", *extra).pivot("code_rank", [1, 2, 3, 4, 5]).agg(F.first("definition"))
     return wide.select(
-        F.col("doc_id").alias("policy_title"), "sentence_index", "sentence", "corpus_size",
+        F.col("doc_id").alias("policy_title"), "sentence_index", *extra,
         *[F.col(str(i + 1)).alias(c) for i, c in enumerate(codes.CODE_COLUMNS)],
     )
 
 
-def _melted(spark, sf_dir):
-    return codes.melt_codes(review_table(spark, sf_dir), bench_framework(spark, sf_dir))
+def _melted(spark, sf_dir, with_text=True):
+    review = review_table(spark, sf_dir, with_text)
+    return codes.melt_codes(review, bench_framework(spark, sf_dir), sentence="sentence" if with_text else "sentence_index")
 
 
 def _metadata(spark, sf_dir):
@@ -414,12 +417,12 @@ def _metadata(spark, sf_dir):
 
 
 def _frequency(spark, sf_dir):
-    return codes.parameter_frequency(_melted(spark, sf_dir), bench_framework(spark, sf_dir))
+    return codes.parameter_frequency(_melted(spark, sf_dir, with_text=False), bench_framework(spark, sf_dir))
 
 
 def _coverage(spark, sf_dir):
     n = len(bench_parameters(spark, sf_dir))
-    return cov.coverage_by_doc(codes.count_codes(_melted(spark, sf_dir)), _metadata(spark, sf_dir), n)
+    return cov.coverage_by_doc(codes.count_codes(_melted(spark, sf_dir, with_text=False)), _metadata(spark, sf_dir), n)
 
 
 _FREQ_COLS = ["parameter", "category", "subcategory", "definition", "total_appearances", "num_docs"]
@@ -434,7 +437,7 @@ def melt_codes(spark, sf_dir):
 @register
 def count_codes(spark, sf_dir):
     """Codes per (document, parameter)."""
-    return codes.count_codes(_melted(spark, sf_dir))
+    return codes.count_codes(_melted(spark, sf_dir, with_text=False))
 
 
 @register
@@ -552,7 +555,7 @@ def coverage_bootstrap(spark, sf_dir):
 @register
 def distribution_by_dim(spark, sf_dir):
     """Parameter counts per language and per source, normalised to row percentages."""
-    counts = codes.counts_long(codes.count_codes(_melted(spark, sf_dir)), _metadata(spark, sf_dir))
+    counts = codes.counts_long(codes.count_codes(_melted(spark, sf_dir, with_text=False)), _metadata(spark, sf_dir))
     return cov.distribution_by(counts, _metadata(spark, sf_dir), DIMENSIONS, bench_parameters(spark, sf_dir))
 
 
