@@ -7,6 +7,8 @@ ranking, thresholding and hashing.
 
 from __future__ import annotations
 
+from ..functions.text import LETTERS, NON_WS, PUNCT, SENTENCE_END, TRIM, WS
+from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS
 from .tables import N_PARAMETERS, parameter_names
 
 ORACLE: dict[str, str] = {}
@@ -156,8 +158,6 @@ ORACLE["score_boxplot"] = f"WITH {DOC_SIM}, {boxplot_sql('dsim', 'score')}"
 
 
 # ---------------------------------------------------------------- text family
-from ..functions.text import LETTERS, NON_WS, PUNCT, SENTENCE_END, TRIM, WS  # noqa: E402
-from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS  # noqa: E402
 
 
 def _lit_list(words) -> str:
