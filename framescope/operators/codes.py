@@ -149,19 +149,19 @@ def doc_parameter_matrix(
 ) -> DataFrame:
     """Documents x parameters (CMP9): metadata, corpus size, one count column per parameter in the given order.
 
-    One conditional aggregation per document (what ``pivot`` expands to);
-    when ``counts`` carries ``corpus_size`` it is taken in the same pass.
+    One ``pivot`` with explicit values (PivotFirst: a lookup per count row,
+    not one condition per parameter); when ``counts`` carries ``corpus_size``
+    (constant per document) it is a grouping key of the same pass.
     Counts are zero-filled *before* the metadata join (G3): a document with
     no codes at all has NULL counts (and NULL corpus size), a document with
     codes has 0 for the parameters it lacks. ``corpus_sizes`` (doc,
     corpus_size) may be given instead, one size per document (G17).
     """
-    cells = [
-        F.coalesce(F.sum(F.when(F.col("parameter") == F.lit(p), F.col("count"))), F.lit(0)).cast("long").alias(p)
-        for p in parameters
-    ]
-    extra = [F.max("corpus_size").alias("corpus_size")] if "corpus_size" in counts.columns else []
-    wide = counts.groupBy(doc).agg(*extra, *cells)
+    carried = ["corpus_size"] if "corpus_size" in counts.columns else []
+    extra = carried
+    # explicit pivot values: PivotFirst, one lookup per count row whatever the number of parameters
+    piv = counts.groupBy(doc, *carried).pivot("parameter", parameters).agg(F.first("count"))
+    wide = piv.select(doc, *carried, *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).cast("long").alias(p) for p in parameters])
     meta = metadata
     if corpus_sizes is not None and not extra:
         meta = meta.join(corpus_sizes.withColumnRenamed(doc, "_k"), meta[title] == F.col("_k"), "left").drop("_k")
