@@ -93,25 +93,28 @@ def read_framework_json(spark: SparkSession, path: str) -> DataFrame:
 def read_framework_csv(spark: SparkSession, path: str) -> DataFrame:
     """(pos, parameter, category, subcategory, definition, keywords) from the flat CSV, in file order.
 
-    The CSV is a small dictionary; its order is taken from one ordered scan
-    (``monotonically_increasing_id`` preserves file order within and across
-    the partitions of a single read) and turned into a dense 0-based position.
+    The framework is a small dictionary (41 rows in the reference): it is
+    fetched once behind a size check, in file order (``monotonically_increasing_id``
+    follows the file within and across the partitions of one read), and
+    numbered 0.. as it is turned back into a frame -- no global window.
     """
-    raw = read_csv(spark, path, FRAMEWORK_CSV_SCHEMA).withColumn("_id", F.monotonically_increasing_id())
-    from pyspark.sql import Window
+    from ..operators.guards import MAX_BROADCAST_LOOKUP, collect_small
 
     kw = F.filter(
         F.transform(F.split(F.coalesce(F.col("Related keywords"), F.lit("")), ","), lambda s: F.trim(s)),
         lambda s: s != "",
     )
-    return raw.select(
-        (F.row_number().over(Window.orderBy("_id")) - 1).cast("long").alias("pos"),
+    raw = read_csv(spark, path, FRAMEWORK_CSV_SCHEMA).select(
+        F.monotonically_increasing_id().alias("_id"),
         F.col("Parameter").alias("parameter"),
         F.col("Category").alias("category"),
         F.col("Subcategory").alias("subcategory"),
         F.col("Definition").alias("definition"),
         kw.alias("keywords"),
     )
+    rows = sorted(collect_small(raw, MAX_BROADCAST_LOOKUP, "framework"), key=lambda r: r["_id"])
+    schema = "pos long, parameter string, category string, subcategory string, definition string, keywords array<string>"
+    return spark.createDataFrame([(i, *tuple(r)[1:]) for i, r in enumerate(rows)], schema)
 
 
 def read_text_folder(spark: SparkSession, path: str, *, strip_bom_char: bool = False) -> DataFrame:
