@@ -112,6 +112,8 @@ def _complete_topk(sents: DataFrame, top: DataFrame, query_rows: list, k: int, k
     are clustered by the document key, so it runs without an exchange, and
     the ranked rows are computed once.
     """
+    if not query_rows:  # an empty framework: nothing to rank, nothing to complete
+        return top.select(key, *qkeys, F.col("rank").cast("long").alias("rank"), "score", "sentence_index")
     lit_keys = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in qkeys]) for r in query_rows])
     row_t = "struct<rank:long,score:double,sentence_index:long>"
     sizes = sents.groupBy(key).agg(F.least(F.count("*"), F.lit(k)).cast("long").alias("kk"))
@@ -241,6 +243,10 @@ def compare_strategies(
     norms = qd.select(query_id, "qn_d").distinct().join(qk.select(query_id, "qn_k").distinct(), query_id, "full")
     side = checked_broadcast(both.join(norms, query_id, "left"), MAX_BROADCAST_QUERY_TERMS, "query terms").df
     n_queries = len(_query_key_rows(queries, [query_id]))
+    if n_queries == 0:  # an empty framework has no means to compare
+        return docs.sparkSession.createDataFrame(
+            [], f"{key} {docs.schema[key].dataType.simpleString()}, strategy string, score_micro long, k_used long, n_queries long"
+        )
 
     sents = document_sentences(docs, key, text)
     tf = term_counts(sents, [key, "sentence_index"], "sentence", stopwords)

@@ -175,3 +175,14 @@ def test_sparse_topk_same_when_query_terms_are_not_broadcast(spark, monkeypatch)
     monkeypatch.setattr(sparse, "MAX_BROADCAST_QUERY_TERMS", 0)  # shuffle join on the term instead
     b = sorted(tuple(r) for r in sparse.topk_sparse(docs, queries, 3, with_sentence=True).collect())
     assert a == b and len(a) == 3 * 2 + 1 * 2  # doc 2 has one sentence (G9)
+
+
+def test_empty_framework_gives_empty_results(spark):
+    docs = spark.createDataFrame([(1, "Fair wages. Safe work."), (2, None)], "doc_id long, text string")
+    noq = spark.createDataFrame([], "query_id long, text string")
+    assert sparse.topk_sparse(docs, noq, 3).collect() == []
+    assert sparse.compare_strategies(docs, noq, 3).collect() == []
+    empty_vecs = spark.createDataFrame([], "query_id long, embedding array<float>")
+    s = spark.createDataFrame([("a", 0, [1.0, 0.0])], "doc string, sentence_index long, embedding array<float>")
+    assert dense.topk_dense(s, empty_vecs, 3).collect() == []
+    assert search.adherence_long(dense.best_dense(s, empty_vecs), s.select("doc"), empty_vecs, 0.3).collect() == []
