@@ -6,9 +6,12 @@ Plans:
   (``posexplode`` / ``size``): no shuffle.
 * ``word_counts`` explodes tokens and aggregates by (group, term); the
   partial aggregation collapses hot terms on the map side.
-* ``phrase_counts`` pairs adjacent tokens inside each sentence row with
-  ``zip_with`` (no shuffle before the final count). With a lemma table too
-  large to inline, it falls back to exploded tokens + join + ``lead``.
+* ``phrase_counts`` pairs adjacent tokens inside each sentence row: the
+  token array zipped with itself shifted by one, exploded and filtered with
+  ordinary (codegen'd) expressions; with a small lemma table the pairs are
+  built with ``zip_with`` over a map literal, and with a table too large to
+  inline it falls back to exploded tokens + join + ``lead``. No shuffle
+  before the final count.
 * ``top_terms`` ranks with ``row_number`` over the group; Catalyst puts a
   partial ``WindowGroupLimit`` before the shuffle, so a hot group sends at
   most n rows per partition.
@@ -148,7 +151,22 @@ def phrase_counts(
     keep = [k for k in keys if k != key]
     sents = sentences(spread(df.select(key, *keep, text)), key=key, text=text, keep=keep)
     maps = _lemma_map(lemmas)
-    if lemmas is None or maps is not None:
+    if lemmas is None:
+        # adjacent pairs as rows: the token array zipped with itself shifted by one (built-in array
+        # functions, no lambdas), then an ordinary filter on both tokens
+        toks = sents.select(*keys, letter_tokens(F.col("sentence")).alias("toks"))
+        m = F.greatest(F.size("toks") - 1, F.lit(0))
+        pairs = toks.select(
+            *keys, F.explode(F.arrays_zip(F.slice("toks", 1, m).alias("a"), F.slice("toks", 2, m).alias("b"))).alias("p")
+        ).select(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+
+        def keep_tok(c):
+            return (F.length(c) >= min_length) & _not_stop(c, stopwords)
+
+        phrases = pairs.where(keep_tok(F.col("a")) & keep_tok(F.col("b"))).select(
+            *keys, F.concat_ws(" ", "a", "b").alias("phrase")
+        )
+    elif maps is not None:
         toks = letter_tokens(F.col("sentence"))
         if maps is not None:
             lem, _ = maps
