@@ -143,3 +143,15 @@ def test_approximate_document_counts_are_opt_in(spark, melted):
     exact = {r.parameter: r.num_docs for r in codes.parameter_frequency(melted, framework_df(spark)).collect()}
     approx = {r.parameter: r.num_docs for r in codes.parameter_frequency(melted, framework_df(spark), approx_docs=0.01).collect()}
     assert approx == exact  # HyperLogLog++ is exact at these cardinalities
+
+
+def test_null_title_counts_overall_but_not_per_document(spark):
+    from fixtures import D, REVIEW, REVIEW_SCHEMA
+
+    rows = REVIEW + [(None, "Untitled sentence.", 3, D["Right to organise"], None, None, None, None)]
+    melted = codes.melt_codes(spark.createDataFrame(rows, REVIEW_SCHEMA), framework_df(spark))
+    freq = {r.parameter: (r.total_appearances, r.num_docs) for r in codes.parameter_frequency(melted, framework_df(spark)).collect()}
+    # pandas: size() counts the row, nunique() ignores the NULL title
+    assert freq["Right to organise"] == (2, 1)
+    per_doc = codes.count_codes(melted).where("parameter = 'Right to organise'").collect()
+    assert [(r.policy_title, r["count"]) for r in per_doc] == [("Harbor Charter", 1)]  # NULL key dropped (G1)
