@@ -46,13 +46,14 @@ pos AS (SELECT doc_id, x, unnest(range(0, CAST(length(x) / 2 AS BIGINT))) AS i F
 win AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM pos WHERE 2 * i + 400 <= length(x)),
 twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
 hits AS (SELECT doc_id, i FROM win SEMI JOIN twice USING (h)),
-near AS (SELECT pos.doc_id, pos.i, max(hits.i) OVER (PARTITION BY pos.doc_id ORDER BY pos.i ROWS UNBOUNDED PRECEDING) AS last, substr(x, 2 * pos.i + 1, 2) AS b
-         FROM pos LEFT JOIN hits ON pos.doc_id = hits.doc_id AND pos.i = hits.i),
-flag AS (SELECT doc_id, i, b, coalesce(i - last < 200, false) AS cut FROM near),
-runs AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM flag),
-agg AS (SELECT doc_id, count(*) FILTER (cut) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT cut) AS k FROM runs GROUP BY doc_id)
+opens AS (SELECT doc_id, i, coalesce(i - lag(i) OVER w > 200, true) AS o FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(o::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM opens),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM runs),
+agg AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS stop, string_agg(substr(x, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS k
+        FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(k, ''))) AS kept_sha256
+       sha256(unhex(coalesce(k, '') || substr(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN agg USING (doc_id)
 """,
 }
