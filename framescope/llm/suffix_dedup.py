@@ -303,7 +303,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM, most_in_b
     seen = texts.mapInArrow(_anchor_rows(length, gram), "gram long, c1 long, c2 long, doc long, th long, pos long")
 
     repeated = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("ca"), F.max("c1").alias("cb"))
-    repeated = repeated.where("n > 1").select("gram", (F.col("ca") != F.col("cb")).alias("mixed"))
+    # written, so that the join below stands on plain exchanges, which adaptive execution can split at a hot gram
+    repeated = C.written(repeated.where("n > 1").select("gram", (F.col("ca") != F.col("cb")).alias("mixed")), "repeated")
     near = C.written(seen.join(repeated, "gram"), "anchors")
 
     place = F.struct("doc", "th", "pos")
@@ -313,6 +314,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM, most_in_b
 
     reps = classes.where("mixed").select("gram", "rep.*")
     wide = reps.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_in_block).select("gram", F.lit(True).alias("wide"))
+    wide = C.written(wide, "wide")
     reps = reps.join(wide, "gram", "left")
     asked = reps.groupBy(*keys).agg(
         F.collect_list(F.when(F.col("wide").isNull(), F.struct("gram", "pos"))).alias("at"), F.collect_list(F.when(F.col("wide"), F.col("pos"))).alias("pos")
@@ -322,7 +324,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM, most_in_b
     indexed = snippets.repartition("gram").sortWithinPartitions("gram").mapInArrow(_indexed(length), "doc long, th long, start long, stop long")
 
     strings = asked.where(F.size("pos") > 0).mapInArrow(_string_rows(length, gram), "h1 long, h2 long, doc long, th long, pos long")
-    twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = C.written(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "twice")
     single = strings.join(twice, ["h1", "h2"], "left_semi").select(*keys, F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
 
     no_pos, no_span = F.lit(None).cast("long").alias("pos"), F.lit(None).cast("struct<start:long,stop:long>").alias("span")
