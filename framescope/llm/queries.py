@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framescope.llm.substring_dedup import substring_dedup
 from framescope.llm.suffix_dedup import suffix_dedup
+from framescope.llm.topk_search import topk_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_documents(spark, sf_dir), length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(finite).select("vec_id", F.transform(x, lambda c: F.floor(c * 256)).alias("v"))
+    return topk_search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op10_topk_search": op10_topk_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -55,5 +65,12 @@ agg AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS s
 SELECT d.doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
        sha256(unhex(coalesce(k, '') || substr(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN agg USING (doc_id)
+""",
+    "op10_topk_search": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5
 """,
 }
