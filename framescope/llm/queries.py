@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framescope.llm.substring_dedup import substring_dedup
 from framescope.llm.suffix_dedup import suffix_dedup
+from framescope.llm.token_output import token_output
 from framescope.llm.topk_search import topk_search
 
 
@@ -24,6 +25,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_documents(spark, sf_dir), length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_output(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
@@ -34,6 +41,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_token_output": op9_token_output,
     "op10_topk_search": op10_topk_search,
 }
 

@@ -147,17 +147,19 @@ def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
 
     # level 1: half-length windows that stand in two documents
     repeated = seen.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("c1").alias("ca"), F.max("c1").alias("cb"))
-    repeated = repeated.where("lo < hi").select("gram", (F.col("ca") != F.col("cb")).alias("mixed"))
+    # aggregates are written before they are joined: both sides are then plain exchanges, which adaptive execution can split at a hot key
+    repeated = C.written(repeated.where("lo < hi").select("gram", (F.col("ca") != F.col("cb")).alias("mixed")), "repeated")
     level1 = C.written(seen.join(repeated, "gram"), "halves")
 
     # level 2: neighbourhoods first, single windows where the neighbourhood is new
-    classes = level1.groupBy("gram", "c1", "c2").agg(F.min("doc_id").alias("first"))
+    classes = C.written(level1.groupBy("gram", "c1", "c2").agg(F.min("doc_id").alias("first")), "classes")
     judged = C.written(level1.join(classes, ["gram", "c1", "c2"]).select("doc_id", "th", "pos", "mixed", (F.col("first") < F.col("doc_id")).alias("old")).where("old or mixed"), "judged")
     keys = ["doc_id", "th"]
     fresh = judged.where("not old").groupBy(*keys).agg(F.collect_set("pos").alias("pos"))
     windows = known.join(fresh, keys).mapInArrow(_window_rows(length), "h1 long, h2 long, doc_id long, th long, pos int")
     windows = C.written(windows, "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = C.written(first, "first")
     single = windows.join(first, ["h1", "h2"]).where("first < doc_id").select(*keys, F.lit(None).cast("int").alias("whole"), F.col("pos").alias("single"))
     whole = judged.where("old").select(*keys, F.col("pos").alias("whole"), F.lit(None).cast("int").alias("single"))
     marks = whole.unionByName(single).groupBy(*keys).agg(F.collect_set("whole").alias("whole"), F.collect_set("single").alias("single"))

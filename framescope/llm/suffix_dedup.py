@@ -37,7 +37,8 @@ from framescope.llm import common as C
 
 _U = np.uint64
 GRAM = 32
-BLOCK_BYTES = 1 << 20
+#: index blocks stay in the processor's cache
+BLOCK_BYTES = 1 << 16
 #: neighbourhoods of one anchor that are indexed together; beyond it, strings are hashed one by one
 MOST_IN_BLOCK = 4096
 
@@ -54,7 +55,9 @@ def _joined(texts: list[bytes]):
     return np.frombuffer(b"".join(texts), np.uint8), end - sizes, end, np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, counting: bool):
+    """Anchors: only their grams, or with neighbourhood class and place."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = C.text_bytes(batch.column("text"))
@@ -63,11 +66,15 @@ def _anchor_rows(length: int, gram: int):
                 buf, first, last, owner = _joined(texts[lo:hi])
                 if len(buf) < length:
                     continue
-                p1, p2 = _prefixes(buf)
+                p1 = C.prefix_sums(buf.astype(_U) + _U(1), C.WORD_BASE_1)
                 at = np.arange(len(buf) - gram + 1)
                 g = C.span_hash(p1, at, at + gram, C.WORD_BASE_1) | _U(1)
                 pos = C.anchors(g, owner, gram, length)
+                if counting:
+                    yield pa.RecordBatch.from_arrays([pa.array(C.signed(g[pos]))], names=["gram"])
+                    continue
                 row = owner[pos]
+                p2 = C.prefix_sums(buf.astype(_U) + _U(1), C.WORD_BASE_2)
                 left, right = np.maximum(pos + gram - length, first[row]), np.minimum(pos + length, last[row])
                 c1 = C.mix(C.span_hash(p1, left, right, C.WORD_BASE_1) + (pos - left).astype(_U))
                 c2 = C.span_hash(p2, left, right, C.WORD_BASE_2)
@@ -135,7 +142,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     padded = np.append(symbols.astype(np.int64), np.zeros(7, np.int64))
     for k in range(7):
         key = (key << 9) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.zeros(n + 1, np.int64)  # of the last suffix with the same key, plus 1; 0 behind the end
     k = 7
     sub, sub_key = order, key[order]
@@ -153,7 +160,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
             return order
         sub, slots = sub[open_], slots[open_]
         pair = rank[sub] * (n + 2) + rank[np.minimum(sub + k, n)]
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         sub, sub_key = sub[by], pair[by]
         k *= 2
 
@@ -166,7 +173,7 @@ class RunIndex:
     the suffix after. ``runs`` is the transform itself as (symbol, length).
     """
 
-    def __init__(self, symbols: np.ndarray, most: int):
+    def __init__(self, symbols: np.ndarray, least: int, most: int):
         n = len(symbols)
         order = suffix_order(symbols)
         bwt = symbols[order - 1]
@@ -174,32 +181,35 @@ class RunIndex:
         head = np.ones(n, bool)
         head[1:] = bwt[1:] != bwt[:-1]
         at = np.flatnonzero(head)
-        self.runs = bwt[at], np.diff(np.append(at, n))
+        self.n, self.runs = n, (bwt[at], np.diff(np.append(at, n)))
         prefix = C.prefix_sums(symbols.astype(_U) + _U(1), C.WORD_BASE_1)
-        self.heads = self._samples(order, at[at > 0], -1, prefix, most)
+        self.heads = self._samples(order, at[at > 0], -1, prefix, least, most)
         ends = np.append(at[1:] - 1, n - 1)
-        self.tails = self._samples(order, ends[ends < n - 1], 1, prefix, most)
+        self.tails = self._samples(order, ends[ends < n - 1], 1, prefix, least, most)
 
     @staticmethod
-    def _samples(order, at, step, prefix, most):
+    def _samples(order, at, step, prefix, least, most):
+        def same(size):
+            return C.span_hash(prefix, pos, pos + size, C.WORD_BASE_1) == C.span_hash(prefix, other, other + size, C.WORD_BASE_1)
+
         pos, other = order[at], order[at + step]
-        low, high = np.zeros(len(pos), np.int64), np.minimum(most, len(prefix) - 1 - np.maximum(pos, other))
+        fits = np.maximum(pos, other) + least < len(prefix)
+        pos, other = pos[fits], other[fits]
+        long = same(np.full(len(pos), least))  # shorter matches are never streamed
+        pos, other = pos[long], other[long]
+        low, high = np.full(len(pos), least), np.minimum(most, len(prefix) - 1 - np.maximum(pos, other))
         while (low < high).any():  # common length by bisection over prefix hashes
             mid = (low + high + 1) // 2
-            same = C.span_hash(prefix, pos, pos + mid, C.WORD_BASE_1) == C.span_hash(prefix, other, other + mid, C.WORD_BASE_1)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        by = np.argsort(pos)
-        return pos[by], other[by], low[by]
-
-    def matches(self, n: int) -> np.ndarray:
-        """Matching statistics against the rest of the text: the longest match of every position, streamed from the samples."""
-        best = np.zeros(n, np.int64)
-        at = np.arange(n)
+            ok = same(mid)
+            low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
+        return pos, other, low
+
+    def matches(self) -> np.ndarray:
+        """Matching statistics (from ``least`` up) of every position against the rest, streamed from the samples."""
+        reach = np.zeros(self.n, np.int64)
         for pos, _, length in (self.heads, self.tails):
-            if len(pos):
-                last = np.searchsorted(pos, at, side="right") - 1
-                best = np.maximum(best, np.where(last >= 0, length[last] - (at - pos[last]), 0))
-        return best
+            reach[pos] = np.maximum(reach[pos], pos + length)
+        return np.maximum(np.maximum.accumulate(reach) - np.arange(self.n), 0)
 
 
 def _index_block(parts: list[tuple], length: int) -> list[tuple]:
@@ -218,7 +228,7 @@ def _index_block(parts: list[tuple], length: int) -> list[tuple]:
     symbols = np.frombuffer(b"\0".join(bytes(p[3]) for p in pieces) + b"\0", np.uint8).astype(np.int32) + 1
     symbols[end] = 0
     room = np.repeat(end, sizes) - np.arange(len(symbols))
-    hit = (RunIndex(symbols, 2 * max(map(len, (p[3] for p in pieces)))).matches(len(symbols)) >= length) & (room >= length)
+    hit = (RunIndex(symbols, length, int(sizes.max())).matches() >= length) & (room >= length)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     start, stop = edge[0::2], edge[1::2]
     piece = np.searchsorted(end, start)
@@ -300,22 +310,20 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM, most_in_b
     rows = C.keyed(docs).withColumn("doc", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")))
     keys = ["doc", "th"]
     texts = rows.select("doc", "th", "text", "doc_id")
-    seen = texts.mapInArrow(_anchor_rows(length, gram), "gram long, c1 long, c2 long, doc long, th long, pos long")
+    grams = texts.select("doc", "th", "text").mapInArrow(_anchor_rows(length, gram, True), "gram long")
+    seen = texts.mapInArrow(_anchor_rows(length, gram, False), "gram long, c1 long, c2 long, doc long, th long, pos long")
 
-    repeated = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("ca"), F.max("c1").alias("cb"))
     # written, so that the join below stands on plain exchanges, which adaptive execution can split at a hot gram
-    repeated = C.written(repeated.where("n > 1").select("gram", (F.col("ca") != F.col("cb")).alias("mixed")), "repeated")
-    near = C.written(seen.join(repeated, "gram"), "anchors")
+    repeated = C.written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated")
+    near = C.written(seen.join(repeated, "gram", "left_semi"), "anchors")
 
     place = F.struct("doc", "th", "pos")
-    classes = near.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep"), F.first("mixed").alias("mixed"))
+    classes = near.groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep"))
     classes = C.written(classes, "classes")
     whole = near.join(classes.where("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi").select(*keys, "pos")
 
-    reps = classes.where("mixed").select("gram", "rep.*")
-    wide = reps.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_in_block).select("gram", F.lit(True).alias("wide"))
-    wide = C.written(wide, "wide")
-    reps = reps.join(wide, "gram", "left")
+    mixed = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", F.when(F.col("n") > most_in_block, True).alias("wide"))
+    reps = classes.select("gram", "rep.*").join(C.written(mixed, "mixed"), "gram")
     asked = reps.groupBy(*keys).agg(
         F.collect_list(F.when(F.col("wide").isNull(), F.struct("gram", "pos"))).alias("at"), F.collect_list(F.when(F.col("wide"), F.col("pos"))).alias("pos")
     )
