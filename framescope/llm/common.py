@@ -84,7 +84,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and its inverse modulo 2**64 for ``i <= n`` (kept for chunks of the usual size)."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, 2 * CHUNK_BYTES)
+        size = max(n + 1, CHUNK_BYTES + (CHUNK_BYTES >> 2))
         fwd, inv = np.full(size, base, _U), np.full(size, pow(base, -1, 1 << 64), _U)
         fwd[0] = inv[0] = 1
         have = np.cumprod(fwd, dtype=_U), np.cumprod(inv, dtype=_U)
