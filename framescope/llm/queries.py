@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framescope.llm import pii_sanitise, quality_crf, secret_scan
 from framescope.llm.jaccard_join import jaccard_join
 from framescope.llm.substring_dedup import substring_dedup
 from framescope.llm.suffix_dedup import suffix_dedup
@@ -18,6 +19,21 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_sanitise.digest(pii_sanitise.pii_sanitise(_documents(spark, sf_dir)))
+
+
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    return quality_crf.quality_crf(docs.select("doc_id", "text"), quality_crf.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return pii_sanitise.digest(secret_scan.secret_scan(docs, secret_scan.train(docs)), secret_scan.KINDS)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir), length=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -44,6 +60,9 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii_sanitise": op3_pii_sanitise,
+    "op4_quality_crf": op4_quality_crf,
+    "op5_secret_scan": op5_secret_scan,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
