@@ -1,4 +1,76 @@
-"""The corpus pipeline: four or five operators in a row, each on what the one before kept."""
+"""The corpus pipeline: each stage works on what the one before kept and wrote.
 
-STAGES = []
+Quality (documents the line model rejects go), near duplicates (one document of
+each group stays), decontamination (documents holding benchmark items go),
+mixing (documents of scarce languages are repeated; none is dropped), token ids.
+All stages but the last return the columns of ``documents``. NULL ``doc_id``
+rows pass the near-duplicate and decontamination stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framescope.llm import quality_crf
+from framescope.llm.common import written
+from framescope.llm.jaccard_join import jaccard_join
+from framescope.llm.latent_decontamination import latent_decontamination
+from framescope.llm.soft_mixing import soft_mixing
+from framescope.llm.token_output import token_output
+
+THRESHOLD = 0.3
+#: exponent on the languages' present shares
+TEMPERATURE = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    scored = quality_crf.quality_crf(docs, quality_crf.train(docs, labels), THRESHOLD)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    copies = jaccard_join(docs).where("component_id < doc_id").select("doc_id").distinct()
+    unknown = docs.where("doc_id is null")
+    kept = docs.where("doc_id is not null").join(written(copies, "copies"), "doc_id", "left_anti")
+    return kept.select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(unknown)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = latent_decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(written(found, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(labels, "doc_id")
+    copies = soft_mixing(docs, labelled, TEMPERATURE).where("copies > 1").select("doc_id", "th", "copies").distinct()
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.withColumn("th", th).join(written(copies, "copies"), ["doc_id", "th"], "left")
+    return joined.withColumn("again", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_output(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_ids", token_ids),
+]
+
+#: no stage is SQL: trained models, an iterative fit and a tokenizer
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framescope.llm import common as C
 
@@ -207,7 +208,7 @@ def quality_crf(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFra
     """All columns of ``docs`` with ``held_out``, ``score`` (0 to 1, higher is better) and ``predicted`` added (replacing columns of these names)."""
     rest = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     kept = docs.select(*rest)
-    schema = kept.schema.add("score", "double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

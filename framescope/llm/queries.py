@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from framescope.llm import pii_sanitise, quality_crf, secret_scan
 from framescope.llm.jaccard_join import jaccard_join
+from framescope.llm.latent_decontamination import latent_decontamination
+from framescope.llm.soft_mixing import soft_mixing
 from framescope.llm.substring_dedup import substring_dedup
 from framescope.llm.suffix_dedup import suffix_dedup
 from framescope.llm.token_output import token_output
@@ -19,6 +21,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+    return soft_mixing(docs, labelled, weights=0.5).drop("th")
+
+
+def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_sanitise.digest(pii_sanitise.pii_sanitise(_documents(spark, sf_dir)))
 
@@ -60,6 +72,8 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_soft_mixing": op1_soft_mixing,
+    "op2_latent_decontamination": op2_latent_decontamination,
     "op3_pii_sanitise": op3_pii_sanitise,
     "op4_quality_crf": op4_quality_crf,
     "op5_secret_scan": op5_secret_scan,
