@@ -147,7 +147,7 @@ def _products(vocabulary: Vocabulary, q: np.ndarray, items: list[bytes]):
     def add(texts, out):
         w, at, row, first, blocks, latent, weight = _passages(texts, vocabulary, basis)
         # A' (A Q): each passage's latent row goes back to the words it holds, scaled to unit norm
-        norm2 = np.maximum(weight, 1e-12)
+        norm2 = np.maximum(weight, 1e-12).astype(np.float32)
         z = latent / norm2[:, None]
         ok = np.append(vocabulary.weight, 0.0)[at] > 0
         inner = np.arange(len(w.hash)) - np.repeat(w.ptr[:-1], np.diff(w.ptr))
@@ -156,7 +156,7 @@ def _products(vocabulary: Vocabulary, q: np.ndarray, items: list[bytes]):
         by = np.argsort(word, kind="stable")
         starts = np.flatnonzero(np.append(True, word[by][1:] != word[by][:-1])) if len(word) else np.zeros(0, np.int64)
         if len(starts):
-            out[word[by][starts]] += np.add.reduceat(z[block[by]], starts, axis=0) * vocabulary.weight[word[by][starts]][:, None]
+            out[word[by][starts]] += np.add.reduceat(z[block[by]], starts, axis=0) * vocabulary.weight[word[by][starts]][:, None].astype(np.float32)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(q.shape)
