@@ -15,8 +15,7 @@ Counting terms is a group with map-side combine; a frequent term or entity is
 one row per task in the exchange.
 
 Defined cases: NULL text is empty. Rows of one ``doc_id`` with different texts
-are kept apart, rows with NULL ``doc_id`` keep their base spans and get no term
-spans in ``spans``. Extra columns are ignored.
+are kept apart; rows with NULL ``doc_id`` take part. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +63,8 @@ def _terms(text):
 
 def pii_sanitise(docs: DataFrame) -> DataFrame:
     """``doc_id, th, text, sanitised, base, all_spans`` per row; ``base`` and ``all_spans`` are arrays of ``(start, rank, end, kind, value)``."""
-    rows = C.keyed(docs)
+    # a NULL doc_id still needs a key for its spans
+    rows = C.keyed(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     found = base_spans(rows).withColumn("base", S.merged(KINDS))
     # the text around each span, cut at white space so that no word is taken in part
     around = F.transform("base", lambda x: F.struct(
@@ -72,9 +72,9 @@ def pii_sanitise(docs: DataFrame) -> DataFrame:
         F.concat_ws(":", x["kind"], F.lower(x["value"])).alias("entity"),
         F.substr(F.col("text"), F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT))).alias("before"),
         F.substr(F.col("text"), x["end"] + 1, F.lit(CONTEXT)).alias("after")))
-    found = C.written(found.select("doc_id", "th", "base", F.when(F.size("base") > 0, around).alias("around")), "base")
+    found = C.written(found.select("key", "th", "base", F.when(F.size("base") > 0, around).alias("around")), "base")
 
-    near = found.where("around is not null").select("doc_id", "th", "base", F.explode("around").alias("a")).select("doc_id", "th", "base", "a.*")
+    near = found.where("around is not null").select("key", "th", "base", F.explode("around").alias("a")).select("key", "th", "base", "a.*")
     near = near.withColumn("lo", F.greatest(F.col("start") - CONTEXT, F.lit(0)))
     near = S.add_spans(S.add_spans(near, "before", "left", r"\p{L}++"), "after", "right", r"\p{L}++")
     # a word at the outer edge of the cut may go on beyond it
@@ -82,7 +82,7 @@ def pii_sanitise(docs: DataFrame) -> DataFrame:
     right = F.filter("right", lambda x: (x["end"] < F.lit(CONTEXT)))
     shift = lambda c, by: F.transform(c, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), F.lower(x["value"]).alias("term")))
     words = F.filter(F.concat(shift(left, F.col("lo")), shift(right, F.col("end"))), lambda x: (F.length(x["term"]) >= MIN_LETTERS) & ~S.overlaps(x, F.col("base")))
-    near = C.written(near.select("doc_id", "th", "entity", F.explode(words).alias("w")).select("doc_id", "th", "entity", "w.*"), "near")
+    near = C.written(near.select("key", "th", "entity", F.explode(words).alias("w")).select("key", "th", "entity", "w.*"), "near")
 
     together = near.select("entity", "term", "th").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= MIN_TEXTS)
     together = C.written(together, "together")
@@ -99,10 +99,10 @@ def pii_sanitise(docs: DataFrame) -> DataFrame:
     judged = judged.withColumn("share", F.col("both") / held).withColumn("bits", F.log2(F.col("share") * n / F.col("texts")))
     judged = C.written(judged.where((F.col("share") >= GENERALISE) & (F.col("bits") > 0)).select("entity", "term", "share", "bits"), "judged")
 
-    own = near.join(judged, ["entity", "term"]).groupBy("doc_id", "th", "start", "end", "term").agg(F.max("share").alias("share"))
-    own = own.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct(
+    own = near.join(judged, ["entity", "term"]).groupBy("key", "th", "start", "end", "term").agg(F.max("share").alias("share"))
+    own = own.groupBy("key", "th").agg(F.array_sort(F.collect_list(F.struct(
         "start", F.lit(len(KINDS)).alias("rank"), "end", F.when(F.col("share") >= REMOVE, "gone").otherwise("term").alias("kind"), F.col("term").alias("value")))).alias("terms"))
-    out = rows.join(found.select("doc_id", "th", "base").dropDuplicates(["doc_id", "th"]), ["doc_id", "th"], "left").join(own, ["doc_id", "th"], "left")
+    out = rows.join(found.select("key", "th", "base").dropDuplicates(["key", "th"]), ["key", "th"], "left").join(own, ["key", "th"], "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     out = out.withColumn("base", F.coalesce("base", none)).withColumn("marks", F.array_sort(F.concat("base", F.coalesce("terms", none))))
 
