@@ -104,6 +104,16 @@ class Lines:
         self.x = np.concatenate([own, before, after, repeats[row][:, None], twins[row][:, None]], 1)
 
 
+def _chunked(texts: list[bytes]) -> Lines:
+    """Features of many texts, made chunk by chunk so that the byte arrays stay small."""
+    parts = [Lines(texts[lo:hi]) for lo, hi in C.chunks(texts, C.CHUNK_BYTES >> 2)]
+    out = parts[0]
+    ends = np.cumsum([p.off[-1] for p in parts])
+    out.off = np.concatenate([parts[0].off, *(p.off[1:] + e for p, e in zip(parts[1:], ends, strict=False))])
+    out.x, out.size = np.concatenate([p.x for p in parts]), np.concatenate([p.size for p in parts])
+    return out
+
+
 def _marginals(score: np.ndarray, off: np.ndarray, ties: np.ndarray, pairs: bool = False):
     """Forward-backward for all chains at once, the longest first so that a step covers those still running.
 
@@ -156,7 +166,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 150) -> dict:
     good = float(np.mean(labels)) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return {"share": good}
-    lines = Lines(texts)
+    lines = _chunked(texts)
     n = np.diff(lines.off)
     y = np.repeat(labels, n).astype(float)
     each = np.repeat(1.0 / n, n)
