@@ -137,6 +137,8 @@ def read_text_folder(spark: SparkSession, path: str, *, strip_bom_char: bool = F
     if empty:
         # Spark's file scans skip zero-length files; the reference keeps them as empty texts
         df = df.unionByName(spark.createDataFrame([(n, "") for n in empty], "filename string, raw_text string"))
+    # text mode: every line end reads as a line feed
+    df = df.withColumn("raw_text", F.regexp_replace("raw_text", "\r\n?", "\n"))
     if strip_bom_char:
         df = df.withColumn("raw_text", strip_bom(F.col("raw_text")))
     return df.withColumn("word_count", word_count(F.col("raw_text")))

@@ -141,3 +141,12 @@ def test_text_folder_skips_undecodable_file(spark, tmp_dir):
         f.write(b"broken \xff\xfe bytes")
     names = [r.filename for r in readers.read_text_folder(spark, d).collect()]
     assert names == ["good.txt"]  # the reference skips a file it cannot decode
+
+
+def test_text_folder_reads_line_ends_like_text_mode(spark, tmp_path):
+    from framescope.sources.readers import read_text_folder
+
+    path = tmp_path / "crlf.txt"
+    path.write_bytes(b"one\r\ntwo\rthree\nfour\r\r\n")
+    got = read_text_folder(spark, str(tmp_path)).first()["raw_text"]
+    assert got == path.read_text(encoding="utf-8")
