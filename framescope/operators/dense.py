@@ -111,7 +111,10 @@ def _scorer(bc, doc: str, sentence_index: str, vector: str, k: int | None, carry
                 if part.num_rows == 0:
                     continue
                 x = l2_normalise(_matrix(part.column(vector)))
-                scores = round_scores(x @ qmat.T)
+                with np.errstate(invalid="ignore"):
+                    scores = round_scores(x @ qmat.T)
+                # a vector with a non-finite component is no match: NaN would sort first
+                scores[~np.isfinite(scores)] = 0.0
                 d = part.column(doc).to_numpy(zero_copy_only=False)
                 s = part.column(sentence_index).to_numpy(zero_copy_only=False)
                 r, c = _partial_topk(d, s, scores, k)

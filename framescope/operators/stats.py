@@ -93,6 +93,8 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     spark = df.sparkSession
     if n == 0:
         return spark.createDataFrame([], "bin int, lo double, hi double, count long")
+    if lo == hi:  # a constant column: half a unit to each side, as numpy does
+        lo, hi = lo - 0.5, hi + 0.5
     x = F.col(col).cast("double")
     counts = df.where(x.isNotNull()).groupBy(bin_index(x, lo, hi, bins).alias("bin")).agg(F.count("*").alias("count"))
     width = (hi - lo) / bins

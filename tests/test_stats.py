@@ -92,3 +92,10 @@ def test_bootstrap_point_estimate_ignores_nulls(spark):
     df = spark.createDataFrame(rows, "k long, g string, x double")
     r = stats.bootstrap_mean(df, "x", "g", "k", replicates=50).first()
     assert r.n == 10 and r.mean == 5.5 and r.lo < 5.5 < r.hi
+
+
+def test_histogram_of_a_constant_column_is_numpys(spark):
+    df = spark.createDataFrame([(3.0,)] * 4, "x double")
+    got = stats.histogram(df, "x", 10).orderBy("bin").toPandas()
+    counts, edges = np.histogram([3.0] * 4, 10)
+    assert got["count"].tolist() == counts.tolist() and np.allclose(got["lo"], edges[:-1])
