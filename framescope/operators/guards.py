@@ -53,6 +53,12 @@ def collect_small(df: DataFrame, max_rows: int, what: str) -> list:
     return rows
 
 
+def fetched_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` as local rows when it has at most ``max_rows`` (several branches then share one run), else ``df`` itself."""
+    rows = df.limit(max_rows + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= max_rows else df
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when ``df`` has fewer partitions than the cluster has cores.
 
@@ -60,11 +66,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     otherwise leave the CPU-heavy text stages on a handful of tasks. At scale
     the input already has many more splits than cores and nothing happens.
     Spark sorts before a round-robin repartition, so a retried task
-    reproduces the same assignment.
+    reproduces the same assignment. A frame with a shuffle of its own is left
+    to AQE: asking an adaptive plan for its partitions would run its stages.
     """
     try:
+        if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+            return df
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()  # planning only, no job
+        n = df.rdd.getNumPartitions()  # no exchange in the plan: planning only, no job
     except Exception:  # noqa: BLE001 -- no RDD view (e.g. Spark Connect): leave the input as it is
         return df
     return df.repartition(target) if n < target else df

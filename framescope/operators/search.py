@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .guards import MAX_BROADCAST_QUERIES, collect_small
+from .guards import MAX_BROADCAST_QUERIES, checked_broadcast, collect_small
 
 
 def query_ids(queries: DataFrame, query_id: str = "query_id") -> list:
-    """The framework's query ids, sorted (the framework is small and size-checked)."""
+    """The framework's query ids, sorted: the *columns* of a wide matrix, which a plan must know beforehand (size-checked)."""
     q = queries.select(query_id).distinct()
     return sorted(r[0] for r in collect_small(q, MAX_BROADCAST_QUERIES, "framework"))
 
@@ -38,12 +38,14 @@ def _threshold(matches: DataFrame, threshold, doc: str) -> float:
     return float(threshold)
 
 
-def parameter_grid(docs: DataFrame, ids: list, *, doc: str = "doc") -> DataFrame:
-    """Every (document, query_id): each document row fans out to the framework's ids.
+def parameter_grid(docs: DataFrame, queries: DataFrame, query_id: str = "query_id", *, doc: str = "doc") -> DataFrame:
+    """Every (document, query_id): the dense grid is the result itself, one row per cell.
 
-    The fan-out is the framework size, which ``query_ids`` has checked.
+    The framework's ids are joined, not collected: broadcast behind a size
+    check, without a hint beyond it -- the same rows at every size.
     """
-    return docs.select(doc).distinct().select(doc, F.explode(F.array(*[F.lit(i) for i in ids])).alias("query_id"))
+    ids = checked_broadcast(queries.select(F.col(query_id).alias("query_id")).distinct(), MAX_BROADCAST_QUERIES, "framework").df
+    return docs.select(doc).distinct().join(ids)
 
 
 def adherence_long(
@@ -64,9 +66,8 @@ def adherence_long(
     ``threshold='mean'`` derives it from the matches (G12).
     """
     t = _threshold(matches, threshold, doc)
-    ids = query_ids(queries, query_id)
     qtype = matches.schema["query_id"].dataType
-    grid = parameter_grid(docs, ids, doc=doc).select(
+    grid = parameter_grid(docs, queries, query_id, doc=doc).select(
         doc, F.col("query_id").cast(qtype).alias("query_id"), F.lit(None).cast("double").alias("score"), F.lit(1).alias("in_grid")
     )
     scored = matches.select(doc, "query_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("in_grid"))

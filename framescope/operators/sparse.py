@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.text import letter_tokens, sentence_array
 from ..functions.vectors import ROUND_DIGITS
 from ..functions.wordlists import ENGLISH_STOPWORDS
-from .guards import MAX_BROADCAST_QUERIES, MAX_BROADCAST_QUERY_TERMS, checked_broadcast, collect_small, key_partitions, spread
+from .guards import MAX_BROADCAST_QUERIES, MAX_BROADCAST_QUERY_TERMS, checked_broadcast, fetched_if_small, key_partitions, spread
 
 
 def _not_stop(term: Column, stopwords) -> Column:
@@ -71,8 +71,9 @@ def sparse_scores(sents: DataFrame, qterms: DataFrame, qkeys: list[str], *, key:
     return dots.select(key, "sentence_index", *qkeys, score.alias("score"))
 
 
-def _query_key_rows(queries: DataFrame, qkeys: list[str]) -> list:
-    return collect_small(queries.select(*qkeys).distinct(), MAX_BROADCAST_QUERIES, "framework")
+def _query_keys(queries: DataFrame, qkeys: list[str]):
+    """The framework's distinct keys with their count, broadcast only behind the size check."""
+    return checked_broadcast(queries.select(*qkeys).distinct(), MAX_BROADCAST_QUERIES, "framework")
 
 
 def _rank(scored: DataFrame, k: int, key: str, qkeys: list[str]) -> DataFrame:
@@ -101,25 +102,20 @@ def attach_sentences(rows: DataFrame, sents: DataFrame, *, key: str = "doc_id",
     return both.where(F.col("_row")).drop("_row")
 
 
-def _complete_topk(sents: DataFrame, top: DataFrame, query_rows: list, k: int, key: str, qkeys: list[str]) -> DataFrame:
+def _complete_topk(sents: DataFrame, top: DataFrame, query_keys: DataFrame, k: int, key: str, qkeys: list[str]) -> DataFrame:
     """The ranked nonzero rows plus score-0 rows completing each (document, query) to min(k, n) rows.
 
     With m nonzero rows ranked, the fill is the lowest sentence indexes not
     among them, ranked m+1.. (ties at 0 go by sentence index); they all lie
     in [0, min(k, n)), so no pair outside the top-k is materialised. The
-    per-document grid and the ranked rows meet in one ``groupBy`` on
+    per-document grid (the joined framework keys) and the ranked rows meet in one ``groupBy`` on
     (document, query) that collects at most k rows per group: both inputs
     are clustered by the document key, so it runs without an exchange, and
     the ranked rows are computed once.
     """
-    if not query_rows:  # an empty framework: nothing to rank, nothing to complete
-        return top.select(key, *qkeys, F.col("rank").cast("long").alias("rank"), "score", "sentence_index")
-    lit_keys = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in qkeys]) for r in query_rows])
     row_t = "struct<rank:long,score:double,sentence_index:long>"
     sizes = sents.groupBy(key).agg(F.least(F.count("*"), F.lit(k)).cast("long").alias("kk"))
-    grid = sizes.select(key, "kk", F.explode(lit_keys).alias("_q")).select(
-        key, *[F.col("_q")[c].alias(c) for c in qkeys], "kk", F.lit(None).cast(row_t).alias("row")
-    )
+    grid = sizes.join(query_keys).select(key, *qkeys, "kk", F.lit(None).cast(row_t).alias("row"))
     ranked = top.select(
         key, *qkeys, F.lit(None).cast("long").alias("kk"),
         F.struct(F.col("rank").cast("long").alias("rank"), "score", "sentence_index").alias("row"),
@@ -170,7 +166,7 @@ def topk_sparse(
         out = top.select(key, *qkeys, F.col("rank").cast("long").alias("rank"), "score", "sentence_index")
     else:
         top = _rank(scored, k, key, qkeys)
-        out = _complete_topk(sents, top, _query_key_rows(queries, qkeys), k, key, qkeys)
+        out = _complete_topk(sents, top, _query_keys(queries, qkeys).df, k, key, qkeys)
     if with_sentence or with_corpus_size:
         out = attach_sentences(out, sents, key=key, corpus_size=with_corpus_size)
         if not with_sentence:
@@ -227,10 +223,8 @@ def compare_strategies(
     """
     if keywords is None:
         kw_plan = rarest_terms(docs, queries, key=key, text=text, query_keys=[query_id], query_text=query_text, stopwords=stopwords)
-        # one row per query (a proven bound): fetch once so the several branches that read it do not recompute it
-        keywords = docs.sparkSession.createDataFrame(
-            collect_small(kw_plan, MAX_BROADCAST_QUERIES, "keywords"), kw_plan.schema
-        )
+        # one row per query: fetched once where small, so that the branches reading it do not recompute it
+        keywords = fetched_if_small(kw_plan, MAX_BROADCAST_QUERIES)
     defs = queries.select(query_id, F.col(query_text).alias("qtext"))
     kw = queries.join(keywords, query_id, "left").select(
         query_id, keyword_query(F.col(query_text), F.col("keywords")).alias("qtext")
@@ -242,7 +236,7 @@ def compare_strategies(
     )
     norms = qd.select(query_id, "qn_d").distinct().join(qk.select(query_id, "qn_k").distinct(), query_id, "full")
     side = checked_broadcast(both.join(norms, query_id, "left"), MAX_BROADCAST_QUERY_TERMS, "query terms").df
-    n_queries = len(_query_key_rows(queries, [query_id]))
+    n_queries = _query_keys(queries, [query_id]).rows
     if n_queries == 0:  # an empty framework has no means to compare
         return docs.sparkSession.createDataFrame(
             [], f"{key} {docs.schema[key].dataType.simpleString()}, strategy string, score_micro long, k_used long, n_queries long"

@@ -8,10 +8,8 @@ Plans:
   partial aggregation collapses hot terms on the map side.
 * ``phrase_counts`` pairs adjacent tokens inside each sentence row: the
   token array zipped with itself shifted by one, exploded and filtered with
-  ordinary (codegen'd) expressions; with a small lemma table the pairs are
-  built with ``zip_with`` over a map literal, and with a table too large to
-  inline it falls back to exploded tokens + join + ``lead``. No shuffle
-  before the final count.
+  ordinary (codegen'd) expressions. With a lemma table of any size, equal
+  pairs are counted first and both tokens are then joined to it.
 * ``top_terms`` ranks with ``row_number`` over the group; Catalyst puts a
   partial ``WindowGroupLimit`` before the shuffle, so a hot group sends at
   most n rows per partition.
@@ -30,9 +28,6 @@ from ..functions.text import clean_text, letter_tokens, sentence_array, split_wo
 from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS
 from .guards import MAX_BROADCAST_LOOKUP, checked_broadcast, spread
 
-# Lemma tables up to this size are inlined as a map literal in the plan.
-MAX_INLINE_LEMMAS = 20_000
-
 
 def _keys(by) -> list[str]:
     if by is None:
@@ -62,18 +57,10 @@ def _dedupe_lemmas(lemmas: DataFrame) -> DataFrame:
     return lemmas.groupBy("surface").agg(best.alias("b")).select("surface", F.col("b.pos").alias("pos"), F.col("b.lemma").alias("lemma"))
 
 
-def _lemma_map(lemmas: DataFrame | None):
-    """(map surface->lemma, map surface->pos) literals for a small lemma table, else None."""
-    if lemmas is None:
-        return None
-    n = lemmas.limit(MAX_INLINE_LEMMAS + 1).count()
-    if n > MAX_INLINE_LEMMAS:
-        return None
-    rows = _dedupe_lemmas(lemmas).collect()
-    keys = F.array(*[F.lit(r["surface"]) for r in rows]) if rows else F.array().cast("array<string>")
-    lem = F.map_from_arrays(keys, F.array(*[F.lit(r["lemma"]) for r in rows]) if rows else F.array().cast("array<string>"))
-    pos = F.map_from_arrays(keys, F.array(*[F.lit(r["pos"]) for r in rows]) if rows else F.array().cast("array<string>"))
-    return lem, pos
+def _lemma_side(lemmas: DataFrame) -> DataFrame:
+    """(surface, tag, lemma), broadcast only behind the size check."""
+    table = _dedupe_lemmas(lemmas).select("surface", F.col("pos").alias("tag"), "lemma")
+    return checked_broadcast(table, MAX_BROADCAST_LOOKUP, "lemma table").df
 
 
 def _not_stop(term: Column, stopwords) -> Column:
@@ -88,13 +75,17 @@ def clean_tokens(
     """Archive cleaning (CMP7): adds ``clean_text_list`` (tokens without stopwords, lemmatised when a
     table is given) and ``clean_text_str`` (the tokens joined by spaces)."""
     toks = F.filter(split_words(clean_text(F.col(text))), lambda w: _not_stop(w, stopwords))
-    maps = _lemma_map(lemmas)
-    if maps is not None:
-        lem, _ = maps
-        toks = F.transform(toks, lambda w: F.coalesce(F.try_element_at(lem, w), w))
-    elif lemmas is not None:
-        raise ValueError("lemma table too large to inline for clean_tokens; apply it with word_counts")
-    return df.withColumn("clean_text_list", toks).withColumn("clean_text_str", F.array_join("clean_text_list", " "))
+    if lemmas is not None:
+        # tokens depend on the text alone: each distinct text is exploded, joined to the table and put together once
+        key = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+        once = df.select(key.alias("_text_key"), toks.alias("_toks")).groupBy("_text_key").agg(F.first("_toks", ignorenulls=True).alias("_toks"))
+        words = _apply_lemmas(once.select("_text_key", F.posexplode("_toks").alias("position", "surface")), lemmas)
+        lists = words.groupBy("_text_key").agg(F.array_sort(F.collect_list(F.struct("position", "term"))).alias("_words"))
+        df = df.withColumn("_text_key", key).join(lists, "_text_key", "left")
+        none = F.array().cast("array<string>")
+        toks = F.when(F.col(text).isNotNull(), F.coalesce(F.transform("_words", lambda w: w["term"]), none))
+    out = df.withColumn("clean_text_list", toks).withColumn("clean_text_str", F.array_join("clean_text_list", " "))
+    return out if lemmas is None else out.drop("_text_key", "_words")
 
 
 def tokens_long(df: DataFrame, *, text: str = "text", keys=()) -> DataFrame:
@@ -106,9 +97,7 @@ def _apply_lemmas(tokens: DataFrame, lemmas: DataFrame | None) -> DataFrame:
     """Adds ``term`` (lemma or surface) and ``tag`` (NULL when unknown) by a checked broadcast join."""
     if lemmas is None:
         return tokens.withColumn("term", F.col("surface")).withColumn("tag", F.lit(None).cast("string"))
-    table = _dedupe_lemmas(lemmas).select("surface", F.col("pos").alias("tag"), "lemma")
-    side = checked_broadcast(table, MAX_BROADCAST_LOOKUP, "lemma table").df
-    return tokens.join(side, "surface", "left").withColumn("term", F.coalesce(F.col("lemma"), F.col("surface")))
+    return tokens.join(_lemma_side(lemmas), "surface", "left").withColumn("term", F.coalesce(F.col("lemma"), F.col("surface")))
 
 
 def word_counts(
@@ -150,51 +139,25 @@ def phrase_counts(
     keys = _keys(by)
     keep = [k for k in keys if k != key]
     sents = sentences(spread(df.select(key, *keep, text)), key=key, text=text, keep=keep)
-    maps = _lemma_map(lemmas)
+    # adjacent pairs as rows: the token array zipped with itself shifted by one (built-in array
+    # functions, no lambdas), then an ordinary filter on both tokens
+    toks = sents.select(*keys, letter_tokens(F.col("sentence")).alias("toks"))
+    m = F.greatest(F.size("toks") - 1, F.lit(0))
+    pairs = toks.select(
+        *keys, F.explode(F.arrays_zip(F.slice("toks", 1, m).alias("a"), F.slice("toks", 2, m).alias("b"))).alias("_p")
+    ).select(*keys, F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b"))
+    pairs = pairs.where((F.length("_a") >= min_length) & (F.length("_b") >= min_length))
     if lemmas is None:
-        # adjacent pairs as rows: the token array zipped with itself shifted by one (built-in array
-        # functions, no lambdas), then an ordinary filter on both tokens
-        toks = sents.select(*keys, letter_tokens(F.col("sentence")).alias("toks"))
-        m = F.greatest(F.size("toks") - 1, F.lit(0))
-        pairs = toks.select(
-            *keys, F.explode(F.arrays_zip(F.slice("toks", 1, m).alias("a"), F.slice("toks", 2, m).alias("b"))).alias("p")
-        ).select(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-
-        def keep_tok(c):
-            return (F.length(c) >= min_length) & _not_stop(c, stopwords)
-
-        phrases = pairs.where(keep_tok(F.col("a")) & keep_tok(F.col("b"))).select(
-            *keys, F.concat_ws(" ", "a", "b").alias("phrase")
-        )
-    elif maps is not None:
-        toks = letter_tokens(F.col("sentence"))
-        if maps is not None:
-            lem, _ = maps
-            terms = F.transform(toks, lambda w: F.coalesce(F.try_element_at(lem, w), w))
-        else:
-            terms = toks
-
-        def kept(surface, term):
-            return (F.length(surface) >= min_length) & _not_stop(term, stopwords)
-
-        pairs = F.zip_with(
-            F.arrays_zip(toks.alias("s"), terms.alias("t")),
-            F.slice(F.arrays_zip(toks.alias("s"), terms.alias("t")), 2, F.greatest(F.size(toks) - 1, F.lit(0))),
-            lambda a, b: F.when(
-                b.isNotNull() & kept(a["s"], a["t"]) & kept(b["s"], b["t"]), F.concat_ws(" ", a["t"], b["t"])
-            ),
-        )
-        phrases = sents.select(*keys, F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("phrase"))
-    else:
-        # large lemma table: exploded tokens, joined, paired with lead() per sentence
-        ids = list(dict.fromkeys([*keys, key, "sentence_index"]))
-        toks = sents.select(*ids, F.posexplode(letter_tokens(F.col("sentence"))).alias("position", "surface"))
-        toks = _apply_lemmas(toks, lemmas)
-        toks = toks.withColumn("kept", (F.length("surface") >= min_length) & _not_stop(F.col("term"), stopwords))
-        w = Window.partitionBy(key, "sentence_index").orderBy("position")
-        nxt = toks.withColumn("n_kept", F.lead("kept").over(w)).withColumn("n_term", F.lead("term").over(w))
-        phrases = nxt.where(F.col("kept") & F.col("n_kept")).select(*keys, F.concat_ws(" ", "term", "n_term").alias("phrase"))
-    return phrases.groupBy(*keys, "phrase").agg(F.count("*").cast("long").alias("n"))
+        phrases = pairs.where(_not_stop(F.col("_a"), stopwords) & _not_stop(F.col("_b"), stopwords))
+        return phrases.groupBy(*keys, F.concat_ws(" ", "_a", "_b").alias("phrase")).agg(F.count("*").cast("long").alias("n"))
+    # equal pairs are counted first, so the two joins see one row per distinct pair
+    pairs = pairs.groupBy(*keys, "_a", "_b").agg(F.count("*").cast("long").alias("_n"))
+    side = _lemma_side(lemmas)
+    for c in ("_a", "_b"):
+        lemma = side.select(F.col("surface").alias(c), F.col("lemma").alias("_lemma"))
+        pairs = pairs.join(lemma, c, "left").withColumn(f"_t{c}", F.coalesce("_lemma", c)).drop("_lemma")
+    phrases = pairs.where(_not_stop(F.col("_t_a"), stopwords) & _not_stop(F.col("_t_b"), stopwords))
+    return phrases.groupBy(*keys, F.concat_ws(" ", "_t_a", "_t_b").alias("phrase")).agg(F.sum("_n").cast("long").alias("n"))
 
 
 def top_terms(counts: DataFrame, n: int, *, by=None, term: str = "term") -> DataFrame:

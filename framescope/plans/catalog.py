@@ -222,6 +222,13 @@ def clean_tokens(spark, sf_dir):
     return docs.select("doc_id", "clean_text_str", F.size("clean_text_list").cast("long").alias("n_tokens"))
 
 
+@register
+def clean_tokens_lemmatised(spark, sf_dir):
+    """Archive cleaning with the lemma table: cleaned string and token count."""
+    docs = terms.clean_tokens(load(spark, sf_dir, "documents"), lemmas=lemma_table(spark))
+    return docs.select("doc_id", "clean_text_str", F.size("clean_text_list").cast("long").alias("n_tokens"))
+
+
 @register
 def term_frequency(spark, sf_dir):
     """Word counts over the whole corpus (alphabetic, > 3 letters, stopwords removed)."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from ..functions.text import LETTERS, NON_WS, PUNCT, SENTENCE_END, TRIM, WS
 from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS
+from .catalog import LEMMA_ROWS
 from .tables import N_PARAMETERS, parameter_names
 
 ORACLE: dict[str, str] = {}
@@ -241,12 +242,15 @@ def phrases_sql(by: str | None = None, src: str = "documents") -> str:
 
 
 def _lemma_values() -> str:
-    from .catalog import LEMMA_ROWS
-
     rows = ", ".join(f"('{s}', '{p}', '{l}')" for s, p, l in LEMMA_ROWS)
     return f"lem(surface, pos, lemma) AS (VALUES {rows})"
 
 
+_LEMMA_CASE = "CASE w " + " ".join(f"WHEN '{s}' THEN '{l}'" for s, _, l in LEMMA_ROWS) + " ELSE w END"
+ORACLE["clean_tokens_lemmatised"] = (
+    f"SELECT doc_id, array_to_string(list_transform(t, lambda w: {_LEMMA_CASE}), ' ') AS clean_text_str, len(t)::BIGINT AS n_tokens "
+    f"FROM (SELECT doc_id, {_CLEAN_TOKS} AS t FROM documents)"
+)
 ORACLE["term_frequency"] = words_sql("documents")
 ORACLE["top_terms"] = top_sql(words_sql("documents"), 20)
 ORACLE["term_frequency_by_group"] = top_sql(words_sql("conversations", "role"), 20, "role")

@@ -1,6 +1,7 @@
 """Partition sizing and size checks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from framescope.operators import guards
 
@@ -31,6 +32,16 @@ def test_spread_only_when_few_splits(spark):
     assert guards.spread(many) is many
 
 
+def test_spread_leaves_shuffled_frames_unrun(spark):
+    tracker = spark.sparkContext.statusTracker()
+    group = "spread-probe"
+    spark.sparkContext.setJobGroup(group, group)
+    derived = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert guards.spread(derived) is derived
+    assert not tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_collect_small_raises_over_the_bound(spark):
     assert len(guards.collect_small(spark.range(3), 3, "x")) == 3
     with pytest.raises(guards.TooLargeToBroadcast):

@@ -165,6 +165,22 @@ def test_topk_text_with_user_encoder(spark):
     assert [(r.doc_id, r.rank) for r in rows[4:]] == [(2, 1), (2, 1)]  # one sentence -> one row per query (G9)
 
 
+def test_results_do_not_depend_on_the_framework_limit(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Fair pay now. Safe work here. Nothing."), (2, "Other words")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "fair pay"), (2, "safe work"), (3, "absent")], "query_id long, text string")
+
+    def results():
+        top = sparse.topk_sparse(docs, queries, 2)
+        adh = search.adherence_long(top.withColumnRenamed("doc_id", "doc"), docs.withColumnRenamed("doc_id", "doc"), queries, 0.3)
+        return [sorted(tuple(r) for r in d.collect()) for d in (top, adh, sparse.compare_strategies(docs, queries, 2))]
+
+    want = results()
+    assert len(want[0]) == 9 and len(want[1]) == 6
+    for module in (sparse, search):
+        monkeypatch.setattr(module, "MAX_BROADCAST_QUERIES", 1)
+    assert results() == want
+
+
 def test_sparse_topk_same_when_query_terms_are_not_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame(
         [(1, "Fair wages now. Unrelated words here. Wages wages wages. Nothing."), (2, "Safety rules and fair pay.")],
