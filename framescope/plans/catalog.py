@@ -399,7 +399,8 @@ def review_table(spark, sf_dir, with_text=True):
     on the sentence are the same either way.
     """
     m = _sparse_candidates(spark, sf_dir, with_corpus_size=with_text, with_sentence=with_text)
-    defs = F.broadcast(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("definition")))
+    # no hint: Catalyst broadcasts the texts only while their bytes allow it
+    defs = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("definition"))
     w = Window.partitionBy("doc_id", "sentence_index").orderBy(F.desc("score"), F.asc("query_id"))
     coded = m.join(defs, "query_id").withColumn("code_rank", F.row_number().over(w)).where(F.col("code_rank") <= 5)
     extra = ["sentence", "corpus_size"] if with_text else []
@@ -611,9 +612,9 @@ def extraction_table(spark, sf_dir):
     top = sparse.topk_sparse(
         load(spark, sf_dir, "documents"), _bench_queries(spark, sf_dir), TOP_K, with_sentence=True, with_corpus_size=True
     )
-    fw = F.broadcast(bench_framework(spark, sf_dir).select(
+    fw = bench_framework(spark, sf_dir).select(
         F.col("pos").alias("query_id"), "parameter", "category", F.col("definition").alias("query")
-    ))
+    )
     return top.join(fw, "query_id").select(
         F.col("doc_id").alias("policy_title"), "corpus_size", "query_id", "parameter", "category", "query",
         F.col("rank").alias("sentence_rank"), F.col("score").alias("sentence_score"), "sentence", "sentence_index",

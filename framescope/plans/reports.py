@@ -91,7 +91,7 @@ def write_extraction_report(
         documents.select(key, text), queries, k, key=key, text=text, query_text="qtext",
         with_sentence=True, with_corpus_size=True,
     )
-    names = F.broadcast(framework.select(F.col("pos").alias("query_id"), "parameter", "category", F.col("definition").alias("query")))
+    names = framework.select(F.col("pos").alias("query_id"), "parameter", "category", F.col("definition").alias("query"))
     extraction = top.join(names, "query_id").select(
         F.col(key).alias("policy_title"), "corpus_size", "query_id", "parameter", "category", "query",
         F.col("rank").alias("sentence_rank"), F.col("score").alias("sentence_score"), "sentence", "sentence_index",
