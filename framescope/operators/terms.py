@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, letter_tokens, sentence_array, split_words
 from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS
-from .guards import MAX_BROADCAST_LOOKUP, checked_broadcast, spread
+from .guards import checked_broadcast, spread
+
+# Lemma tables up to this size are broadcast, larger ones are joined by a shuffle; the rows are the same.
+MAX_INLINE_LEMMAS = 20_000
 
 
 def _keys(by) -> list[str]:
@@ -60,7 +63,7 @@ def _dedupe_lemmas(lemmas: DataFrame) -> DataFrame:
 def _lemma_side(lemmas: DataFrame) -> DataFrame:
     """(surface, tag, lemma), broadcast only behind the size check."""
     table = _dedupe_lemmas(lemmas).select("surface", F.col("pos").alias("tag"), "lemma")
-    return checked_broadcast(table, MAX_BROADCAST_LOOKUP, "lemma table").df
+    return checked_broadcast(table, MAX_INLINE_LEMMAS, "lemma table").df
 
 
 def _not_stop(term: Column, stopwords) -> Column:

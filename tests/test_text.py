@@ -84,11 +84,11 @@ def test_phrase_counts_adjacent_kept_pairs(spark):
     assert counts == {"fair wages": 2, "safety rules": 1}
 
 
-def test_phrase_counts_same_when_lemmas_are_not_broadcast(spark, monkeypatch):
+def test_phrase_counts_join_path_equals_inline_path(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "Fair wages matter. Safe jobs matter"), (2, "Fair pay and fair wages")], "doc_id long, text string")
     lem = spark.createDataFrame([("wages", "NOUN", "wage"), ("jobs", "NOUN", "job")], "surface string, pos string, lemma string")
     inline = sorted(tuple(r) for r in terms.phrase_counts(docs, lemmas=lem).collect())
-    monkeypatch.setattr(terms, "MAX_BROADCAST_LOOKUP", 0)
+    monkeypatch.setattr(terms, "MAX_INLINE_LEMMAS", 0)
     joined = sorted(tuple(r) for r in terms.phrase_counts(docs, lemmas=lem).collect())
     assert inline == joined
     assert inline == sorted([("fair wage", 2), ("wage matter", 1), ("safe job", 1), ("job matter", 1), ("fair pay", 1)])
@@ -106,8 +106,8 @@ def test_clean_tokens_lemmas_of_any_table_size(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lem = spark.createDataFrame([("wages", "NOUN", "wage")], "surface string, pos string, lemma string")
     want = [(1, ["wage", "wage", "rise"]), (2, None), (3, []), (4, ["wage", "wage", "rise"])]
-    for limit in (terms.MAX_BROADCAST_LOOKUP, 0):
-        monkeypatch.setattr(terms, "MAX_BROADCAST_LOOKUP", limit)
+    for limit in (terms.MAX_INLINE_LEMMAS, 0):
+        monkeypatch.setattr(terms, "MAX_INLINE_LEMMAS", limit)
         out = terms.clean_tokens(docs, lemmas=lem)
         assert out.columns == ["doc_id", "text", "clean_text_list", "clean_text_str"]
         assert sorted((r.doc_id, r.clean_text_list) for r in out.collect()) == want
@@ -131,7 +131,7 @@ def test_phrase_counts_grouped_by_the_document_key(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "Fair wages matter."), (2, "Fair wages now. Fair pay.")], "doc_id long, text string")
     lem = spark.createDataFrame([("wages", "NOUN", "wage")], "surface string, pos string, lemma string")
     inline = sorted(tuple(r) for r in terms.phrase_counts(docs, by="doc_id", lemmas=lem).collect())
-    monkeypatch.setattr(terms, "MAX_BROADCAST_LOOKUP", 0)
+    monkeypatch.setattr(terms, "MAX_INLINE_LEMMAS", 0)
     joined = sorted(tuple(r) for r in terms.phrase_counts(docs, by="doc_id", lemmas=lem).collect())
     assert inline == joined == [(1, "fair wage", 1), (1, "wage matter", 1), (2, "fair pay", 1), (2, "fair wage", 1)]
 
