@@ -12,6 +12,9 @@
    times the corpus: without that the leading directions are those of frequent
    words, and what tells items apart is cut off.
 3. A passage and an item with latent cosine of ``COSINE`` or more are a candidate.
+   So is a stretch of ``WINDOW`` runs that holds as many of the item's distinct
+   words as step 4 asks for, whatever their weight: where a group of copies has
+   made the item's words common, the latent search sees only those it lacks.
 4. A candidate counts if the words of the item have a longest common
    subsequence with the text around the passage of ``LCS`` of the item's
    length, or of ``LCS_ANSWER`` when the item's answer words, its most telling
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from framescope.llm import common as C
 
 # a block has fewer items than the rank, so that the basis can hold every item's direction
-STRIDE, RANK, OVERSAMPLE, POWERS, ITEMS = 32, 240, 16, 1, 200
+STRIDE, WINDOW, RANK, OVERSAMPLE, POWERS, ITEMS = 32, 3, 240, 16, 1, 200
 COMMON, PULL = 0.1, 10.0
 COSINE, LCS, LCS_ANSWER, ANSWER = 0.45, 0.8, 0.6, 0.7
 _U = np.uint64
@@ -204,6 +207,58 @@ def randomised_svd(rows: DataFrame, vocabulary: Vocabulary, items: list[bytes],
     return q[:, :rank]
 
 
+class Coverage:
+    """Distinct words of each item in ``WINDOW`` neighbouring runs, and which counts make a candidate.
+
+    An item of n words with a common subsequence of ``LCS`` lacks at most
+    ``(1 - LCS) n`` of its distinct words, so no such stretch is left out.
+    """
+
+    def __init__(self, words: list[list[int]], telling: list[set[int]], size: int):
+        # one number a word and item: 1, and TELLS more for an answer word (an item has fewer than TELLS distinct ones here)
+        self.tells = 1 + max((len(set(x)) for x in words), default=0)
+        self.table = np.zeros((size, len(words)), np.int32)
+        for i, x in enumerate(words):
+            self.table[x, i] = 1
+            self.table[list(telling[i]), i] += self.tells
+        n, distinct, answer = (np.array([len(f(x, t)) for x, t in zip(words, telling, strict=True)], np.float64) for f in (lambda x, t: x, lambda x, t: set(x), lambda x, t: t))
+        # at least one word, so that a stretch without any is no candidate
+        self.least = np.maximum(distinct - np.floor((1 - LCS) * n + 1e-9), 1)
+        self.least_answer = np.maximum(distinct - np.floor((1 - LCS_ANSWER) * n + 1e-9), 1)
+        self.answer = np.ceil(ANSWER * np.maximum(answer, 1) - 1e-9)
+        self.least[n == 0] = self.least_answer[n == 0] = np.inf
+
+    def candidates(self, at: np.ndarray, block: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First block and item of the stretches; ``at`` and ``block`` of every word, ``row`` of every block."""
+        ok = at >= 0
+        if not ok.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        size, n = len(self.table), len(row)
+        held = np.unique(block[ok] * size + at[ok])
+        b, word = held // size, held % size
+
+        def sums(some):
+            out = np.zeros((n, self.table.shape[1]), np.int32)
+            x = b[some]
+            if len(x):
+                starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                out[x[starts]] = np.add.reduceat(self.table[word[some]], starts, axis=0)
+            return out
+
+        # a word counts once in a stretch: in a later block only if none of the stretch's blocks before holds it
+        total = sums(np.ones(len(held), bool))
+        whole, seen = total.copy(), np.zeros(len(held), bool)
+        for k in range(1, WINDOW):
+            before = held - k * size
+            place = np.minimum(np.searchsorted(held, before), len(held) - 1)
+            seen |= held[place] == before
+            part = total - sums(seen)
+            same = row[:-k] == row[k:]
+            whole[:-k][same] += part[k:][same]
+        count, tell = whole % self.tells, whole // self.tells
+        return np.nonzero((count >= self.least) | ((count >= self.least_answer) & (tell >= self.answer)))
+
+
 def _verify(item: list[int], telling: set[int], words: list[int]) -> tuple[float, float]:
     return lcs(item, words) / len(item), len(telling.intersection(words)) / max(1, len(telling))
 
@@ -217,6 +272,9 @@ def _search(vocabulary: Vocabulary, q: np.ndarray, item_ids: list[int], items: l
     latent = np.stack([basis[x].sum(0) if x else np.zeros(basis.shape[1], np.float32) for x in words]) if items else np.zeros((0, basis.shape[1]), np.float32)
     norm = np.array([np.sqrt((vocabulary.weight[x] ** 2).sum()) if x else 1.0 for x in words])
     latent = (latent / np.maximum(norm, 1e-12)[:, None]).astype(np.float32)
+    coverage = Coverage(words, telling, len(vocabulary.keys))
+    # how many of the distinct words may be missing at all
+    lacks = [len(set(x)) - (1 - LCS_ANSWER) * len(x) - 1e-9 for x in words]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,12 +289,20 @@ def _search(vocabulary: Vocabulary, q: np.ndarray, item_ids: list[int], items: l
                         for p, i in zip(*np.nonzero(cos >= cosine), strict=True):
                             b = int(start[k + p])
                             pairs.setdefault((int(row[b]), int(i)), []).append((float(cos[p, i]), b, span))
+                inner = np.arange(len(w.hash)) - np.repeat(w.ptr[:-1], np.diff(w.ptr))
+                for b, i in zip(*coverage.candidates(at, np.repeat(first, np.diff(w.ptr)) + inner // STRIDE, row), strict=True):
+                    end = min(int(b) + WINDOW, int(np.searchsorted(row, row[b], "right")))
+                    size = np.sqrt(weight[b:end].sum())
+                    c = float(z[b:end].sum(0) @ latent[i] / size) if size > 0 else 0.0
+                    pairs.setdefault((int(row[b]), int(i)), []).append((c, int(b), end - int(b)))
                 for (r, i), places in pairs.items():
                     best = (0.0, 0.0, 0.0)
                     for c, b, span in sorted(places, reverse=True):
                         a = w.ptr[r] + (b - first[r]) * STRIDE
                         room = max(STRIDE, len(words[i]))
                         around = at[max(w.ptr[r], a - room) : min(w.ptr[r + 1], a + span * STRIDE + room)].tolist()
+                        if len(set(words[i]).intersection(around)) < lacks[i]:
+                            continue
                         got = (*_verify(words[i], telling[i], around), c)
                         best = max(best, got)
                         if best[0] >= LCS:

@@ -235,3 +235,17 @@ def test_latent_decontamination(spark, empty):
     assert sorted((r.doc_id, r.item_id) for r in latent_decontamination(df, bench).collect()) == [(50, 0), (51, 1)]
     assert sorted((r.doc_id, r.item_id) for r in latent_decontamination(df, bench, items_per_block=2).collect()) == [(50, 0), (51, 1)]
     assert latent_decontamination(empty, bench).count() == 0 and latent_decontamination(df, bench.where("false")).count() == 0
+
+
+def test_latent_decontamination_of_an_item_changed_in_many_copies(spark):
+    items = [" ".join(f"q{k}v{i}" for i in range(25)) for k in range(4)]
+    words = items[1].split()
+    words[3] = "changed"
+    # a third of the rows, so that all words of the item but one are common
+    rows = [(i, _text(80)) for i in range(40)] + [(100 + i, _text(40) + " " + " ".join(words) + " " + _text(9 + i)) for i in range(20)]
+    rows += [(200, _text(30) + " " + " ".join(w for i, w in enumerate(words) if i % 5 != 2) + " " + _text(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = latent_decontamination(df, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(100 + i, 1) for i in range(20)]
+    assert all(r.lcs == 24 / 25 for r in got)
