@@ -11,7 +11,9 @@
    only orthonormalises. Items are rows of the matrix too, weighted ``PULL``
    times the corpus: without that the leading directions are those of frequent
    words, and what tells items apart is cut off.
-3. A passage and an item with latent cosine of ``COSINE`` or more are a candidate.
+3. An item of more than ``PIECE`` words is searched as even pieces of at most so
+   many, since a passage is too short to be like the whole; a piece that is a
+   candidate makes its item one. A passage and an item with latent cosine of ``COSINE`` or more are a candidate.
    So is a stretch of ``WINDOW`` runs that holds as many of the item's distinct
    words as step 4 asks for, whatever their weight: where a group of copies has
    made the item's words common, the latent search sees only those it lacks.
@@ -20,7 +22,7 @@
    length, or of ``LCS_ANSWER`` when the item's answer words, its most telling
    third by inverse frequency, are there in that share too (a paraphrase).
 
-The benchmark is taken in blocks of ``ITEMS`` items, each searched against all
+The benchmark is taken in blocks of about ``ITEMS`` pieces, each searched against all
 rows; a block's vocabulary, basis and items are what goes to the tasks, and
 bounded by the block.
 
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from framescope.llm import common as C
 
 # a block has fewer items than the rank, so that the basis can hold every item's direction
-STRIDE, WINDOW, RANK, OVERSAMPLE, POWERS, ITEMS = 32, 3, 240, 16, 1, 200
+STRIDE, WINDOW, PIECE, RANK, OVERSAMPLE, POWERS, ITEMS = 32, 3, 64, 240, 16, 1, 200
 COMMON, PULL = 0.1, 10.0
 COSINE, LCS, LCS_ANSWER, ANSWER = 0.45, 0.8, 0.6, 0.7
 _U = np.uint64
@@ -74,6 +76,18 @@ class Vocabulary:
         self.weight = np.where(common, 0.0, self.idf)
 
 
+def _pieces(items: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """Even runs of at most ``PIECE`` words of each item, and the item each belongs to."""
+    out, owner = [], []
+    w = C.Words(items, lower=True)
+    for i in range(len(items)):
+        at = np.arange(w.ptr[i], w.ptr[i + 1])
+        for part in np.array_split(at, max(1, -(-len(at) // PIECE))):
+            out.append(b" ".join(w.buf[w.start[k] : w.end[k]].tobytes() for k in part))
+            owner.append(i)
+    return out, owner
+
+
 def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     bits: dict[int, int] = {}
@@ -211,10 +225,11 @@ class Coverage:
     """Distinct words of each item in ``WINDOW`` neighbouring runs, and which counts make a candidate.
 
     An item of n words with a common subsequence of ``LCS`` lacks at most
-    ``(1 - LCS) n`` of its distinct words, so no such stretch is left out.
+    ``(1 - LCS) n`` of its distinct words, so no such stretch is left out; of a
+    longer item's pieces, one at least lacks no greater share than the whole.
     """
 
-    def __init__(self, words: list[list[int]], telling: list[set[int]], size: int):
+    def __init__(self, words: list[list[int]], telling: list[set[int]], whole: list[bool], size: int):
         # one number a word and item: 1, and TELLS more for an answer word (an item has fewer than TELLS distinct ones here)
         self.tells = 1 + max((len(set(x)) for x in words), default=0)
         self.table = np.zeros((size, len(words)), np.int32)
@@ -225,7 +240,8 @@ class Coverage:
         # at least one word, so that a stretch without any is no candidate
         self.least = np.maximum(distinct - np.floor((1 - LCS) * n + 1e-9), 1)
         self.least_answer = np.maximum(distinct - np.floor((1 - LCS_ANSWER) * n + 1e-9), 1)
-        self.answer = np.ceil(ANSWER * np.maximum(answer, 1) - 1e-9)
+        # answer words are those of the whole item, which a piece need not hold
+        self.answer = np.where(whole, np.ceil(ANSWER * np.maximum(answer, 1) - 1e-9), 0)
         self.least[n == 0] = self.least_answer[n == 0] = np.inf
 
     def candidates(self, at: np.ndarray, block: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,10 +285,14 @@ def _search(vocabulary: Vocabulary, q: np.ndarray, item_ids: list[int], items: l
     at = vocabulary.places(w.hash)
     words = [at[w.ptr[i] : w.ptr[i + 1]].tolist() for i in range(len(items))]
     telling = [set(sorted(set(x), key=lambda t: (-vocabulary.idf[t], t))[: max(1, len(set(x)) // 3)]) for x in words]
-    latent = np.stack([basis[x].sum(0) if x else np.zeros(basis.shape[1], np.float32) for x in words]) if items else np.zeros((0, basis.shape[1]), np.float32)
-    norm = np.array([np.sqrt((vocabulary.weight[x] ** 2).sum()) if x else 1.0 for x in words])
+    pieces, owner = _pieces(items)
+    wp = C.Words(pieces, lower=True)
+    at = vocabulary.places(wp.hash)
+    parts = [at[wp.ptr[i] : wp.ptr[i + 1]].tolist() for i in range(len(pieces))]
+    latent = np.stack([basis[x].sum(0) if x else np.zeros(basis.shape[1], np.float32) for x in parts]) if parts else np.zeros((0, basis.shape[1]), np.float32)
+    norm = np.array([np.sqrt((vocabulary.weight[x] ** 2).sum()) if x else 1.0 for x in parts])
     latent = (latent / np.maximum(norm, 1e-12)[:, None]).astype(np.float32)
-    coverage = Coverage(words, telling, len(vocabulary.keys))
+    coverage = Coverage(parts, [telling[i].intersection(x) for i, x in zip(owner, parts, strict=True)], [len(words[i]) <= PIECE for i in owner], len(vocabulary.keys))
     # how many of the distinct words may be missing at all
     lacks = [len(set(x)) - (1 - LCS_ANSWER) * len(x) - 1e-9 for x in words]
 
@@ -288,13 +308,13 @@ def _search(vocabulary: Vocabulary, q: np.ndarray, item_ids: list[int], items: l
                         cos = (sums[k : k + 8192] @ latent.T) / size[k : k + 8192, None].astype(np.float32)
                         for p, i in zip(*np.nonzero(cos >= cosine), strict=True):
                             b = int(start[k + p])
-                            pairs.setdefault((int(row[b]), int(i)), []).append((float(cos[p, i]), b, span))
+                            pairs.setdefault((int(row[b]), owner[i]), []).append((float(cos[p, i]), b, span))
                 inner = np.arange(len(w.hash)) - np.repeat(w.ptr[:-1], np.diff(w.ptr))
                 for b, i in zip(*coverage.candidates(at, np.repeat(first, np.diff(w.ptr)) + inner // STRIDE, row), strict=True):
                     end = min(int(b) + WINDOW, int(np.searchsorted(row, row[b], "right")))
                     size = np.sqrt(weight[b:end].sum())
                     c = float(z[b:end].sum(0) @ latent[i] / size) if size > 0 else 0.0
-                    pairs.setdefault((int(row[b]), int(i)), []).append((c, int(b), end - int(b)))
+                    pairs.setdefault((int(row[b]), owner[i]), []).append((c, int(b), end - int(b)))
                 for (r, i), places in pairs.items():
                     best = (0.0, 0.0, 0.0)
                     for c, b, span in sorted(places, reverse=True):
@@ -324,7 +344,8 @@ def latent_decontamination(docs: DataFrame, benchmark: DataFrame, rank: int = RA
     spark = docs.sparkSession
     rows = C.keyed(docs).where(F.col("doc_id").isNotNull())
     wanted = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    count = wanted.count()
+    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    count = wanted.agg(F.sum(F.greatest(F.ceil(words / PIECE), F.lit(1)))).first()[0] or 0
     blocks = max(1, -(-count // items_per_block))
     out = spark.createDataFrame([], "doc_id long, item_id long, lcs double, answer double, cosine double")
     for k in range(blocks):
@@ -338,6 +359,6 @@ def latent_decontamination(docs: DataFrame, benchmark: DataFrame, rank: int = RA
         for r in rows.select("text").mapInArrow(_frequencies(vocabulary), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
             df[r["at"]] = r["n"]
         vocabulary.weigh(df, texts)
-        q = randomised_svd(rows, vocabulary, texts, rank)
+        q = randomised_svd(rows, vocabulary, _pieces(texts)[0], rank)
         out = out.unionByName(rows.select("doc_id", "text").mapInArrow(_search(vocabulary, q, [i for i, _ in items], texts, cosine), "doc_id long, item_id long, lcs double, answer double, cosine double"))
     return out.groupBy("doc_id", "item_id").agg(F.max("lcs").alias("lcs"), F.max("answer").alias("answer"), F.max("cosine").alias("cosine"))

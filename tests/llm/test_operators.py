@@ -249,3 +249,16 @@ def test_latent_decontamination_of_an_item_changed_in_many_copies(spark):
     got = latent_decontamination(df, bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(100 + i, 1) for i in range(20)]
     assert all(r.lcs == 24 / 25 for r in got)
+
+
+def test_latent_decontamination_of_long_items(spark):
+    items = [" ".join(f"q{k}v{i}" for i in range(n)) for k, n in enumerate([25, 400, 700, 1500])]
+    part = items[3].split()
+    changed = [w if i % 6 else "changed" for i, w in enumerate(part)]
+    rows = [(i, _text(80)) for i in range(30)] + [(50 + k, _text(7 * k + 3) + " " + x + " " + _text(11)) for k, x in enumerate(items)]
+    rows += [(60, " ".join(changed)), (61, " ".join(part[:1000])), (62, _text(20) + " " + items[2].upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    want = [(50, 0), (51, 1), (52, 2), (53, 3), (60, 3), (62, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in latent_decontamination(df, bench).collect()) == want
+    assert sorted((r.doc_id, r.item_id) for r in latent_decontamination(df, bench, items_per_block=9).collect()) == want
