@@ -3,12 +3,17 @@
 A classifier fitted on a labelled table gives every document its domain
 posteriors p; with t tokens, a document of rate r adds r * t * p expected tokens
 to the domains. Rates are nonnegative and solve the least-squares problem
-``min |G^-1/2 (sum r t p - b)|`` for the targets b by distributed projected
-gradient: the gradient of a document is t p . G^-1 (total - b), its step is
-scaled by 1 / t, and with G = sum t p p' that step is exactly 1 / L. A round
-is one pass that sums a vector of one number a domain with map-side combine; a
-document's rate after k rounds is folded from the k vectors of the rounds
-before, so no state is kept between passes and a lost executor costs nothing.
+``min |G^-1/2 (sum r t p - b)|`` for the targets b and G = sum t p p'. Scaled by
+1 / t, the projected gradient of a document is r - max(floor, r - p . g) with one
+vector g = G^-1 (total - b) for all. With a term of ``RIDGE`` for the distance
+from rate 1, which takes the nearest of many solutions, rates are those of one
+vector too, r = max(floor, 1 - p . v), and the gradient is 0 where
+``sum r t p = b + RIDGE G v``. Newton steps find v: a round is one pass that sums
+the totals, and the Gram matrix of the documents above the floor, for several
+lengths of the step at once, with map-side combine. No state is kept between
+passes and a lost executor costs nothing. Rounds go on until that equation holds
+to ``TOLERANCE`` of the targets; if ``rounds`` passes are not enough, it raises.
+Targets that no rates reach are met as nearly as they can be, with a warning.
 
 Rates become whole copies: the integer part, and one more by a hash of the
 document against the rest. Targets are scaled so that the domain furthest above
@@ -25,7 +30,8 @@ is one domain. Repeated rows get equal rates; extra columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,9 @@ from framescope.llm import common as C
 
 
 TRAIN_DOCS, TRAIN_BYTES, BUCKETS = 3000, 20_000, 4096
+RIDGE, TOLERANCE, ROUNDS = 1e-7, 1e-7, 100
+#: lengths of a Newton step that a pass tries
+_LENGTHS = [4.0**-j for j in range(14)]
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,20 +115,57 @@ def fold(p: np.ndarray, steps: list[np.ndarray], floor: float) -> np.ndarray:
     return r
 
 
-def _totals(steps, floor, k, gram: bool):
-    """Sums over a task: ``sum r t p`` (and ``sum t p p'``)."""
+def _gram(k: int):
+    """Sums over a task: ``sum t p p'`` and ``sum t p``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k if gram else k)
+        total = np.zeros((k + 1) * k)
         for batch in batches:
             p, t = batch.column("posterior").flatten().to_numpy().reshape(-1, k), batch.column("tokens").to_numpy().astype(float)
-            total += ((p * t[:, None]).T @ p).ravel() if gram else (fold(p, steps, floor) * t) @ p
+            total += np.append(((p * t[:, None]).T @ p).ravel(), t @ p)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "x"])
 
     return rows
 
 
-def soft_mixing(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | float = 0.5, rounds: int = 12, floor: float = 1.0, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def _trials(vectors: list[np.ndarray], floor: float, k: int):
+    """Sums over a task for each vector: the dual's part, ``sum r t p``, and ``sum t p p'`` of the documents above the floor."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(vectors), 1 + k + k * k))
+        for batch in batches:
+            p, t = batch.column("posterior").flatten().to_numpy().reshape(-1, k), batch.column("tokens").to_numpy().astype(float)
+            for out, v in zip(total, vectors, strict=True):
+                u, r = p @ v, fold(p, [v], floor)
+                above = 1 - u >= floor
+                q = p[above]
+                out[0] += t @ np.where(above, u * u / 2 - u, -floor * u - (1 - floor) ** 2 / 2)
+                out[1 : k + 1] += (r * t) @ p
+                out[k + 1 :] += ((q * t[above, None]).T @ q).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "x"])
+
+    return rows
+
+
+def solve(trial: Callable[[list[np.ndarray]], np.ndarray], gram: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Vector of the rates and their totals; ``trial`` has a row of sums (see ``_trials``) for each vector."""
+    k = len(target)
+    scale = max(1.0, np.abs(target).max())
+    tried = [np.zeros(k)]
+    for _ in range(rounds):
+        got = trial(tried)
+        value = [target @ v + RIDGE / 2 * v @ gram @ v + x[0] for v, x in zip(tried, got, strict=True)]
+        best = int(np.argmin(value))
+        v, total, above = tried[best], got[best, 1 : k + 1], got[best, k + 1 :].reshape(k, k)
+        residual = target + RIDGE * gram @ v - total
+        if np.abs(residual).max() <= tolerance * scale:
+            return v, total
+        step = np.linalg.lstsq(above + RIDGE * gram, residual, rcond=1e-14)[0]
+        tried = [v - x * step for x in _LENGTHS]
+    raise RuntimeError(f"rates not found in {rounds} rounds: totals still off by {np.abs(residual).max() / scale:.2g} of the largest target")
+
+
+def soft_mixing(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | float = 0.5, rounds: int = ROUNDS, floor: float = 1.0, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``doc_id, th, tokens, posterior, rate, copies`` per row of ``docs(doc_id, text)``.
 
     ``weights``: a target weight for each domain, or an exponent put on the
@@ -130,33 +176,28 @@ def soft_mixing(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
     names, k = model["names"], len(model["names"])
     base = C.written(C.keyed(docs).mapInArrow(_posteriors(model), "doc_id long, th long, tokens long, posterior array<double>"), "posteriors")
 
-    def summed(steps, gram=False):
-        got = base.mapInArrow(_totals(steps, floor, k, gram), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(k * k if gram else k)
-        for r in got:
+    def summed(task, size):
+        out = np.zeros(size)
+        for r in base.mapInArrow(task, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             out[r["at"]] = r["x"]
         return out
 
-    inverse = np.linalg.pinv(summed([], gram=True).reshape(k, k), rcond=1e-9)
-    now = summed([])
+    gram, now = np.split(summed(_gram(k), (k + 1) * k), [k * k])
     share = now / max(now.sum(), 1e-300)
     want = np.array([weights.get(n, 0.0) for n in names]) if isinstance(weights, dict) else np.where(share > 0, np.maximum(share, 1e-12) ** weights, 0)
     want = want / max(want.sum(), 1e-300)
     some = want > 0
     target = want * float(np.max(now[some] / want[some])) if some.any() else now
-    steps: list[np.ndarray] = []
-    total = now
-    for _ in range(rounds):
-        step = inverse @ (total - target)
-        if np.abs(total - target).max() <= 1e-6 * max(1.0, np.abs(target).max()):
-            break
-        steps.append(step)
-        total = summed(steps)
+    width = 1 + k + k * k
+    vector, total = solve(lambda vs: summed(_trials(vs, floor, k), len(vs) * width).reshape(len(vs), width), gram.reshape(k, k), target, rounds)
+    miss = np.abs(total / max(total.sum(), 1e-300) - target / max(target.sum(), 1e-300))
+    if miss.max() > 0.01:
+        warnings.warn(f"no rates reach the targets: the share of {names[int(miss.argmax())]} is off by {miss.max():.3f}", stacklevel=2)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("posterior").flatten().to_numpy().reshape(-1, k)
-            rate = np.round(np.where(batch.column("tokens").to_numpy() > 0, fold(p, steps, floor), 1.0), 6)
+            rate = np.round(np.where(batch.column("tokens").to_numpy() > 0, fold(p, [vector], floor), 1.0), 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
 
     out = base.mapInArrow(rated, "doc_id long, th long, tokens long, posterior array<double>, rate double")

@@ -262,3 +262,24 @@ def test_latent_decontamination_of_long_items(spark):
     want = [(50, 0), (51, 1), (52, 2), (53, 3), (60, 3), (62, 2)]
     assert sorted((r.doc_id, r.item_id) for r in latent_decontamination(df, bench).collect()) == want
     assert sorted((r.doc_id, r.item_id) for r in latent_decontamination(df, bench, items_per_block=9).collect()) == want
+
+
+def test_soft_mixing_of_skewed_targets_is_optimal(spark):
+    # texts of mixed words, so that posteriors are soft; most are of one domain, which is hardly wanted
+    words = [[f"{c}{x}" for x in ("ba", "ce", "di", "fo")] for c in "abcd"]
+    share, target = [0.9, 0.05, 0.03, 0.02], [0.05, 0.05, 0.2, 0.7]
+    of = RNG.choice(4, 1500, p=share)
+    data = [(i, " ".join(words[d if RNG.random() < 0.6 else RNG.integers(4)][RNG.integers(4)] for _ in range(40))) for i, d in enumerate(of)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "abcd"[d]) for i, d in enumerate(of)], "doc_id long, domain string")
+    got = soft_mixing(df, labelled, dict(zip("abcd", target, strict=True))).toPandas()
+    p, rate, t = np.array(got.posterior.tolist()), got.rate.to_numpy(), got.tokens.to_numpy()
+    gram, now, want = (p * t[:, None]).T @ p, t @ p, np.array(target)
+    b = want * (now / want).max()
+    g = np.linalg.solve(gram, (rate * t) @ p - b)
+    # the projected gradient of every document
+    assert np.abs(rate - np.maximum(1, rate - p @ g)).max() < 1e-3
+    total = (rate * t) @ p
+    assert np.abs(total / total.sum() - want).max() < 0.02
+    with pytest.raises(RuntimeError, match="rounds"):
+        soft_mixing(df, labelled, dict(zip("abcd", target, strict=True)), rounds=2)
