@@ -20,9 +20,12 @@ document against the rest. Targets are scaled so that the domain furthest above
 its weight keeps its tokens: with ``floor`` 1 rates start at 1 and none falls
 below, so documents are repeated and none is dropped.
 
-The classifier (softmax over hashed byte pairs) is fitted on the driver from at
-most ``TRAIN_DOCS`` labelled documents and ``TRAIN_BYTES`` bytes of each; all
-documents are scored whole.
+Domains are all those of labelled documents with text. The classifier (softmax
+over hashed byte pairs) is fitted on the driver from a sample by domain, about
+``TRAIN_DOCS`` in their shares but ``LEAST`` of each domain if it has so many
+(less where there are many domains), weighted back to the shares; of each text,
+the first ``TRAIN_BYTES`` bytes count. All documents are scored whole. A target
+weight for a domain without labelled text raises.
 
 Defined cases: NULL or empty text has no tokens, rate 1 and one copy. Without labels there
 is one domain. Repeated rows get equal rates; extra columns are kept.
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from framescope.llm import common as C
 
 
-TRAIN_DOCS, TRAIN_BYTES, BUCKETS = 3000, 20_000, 4096
+TRAIN_DOCS, TRAIN_BYTES, BUCKETS, LEAST = 3000, 20_000, 4096, 100
 RIDGE, TOLERANCE, ROUNDS = 1e-7, 1e-7, 100
 #: lengths of a Newton step that a pass tries
 _LENGTHS = [4.0**-j for j in range(14)]
@@ -60,12 +63,15 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt(out), words
 
 
-def fit(texts: list[bytes], domains: list[str], rounds: int = 120) -> dict:
-    """Softmax weights by gradient descent with momentum."""
+def fit(texts: list[bytes], domains: list[str], counts: dict[str, int] | None = None, rounds: int = 120) -> dict:
+    """Softmax weights by gradient descent with momentum; ``counts``: how many documents each domain's texts stand for."""
     names = sorted(set(domains))
     if len(names) < 2:
         return {"names": names or ["all"], "w": None}
     x, _ = features(texts)
+    had = {n: domains.count(n) for n in names}
+    of = np.array([(counts or had)[d] / had[d] for d in domains])
+    of = (of / of.sum())[:, None]
     y = np.eye(len(names))[[names.index(d) for d in domains]]
     w, b = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
     mw, mb = np.zeros_like(w), np.zeros_like(b)
@@ -73,18 +79,33 @@ def fit(texts: list[bytes], domains: list[str], rounds: int = 120) -> dict:
         z = x @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        mw, mb = 0.9 * mw + x.T @ (y - p) / len(x) - 1e-5 * w, 0.9 * mb + (y - p).mean(0)
+        mw, mb = 0.9 * mw + x.T @ (of * (y - p)) - 1e-5 * w, 0.9 * mb + (of * (y - p)).sum(0)
         w, b = w + 2.0 * mw, b + 0.5 * mb
     return {"names": names, "w": w.astype(np.float32), "b": b.astype(np.float32)}
 
 
 def train(docs: DataFrame, labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
-    """Fit on ``labelled(doc_id, domain)``: the ``train_docs`` rows of least hash."""
+    """Fit on ``labelled(doc_id, domain)``: of each domain, the rows of least hash."""
     known = labelled.where("doc_id is not null and domain is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain"))
-    known = known.orderBy(F.xxhash64("doc_id"), "domain").limit(train_docs)
-    rows = C.keyed(docs).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(known), "doc_id").select("doc_id", "text", "domain")
-    got = sorted((r["doc_id"], r["text"], r["domain"]) for r in rows.limit(2 * train_docs).collect())
-    return fit([t.encode() for _, t, _ in got], [d for _, _, d in got])
+    rows = C.keyed(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    known = C.written(known.distinct().join(rows.select("doc_id").distinct(), "doc_id"), "labelled")
+    counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return fit([], [])
+    least, total = min(LEAST, max(1, train_docs // len(counts))), sum(counts.values())
+    size = {d: min(n, max(least, -(-train_docs * n // total))) for d, n in counts.items()}
+    # rows below a hash that half as many again as wanted, and 50 more, are expected to pass; the least of them are taken
+    hashed = F.pmod(F.xxhash64("doc_id", "domain"), F.lit(1 << 30))
+    bound = docs.sparkSession.createDataFrame([(d, int(min(1.0, (1.5 * size[d] + 50) / n) * (1 << 30))) for d, n in counts.items()], "domain string, bound long")
+    taken = known.join(F.broadcast(bound), "domain").where(hashed < F.col("bound")).select("doc_id", "domain", hashed.alias("h"))
+    taken = rows.join(F.broadcast(taken), "doc_id").groupBy("domain", "h", "doc_id").agg(F.min(F.substr("text", F.lit(1), F.lit(TRAIN_BYTES))).alias("text"))
+    left, texts, domains = dict(size), [], []
+    for r in sorted(taken.collect(), key=lambda r: (r["domain"], r["h"], r["doc_id"])):
+        if left[r["domain"]] > 0:
+            left[r["domain"]] -= 1
+            texts.append(r["text"].encode()[:TRAIN_BYTES])
+            domains.append(r["domain"])
+    return fit(texts, domains, counts)
 
 
 def _posteriors(model: dict):
@@ -174,6 +195,8 @@ def soft_mixing(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
     """
     model = train(docs, labelled, train_docs)
     names, k = model["names"], len(model["names"])
+    if isinstance(weights, dict) and (unknown := sorted(n for n, x in weights.items() if x > 0 and n not in names)):
+        raise ValueError(f"domains with a target weight but no labelled text: {', '.join(unknown)}")
     base = C.written(C.keyed(docs).mapInArrow(_posteriors(model), "doc_id long, th long, tokens long, posterior array<double>"), "posteriors")
 
     def summed(task, size):

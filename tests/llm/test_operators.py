@@ -283,3 +283,17 @@ def test_soft_mixing_of_skewed_targets_is_optimal(spark):
     assert np.abs(total / total.sum() - want).max() < 0.02
     with pytest.raises(RuntimeError, match="rounds"):
         soft_mixing(df, labelled, dict(zip("abcd", target, strict=True)), rounds=2)
+
+
+def test_soft_mixing_keeps_rare_domains(spark):
+    # one labelled document in 400 is "fr", and all of those are long
+    data = [(i, " ".join(RNG.choice(["the", "and", "with"], 30))) for i in range(2000)] + [(3000 + i, "vous êtes quelque " * 2000) for i in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "en" if i < 3000 else "fr") for i, _ in data] + [(9999, "de")], "doc_id long, domain string")
+    got = soft_mixing(df, labelled, {"en": 0.5, "fr": 0.5}, train_docs=60).toPandas()
+    p, rate, t = np.array(got.posterior.tolist()), got.rate.to_numpy(), got.tokens.to_numpy()
+    total = (rate * t) @ p
+    assert p.shape[1] == 2 and np.abs(total / total.sum() - 0.5).max() < 0.03  # as near as the floor lets it
+    assert (p[got.doc_id >= 3000, 1] > 0.5).all() and (p[got.doc_id < 3000, 0] > 0.5).all()
+    with pytest.raises(ValueError, match="de"):
+        soft_mixing(df, labelled, {"en": 0.5, "de": 0.5})
