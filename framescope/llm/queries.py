@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescope.llm import pii_sanitise, quality_crf, secret_scan
+from framescope.llm.equal_average_codes import equal_average_codes
+from framescope.llm.interval_ranking import interval_ranking
 from framescope.llm.jaccard_join import jaccard_join
 from framescope.llm.latent_decontamination import latent_decontamination
 from framescope.llm.soft_mixing import soft_mixing
+from framescope.llm.stable_knn import stable_knn
 from framescope.llm.substring_dedup import substring_dedup
 from framescope.llm.suffix_dedup import suffix_dedup
 from framescope.llm.token_output import token_output
@@ -71,6 +74,22 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op11_stable_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return stable_knn(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_interval_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interval_ranking(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op13_equal_average_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(finite)
+    return equal_average_codes(vectors.select("vec_id", "label", F.transform(x, lambda c: F.floor(c * 1024)).alias("v")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_latent_decontamination": op2_latent_decontamination,
@@ -82,8 +101,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_output": op9_token_output,
     "op10_topk_search": op10_topk_search,
+    "op11_stable_knn": op11_stable_knn,
+    "op12_interval_ranking": op12_interval_ranking,
+    "op13_equal_average_codes": op13_equal_average_codes,
 }
 
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Four rounds of assignment and means, written out; distances of integers in doubles are exact."""
+    steps = [
+        """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, vec_id, e[p * (len(e) // 4) + 1:(p + 1) * (len(e) // 4)] AS e FROM v, range(4) t(p)),
+b0 AS MATERIALIZED (SELECT p, c, e FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id, r) - 1 AS c, e FROM x) WHERE c < 256)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT r, p, min(list_value(d, c)) AS best FROM (SELECT x.r, p, b.c,
+ list_inner_product(x.e, x.e) - 2 * list_inner_product(x.e, b.e) + list_inner_product(b.e, b.e) AS d FROM x JOIN b{k} b USING (p)) GROUP BY r, p)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""m{k} AS (SELECT p, c, list(m ORDER BY j) AS e FROM (SELECT p, c, j, floor(sum(y) / count(*)) AS m FROM
+ (SELECT p, best[2] AS c, unnest(e) AS y, unnest(range(1, len(e) + 1)) AS j FROM a{k} JOIN x USING (r, p)) GROUP BY p, c, j) GROUP BY p, c),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.c, coalesce(m.e, b.e) AS e FROM b{k} b LEFT JOIN m{k} m ON m.p = b.p AND m.c = b.c)"""
+            )
+    steps.append(
+        f"""o AS (SELECT r, string_agg(format('{{:02x}}', CAST(best[2] AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, c, j)) AS codebooks_sha256
+ FROM (SELECT p, c, unnest(e) AS y, unnest(range(1, len(e) + 1)) AS j FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN v USING (r), h"""
+    )
+    return ",\n".join(steps)
+
+
 ORACLE: dict[str, str] = {
     "op6_substring_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -130,4 +181,16 @@ r AS (SELECT doc_id AS x, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r
 SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
 """,
+    "op12_interval_ranking": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS nl FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, t, count(*) AS tf, CAST(any_value(n) AS BIGINT) AS nt FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) SEMI JOIN i USING (t) GROUP BY doc_id, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+x AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * nt * nd) // nl))) AS v FROM p JOIN f USING (t), s),
+r AS (SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM i JOIN x USING (t) GROUP BY item_id, doc_id HAVING sum(v) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+""",
+    "op13_equal_average_codes": _codes_sql(),
 }
