@@ -38,7 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory, setting a scratch one only if none is set.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is left
-    alone; the scratch folder is for local runs and tests only.
+    alone; the scratch folder is for a local master only. Anywhere else an
+    unset folder raises: executors would write to disks the others cannot read.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc_dir = spark.sparkContext.getCheckpointDir()
@@ -48,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     if sc_dir:
         return sc_dir
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="framescope-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -35,7 +35,9 @@ def test_entry_runs_with_stable_schema(spark):
 def test_every_query_has_sql_unless_rows_only():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
-    assert set(q) - set(sql) == {"coverage_bootstrap"}
+    # the training-data subpackage may be absent; what it has without SQL is tested against brute force in tests/llm
+    rest = {n for n in set(q) - set(sql) if n != "pipeline" and not n.startswith("op")}
+    assert rest == {"coverage_bootstrap"}
 
 
 @pytest.mark.parametrize("name", ["flagship_coverage", "topk_dense", "sentences", "top_terms", "topk_sparse", "coverage_by_doc"])
