@@ -3,7 +3,11 @@
 score(sentence, query) = sum_t tf_s(t) * tf_q(t) / (|tf_s| * |tf_q|) over the
 alphabetic, lower-cased, non-stopword terms; rounded to 6 decimals.
 
-Plan (one shuffle of the raw documents, then none):
+:func:`topk_sparse` and :func:`compare_strategies` run the pruned search of
+:mod:`pruned` (document blocks, running k-th score) while the framework's terms
+are small enough to go to every task; beyond that check, the joins below.
+
+Plan of the joins (one shuffle of the raw documents, then none):
 
 1. ``repartition(doc key)``: every later stage -- sentence and term
    explosion, term counts, sentence norms (a window, not a join), the
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from ..functions.text import letter_tokens, sentence_array
 from ..functions.vectors import ROUND_DIGITS
 from ..functions.wordlists import ENGLISH_STOPWORDS
+from . import pruned
 from .guards import MAX_BROADCAST_QUERIES, MAX_BROADCAST_QUERY_TERMS, checked_broadcast, fetched_if_small, key_partitions, spread
 
 
@@ -158,8 +163,14 @@ def topk_sparse(
     window and the zero-score fill is not needed.
     """
     qkeys = list(query_keys)
-    sents = document_sentences(docs, key, text, partitions)
     qterms = query_terms(queries.select(*qkeys, query_text), qkeys, query_text, stopwords)
+    side = pruned.query_side(queries, qkeys, qterms)
+    if side is not None:
+        return pruned.topk_terms(
+            docs, side, k, key=key, text=text, query_types=[queries.schema[c] for c in qkeys], stopwords=stopwords, partitions=partitions,
+            with_sentence=with_sentence, min_score=min_score, with_corpus_size=with_corpus_size,
+        )
+    sents = document_sentences(docs, key, text, partitions)
     scored = sparse_scores(sents, qterms, qkeys, key=key, stopwords=stopwords)
     if min_score is not None and min_score > 0:
         top = _rank(scored.where(F.col("score") >= F.lit(float(min_score))), k, key, qkeys)
@@ -169,9 +180,8 @@ def topk_sparse(
         out = _complete_topk(sents, top, _query_keys(queries, qkeys).df, k, key, qkeys)
     if with_sentence or with_corpus_size:
         out = attach_sentences(out, sents, key=key, corpus_size=with_corpus_size)
-        if not with_sentence:
-            out = out.drop("sentence")
-    return out
+    extra = ["sentence"] * with_sentence + ["corpus_size"] * with_corpus_size
+    return out.select(key, *qkeys, F.col("rank").cast("long").alias("rank"), "score", "sentence_index", *extra)
 
 
 def rarest_terms(
@@ -229,6 +239,12 @@ def compare_strategies(
     kw = queries.join(keywords, query_id, "left").select(
         query_id, keyword_query(F.col(query_text), F.col("keywords")).alias("qtext")
     )
+    phrased = defs.withColumn("_s", F.lit(0)).unionByName(kw.withColumn("_s", F.lit(1)))
+    side = pruned.query_side(phrased, ["_s", query_id], query_terms(phrased, ["_s", query_id], "qtext", stopwords))
+    if side is not None and side.keys:
+        sums = pruned.topk_sums(docs, side, k, [r[0] for r in side.keys], key=key, text=text, stopwords=stopwords)
+        name = F.when(F.col("group") == 0, "definition").otherwise("keywords")
+        return sums.select(key, name.alias("strategy"), "score_micro", "k_used", F.lit(len(side.keys) // 2).cast("long").alias("n_queries"))
     qd = query_terms(defs, [query_id], "qtext", stopwords).select(query_id, "term", F.col("qtf").alias("qtf_d"), F.col("qnorm").alias("qn_d"))
     qk = query_terms(kw, [query_id], "qtext", stopwords).select(query_id, "term", F.col("qtf").alias("qtf_k"), F.col("qnorm").alias("qn_k"))
     both = qd.join(qk, [query_id, "term"], "full").select(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
-from ..operators import codes, dense, search, sparse, stats, terms
+from ..operators import boundaries, codes, dense, search, sparse, stats, terms
 from ..operators import coverage as cov
 from .tables import load, parameter_names, query_vectors, sentence_vectors, vector_framework
 
@@ -195,6 +195,20 @@ def sentences(spark, sf_dir):
     return terms.sentences(load(spark, sf_dir, "documents"))
 
 
+@register
+def boundary_model(spark, sf_dir):
+    """Abbreviations, sentence starters and collocations learned from all documents, with counts and scores."""
+    table = boundaries.learn(load(spark, sf_dir, "documents")).table()
+    return table.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
+@register
+def sentences_trained(spark, sf_dir):
+    """Every document split at the boundaries learned from all documents."""
+    docs = load(spark, sf_dir, "documents")
+    return boundaries.split(docs, boundaries.learn(docs))
+
+
 @register
 def corpus_size(spark, sf_dir):
     """Sentences per document."""
@@ -389,26 +403,28 @@ def bench_parameters(spark, sf_dir) -> list[str]:
     return [f"i{i:03d}" for i in query_ids(load(spark, sf_dir, "benchmark"), "item_id")]
 
 
-def review_table(spark, sf_dir, with_text=True):
+def review_table(spark, sf_dir, with_text=True, with_size=None):
     """Stand-in for the manual review: each candidate sentence coded with its best items.
 
     One row per (document, sentence) at or above the threshold; the codes are
     item definitions, primary = best score, alternates 1-4 next (ties by item).
-    ``with_text=False`` leaves out the sentence text and the corpus size (their
-    attachment is a second pass over all sentences); the counts that only key
-    on the sentence are the same either way.
+    ``with_text=False`` leaves out the sentence text and, unless ``with_size``, the
+    document's sentence count; the counts that only key on the sentence are
+    the same either way. Codes are ranked by item; the definition texts join
+    the ranked rows and are spread to columns on the same partitioning.
     """
-    m = _sparse_candidates(spark, sf_dir, with_corpus_size=with_text, with_sentence=with_text)
+    with_size = with_text if with_size is None else with_size
+    m = _sparse_candidates(spark, sf_dir, with_corpus_size=with_size, with_sentence=with_text)
     # no hint: Catalyst broadcasts the texts only while their bytes allow it
     defs = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("definition"))
     w = Window.partitionBy("doc_id", "sentence_index").orderBy(F.desc("score"), F.asc("query_id"))
-    coded = m.join(defs, "query_id").withColumn("code_rank", F.row_number().over(w)).where(F.col("code_rank") <= 5)
-    extra = ["sentence", "corpus_size"] if with_text else []
-    wide = coded.groupBy("doc_id", "sentence_index", *extra).pivot("code_rank", [1, 2, 3, 4, 5]).agg(F.first("definition"))
-    return wide.select(
-        F.col("doc_id").alias("policy_title"), "sentence_index", *extra,
-        *[F.col(str(i + 1)).alias(c) for i, c in enumerate(codes.CODE_COLUMNS)],
+    coded = m.withColumn("code_rank", F.row_number().over(w)).where(F.col("code_rank") <= 5).join(defs, "query_id")
+    extra = ["sentence"] * with_text + ["corpus_size"] * with_size
+    wide = coded.groupBy("doc_id", "sentence_index").agg(
+        *[F.first(c).alias(c) for c in extra],
+        *[F.max(F.when(F.col("code_rank") == i + 1, F.col("definition"))).alias(c) for i, c in enumerate(codes.CODE_COLUMNS)],
     )
+    return wide.select(F.col("doc_id").alias("policy_title"), "sentence_index", *extra, *codes.CODE_COLUMNS)
 
 
 def _melted(spark, sf_dir, with_text=True):
@@ -447,7 +463,8 @@ def count_codes(spark, sf_dir):
 @register
 def doc_parameter_matrix(spark, sf_dir):
     """Documents x parameters with metadata and corpus size; NULL counts for documents without codes."""
-    melted = codes.melt_codes(review_table(spark, sf_dir), bench_framework(spark, sf_dir), keep=["corpus_size"])
+    review = review_table(spark, sf_dir, with_text=False, with_size=True)
+    melted = codes.melt_codes(review, bench_framework(spark, sf_dir), sentence="sentence_index", keep=["corpus_size"])
     counts = codes.count_codes(melted, carry=["corpus_size"])
     return codes.doc_parameter_matrix(counts, _metadata(spark, sf_dir), bench_parameters(spark, sf_dir))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from ..functions.text import LETTERS, NON_WS, PUNCT, SENTENCE_END, TRIM, WS
 from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS
+from ..operators import boundaries as B
 from .catalog import LEMMA_ROWS
 from .tables import N_PARAMETERS, parameter_names
 
@@ -505,3 +506,80 @@ ORACLE["coded_top_phrases"] = f"WITH {_REVIEW}, {_CODED} {top_sql(phrases_sql(sr
 ORACLE["coded_phrases_by_parameter"] = (
     f"WITH {_REVIEW}, {_CODED_K} {top_sql(phrases_sql('parameter', src='mk'), 20, 'parameter', term='phrase')}"
 )
+
+
+# ---------------------------------------------------------------- learned sentence boundaries
+
+
+def _core_sql(t: str) -> str:
+    return f"regexp_replace({t}, '{B.EDGES.replace(chr(39), chr(39) * 2)}', '', 'g')"
+
+
+def _token_sql(t: str) -> str:
+    """Struct of what a token is: type, period, sure end, shape."""
+    c = _core_sql(t)
+    bare = f"regexp_replace({c}, '\\.$', '')"
+    return (
+        f"{{'type': CASE WHEN regexp_matches({bare}, '{B.NUMBER}') THEN '{B.NUMBERS}' ELSE lower({bare}) END, "
+        f"'period': regexp_matches({c}, '[^.]\\.$'), 'sure': regexp_matches({t}, '{B.SURE_END}'), "
+        f"'shape': CASE WHEN regexp_matches({c}, '^\\p{{Lu}}') THEN 'upper' WHEN regexp_matches({c}, '^\\p{{Ll}}') THEN 'lower' ELSE 'none' END}}"
+    )
+
+
+def _words_sql(t: str) -> str:
+    return f"list_filter(regexp_split_to_array({t}, '{WS}+'), lambda w: w <> '')"
+
+
+def _xlog(n: str, p: str) -> str:
+    return f"(CASE WHEN {n} = 0 THEN 0.0 ELSE {n} * ln(greatest({p}, 1e-300)) END)"
+
+
+def _llr_sql(a: str, b: str, ab: str, n: str) -> str:
+    p, p1, p2 = f"({b}) / ({n})", f"({ab}) / ({a})", f"(({b}) - ({ab})) / (({n}) - ({a}))"
+    counts = [f"({ab})", f"(({a}) - ({ab}))", f"(({b}) - ({ab}))", f"(({n}) - ({a}) - ({b}) + ({ab}))"]
+    same = " + ".join(_xlog(c, q) for c, q in zip(counts, (p, f"1 - {p}", p, f"1 - {p}")))
+    apart = " + ".join(_xlog(c, q) for c, q in zip(counts, (p1, f"1 - {p1}", p2, f"1 - {p2}")))
+    return f"-2 * (({same}) - ({apart}))"
+
+
+_BOUNDARY_MODEL = f"""tok AS MATERIALIZED (SELECT {_token_sql('a')} AS a, CASE WHEN b IS NOT NULL THEN {_token_sql('b')} END AS b FROM
+ (SELECT unnest(w) AS a, unnest(list_append(w[2:], NULL)) AS b FROM (SELECT {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0)),
+cnt AS MATERIALIZED (SELECT a.type AS type, count_if(a.period)::BIGINT AS n_with, count_if(NOT a.period)::BIGINT AS n_without, count_if(a.shape = 'lower')::BIGINT AS n_lower FROM tok GROUP BY 1),
+tot AS (SELECT sum(n_with + n_without)::DOUBLE AS n, sum(n_with)::DOUBLE AS np FROM cnt),
+abb AS MATERIALIZED (SELECT type, n_with AS n, score FROM (SELECT c.*, length(replace(type, '.', '')) AS bare,
+  -2 * ({_xlog('n_with', 'np / tot.n')} + {_xlog('n_without', '1 - np / tot.n')} - {_xlog('n_with', '0.99')} - {_xlog('n_without', '1 - 0.99')})
+  * exp(-length(replace(type, '.', ''))) * (length(type) - length(replace(type, '.', '')) + 1) * pow(length(replace(type, '.', ''))::DOUBLE, -n_without) AS score
+  FROM cnt c, tot WHERE n_with > 0 AND regexp_matches(type, '\\p{{L}}') AND type <> '{B.NUMBERS}') WHERE score >= {B.ABBREVIATION}),
+seen AS (SELECT tok.a AS a, tok.b AS b, x.type IS NOT NULL AS abbr, tok.a.period AND regexp_matches(tok.a.type, '^\\p{{L}}$') AS ini, tok.a.period AND tok.a.type = '{B.NUMBERS}' AS num
+  FROM tok LEFT JOIN abb x ON x.type = tok.a.type WHERE tok.b IS NOT NULL),
+aft AS MATERIALIZED (SELECT a.type AS type, b.type AS next, count_if(a.sure OR (a.period AND NOT abbr AND NOT ini AND NOT num))::BIGINT AS n_end,
+  count_if(a.period AND (abbr OR ini OR num))::BIGINT AS n_weak, count_if(b.shape = 'upper' AND NOT a.period AND NOT a.sure)::BIGINT AS n_upper FROM seen GROUP BY 1, 2),
+nxt AS MATERIALIZED (SELECT next, sum(n_end)::BIGINT AS n_end, sum(n_upper)::BIGINT AS n_upper FROM aft GROUP BY next),
+ends AS (SELECT sum(n_end)::DOUBLE AS ne FROM nxt),
+siz AS (SELECT type, n_with + n_without AS nt, n_lower FROM cnt),
+sta AS MATERIALIZED (SELECT type, n, score FROM (SELECT z.type, x.n_end AS n, {_llr_sql('ne', 'nt', 'x.n_end', 'tot.n')} AS score, x.n_end * tot.n > nt * ne AS more
+  FROM nxt x JOIN siz z ON z.type = x.next, tot, ends WHERE x.n_end > 0 AND regexp_matches(x.next, '\\p{{L}}')) WHERE score >= {B.STARTER} AND more),
+col AS MATERIALIZED (SELECT type, next, n, score FROM (SELECT x.type, x.next, x.n_weak AS n, {_llr_sql('z.nt', 'y.nt', 'x.n_weak', 'tot.n')} AS score, x.n_weak * tot.n > z.nt * y.nt AS more
+  FROM aft x JOIN siz z ON z.type = x.type JOIN siz y ON y.type = x.next, tot WHERE x.n_weak > 1 AND regexp_matches(x.next, '\\p{{L}}')) WHERE score >= {B.COLLOCATION} AND more)"""
+
+ORACLE["boundary_model"] = f"""WITH {_BOUNDARY_MODEL}
+SELECT 'abbreviation' AS kind, type, NULL::VARCHAR AS next, n, {_r('score')} AS score FROM abb UNION ALL
+SELECT 'starter', type, NULL, n, {_r('score')} FROM sta UNION ALL SELECT 'collocation', type, next, n, {_r('score')} FROM col"""
+
+_PIECES_SQL = (
+    f"string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{TRIM}', '', 'g'), "
+    f"'{SENTENCE_END[:-1].removesuffix(WS)}({WS}+)', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+)
+
+ORACLE["sentences_trained"] = f"""WITH {_BOUNDARY_MODEL},
+pie AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS i, unnest(list_append(p[2:], NULL)) AS follow FROM (SELECT doc_id, {_PIECES_SQL} AS p FROM documents)),
+des AS (SELECT doc_id, piece, i, CASE WHEN len(w) > 0 THEN {_token_sql('w[-1]')} END AS a, CASE WHEN len(v) > 0 THEN {_token_sql('v[1]')} END AS b
+  FROM (SELECT *, {_words_sql('piece')} AS w, {_words_sql('follow')} AS v FROM pie)),
+bnd AS (SELECT doc_id, piece, i, CASE WHEN d.a.sure OR NOT d.a.period THEN 1 WHEN c.type IS NOT NULL THEN 0
+  WHEN x.type IS NOT NULL THEN (d.b.shape = 'upper' AND (s.type IS NOT NULL OR (coalesce(z.n_lower, 0) > 0 AND coalesce(n.n_upper, 0) = 0)))::INT
+  WHEN regexp_matches(d.a.type, '^\\p{{L}}$') THEN (NOT (d.b.shape = 'upper' AND coalesce(z.n_lower, 0) = 0))::INT
+  WHEN d.a.type = '{B.NUMBERS}' THEN (d.b.shape <> 'lower')::INT ELSE 1 END AS e
+  FROM des d LEFT JOIN abb x ON x.type = d.a.type LEFT JOIN col c ON c.type = d.a.type AND c.next = d.b.type LEFT JOIN sta s ON s.type = d.b.type
+  LEFT JOIN siz z ON z.type = d.b.type LEFT JOIN nxt n ON n.next = d.b.type),
+num AS (SELECT doc_id, piece, i, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence_index FROM bnd)
+SELECT * FROM (SELECT doc_id, sentence_index, regexp_replace(string_agg(piece, '' ORDER BY i), '{TRIM}', '', 'g') AS sentence FROM num GROUP BY doc_id, sentence_index) WHERE sentence <> ''"""
