@@ -86,6 +86,20 @@ def letter_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LETTERS), 0)
 
 
+#: a word with inner apostrophes, or one other sign that is no white space
+TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*|[^\p{L}\p{N}\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
+
+
+def word_tokens(text: Column) -> Column:
+    """Whole tokens in order: words (digits and inner apostrophes included) and single signs."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
+
+
+def is_alpha(token: Column) -> Column:
+    """Is the whole token letters? ("don't" and "covid19" are not)"""
+    return token.rlike(r"^\p{L}+$")
+
+
 def file_slug(name: Column) -> Column:
     """Lower-case, spaces to underscores, '&' to 'and' (output file names)."""
     return F.replace(F.replace(F.lower(name), F.lit(" "), F.lit("_")), F.lit("&"), F.lit("and"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, letter_tokens, sentence_array, split_words
+from ..functions.text import clean_text, is_alpha, letter_tokens, sentence_array, split_words, word_tokens
 from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS
 from .guards import checked_broadcast, spread
 
@@ -91,8 +91,11 @@ def clean_tokens(
     return out if lemmas is None else out.drop("_text_key", "_words")
 
 
-def tokens_long(df: DataFrame, *, text: str = "text", keys=()) -> DataFrame:
-    """(keys..., position, surface): alphabetic tokens of each row, lower-cased."""
+def tokens_long(df: DataFrame, *, text: str = "text", keys=(), whole: bool = False) -> DataFrame:
+    """(keys..., position, surface): alphabetic tokens of each row, lower-cased; ``whole``: tokens that are letters throughout, no runs of letters inside others."""
+    if whole:
+        toks = df.select(*keys, F.posexplode(word_tokens(F.col(text))).alias("position", "surface")).where(is_alpha(F.col("surface")))
+        return toks.withColumn("surface", F.lower("surface"))
     return df.select(*keys, F.posexplode(letter_tokens(F.col(text))).alias("position", "surface"))
 
 
@@ -112,12 +115,18 @@ def word_counts(
     lemmas: DataFrame | None = None,
     min_length: int = 4,
     keep_pos=CONTENT_POS,
+    whole: bool = False,
+    surface_stopwords=None,
 ) -> DataFrame:
     """(by..., term, n): alphabetic words longer than ``min_length - 1`` on the surface,
-    lemmatised, stopwords removed on the lemma, part of speech in ``keep_pos`` when known (G24)."""
+    lemmatised, stopwords removed on the lemma, part of speech in ``keep_pos`` when known (G24).
+
+    ``whole`` takes only tokens that are letters throughout ("don't" and "covid19"
+    are dropped, not cut); ``surface_stopwords`` are removed before lemmas are looked up.
+    """
     keys = _keys(by)
-    toks = tokens_long(spread(df.select(*keys, text)), text=text, keys=keys).where(F.length("surface") >= min_length)
-    toks = _apply_lemmas(toks, lemmas)
+    toks = tokens_long(spread(df.select(*keys, text)), text=text, keys=keys, whole=whole).where(F.length("surface") >= min_length)
+    toks = _apply_lemmas(toks.where(_not_stop(F.col("surface"), surface_stopwords)), lemmas)
     cond = _not_stop(F.col("term"), stopwords)
     if keep_pos is not None and lemmas is not None:
         cond = cond & (F.col("tag").isNull() | F.col("tag").isin(list(keep_pos)))

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_count
-from ..operators import boundaries, codes, dense, search, sparse, stats, terms
+from ..functions.text import is_alpha, word_count, word_tokens
+from ..functions.wordlists import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS
+from ..operators import boundaries, codes, dense, search, sparse, stats, tagging, terms
 from ..operators import coverage as cov
 from .tables import load, parameter_names, query_vectors, sentence_vectors, vector_framework
 
@@ -282,6 +283,83 @@ def lemma_frequency(spark, sf_dir):
     return terms.word_counts(load(spark, sf_dir, "documents"), lemmas=lemma_table(spark))
 
 
+@register
+def term_frequency_whole(spark, sf_dir):
+    """Words of letters throughout, stopwords on the surface and custom stopwords on the lemma."""
+    docs = load(spark, sf_dir, "documents")
+    return terms.word_counts(docs, lemmas=lemma_table(spark), whole=True, surface_stopwords=ENGLISH_STOPWORDS, stopwords=CUSTOM_STOPWORDS)
+
+
+#: tags of words by their last letters, for texts that nobody has tagged; the first that fits
+TAG_ENDINGS = [("tion", "NOUN"), ("ment", "NOUN"), ("ly", "ADV"), ("en", "VERB"), ("er", "NOUN"), ("on", "NOUN"), ("es", "NOUN"), ("o", "ADJ"), ("a", "ADJ"), ("d", "VERB")]
+
+
+def tagged_sentences(spark, sf_dir):
+    """Stand-in for a tagged corpus: (doc_id, sentence_index, tokens, tags), tags by the lemma table and word endings."""
+    sents = sentences(spark, sf_dir)
+    table = F.create_map(*[F.lit(x) for surface, pos, _ in LEMMA_ROWS for x in (surface, pos)])
+
+    def rule(w):
+        low = F.lower(w)
+        out = F.when(~is_alpha(w), F.when(w.rlike("^[0-9]"), "NUM").otherwise("PUNCT")).when(F.element_at(table, low).isNotNull(), F.element_at(table, low))
+        for ending, pos in TAG_ENDINGS:
+            out = out.when(low.endswith(ending), pos)
+        return out.when(F.char_length(w) <= 3, "DET").otherwise("PROPN")
+
+    toks = sents.select("doc_id", "sentence_index", word_tokens(F.col("sentence")).alias("tokens"))
+    return toks.where(F.size("tokens") > 0).withColumn("tags", F.transform("tokens", rule))
+
+
+def _tag_model(spark, sf_dir):
+    rows = tagged_sentences(spark, sf_dir).select("doc_id", "sentence_index", F.posexplode(F.arrays_zip("tokens", "tags")).alias("position", "x"))
+    return tagging.train(rows.select("doc_id", "sentence_index", "position", F.col("x.tokens").alias("token"), F.col("x.tags").alias("tag")), ["doc_id", "sentence_index"])
+
+
+@register
+def tag_counts(spark, sf_dir):
+    """The tagger's training counts over all documents: tag trigrams, tags of words, tags of suffixes of rare words."""
+    m = _tag_model(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    three = m.trigrams.select(F.lit("trigram").alias("kind"), F.col("t1").alias("a"), F.col("t2").alias("b"), F.col("t3").alias("c"), "n")
+    words = m.words.select(F.lit("word"), "word", "tag", none, "n")
+    return three.union(words).union(m.suffixes.select(F.lit("suffix"), "suffix", "tag", none, "n"))
+
+
+@register
+def tagged_items(spark, sf_dir):
+    """Benchmark items tagged by the tagger trained on all documents (a decoder: no SQL, held to brute force in the tests)."""
+    items = load(spark, sf_dir, "benchmark").select("item_id", word_tokens(F.col("text")).alias("tokens"))
+    return tagging.tag(items, _tag_model(spark, sf_dir), ["item_id"])
+
+
+@register
+def noun_chunk_phrases(spark, sf_dir):
+    """Noun chunks left with exactly two words, counted by language over all documents."""
+    tagged = tagged_sentences(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    lemmas = lemma_table(spark).select("surface", "lemma")
+    return tagging.chunk_phrases(tagged, by=["lang"], lemmas=lemmas, custom=CUSTOM_STOPWORDS)
+
+
+def _lemma_pairs(spark, sf_dir):
+    """(surface, lemma) of the benchmark's words: the lemma table's, else without the ending of a plural or an adverb."""
+    words = terms.tokens_long(load(spark, sf_dir, "benchmark"), text="text").select("surface").distinct()
+    pairs = words.join(F.broadcast(lemma_table(spark).select("surface", F.col("lemma").alias("own"))), "surface", "left")
+    return pairs.select("surface", F.coalesce("own", F.regexp_replace("surface", "(es|s|ly|ns)$", "")).alias("lemma"))
+
+
+@register
+def lemma_rules(spark, sf_dir):
+    """The most frequent edit script of every word ending, learned from the benchmark's words."""
+    return tagging.learn_lemmas(_lemma_pairs(spark, sf_dir))
+
+
+@register
+def learned_lemmas(spark, sf_dir):
+    """Lemma of every distinct word of the documents by the learned scripts."""
+    words = terms.tokens_long(load(spark, sf_dir, "documents"), text="text").select(F.col("surface").alias("word"))
+    return tagging.lemmatise(words, tagging.learn_lemmas(_lemma_pairs(spark, sf_dir)))
+
+
 @register
 def documents_by(spark, sf_dir):
     """Documents per value of each metadata column: (column, value, n), one scan."""

@@ -7,10 +7,10 @@ ranking, thresholding and hashing.
 
 from __future__ import annotations
 
-from ..functions.text import LETTERS, NON_WS, PUNCT, SENTENCE_END, TRIM, WS
-from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, ENGLISH_STOPWORDS
+from ..functions.text import LETTERS, NON_WS, PUNCT, SENTENCE_END, TOKEN, TRIM, WS
+from ..functions.wordlists import ANALYSIS_STOPWORDS, CONTENT_POS, CUSTOM_STOPWORDS, ENGLISH_STOPWORDS
 from ..operators import boundaries as B
-from .catalog import LEMMA_ROWS
+from .catalog import LEMMA_ROWS, TAG_ENDINGS
 from .tables import N_PARAMETERS, parameter_names
 
 ORACLE: dict[str, str] = {}
@@ -583,3 +583,61 @@ bnd AS (SELECT doc_id, piece, i, CASE WHEN d.a.sure OR NOT d.a.period THEN 1 WHE
   LEFT JOIN siz z ON z.type = d.b.type LEFT JOIN nxt n ON n.next = d.b.type),
 num AS (SELECT doc_id, piece, i, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence_index FROM bnd)
 SELECT * FROM (SELECT doc_id, sentence_index, regexp_replace(string_agg(piece, '' ORDER BY i), '{TRIM}', '', 'g') AS sentence FROM num GROUP BY doc_id, sentence_index) WHERE sentence <> ''"""
+
+
+# ---------------------------------------------------------------- whole tokens, tags, chunks, lemmas
+
+_TOKEN_SQL = TOKEN.replace("'", "''")
+_ALPHA = "'^\\p{L}+$'"
+ORACLE["term_frequency_whole"] = f"""WITH {_lemma_values()},
+t AS (SELECT lower(unnest(list_filter(regexp_extract_all(text, '{_TOKEN_SQL}'), lambda w: regexp_matches(w, {_ALPHA})))) AS surface FROM documents)
+SELECT term, count(*)::BIGINT AS n FROM (SELECT coalesce(l.lemma, t.surface) AS term, l.pos AS tag FROM t LEFT JOIN lem l ON l.surface = t.surface
+ WHERE length(t.surface) >= 4 AND NOT list_contains({_lit_list(ENGLISH_STOPWORDS)}, t.surface))
+WHERE NOT list_contains({_lit_list(CUSTOM_STOPWORDS)}, term) AND (tag IS NULL OR list_contains({_lit_list(CONTENT_POS)}, tag)) GROUP BY term"""
+
+_TAG_CASE = (
+    "CASE WHEN NOT regexp_matches(w, " + _ALPHA + ") THEN CASE WHEN regexp_matches(w, '^[0-9]') THEN 'NUM' ELSE 'PUNCT' END "
+    + " ".join(f"WHEN lower(w) = '{x}' THEN '{p}'" for x, p, _ in LEMMA_ROWS)
+    + " " + " ".join(f"WHEN ends_with(lower(w), '{e}') THEN '{p}'" for e, p in TAG_ENDINGS)
+    + " WHEN length(w) <= 3 THEN 'DET' ELSE 'PROPN' END"
+)
+_TAGGED = f"""{SENTS},
+toks AS (SELECT doc_id, sentence_index, regexp_extract_all(sentence, '{_TOKEN_SQL}') AS tokens FROM sents),
+tagged AS MATERIALIZED (SELECT doc_id, sentence_index, position, w, lower(w) AS word, {_TAG_CASE} AS tag FROM
+ (SELECT doc_id, sentence_index, unnest(tokens) AS w, unnest(range(len(tokens))) AS position FROM toks))"""
+
+ORACLE["tag_counts"] = f"""WITH {_TAGGED},
+marks AS (SELECT doc_id, sentence_index, position, tag FROM tagged UNION ALL SELECT doc_id, sentence_index, max(position) + 1, '</s>' FROM tagged GROUP BY ALL),
+three AS (SELECT coalesce(lag(tag, 2) OVER w, '<s>') AS a, coalesce(lag(tag) OVER w, '<s>') AS b, tag AS c FROM marks WINDOW w AS (PARTITION BY doc_id, sentence_index ORDER BY position)),
+words AS (SELECT word, tag, count(*)::BIGINT AS n FROM tagged GROUP BY ALL),
+rare AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY word) AS total FROM words) WHERE total <= 10),
+suf AS (SELECT right(word, i) AS suffix, tag, n FROM (SELECT *, unnest(range(1, least(length(word), 10) + 1)) AS i FROM rare))
+SELECT 'trigram' AS kind, a, b, c, count(*)::BIGINT AS n FROM three GROUP BY a, b, c UNION ALL
+SELECT 'word', word, tag, NULL, n FROM words UNION ALL SELECT 'suffix', suffix, tag, NULL, sum(n)::BIGINT FROM suf GROUP BY suffix, tag"""
+
+ORACLE["noun_chunk_phrases"] = f"""WITH {_TAGGED}, {_lemma_values()},
+cls AS (SELECT *, CASE WHEN tag IN ('NOUN', 'PROPN') THEN 'N' WHEN tag IN ('DET', 'ADJ', 'NUM') THEN 'M' ELSE 'x' END AS s FROM tagged),
+cut AS (SELECT *, CASE WHEN s = 'x' OR lag(s) OVER v = 'x' OR (s = 'M' AND lag(s) OVER v = 'N') THEN 1 ELSE 0 END AS o FROM cls WINDOW v AS (PARTITION BY doc_id, sentence_index ORDER BY position)),
+run AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, sentence_index ORDER BY position) AS r FROM cut),
+chk AS (SELECT *, count_if(s = 'N') OVER (PARTITION BY doc_id, sentence_index, r) AS nouns FROM run),
+kep AS (SELECT c.doc_id, c.sentence_index, c.r, c.position, lower(coalesce(l.lemma, c.word)) AS term FROM chk c LEFT JOIN lem l ON l.surface = c.word
+ WHERE nouns > 0 AND regexp_matches(c.w, {_ALPHA}) AND length(c.w) >= 3 AND NOT list_contains({_lit_list(ENGLISH_STOPWORDS)}, c.word)),
+two AS (SELECT doc_id, sentence_index, r, string_agg(term, ' ' ORDER BY position) AS phrase FROM kep WHERE NOT list_contains({_lit_list(CUSTOM_STOPWORDS)}, term)
+ GROUP BY ALL HAVING count(*) = 2)
+SELECT lang, phrase, count(*)::BIGINT AS n FROM two JOIN documents USING (doc_id) GROUP BY lang, phrase"""
+
+_LEMMA_RULES = f"""{_lemma_values()},
+own AS (SELECT DISTINCT unnest({letters_sql('text')}) AS surface FROM benchmark),
+prs AS (SELECT o.surface, coalesce(l.lemma, regexp_replace(o.surface, '(es|s|ly|ns)$', '')) AS lemma FROM own o LEFT JOIN lem l ON l.surface = o.surface),
+cmn AS (SELECT surface, lemma, coalesce(list_min(list_filter(range(1, least(length(surface), length(lemma)) + 1), lambda i: substr(surface, i, 1) <> substr(lemma, i, 1))) - 1,
+ least(length(surface), length(lemma))) AS k FROM prs),
+scr AS (SELECT list_distinct(list_concat(['', '^' || surface], list_transform(range(1, least(length(surface), 10) + 1), lambda i: right(surface, i)))) AS sx,
+ (length(surface) - k)::INTEGER AS cut, substr(lemma, k + 1) AS added FROM cmn),
+cnt AS (SELECT suffix, cut, added, count(*)::BIGINT AS n FROM (SELECT unnest(sx) AS suffix, cut, added FROM scr) GROUP BY ALL),
+rul AS (SELECT suffix, cut, added, n FROM (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut, added) AS r FROM cnt) WHERE r = 1)"""
+ORACLE["lemma_rules"] = f"WITH {_LEMMA_RULES} SELECT suffix, cut, added, n FROM rul"
+ORACLE["learned_lemmas"] = f"""WITH {_LEMMA_RULES},
+typ AS (SELECT DISTINCT unnest({letters_sql('text')}) AS word FROM documents),
+tri AS (SELECT word, unnest(list_distinct(list_concat(['', '^' || word], list_transform(range(1, least(length(word), 10) + 1), lambda i: right(word, i))))) AS suffix FROM typ),
+hit AS (SELECT t.word, arg_max(left(t.word, (length(t.word) - u.cut)::INTEGER) || u.added, length(u.suffix)) AS lemma FROM tri t JOIN rul u USING (suffix) WHERE u.cut <= length(t.word) GROUP BY t.word)
+SELECT word, coalesce(lemma, word) AS lemma FROM typ LEFT JOIN hit USING (word)"""
