@@ -2,26 +2,29 @@
 
 All exact, all distributed:
 
-* Percentiles use Spark's exact ``percentile`` (linear interpolation, equal
-  to numpy's default). Its buffer is a value -> count map, so its memory is
-  bounded by the number of *distinct* values, not rows; inputs here are
-  rounded scores (at most 2e6+1 distinct values in [-1, 1]) or integer
-  counts/lengths. Do not feed it raw unrounded doubles at scale.
+* The column is read once: the (group, value) pairs are checkpointed, and what
+  needs several looks at them reads those. Quantiles are selections with
+  state independent of the distinct values (:mod:`quantiles`), linearly
+  interpolated as numpy and ``percentile`` do, of raw doubles too.
 * Min/max/n for the histogram and KDE come from one global aggregate; only
   that one summary row reaches the driver.
-* The KDE evaluates every distinct value at a fixed grid (bounded fan-out,
-  partially aggregated per grid point); the bootstrap draws Poisson(1)
-  weights from a hash of (row key, replicate), so it is seeded and needs no
-  resampling shuffle.
+* The KDE joins every distinct value to the grid points its kernel reaches, and
+  no others. The bootstrap draws one weight for each (distinct value,
+  replicate), a Poisson number with the value's count, from an MD5 hash: seeded,
+  the same on every engine, and independent of the number of rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from .quantiles import exact_quantiles
+
 _R = 6  # rounding digits for reported statistics
 
 
@@ -35,41 +38,50 @@ def _groups(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+def _kept(df: DataFrame, col: str, by=None) -> DataFrame:
+    """The groups and the column as doubles ``_v``, evaluated once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.select(*_groups(by), F.col(col).cast("double").alias("_v")).checkpoint()
+
+
+def _with_quantiles(agg: DataFrame, kept: DataFrame, probabilities: list[float], by) -> DataFrame:
+    """One row a group: the aggregates and the array ``_q`` of quantiles."""
+    keys = _groups(by)
+    q = exact_quantiles(kept, "_v", probabilities, by)
+    if not keys:
+        return agg.crossJoin(q.withColumnRenamed("quantiles", "_q"))  # one row each
+    q = q.select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col("quantiles").alias("_q"))
+    return agg.join(q, reduce(lambda a, b: a & b, [agg[k].eqNullSafe(F.col(f"_q_{k}")) for k in keys]))
+
+
 def describe(df: DataFrame, col: str, by=None) -> DataFrame:
     """pandas ``describe()``: count, mean, sample std, min, 25/50/75 %, max (AGG12)."""
-    x = F.col(col).cast("double")
-    p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = df.groupBy(*_groups(by)).agg(
+    kept, x = _kept(df, col, by), F.col("_v")
+    agg = kept.groupBy(*_groups(by)).agg(
         F.count(x).cast("long").alias("count"),
         _r(F.avg(x)).alias("mean"),
         _r(F.stddev_samp(x)).alias("std"),
         _r(F.min(x)).alias("min"),
-        p.alias("_p"),
         _r(F.max(x)).alias("max"),
     )
-    return agg.select(
-        *_groups(by), "count", "mean", "std", "min",
-        _r(F.col("_p")[0]).alias("p25"), _r(F.col("_p")[1]).alias("p50"), _r(F.col("_p")[2]).alias("p75"),
-        "max",
-    )
+    q = [_r(F.col("_q")[i]).alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
+    return _with_quantiles(agg, kept, [0.25, 0.5, 0.75], by).select(*_groups(by), "count", "mean", "std", "min", *q, "max")
 
 
 def profile(df: DataFrame, col: str, by=None) -> DataFrame:
     """numpy-style profile: mean, median, population std, min, max, 25/50/75/90/95 % (AGG13)."""
-    x = F.col(col).cast("double")
+    kept, x = _kept(df, col, by), F.col("_v")
     probs = [0.25, 0.5, 0.75, 0.9, 0.95]
-    agg = df.groupBy(*_groups(by)).agg(
+    agg = kept.groupBy(*_groups(by)).agg(
         F.count(x).cast("long").alias("n"),
         _r(F.avg(x)).alias("mean"),
-        _r(F.median(x)).alias("median"),
         _r(F.stddev_pop(x)).alias("std"),
         _r(F.min(x)).alias("min"),
         _r(F.max(x)).alias("max"),
-        F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias("_p"),
     )
-    return agg.select(
-        *_groups(by), "n", "mean", "median", "std", "min", "max",
-        *[_r(F.col("_p")[i]).alias(f"p{int(p * 100)}") for i, p in enumerate(probs)],
+    return _with_quantiles(agg, kept, probs, by).select(
+        *_groups(by), "n", "mean", _r(F.col("_q")[1]).alias("median"), "std", "min", "max",
+        *[_r(F.col("_q")[i]).alias(f"p{int(p * 100)}") for i, p in enumerate(probs)],
     )
 
 
@@ -89,6 +101,7 @@ def bin_index(x: Column, lo: float, hi: float, bins: int) -> Column:
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """(bin, lo, hi, count) for ``bins`` equal-width bins between min and max; empty bins count 0 (AGG15)."""
+    df, col = _kept(df, col), "_v"
     n, lo, hi, _ = _range(df, col)
     spark = df.sparkSession
     if n == 0:
@@ -109,8 +122,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 def boxplot(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last points inside ``whisker`` x IQR, and the outlier count (AGG16)."""
-    x = F.col(col).cast("double")
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first()["q"]
+    df = _kept(df, col)
+    x = F.col("_v")
+    q = exact_quantiles(df, "_v", [0.25, 0.5, 0.75]).first()["quantiles"]
     if q is None:
         return df.sparkSession.createDataFrame(
             [], "q1 double, median double, q3 double, iqr double, whisker_lo double, whisker_hi double, n_outliers long"
@@ -133,9 +147,13 @@ def boxplot(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
 def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, hist_bins: int = 15) -> DataFrame:
     """Gaussian KDE on a grid, Scott bandwidth h = n^(-1/5) x sample std (AGG17).
 
-    Output (point, x, density, count_density): ``count_density`` is scaled by
+    A value meets only the grid points within ``REACH`` bandwidths: beyond, the
+    kernel is below exp(-REACH^2 / 2) = 2e-16 of its top, so the density is off
+    by less than 2e-16 / h, under the rounding of the sum. Rows a value: at most
+    2 x REACH x h / (grid step) + 1. Output (point, x, density, count_density): ``count_density`` is scaled by
     n x histogram bin width to overlay a count histogram with ``hist_bins`` bins.
     """
+    df, col = _kept(df, col), "_v"
     n, lo, hi, sd = _range(df, col)
     spark = df.sparkSession
     if not n or not sd:
@@ -143,60 +161,76 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, hist_bin
     h = n ** (-1.0 / 5.0) * sd
     g_lo, g_hi = lo - cut * h, hi + cut * h
     step = (g_hi - g_lo) / (gridsize - 1)
-    x = F.col(col).cast("double")
+    x = F.col(col)
     values = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count("*").alias("w"))
-    pts = values.select("v", "w", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
-    gx = F.lit(g_lo) + F.col("point") * F.lit(step)
-    z = (gx - F.col("v")) / F.lit(h)
+    near = lambda d: (F.col("v") + F.lit(d * REACH * h) - F.lit(g_lo)) / F.lit(step)
+    first, last = F.greatest(F.ceil(near(-1)), F.lit(0)).cast("int"), F.least(F.floor(near(1)), F.lit(gridsize - 1)).cast("int")
+    pts = values.select("v", "w", F.explode(F.when(first <= last, F.sequence(first, last))).alias("point"))
+    z = (F.lit(g_lo) + F.col("point") * F.lit(step) - F.col("v")) / F.lit(h)
     dens = pts.groupBy("point").agg(F.sum(F.col("w") * F.exp(-z * z / 2)).alias("s"))
-    d = F.col("s") / F.lit(n * h * math.sqrt(2 * math.pi))
+    grid = spark.range(gridsize).select(F.col("id").cast("int").alias("point")).join(dens, "point", "left")
+    d = F.coalesce(F.col("s"), F.lit(0.0)) / F.lit(n * h * math.sqrt(2 * math.pi))
     width = (hi - lo) / hist_bins
-    return dens.select(
-        F.col("point").cast("int").alias("point"),
+    return grid.select(
+        "point",
         _r(F.lit(g_lo) + F.col("point") * F.lit(step)).alias("x"),
         _r(d).alias("density"),
         _r(d * F.lit(n * width)).alias("count_density"),
     )
 
 
-# Cumulative Poisson(1) probabilities P(K <= k), k = 0..8,
-# computed as exp(-1) * sum_{i<=k} 1/i!.
-_POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+#: bandwidths beyond which a Gaussian kernel adds nothing to a double sum
+REACH = 8.5
+#: counts up to this are drawn from their own distribution function, larger ones from its normal limit
+SMALL = 30
+
+
+def uniform(*parts: Column, draw: int = 0) -> Column:
+    """A number in [0, 1) from 48 bits of the MD5 of the parts."""
+    digest = F.md5(F.concat_ws("|", *parts).cast("binary"))
+    return F.conv(F.substr(digest, F.lit(1 + 12 * draw), F.lit(12)), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def poisson_cdf(mean: Column) -> Column:
+    """Array of P(K <= k), k = 0 ..: far enough that the rest rounds to nothing for means up to ``SMALL``."""
+    start = F.struct(F.exp(-mean).alias("term"), F.array(F.exp(-mean)).alias("all"))
 
+    def more(acc, k):
+        term = acc["term"] * mean / k
+        return F.struct(term.alias("term"), F.concat(acc["all"], F.array(F.element_at(acc["all"], -1) + term)).alias("all"))
 
-def poisson1_weight(key: Column, replicate: Column, seed: int) -> Column:
-    """A Poisson(1) draw from a hash of (key, replicate, seed): the weight of a row in one replicate."""
-    u = (F.pmod(F.xxhash64(key, replicate, F.lit(seed)), F.lit(1 << 52)).cast("double")) / F.lit(float(1 << 52))
-    w = F.lit(0)
-    for p in _POISSON1_CDF:
-        w = w + (u >= F.lit(p)).cast("int")
-    return w
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4 * SMALL)), start, more, lambda acc: acc["all"])
 
 
-def bootstrap_mean(
-    df: DataFrame, value: str, by: str, key: str, replicates: int = 1000, level: float = 0.95, seed: int = 0
-) -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: str, by: str, key: str | None = None, replicates: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Group mean with a Poisson-bootstrap interval: (by, n, mean, lo, hi) (AGG18).
 
-    Each row fans out to ``replicates`` weighted copies plus replicate 0
-    (weight 1, the point estimate), aggregated partially per (group,
-    replicate); a hot group therefore costs ``replicates`` + 1 rows per
-    partition, never its row count. One pass over the input: the point
-    estimate and the interval come from the same aggregation. NULL values
-    carry no weight.
+    Rows are counted by (group, value) first; a replicate weighs each cell with one
+    Poisson number of mean ``count`` (the sum of as many Poisson(1) numbers), drawn
+    by MD5 of group, value in millionths, replicate and seed. The work is distinct
+    values x replicates, whatever the rows; ``key`` is not needed. NULL values carry no weight.
     """
     x = F.col(value).cast("double")
-    reps = df.select(by, key, x.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("rep"))
-    w = F.when(F.col("x").isNull(), F.lit(0)).when(F.col("rep") == 0, F.lit(1)).otherwise(poisson1_weight(F.col(key), F.col("rep"), seed))
-    per_rep = reps.select(by, "rep", "x", w.alias("w")).groupBy(by, "rep").agg(
-        (F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"),
-        F.sum("w").cast("long").alias("n"),
+    cells = df.select(F.col(by).alias("_by"), x.alias("_x")).groupBy("_by", "_x").agg(F.count("_x").alias("_c"))
+    cells = cells.select("_by", "_x", "_c", F.when((F.col("_c") > 0) & (F.col("_c") <= SMALL), poisson_cdf(F.col("_c").cast("double"))).alias("_cdf"))
+    reps = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("_rep"))
+    name = (F.coalesce(F.col("_by").cast("string"), F.lit("")), F.round(F.col("_x") * 1e6).cast("long").cast("string"), F.col("_rep").cast("string"), F.lit(str(seed)))
+    # columns of their own, so that a lambda does not draw anew at every step
+    reps = reps.withColumns({"_u": uniform(*name), "_v": uniform(*name, draw=1)})
+    u, v = F.col("_u"), F.col("_v")
+    c = F.col("_c").cast("double")
+    normal = F.floor(c + F.sqrt(c) * F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * math.pi * v) + 0.5)
+    drawn = F.when(F.col("_cdf").isNotNull(), F.size(F.filter("_cdf", lambda p: p <= u))).otherwise(F.greatest(normal, F.lit(0)))
+    w = F.when(F.col("_c") == 0, F.lit(0)).when(F.col("_rep") == 0, F.col("_c")).otherwise(drawn)
+    per_rep = reps.select("_by", "_rep", "_x", w.cast("long").alias("_w")).groupBy("_by", "_rep").agg(
+        (F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"), F.sum("_w").alias("n")
     )
     a = (1 - level) / 2
-    point = F.col("rep") == 0
-    out = per_rep.groupBy(by).agg(
+    point = F.col("_rep") == 0
+    # at most ``replicates`` numbers a group
+    out = per_rep.groupBy("_by").agg(
         F.max(F.when(point, F.col("n"))).alias("n"),
         F.max(F.when(point, F.col("m"))).alias("mean"),
         F.percentile(F.when(~point, F.col("m")), F.array(F.lit(a), F.lit(1 - a))).alias("ci"),
     )
-    return out.select(by, "n", _r(F.col("mean")).alias("mean"), _r(F.col("ci")[0]).alias("lo"), _r(F.col("ci")[1]).alias("hi"))
+    return out.select(F.col("_by").alias(by), "n", _r(F.col("mean")).alias("mean"), _r(F.col("ci")[0]).alias("lo"), _r(F.col("ci")[1]).alias("hi"))

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_alpha, word_count, word_tokens
+from ..functions.text import file_slug, is_alpha, word_count, word_tokens
 from ..functions.wordlists import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS
 from ..operators import boundaries, codes, dense, search, sparse, stats, tagging, terms
 from ..operators import coverage as cov
+from ..sources import readers, sinks
 from .tables import load, parameter_names, query_vectors, sentence_vectors, vector_framework
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -646,9 +647,102 @@ def coverage_vs_length(spark, sf_dir):
 
 @register
 def coverage_bootstrap(spark, sf_dir):
-    """Mean coverage per language with a seeded Poisson-bootstrap 95 % interval (rows-only check)."""
+    """Mean coverage per language with a seeded Poisson-bootstrap 95 % interval."""
     c = _coverage(spark, sf_dir).join(_metadata(spark, sf_dir), "title")
-    return stats.bootstrap_mean(c, "framework_coverage", "lang", "title", replicates=200)
+    return stats.bootstrap_mean(c, "framework_coverage", "lang", replicates=200)
+
+
+@register
+def coverage_over_time(spark, sf_dir):
+    """Share of an order's lines that were returned, by order date read from text (CMP14, DAT1)."""
+    lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("title")).agg(
+        (F.round(F.count_if(F.col("l_returnflag") == "R") / F.count("*"), 6) + F.lit(0.0)).alias("framework_coverage")
+    )
+    orders = load(spark, sf_dir, "orders")
+    # every tenth customer's dates are written the other way round and do not parse
+    pattern = F.when(F.col("o_custkey") % 10 == 0, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise(F.date_format("o_orderdate", "MM-dd-yyyy"))
+    return cov.coverage_over_time(lines, orders.select(F.col("o_orderkey").alias("title"), pattern.alias("date")))
+
+
+def _folder(spark, name):
+    """A new folder under the session's shared one, for queries that write and read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/round-trip-{name}-{uuid.uuid4().hex}"
+
+
+@register
+def csv_round_trip(spark, sf_dir):
+    """Documents written as CSV and read back: quotes, commas and line breaks inside texts stay (SRC1, SNK1)."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    path = _folder(spark, "csv")
+    sinks.write_csv(docs, path)
+    return readers.read_csv(spark, path, docs.schema)
+
+
+@register
+def json_round_trip(spark, sf_dir):
+    """Benchmark items as one nested framework file, read back in file order (SRC2, JSN1)."""
+    items = load(spark, sf_dir, "benchmark")
+    words = F.slice(F.array_sort(F.array_distinct(F.split(F.lower("text"), " "))), 1, 3)
+    entry = F.struct(
+        F.concat(F.lit("i"), F.col("item_id")).alias("parameter"), F.lit("c").alias("category"), (F.col("item_id") % 4).cast("string").alias("subcategory"),
+        F.col("text").alias("definition"), words.alias("keywords"),
+    )
+    # one entry an item: the framework is a single document by its format
+    whole = items.agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", entry.alias("e")))), lambda x: x["e"]).alias("framework"))
+    path = _folder(spark, "json")
+    whole.coalesce(1).write.json(path)
+    return readers.read_framework_json(spark, path).withColumn("keywords", F.array_join("keywords", "; "))
+
+
+@register
+def text_round_trip(spark, sf_dir):
+    """Benchmark texts as one ``.txt`` file each, read back with name, text and word count, joined to the items (SRC4, FLT4, STR11, STR12, JN2)."""
+    items = load(spark, sf_dir, "benchmark")
+    path = _folder(spark, "text")
+    named = items.select(F.concat(file_slug(F.concat(F.lit("Item & No "), F.col("item_id"))), F.lit(".txt")).alias("file_name"), "text", "item_id")
+    sinks.write_text_files(named, path, "file_name", "text")
+    texts = readers.read_text_folder(spark, path)
+    return readers.attach_text(named.select("item_id", "file_name"), texts)
+
+
+@register
+def parquet_round_trip(spark, sf_dir):
+    """Sentence counts written as Parquet partitioned by language and read back (SNK2)."""
+    docs = load(spark, sf_dir, "documents")
+    path = _folder(spark, "parquet")
+    sinks.write_parquet(terms.corpus_size(docs).join(docs.select("doc_id", "lang"), "doc_id"), path, partition_by=["lang"])
+    return spark.read.parquet(path).select("doc_id", "corpus_size", "lang")
+
+
+@register
+def unmatched_documents(spark, sf_dir):
+    """Documents without labels and labels without documents (JN7)."""
+    return readers.unmatched_keys(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), "doc_id", "doc_id")
+
+
+@register
+def topk_text(spark, sf_dir):
+    """Best sentence of each document for each benchmark item with a user's batch encoder: letter counts of a to z (ENC1, UDF2)."""
+    docs = load(spark, sf_dir, "documents")
+
+    def make_encoder():
+        import numpy as np
+
+        def encode(texts):
+            out = np.zeros((len(texts), 26), np.float32)
+            for i, t in enumerate(texts):
+                raw = np.frombuffer(str(t).encode(), np.uint8)
+                out[i] = np.bincount(raw[(raw >= 97) & (raw <= 122)] - 97, minlength=26)
+            return out
+
+        return encode
+
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return dense.topk_text(docs.select("doc_id", "text"), items, make_encoder, 1, batch_size=512).select("doc_id", "query_id", F.col("rank").cast("long").alias("rank"), "score", "sentence_index")
 
 
 @register

@@ -641,3 +641,32 @@ typ AS (SELECT DISTINCT unnest({letters_sql('text')}) AS word FROM documents),
 tri AS (SELECT word, unnest(list_distinct(list_concat(['', '^' || word], list_transform(range(1, least(length(word), 10) + 1), lambda i: right(word, i))))) AS suffix FROM typ),
 hit AS (SELECT t.word, arg_max(left(t.word, (length(t.word) - u.cut)::INTEGER) || u.added, length(u.suffix)) AS lemma FROM tri t JOIN rul u USING (suffix) WHERE u.cut <= length(t.word) GROUP BY t.word)
 SELECT word, coalesce(lemma, word) AS lemma FROM typ LEFT JOIN hit USING (word)"""
+
+
+# ---------------------------------------------------------------- bootstrap, time, round trips
+
+_UNIFORM = "('0x' || substr(md5(concat_ws('|', coalesce(lang, ''), (round(x * 1e6)::BIGINT)::VARCHAR, rep::VARCHAR, '0')), {at}, 12))::BIGINT::DOUBLE / 281474976710656.0"
+ORACLE["coverage_bootstrap"] = f"""WITH {_REVIEW},
+cells AS (SELECT m.lang, c.framework_coverage AS x, count(c.framework_coverage)::DOUBLE AS c FROM cov c JOIN meta m ON m.title = c.title GROUP BY ALL),
+reps AS (SELECT *, {_UNIFORM.format(at=1)} AS u, {_UNIFORM.format(at=13)} AS v FROM (SELECT *, unnest(range(0, 201)) AS rep FROM cells)),
+drawn AS (SELECT *, CASE WHEN c = 0 THEN 0 WHEN rep = 0 THEN c
+  WHEN c <= 30 THEN (SELECT count(*) FROM (SELECT sum(exp(-c + k * ln(c) - lgamma(k + 1.0))) OVER (ORDER BY k) AS p FROM (SELECT unnest(range(0, 121)) AS k)) WHERE p <= u)
+  ELSE greatest(floor(c + sqrt(c) * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v) + 0.5), 0) END AS w FROM reps),
+per AS (SELECT lang, rep, sum(w * x) / nullif(sum(w), 0) AS m, sum(w)::BIGINT AS n FROM drawn GROUP BY ALL)
+SELECT lang, max(n) FILTER (rep = 0) AS n, {_r('max(m) FILTER (rep = 0)')} AS mean, {_r('quantile_cont(m, 0.025) FILTER (rep > 0)')} AS lo,
+ {_r('quantile_cont(m, 0.975) FILTER (rep > 0)')} AS hi FROM per GROUP BY lang"""
+
+ORACLE["coverage_over_time"] = """WITH c AS (SELECT l_orderkey AS title, round(count_if(l_returnflag = 'R') / count(*), 6) + 0.0 AS framework_coverage FROM lineitem GROUP BY 1)
+SELECT title, o_orderdate::DATE AS date, framework_coverage FROM c JOIN orders ON o_orderkey = title WHERE o_orderdate IS NOT NULL AND o_custkey % 10 <> 0"""
+ORACLE["csv_round_trip"] = "SELECT doc_id, text, lang, source FROM documents"
+ORACLE["json_round_trip"] = """SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, 'i' || item_id AS parameter, 'c' AS category, (item_id % 4)::VARCHAR AS subcategory, text AS definition,
+ array_to_string(list_sort(list_distinct(string_split(lower(text), ' ')))[1:3], '; ') AS keywords FROM benchmark"""
+ORACLE["text_round_trip"] = f"""SELECT item_id, 'item_and_no_' || item_id || '.txt' AS file_name, regexp_replace(text, '\r\n?', chr(10), 'g') AS raw_text, {word_count_sql('text')} AS word_count FROM benchmark"""
+ORACLE["parquet_round_trip"] = f"SELECT doc_id, len({sent_arr('text')})::BIGINT AS corpus_size, lang FROM documents"
+ORACLE["unmatched_documents"] = """SELECT 'left_only' AS side, doc_id AS key FROM documents ANTI JOIN labels USING (doc_id) UNION ALL
+SELECT DISTINCT 'right_only', doc_id FROM labels ANTI JOIN documents USING (doc_id)"""
+_LETTERS_VEC = "list_transform(range(97, 123), lambda c: (length({t}) - length(replace({t}, chr(c::INTEGER), '')))::DOUBLE)"
+ORACLE["topk_text"] = f"""WITH {SENTS},
+s AS (SELECT doc_id, sentence_index, {_LETTERS_VEC.format(t='sentence')} AS v FROM sents), q AS (SELECT item_id AS query_id, {_LETTERS_VEC.format(t='text')} AS v FROM benchmark),
+sc AS (SELECT doc_id, query_id, sentence_index, {_cos('s.v', 'q.v')} AS score FROM s CROSS JOIN q)
+SELECT doc_id, query_id, rank::BIGINT AS rank, score, sentence_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY score DESC, sentence_index) AS rank FROM sc) WHERE rank = 1"""

@@ -39,6 +39,29 @@ def write_parquet(df: DataFrame, path: str, *, mode: str = "overwrite", partitio
     w.parquet(path)
 
 
+def write_text_files(df: DataFrame, path: str, name_col: str, text_col: str) -> None:
+    """One file per row, named by ``name_col``, holding the text as UTF-8 bytes; written by the executors.
+
+    ``path`` is a folder every executor can write: a local or mounted one
+    (``file:`` or no scheme). Names must be distinct base names. A retried task writes the same files again.
+    """
+    import os
+
+    folder = path.removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("write_text_files needs a mounted folder; use write_parquet for object stores")
+
+    def write(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(os.path.join(folder, os.path.basename(name)), "wb") as out:
+                    out.write((text or "").encode())
+            yield batch.slice(0, 0)
+
+    df.select(name_col, text_col).mapInArrow(write, df.select(name_col, text_col).schema).count()
+
+
 def preview(df: DataFrame, n: int = 5) -> None:
     """Schema and first rows (``print(df.head())`` / ``df.columns``)."""
     df.printSchema()

@@ -79,12 +79,31 @@ def test_bootstrap_is_seeded_and_brackets_the_mean(spark):
         assert lo < mean < hi and hi - lo < 1.0
 
 
-def test_poisson_weights_have_mean_one(spark):
+def test_poisson_numbers_have_their_mean_and_variance(spark):
     from pyspark.sql import functions as F
 
-    df = spark.range(20000).select(stats.poisson1_weight(F.col("id"), F.lit(1), 3).alias("w"))
-    m, v = df.agg(F.avg("w"), F.var_pop("w")).first()
-    assert m == pytest.approx(1.0, abs=0.03) and v == pytest.approx(1.0, abs=0.06)
+    for mean in (1, 7, 400):
+        # one cell of ``mean`` equal values a group: its weights add up to a Poisson number
+        df = spark.range(1500).select(F.col("id").cast("string").alias("g"), F.explode(F.array_repeat(F.lit(2.0), mean)).alias("x"))
+        cells = df.groupBy("g", "x").agg(F.count("x").alias("c"))
+        u = stats.uniform(F.col("g"), F.lit("1"))
+        if mean <= stats.SMALL:
+            w = cells.select(u.alias("u"), stats.poisson_cdf(F.col("c").cast("double")).alias("p")).select(F.size(F.filter("p", lambda p: p <= F.col("u"))).alias("w"))
+            m, v = w.agg(F.avg("w"), F.var_pop("w")).first()
+            assert m == pytest.approx(mean, rel=0.08) and v == pytest.approx(mean, rel=0.15)
+        r = stats.bootstrap_mean(df.where("g = '3'"), "x", "g", replicates=40).first()
+        assert (r.n, r.mean, r.hi) == (mean, 2.0, 2.0)
+
+
+def test_bootstrap_interval_has_the_width_of_the_standard_error(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(10, 2, 4000), 1)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [(None, 1.0), (None, 3.0), ("n", None)], "g string, x double")
+    rows = {r.g: r for r in stats.bootstrap_mean(df, "x", "g", replicates=400, seed=5).collect()}
+    a = rows["a"]
+    assert a.n == 4000 and a.mean == pytest.approx(x.mean(), abs=1e-6)
+    assert (a.hi - a.lo) == pytest.approx(2 * 1.96 * x.std() / math.sqrt(4000), rel=0.15)
+    assert rows[None].mean == 2.0 and rows["n"].mean is None and rows["n"].n == 0
 
 
 def test_bootstrap_point_estimate_ignores_nulls(spark):
@@ -99,3 +118,32 @@ def test_histogram_of_a_constant_column_is_numpys(spark):
     got = stats.histogram(df, "x", 10).orderBy("bin").toPandas()
     counts, edges = np.histogram([3.0] * 4, 10)
     assert got["count"].tolist() == counts.tolist() and np.allclose(got["lo"], edges[:-1])
+
+
+WILD = [1e300, -1e300, 1e-300, -1e-300, 0.0, 5e-324, float("inf"), float("-inf"), 1.5, 1.5, -2.25, 3e7]
+
+
+@pytest.mark.parametrize("buckets, finish", [(1024, 50_000), (4, 1), (8, 3)])
+def test_exact_quantiles(spark, buckets, finish):
+    from framescope.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(8)
+    groups = {
+        "normal": rng.normal(size=300).tolist(), "spread": (10.0 ** rng.uniform(-200, 200, 200) * rng.choice([-1, 1], 200)).tolist(), "ties": rng.integers(0, 3, 400).astype(float).tolist(),
+        "one": [7.5], "wild": WILD, "same": [2.0] * 50, None: [1.0, 2.0, 4.0],
+    }
+    rows = [(g, v) for g, x in groups.items() for v in x] + [("one", None), ("one", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r.quantiles for r in exact_quantiles(df, "x", probabilities, "g", buckets=buckets, finish=finish).collect()}
+    assert set(got) == {*groups, "empty"} and got["empty"] is None
+    for g, x in groups.items():
+        x = sorted(x)
+        for p, q in zip(probabilities, got[g], strict=True):
+            place = p * (len(x) - 1)
+            lo, hi = math.floor(place), math.ceil(place)
+            want = x[lo] if x[lo] == x[hi] else (hi - place) * x[lo] + (place - lo) * x[hi]
+            assert q == pytest.approx(want, rel=1e-12), (g, p)
+    whole = exact_quantiles(df.where("g = 'normal'"), "x", [0.5], buckets=buckets, finish=finish).first().quantiles
+    assert whole == pytest.approx([float(np.median(groups["normal"]))])
+    assert exact_quantiles(df.where("false"), "x", [0.5]).first().quantiles is None
