@@ -131,7 +131,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def refined(rows: DataFrame, books: list[np.ndarray], dim: int) -> list[np.ndarray]:
     """Codebooks after one round; an entry without parts stays."""
     sums = "part int, entry int, n long, sums array<long>"
-    merged = rows.select("v").mapInArrow(_summed(books, dim), sums).repartition("part", "entry").mapInArrow(_merged, sums)
+    merged = rows.select("v").mapInArrow(C.task(_summed(books, dim)), sums).repartition("part", "entry").mapInArrow(C.task(_merged), sums)
     out = [b.copy() for b in books]
     for r in merged.collect():  # parts x entries rows
         out[r["part"]][r["entry"]] = np.array(r["sums"], np.int64) // r["n"]
@@ -190,7 +190,7 @@ def equal_average_codes(vectors: DataFrame, parts: int = PARTS, entries: int = E
     label = rows.schema["label"].dataType.simpleString()
     if not dim:
         return vectors.sparkSession.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
-    coded = C.written(rows.mapInArrow(_coded(books, dim), f"vec_id long, label {label}, code string, error long"), "eq-codes")
+    coded = C.written(rows.mapInArrow(C.task(_coded(books, dim)), f"vec_id long, label {label}, code string, error long"), "eq-codes")
     sums = coded.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
     out = coded.join(sums, coded["label"].eqNullSafe(sums["_label"]), "left")
     return out.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))

@@ -248,7 +248,7 @@ def interval_ranking(docs: DataFrame, items: DataFrame, k: int = 10, block_posti
     """``item_id, rank, doc_id, score``: the ``k`` documents ``(doc_id, text)`` of greatest score for each item ``(item_id, text)``."""
     spark = docs.sparkSession
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    wanted = C.written(texts.mapInArrow(_item_terms, "item_id long, term binary").distinct(), "rank-items")
+    wanted = C.written(texts.mapInArrow(C.task(_item_terms), "item_id long, term binary").distinct(), "rank-items")
     groups = max(1, -(-wanted.count() // group_terms))
     out = spark.createDataFrame([], "item_id long, doc_id long, score long")
     for g in range(groups):
@@ -266,12 +266,12 @@ def _ranked(docs: DataFrame, own: dict, vocabulary: list[bytes], k: int, block_p
     """``item_id, doc_id, score`` of one group of items: at least its k best rows each."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    index = C.written(rows.mapInArrow(_scanned(vocabulary, block_postings), _BLOCK), "rank-blocks")
+    index = C.written(rows.mapInArrow(C.task(_scanned(vocabulary, block_postings)), _BLOCK), "rank-blocks")
     documents, total = index.agg(F.sum("documents"), F.sum("length")).first()
     if not documents:
         return spark.createDataFrame([], "item_id long, doc_id long, score long")
     df = np.zeros(len(vocabulary), np.int64)
-    for r in index.select("terms").mapInArrow(_frequencies(len(vocabulary)), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # the group's terms
+    for r in index.select("terms").mapInArrow(C.task(_frequencies(len(vocabulary))), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # the group's terms
         df[r["term"]] = r["df"]
     weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * x + 1))) for x in df.tolist()], np.int64)
     place = {t: i for i, t in enumerate(vocabulary)}
@@ -280,10 +280,10 @@ def _ranked(docs: DataFrame, own: dict, vocabulary: list[bytes], k: int, block_p
     # any k rows give a lower bound of the k-th score: those of the first few blocks, k rows an item
     ahead = [r["block"] for r in index.select("block").orderBy("block").limit(seeds).collect()]
     early = F.col("block").isin(ahead)
-    first = index.where(early).repartition(max(1, len(ahead)), "block").mapInArrow(_searched(lists, weight, documents, total, k, {}), _FOUND)
+    first = index.where(early).repartition(max(1, len(ahead)), "block").mapInArrow(C.task(_searched(lists, weight, documents, total, k, {})), _FOUND)
     first = C.written(first, "rank-first")
     nth = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     bars = {r["item"]: (-r["score"], r["doc_id"] is None, r["doc_id"] or 0) for r in first.withColumn("nth", nth).where(F.col("nth") == k).collect()}  # one row an item
-    others = index.where(~early).mapInArrow(_searched(lists, weight, documents, total, k, bars), _FOUND)
+    others = index.where(~early).mapInArrow(C.task(_searched(lists, weight, documents, total, k, bars)), _FOUND)
     names = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "item int, item_id long")
     return first.unionByName(others).join(names, "item").select("item_id", "doc_id", "score")

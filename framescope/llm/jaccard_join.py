@@ -326,7 +326,7 @@ def _linked(percent: int, block_grams: int):
 
 def _search(units: DataFrame, percent: int, block_grams: int) -> DataFrame:
     dealt = units.select("component", "u", "v", "doc_id", "asks", "grams").repartition("component", "u", "v").sortWithinPartitions("component", "u", "v")
-    return dealt.mapInArrow(_linked(percent, block_grams), "a long, b long")
+    return dealt.mapInArrow(C.task(_linked(percent, block_grams)), "a long, b long")
 
 
 def _wide_links(full: DataFrame, percent: int, block_grams: int) -> DataFrame:
@@ -364,7 +364,7 @@ def _wide_links(full: DataFrame, percent: int, block_grams: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_grams: int = BLOCK_GRAMS, long: int = LONG) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
     rows = C.keyed(docs)
-    described = C.written(rows.mapInArrow(_describe(size, long), _SETS), "sets")
+    described = C.written(rows.mapInArrow(C.task(_describe(size, long)), _SETS), "sets")
     sets = described.where("gram is null").drop("gram", "times")
     top = described.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("n")).where("n > 15").orderBy(F.desc("n"), "gram").limit(long)
     frequent = np.array([r["gram"] for r in top.select("gram").collect()], np.int64).view(_U)  # at most `long` numbers
@@ -377,7 +377,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_grams:
 
     # grams that stand alone, counted in one part of all grams over all documents
     known = rows.where("doc_id is not null")
-    alone = known.mapInArrow(_postings(size, PARTS), "doc_id long, gram long, rank long").groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
+    alone = known.mapInArrow(C.task(_postings(size, PARTS)), "doc_id long, gram long, rank long").groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
     alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
     spare = F.floor(F.col("n") * (100 - percent) / 100)  # n - T
     # counts are by doc_id, so a doc_id with several texts is not ruled out here
@@ -390,18 +390,18 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_grams:
     bits = left.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((th & {(1 << TABLE_BITS) - 1}) & 63 as int))")).alias("bits"))
     for r in bits.collect():  # at most 2 ** (TABLE_BITS - 6) numbers
         table[r["at"]] = r["bits"] % (1 << 64)
-    passed = known.select("doc_id", "th", "text").mapInArrow(_passed(table), "doc_id long, th long, text string").dropDuplicates(["doc_id", "th"])
+    passed = known.select("doc_id", "th", "text").mapInArrow(C.task(_passed(table)), "doc_id long, th long, text string").dropDuplicates(["doc_id", "th"])
     asked = C.written(passed.join(left, ["doc_id", "th"]), "asked")
 
     # lists of what is left; each document's grams that do not stand alone, by rising list length
-    lists = asked.mapInArrow(_postings(size, 1, frequent), "doc_id long, gram long, rank long")
-    short = lists.where("rank = 0").repartition("gram").sortWithinPartitions("gram").mapInArrow(_lengths, "doc_id long, gram long, length long")
+    lists = asked.mapInArrow(C.task(_postings(size, 1, frequent)), "doc_id long, gram long, rank long")
+    short = lists.where("rank = 0").repartition("gram").sortWithinPartitions("gram").mapInArrow(C.task(_lengths), "doc_id long, gram long, length long")
     both = short.unionByName(lists.where("rank > 0").select("doc_id", "gram", (F.col("rank") + MOST_IN_RUN).alias("length")))
     own = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("length", "gram"))).alias("g")).join(left.groupBy("doc_id").agg(F.min("n").alias("n")), "doc_id")
     first = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("g"))
     own = own.withColumn("first", first.cast("int")).where("first > 0").select("doc_id", F.explode(F.expr("slice(g, 1, first)")).alias("g")).select("doc_id", "g.*")
     own = C.written(own, "first")
-    stars = own.where(F.col("length") < MOST_IN_RUN).repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(_stars, "a long, b long")
+    stars = own.where(F.col("length") < MOST_IN_RUN).repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(C.task(_stars), "a long, b long")
     longest = own.where(F.col("length") >= MOST_IN_RUN)
     centers = C.written(longest.groupBy("gram").agg(F.min("doc_id").alias("b")), "centers")
     stars = stars.unionByName(longest.join(centers, "gram").select(F.col("doc_id").alias("a"), "b"))
@@ -412,7 +412,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_grams:
     blocks = near.groupBy("component").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks"))
     near = C.written(near.join(C.written(blocks, "blocks"), "component"), "near")
     full = asked.drop("n").join(near.drop("n"), ["doc_id", "th"]).select("doc_id", "component", "blocks", "text")
-    full = C.written(full.mapInArrow(_full_sets(size), "doc_id long, component long, blocks int, grams binary"), "full")
+    full = C.written(full.mapInArrow(C.task(_full_sets(size)), "doc_id long, component long, blocks int, grams binary"), "full")
     zero = F.lit(0)
     links = _search(full.where("blocks = 1").select("*", zero.alias("u"), zero.alias("v"), F.lit(True).alias("asks")), percent, block_grams)
 

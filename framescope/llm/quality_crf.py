@@ -216,6 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> d
 
 def quality_crf(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """All columns of ``docs`` with ``held_out``, ``score`` (0 to 1, higher is better) and ``predicted`` added (replacing columns of these names)."""
+    C.shared_dir(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     kept = docs.select(*rest)
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
@@ -224,6 +225,6 @@ def quality_crf(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFra
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(C.text_bytes(batch.column(batch.schema.get_field_index("text"))), model))], names=[*batch.schema.names, "score"])
 
-    scored = kept.mapInArrow(rows, schema)
+    scored = kept.mapInArrow(C.task(rows), schema)
     held = (F.crc32(F.col("doc_id").cast("long").cast("string")) % 5 == 0).alias("held_out")
     return scored.select(*rest, held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

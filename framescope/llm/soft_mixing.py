@@ -54,7 +54,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Share of each hashed byte pair (letters in lower case) and the number of words, per text."""
     out, words = np.zeros((len(texts), BUCKETS), np.float32), np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        b = C._LOWER[np.frombuffer(t, np.uint8)].astype(np.int64)
+        b = C._LOWER[np.frombuffer(t, np.uint8)].astype(np.int64) - 1
         if len(b) > 1:
             pair = (b[:-1] * 256 + b[1:]) * 40503 % 65536 % BUCKETS
             out[i] = np.bincount(pair, minlength=BUCKETS) / len(pair)
@@ -197,11 +197,11 @@ def soft_mixing(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
     names, k = model["names"], len(model["names"])
     if isinstance(weights, dict) and (unknown := sorted(n for n, x in weights.items() if x > 0 and n not in names)):
         raise ValueError(f"domains with a target weight but no labelled text: {', '.join(unknown)}")
-    base = C.written(C.keyed(docs).mapInArrow(_posteriors(model), "doc_id long, th long, tokens long, posterior array<double>"), "posteriors")
+    base = C.written(C.keyed(docs).mapInArrow(C.task(_posteriors(model)), "doc_id long, th long, tokens long, posterior array<double>"), "posteriors")
 
     def summed(task, size):
         out = np.zeros(size)
-        for r in base.mapInArrow(task, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        for r in base.mapInArrow(C.task(task), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             out[r["at"]] = r["x"]
         return out
 
@@ -223,6 +223,6 @@ def soft_mixing(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
             rate = np.round(np.where(batch.column("tokens").to_numpy() > 0, fold(p, [vector], floor), 1.0), 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
 
-    out = base.mapInArrow(rated, "doc_id long, th long, tokens long, posterior array<double>, rate double")
+    out = base.mapInArrow(C.task(rated), "doc_id long, th long, tokens long, posterior array<double>, rate double")
     chance = F.pmod(F.xxhash64("doc_id", "th", F.lit("copies")), F.lit(1_000_000)) / 1_000_000
     return out.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))

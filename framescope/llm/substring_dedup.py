@@ -6,7 +6,7 @@ are dealt out: equal final windows share their anchor, so no repeat is lost and
 about 2 / (length / 2) of the positions move. Level 2 extends those, and only
 those, whose half-length window also stands in another document: first by the
 whole neighbourhood an anchor can decide (the final windows around it, as one
-128-bit class), which settles copies without one row per window; then window
+class by two hashes), which settles copies without one row per window; then window
 by window for the first document of each neighbourhood. Candidates at twice
 the final length would change nothing that is removed, so the doubling ends.
 
@@ -36,7 +36,7 @@ _U = np.uint64
 
 def _words(texts: list[bytes]):
     w = C.Words(texts)
-    return w, C.prefix_sums(w.hash, C.WORD_BASE_1), C.prefix_sums(w.hash, C.WORD_BASE_2)
+    return w, C.prefix_sums(w.hash, C.WORD_BASE_1), C.prefix_sums(w.hashed(C.BYTE_BASE_2), C.WORD_BASE_2)
 
 
 def _window_hash(p1, p2, start, end):
@@ -143,7 +143,7 @@ def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError("length must be at least 2")
     rows = C.keyed(docs)
     known = rows.where(F.col("doc_id").isNotNull())
-    seen = known.mapInArrow(_anchor_rows(length), "gram long, c1 long, c2 long, doc_id long, th long, pos int")
+    seen = known.mapInArrow(C.task(_anchor_rows(length)), "gram long, c1 long, c2 long, doc_id long, th long, pos int")
 
     # level 1: half-length windows that stand in two documents
     repeated = seen.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("c1").alias("ca"), F.max("c1").alias("cb"))
@@ -156,13 +156,13 @@ def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     judged = C.written(level1.join(classes, ["gram", "c1", "c2"]).select("doc_id", "th", "pos", "mixed", (F.col("first") < F.col("doc_id")).alias("old")).where("old or mixed"), "judged")
     keys = ["doc_id", "th"]
     fresh = judged.where("not old").groupBy(*keys).agg(F.collect_set("pos").alias("pos"))
-    windows = known.join(fresh, keys).mapInArrow(_window_rows(length), "h1 long, h2 long, doc_id long, th long, pos int")
+    windows = known.join(fresh, keys).mapInArrow(C.task(_window_rows(length)), "h1 long, h2 long, doc_id long, th long, pos int")
     windows = C.written(windows, "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     first = C.written(first, "first")
     single = windows.join(first, ["h1", "h2"]).where("first < doc_id").select(*keys, F.lit(None).cast("int").alias("whole"), F.col("pos").alias("single"))
     whole = judged.where("old").select(*keys, F.col("pos").alias("whole"), F.lit(None).cast("int").alias("single"))
     marks = whole.unionByName(single).groupBy(*keys).agg(F.collect_set("whole").alias("whole"), F.collect_set("single").alias("single"))
-    return rows.join(marks, keys, "left").select("doc_id", "text", "whole", "single").mapInArrow(
-        _strip(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    return rows.join(marks, keys, "left").select("doc_id", "text", "whole", "single").mapInArrow(C.task(
+        _strip(length)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )

@@ -193,11 +193,11 @@ class RunIndex:
             return C.span_hash(prefix, pos, pos + size, C.WORD_BASE_1) == C.span_hash(prefix, other, other + size, C.WORD_BASE_1)
 
         pos, other = order[at], order[at + step]
-        fits = np.maximum(pos, other) + least < len(prefix)
+        fits = np.maximum(pos, other) + least < prefix.shape[1]
         pos, other = pos[fits], other[fits]
         long = same(np.full(len(pos), least))  # shorter matches are never streamed
         pos, other = pos[long], other[long]
-        low, high = np.full(len(pos), least), np.minimum(most, len(prefix) - 1 - np.maximum(pos, other))
+        low, high = np.full(len(pos), least), np.minimum(most, prefix.shape[1] - 1 - np.maximum(pos, other))
         while (low < high).any():  # common length by bisection over prefix hashes
             mid = (low + high + 1) // 2
             ok = same(mid)
@@ -310,8 +310,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM, most_in_b
     rows = C.keyed(docs).withColumn("doc", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")))
     keys = ["doc", "th"]
     texts = rows.select("doc", "th", "text", "doc_id")
-    grams = texts.select("doc", "th", "text").mapInArrow(_anchor_rows(length, gram, True), "gram long")
-    seen = texts.mapInArrow(_anchor_rows(length, gram, False), "gram long, c1 long, c2 long, doc long, th long, pos long")
+    grams = texts.select("doc", "th", "text").mapInArrow(C.task(_anchor_rows(length, gram, True)), "gram long")
+    seen = texts.mapInArrow(C.task(_anchor_rows(length, gram, False)), "gram long, c1 long, c2 long, doc long, th long, pos long")
 
     # written, so that the join below stands on plain exchanges, which adaptive execution can split at a hot gram
     repeated = C.written(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated")
@@ -328,10 +328,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM, most_in_b
         F.collect_list(F.when(F.col("wide").isNull(), F.struct("gram", "pos"))).alias("at"), F.collect_list(F.when(F.col("wide"), F.col("pos"))).alias("pos")
     )
     asked = C.written(texts.dropDuplicates(keys).join(asked, keys).select("doc", "th", "text", "at", "pos"), "asked")
-    snippets = asked.where(F.size("at") > 0).mapInArrow(_neighbourhoods(length, gram), "gram long, doc long, th long, left long, snip binary")
-    indexed = snippets.repartition("gram").sortWithinPartitions("gram").mapInArrow(_indexed(length), "doc long, th long, start long, stop long")
+    snippets = asked.where(F.size("at") > 0).mapInArrow(C.task(_neighbourhoods(length, gram)), "gram long, doc long, th long, left long, snip binary")
+    indexed = snippets.repartition("gram").sortWithinPartitions("gram").mapInArrow(C.task(_indexed(length)), "doc long, th long, start long, stop long")
 
-    strings = asked.where(F.size("pos") > 0).mapInArrow(_string_rows(length, gram), "h1 long, h2 long, doc long, th long, pos long")
+    strings = asked.where(F.size("pos") > 0).mapInArrow(C.task(_string_rows(length, gram)), "h1 long, h2 long, doc long, th long, pos long")
     twice = C.written(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "twice")
     single = strings.join(twice, ["h1", "h2"], "left_semi").select(*keys, F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
 
@@ -339,6 +339,6 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM, most_in_b
     span = F.struct("start", "stop").alias("span")
     marks = whole.select(*keys, "pos", no_span).unionByName(indexed.select(*keys, no_pos, span)).unionByName(single.select(*keys, no_pos, span))
     marks = marks.groupBy(*keys).agg(F.collect_set("pos").alias("whole"), F.collect_set("span").alias("spans"))
-    return texts.join(marks, keys, "left").select("doc_id", "text", "whole", "spans").mapInArrow(
-        _strip(length, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
+    return texts.join(marks, keys, "left").select("doc_id", "text", "whole", "spans").mapInArrow(C.task(
+        _strip(length, gram)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
     )

@@ -172,29 +172,29 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, bucket_rows:
 
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     spread = grouped(vectors).withColumn("norm2", norm2).repartitionByRange(F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id")
-    buckets = C.written(spread.select("vec_id", "copies", "v").mapInArrow(_packed(bucket_rows), _BUCKET), "buckets")
-    blocks = grouped(queries).select("vec_id", "copies", "v").mapInArrow(_packed(block_rows), _BUCKET)
+    buckets = C.written(spread.select("vec_id", "copies", "v").mapInArrow(C.task(_packed(bucket_rows)), _BUCKET), "buckets")
+    blocks = grouped(queries).select("vec_id", "copies", "v").mapInArrow(C.task(_packed(block_rows)), _BUCKET)
     blocks = C.written(blocks.select(*(F.col(c).alias(f"q_{c}") for c in ("part", "bucket", "longest", "ids", "copies", "vectors")), "dim"), "blocks")
 
     # thresholds from the longest bucket of each dimension: one row each, so this join cannot grow
     top = buckets.groupBy("dim").agg(F.max_by(F.struct("ids", "copies", "vectors"), F.struct("longest", F.length("ids"))).alias("b")).select("dim", "b.*")
-    theta = C.written(blocks.join(top, "dim").mapInArrow(_search(k, True), "q_part int, q_bucket int, theta binary"), "theta")
+    theta = C.written(blocks.join(top, "dim").mapInArrow(C.task(_search(k, True)), "q_part int, q_bucket int, theta binary"), "theta")
     blocks = blocks.join(theta, ["q_part", "q_bucket"])
 
     # block x bucket pairs by number, the lengths deciding which can meet; their vectors join after that
     head = blocks.select("q_part", "q_bucket", "dim", "q_longest")
     pairs = head.join(buckets.select("part", "bucket", "dim", "longest"), "dim")
     pairs = pairs.join(blocks.select("q_part", "q_bucket", "theta"), ["q_part", "q_bucket"])
-    pairs = pairs.mapInArrow(_reachable, "q_part int, q_bucket int, part int, bucket int").repartition("part", "bucket", "q_part", "q_bucket")
+    pairs = pairs.mapInArrow(C.task(_reachable), "q_part int, q_bucket int, part int, bucket int").repartition("part", "bucket", "q_part", "q_bucket")
     work = pairs.join(buckets.drop("shortest", "longest", "dim"), ["part", "bucket"]).join(blocks.drop("q_longest"), ["q_part", "q_bucket"])
-    found = work.mapInArrow(_search(k, False), "q_part int, q_bucket int, query_id long, place long, vec_id long, copies long, score long")
+    found = work.mapInArrow(C.task(_search(k, False)), "q_part int, q_bucket int, query_id long, place long, vec_id long, copies long, score long")
 
     # k best of each query over its buckets: partial lists merge, never more than k structs a list
     mine = ["q_part", "q_bucket", "query_id", "place"]
     best = found.groupBy(*mine).agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "copies")).alias("all"))
     ranked = best.select(*mine, F.slice(F.flatten(F.transform(F.slice(F.array_sort("all"), 1, k), lambda x: F.array_repeat(x, F.least(x["copies"], F.lit(k)).cast("int")))), 1, k).alias("all"))
     ranked = ranked.select(*mine, F.posexplode("all").alias("at", "x"))
-    times = blocks.mapInArrow(_query_copies, "q_part int, q_bucket int, place long, times long")
+    times = blocks.mapInArrow(C.task(_query_copies), "q_part int, q_bucket int, place long, times long")
     ranked = ranked.join(times, ["q_part", "q_bucket", "place"]).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
 

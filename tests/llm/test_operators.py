@@ -15,7 +15,7 @@ from framescope.llm.latent_decontamination import latent_decontamination, lcs
 from framescope.llm.soft_mixing import fold, soft_mixing
 from framescope.llm.substring_dedup import substring_dedup
 from framescope.llm.suffix_dedup import RunIndex, suffix_dedup, suffix_order
-from framescope.llm.token_output import WordEncoder, decode_document, gather, token_output, write_tokens
+from framescope.llm.token_output import WordEncoder, decode_document, expand, gather, packed, repair, token_output, unpacked, write_tokens
 from framescope.llm.topk_search import topk_search
 
 RNG = np.random.default_rng(5)
@@ -172,6 +172,31 @@ def test_token_output(spark, docs, rows, empty, tmp_path):
     assert token_output(empty, path).count() == 0
 
 
+def test_repair_leaves_no_frequent_pair():
+    types = [RNG.integers(0, 6, n) for n in (1, 3, 2, 7, 12)] + [np.array([5], np.int64)]
+    off = np.append(0, np.cumsum([len(t) for t in types]))
+    seq = np.concatenate([RNG.integers(0, 5, 3000), np.full(500, 0), np.tile([1, 2, 4], 200)])
+    cut = np.sort(RNG.integers(0, len(seq), 6))
+    doc_off = np.concatenate([[0], cut, [len(seq), len(seq)]])
+    flat = np.concatenate(types)
+    rules, lengths, symbols, ends = repair(flat, off, seq, doc_off, 6, most=5, least=4)
+    raw = np.concatenate([types[t] for t in seq])
+    assert (expand(rules, lengths, symbols, 6) == raw).all()
+    size = np.append(np.ones(6, np.int64), lengths)
+    want = [sum(len(types[t]) for t in seq[: e]) for e in doc_off[1:]]
+    assert [int(size[symbols[:e]].sum()) for e in ends] == want
+    counts = Counter()
+    for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+        own, k = symbols[lo:hi].tolist(), 0
+        while k + 1 < len(own):  # occurrences that do not overlap
+            counts[own[k], own[k + 1]] += 1
+            k += 2 if own[k] == own[k + 1] and own[k + 1 : k + 3] == [own[k]] * 2 else 1
+    assert max(counts.values(), default=0) < 4
+    width = int(symbols.max()).bit_length()
+    assert (unpacked(packed(symbols, width), width, 0, len(symbols)) == symbols).all()
+    assert (unpacked(packed(symbols, width), width, 5, 40) == symbols[5:40]).all()
+
+
 def test_pii_spans_and_terms(spark, empty):
     revealing = "the zorblatt office of {} answered"
     rows = [(i, revealing.format("jo.smith@mail.example.com") + f" letter number {w}") for i, w in enumerate(["one", "two", "three"])]
@@ -232,8 +257,8 @@ def test_latent_decontamination(spark, empty):
     rows = [(i, _text(80)) for i in range(20)] + [(50, _text(20) + " " + items[0] + " " + _text(20)), (51, _text(9) + " " + " ".join(words)), (52, None), (53, ""), (None, items[2])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "")], "item_id long, text string")
-    assert sorted((r.doc_id, r.item_id) for r in latent_decontamination(df, bench).collect()) == [(50, 0), (51, 1)]
-    assert sorted((r.doc_id, r.item_id) for r in latent_decontamination(df, bench, items_per_block=2).collect()) == [(50, 0), (51, 1)]
+    assert sorted(((r.doc_id, r.item_id) for r in latent_decontamination(df, bench).collect()), key=str) == [(50, 0), (51, 1), (None, 2)]
+    assert sorted(((r.doc_id, r.item_id) for r in latent_decontamination(df, bench, items_per_block=2).collect()), key=str) == [(50, 0), (51, 1), (None, 2)]
     assert latent_decontamination(empty, bench).count() == 0 and latent_decontamination(df, bench.where("false")).count() == 0
 
 
@@ -297,3 +322,32 @@ def test_soft_mixing_keeps_rare_domains(spark):
     assert (p[got.doc_id >= 3000, 1] > 0.5).all() and (p[got.doc_id < 3000, 0] > 0.5).all()
     with pytest.raises(ValueError, match="de"):
         soft_mixing(df, labelled, {"en": 0.5, "de": 0.5})
+
+
+def _thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    one, two = "".join(_thue_morse(1024, "a", "b")), "".join(_thue_morse(1024, "b", "a"))
+    same = " ".join(["x"] * 49)
+    rows = [(1, one), (2, two), (3, f"{same} {one}"), (4, f"{same} {two}"), (5, " ".join(_thue_morse(2048, "x", "y"))), (6, " ".join(_thue_morse(2048, "y", "x")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join(docs.where("doc_id < 3")).collect()} == {1: 1, 2: 2}
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs.where("doc_id < 5"), 50).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs.where("doc_id > 4"), 2048).collect()} == {5: 0, 6: 0}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup(docs.where("doc_id < 3"), 600).collect()}.keys() == {1, 2}
+
+
+def test_prime_hash():
+    from framescope.llm import common as C
+
+    a, b = (RNG.integers(0, C.PRIME, 1000, np.uint64) for _ in range(2))
+    assert C.times(a, b).tolist() == [int(x) * int(y) % C.PRIME for x, y in zip(a, b, strict=True)]
+    v = np.concatenate([a, b, a])
+    p = C.prefix_sums(v, C.WORD_BASE_1)
+    at = np.arange(900)
+    assert (C.span_hash(p, at, at + 100, C.WORD_BASE_1) == C.span_hash(p, at + 2000, at + 2100, C.WORD_BASE_1)).all()
+    assert len(np.unique(C.span_hash(p, np.arange(2900), np.arange(2900) + 100, C.WORD_BASE_1))) == 2000
+    small, wide = C.prefix_sums(v % np.uint64(256), C.BYTE_BASE), C.prefix_sums(np.append(v % np.uint64(256), np.uint64(1 << 50)), C.BYTE_BASE)
+    assert (C.span_hash(small, at, at + 7, C.BYTE_BASE) == C.span_hash(wide, at, at + 7, C.BYTE_BASE)).all()

@@ -206,7 +206,7 @@ def test_equal_average_codes_defined_cases(spark):
 def test_equal_average_search_is_exact_and_skips():
     book = np.cumsum(RNG.integers(0, 50, (256, 4)), axis=0)[RNG.permutation(256)]
     book[17] = book[200]
-    x = RNG.integers(0, book.max(), (500, 4))
+    x = book[RNG.integers(0, 256, 500)] + RNG.integers(-9, 9, (500, 4))
     at, far, tried = nearest(x, book)
     d = ((x[:, None] - book[None]) ** 2).sum(2)
     assert (at == d.argmin(1)).all() and (far == d.min(1)).all() and tried < d.size / 4
