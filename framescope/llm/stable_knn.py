@@ -12,9 +12,10 @@
 3. A query first searches its own block, which gives its k-th distance d. The
    stopping test ``P(chi2 <= r^2 / d^2) >= confidence`` turns d into a projected
    radius r: cells, blocks and leaves of a block's own kd-tree whose boxes lie
-   beyond r are not visited. Inside a block leaves are taken nearest first, their
-   points verified by true product, d (and with it r) falls on the way, and the
-   search ends when the next leaf fails the test. A neighbour nearer than the
+   beyond r are not visited. Inside a block the leaves nearest to the queries (one
+   block's, so near each other) come first; points within r are
+   verified by true product, d (and with it r) falls on the way, and a leaf that
+   fails the test for a query is not searched for it. A neighbour nearer than the
    final d is missed with probability at most ``1 - confidence``.
 
 What a query found in its own block stays; each (query block, cell part) pair adds
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from framescope.llm import common as C
 
-DIMS, CONFIDENCE, SAMPLE, MAX_CELLS, BLOCK_ROWS, PART_ROWS, LEAF, QUERY_ROWS = 8, 0.95, 20_000, 4096, 2048, 1 << 16, 64, 256
+DIMS, CONFIDENCE, SAMPLE, MAX_CELLS, BLOCK_ROWS, PART_ROWS, LEAF, QUERY_ROWS = 8, 0.95, 20_000, 4096, 4096, 1 << 16, 128, 256
 _INDEX = "cell int, part int, block long, dim int, lo array<double>, hi array<double>, ids binary, query binary, vectors binary, points binary"
 _ASKED = "cell int, block long, dim int, ids binary, place binary, vectors binary, points binary, best binary, found binary"
 _FOUND = "q_block long, q_place long, query_id long, vec_id long, score double"
@@ -255,31 +256,27 @@ class Search:
         """
         leaves = _leaves(p)
         lo, hi = np.stack([p[x].min(0) for x in leaves]), np.stack([p[x].max(0) for x in leaves])
-        size = max(len(x) for x in leaves)
-        places = np.full((len(leaves), size), -1)
-        for i, x in enumerate(leaves):
-            places[i, : len(x)] = x
         gap = _outside(lo, hi, qp)
-        order = np.argsort(gap, axis=1, kind="stable")
-        length = np.sqrt((q * q).sum(1))
+        length, q2, p2 = np.sqrt((q * q).sum(1)), (qp * qp).sum(1), (p * p).sum(1)
         best, top = best.copy(), np.full((len(q), self.k), -np.inf)
-        found, active = [], np.arange(len(q))
-        for r in range(len(leaves)):
-            leaf = order[active, r]
-            go = gap[active, leaf] <= self.radius(best[active], length[active])
-            active, leaf = active[go], leaf[go]  # boxes come nearest first: a query that stops here is done
-            if not len(active):
-                break
-            at = places[leaf]
-            near = ((p[at] - qp[active][:, None]) ** 2).sum(2) <= self.radius(best[active], length[active])[:, None]
-            near &= (at >= 0) & (at != own[active][:, None])
-            i, j = np.nonzero(near)
-            score = np.full(at.shape, -np.inf)
-            score[i, j] = np.einsum("ij,ij->i", q[active[i]], v[at[i, j]])
-            top[active] = -np.partition(-np.concatenate([top[active], score], 1), self.k - 1, axis=1)[:, : self.k]
-            best[active] = np.maximum(best[active], top[active].min(1))
-            i, j = np.nonzero(score >= self._floor(best[active])[:, None])
-            found.append((active[i], at[i, j], score[i, j]))
+        found = []
+        for leaf in np.argsort(gap.mean(0), kind="stable").tolist():
+            radius = self.radius(best, length)
+            who = np.flatnonzero(gap[:, leaf] <= radius)
+            if not len(who):
+                continue
+            at = leaves[leaf]
+            # squared projected distances by products; the margin takes their rounding
+            near = q2[who][:, None] + p2[at][None] - 2 * (qp[who] @ p[at].T) <= (radius[who] + 1e-9 * (1 + q2[who]))[:, None]
+            near &= at[None] != own[who][:, None]
+            score = np.where(near, q[who] @ v[at].T, -np.inf)
+            better = np.flatnonzero((score > best[who][:, None]).any(1))
+            if len(better):
+                some = who[better]
+                top[some] = -np.partition(-np.concatenate([top[some], score[better]], 1), self.k - 1, axis=1)[:, : self.k]
+                best[some] = np.maximum(best[some], top[some].min(1))
+            i, j = np.nonzero(score >= self._floor(best[who])[:, None])
+            found.append((who[i], at[j], score[i, j]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), best
         who, place, score = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -393,6 +390,7 @@ def stable_knn(
     least hash; every row is indexed.
     """
     spark = vectors.sparkSession
+    C.shared_dir(spark)
     v = F.col("v").cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -401,25 +399,25 @@ def stable_knn(
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     projection, search = Projection(math.sqrt(longest2), dims, seed), Search(math.sqrt(longest2), chi2_bound(confidence, dims), k)
-    fitted = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").mapInArrow(_projected(projection), "p binary").collect()  # at most sample rows
+    fitted = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").mapInArrow(C.task(_projected(projection)), "p binary").collect()  # at most sample rows
     depth = max(0, math.ceil(math.log2(min(MAX_CELLS, max(1, n / block_rows)))))
     cells = Cells(np.stack([np.frombuffer(r["p"]) for r in fitted]), depth)
     parts = np.ones(1 << depth, np.int64)
-    for r in rows.select("v").mapInArrow(_sizes(projection, cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most MAX_CELLS rows
+    for r in rows.select("v").mapInArrow(C.task(_sizes(projection, cells)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most MAX_CELLS rows
         parts[r["cell"]] = -(-r["n"] // PART_ROWS)
-    dealt = rows.mapInArrow(_dealt(projection, cells, parts), "cell int, part int, vec_id long, q boolean, v array<double>")
-    packed = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_blocks(projection, block_rows), _INDEX)
+    dealt = rows.mapInArrow(C.task(_dealt(projection, cells, parts)), "cell int, part int, vec_id long, q boolean, v array<double>")
+    packed = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(C.task(_blocks(projection, block_rows)), _INDEX)
     index = C.written(packed, "kd-index")
 
-    asked = C.written(index.mapInArrow(_first(search, projection), _ASKED), "kd-asked")
+    asked = C.written(index.mapInArrow(C.task(_first(search, projection)), _ASKED), "kd-asked")
     sides = [f(F.col(c)[i]).alias(f"{c}{i}") for c, f in (("lo", F.min), ("hi", F.max)) for i in range(dims)]
     box = index.groupBy("cell", "dim").agg(*sides).collect()  # at most MAX_CELLS rows a dimension
     if not box:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     cell, cell_dim = (np.array([r[c] for r in box], np.int32) for c in ("cell", "dim"))
     lo, hi = (np.array([[r[f"{c}{i}"] for i in range(dims)] for r in box]) for c in ("lo", "hi"))
-    pairs = asked.mapInArrow(_reached(search, dims, cell, parts[cell], lo, hi, cell_dim), _PAIRS)
+    pairs = asked.mapInArrow(C.task(_reached(search, dims, cell, parts[cell], lo, hi, cell_dim)), _PAIRS)
     work = pairs.repartition("cell", "part", "dim").join(index.drop("lo", "hi", "query"), ["cell", "part", "dim"])
-    found = work.mapInArrow(_verified(search, dims), _FOUND).unionByName(asked.select("block", "place", "ids", "found").mapInArrow(_own_found, _FOUND))
+    found = work.mapInArrow(C.task(_verified(search, dims)), _FOUND).unionByName(asked.select("block", "place", "ids", "found").mapInArrow(C.task(_own_found), _FOUND))
     nth = F.row_number().over(Window.partitionBy("q_block", "q_place").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
