@@ -31,7 +31,7 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latent_decontamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return latent_decontamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("th")
 
 
 def op3_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
