@@ -9,15 +9,18 @@ tokenizer that is not of that kind), with a bounded cache.
 Shard format (one row of the Parquet files under ``path``; all arrays little
 endian): ``rules`` uint32 pairs, nonterminal ``base + r`` replaces the pair of
 rule r, a pair may hold earlier nonterminals; ``lengths`` uint32, ids each rule
-expands to; ``symbols`` uint16 or uint32 (``width`` bytes), the compressed
-sequence; ``doc_symbols`` uint32, each document's end in it, so that document j
+expands to; ``symbols``, the compressed sequence at ``width`` bits a symbol, the
+greatest bit first; ``doc_symbols`` uint32, each document's end in it, so that document j
 is decoded alone; ``doc_ids`` int64 and ``doc_null``, in ascending order.
 
-Re-Pair rounds replace, as often as ``rounds`` says, the most frequent pairs of
-the shard at once (those that cannot overlap). A pair is counted over the
-distinct words weighted by their frequency, and then over the sequence of
-whole words, which gives the same count as over all ids within words at a
-fraction of the work. Rules never span documents.
+Re-Pair goes on until no pair of the shard occurs ``least`` times. A round
+replaces many frequent pairs at once, the most frequent first, leaving out
+those that compete with one already taken for a symbol; the next round counts
+only what can still be frequent: pairs that were, and pairs beside a
+replacement (any other pair only loses occurrences). Pairs are first counted inside the
+distinct words, weighted by frequency, which gives the same counts as over all ids
+within words at a fraction of the work, then across words over the sequence.
+Rules never span documents.
 
 Defined cases: NULL or empty text has only the end id. NULL ``doc_id`` stands
 first. Repeated ids are ordered by text. Extra columns are ignored.
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from framescope.llm import common as C
 
 SHARD_IDS = 2 << 20
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 END_ID = 1
 _TAIL = ".,!?;:"
 
@@ -150,16 +153,27 @@ class WordEncoder:
 
 def _cut_tails(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Closing punctuation apart, where it follows a letter or digit (after another sign it is one piece with that)."""
-    trimmed = pc.ascii_rtrim(words, _TAIL)
-    some = pc.not_equal(trimmed, words)
-    cores, tails = [], []
-    for w, c in zip(words.filter(some).to_pylist(), trimmed.filter(some).to_pylist(), strict=True):
+    cores = pc.ascii_rtrim(words, _TAIL)
+    length, core = pc.binary_length(words).to_numpy().copy(), pc.binary_length(cores).to_numpy().copy()
+    some = core < length
+    if not some.any():
+        return words, pa.nulls(len(words), pa.large_string()).fill_null("")
+    at = np.flatnonzero(some)
+    plain = pc.match_substring_regex(cores.take(pa.array(at)), "[0-9A-Za-z]$").to_numpy(zero_copy_only=False)
+    for i, c in zip(at[~plain].tolist(), cores.take(pa.array(at[~plain])).to_pylist(), strict=True):
         if not c.lower()[-1:].isalnum():
-            c = w
-        cores.append(c)
-        tails.append(w[len(c) :])
-    kind = pa.large_string()
-    return pc.replace_with_mask(words, some, pa.array(cores, kind)), pc.replace_with_mask(pa.repeat(pa.scalar("", kind), len(words)), some, pa.array(tails, kind))
+            core[i] = length[i]
+    _, offsets, data = words.buffers()
+    starts = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words)]
+    data = np.frombuffer(data, np.uint8)
+    return _cut(data, starts, core), _cut(data, starts + core, length - core)
+
+
+def _cut(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Strings of the given byte ranges."""
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    own = np.ascontiguousarray(data[gather(starts, sizes)])
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(own))
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
@@ -175,97 +189,141 @@ def gather(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray | None = None)
 # ---- Re-Pair ---------------------------------------------------------------------
 
 
-def _pairs_to_replace(left, right, weight, most: int, least: int, base: int):
-    """The most frequent pairs, none sharing a symbol in a way that could overlap with another."""
-    key = left.astype(np.int64) << 32 | right
-    by = np.argsort(key)
-    key, weight = key[by], weight[by]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(new)
-    if not len(at):
-        return []
-    count = np.add.reduceat(weight, at)
-    top = np.argsort(-count, kind="stable")[: 4 * most]
+def _chosen(left: np.ndarray, right: np.ndarray, count: np.ndarray, most: int) -> list[int]:
+    """Places of the most frequent pairs that cannot overlap with each other: no symbol is the end of one and the start of another."""
     first, last, out = set(), set(), []
-    for k in top.tolist():
-        a, b = int(key[at[k]] >> 32), int(key[at[k]] & 0xFFFFFFFF)
-        # no chosen pair ends where another begins, so replacements never compete
-        if count[k] < least or a == b or a in last or b in first:
+    for k in np.argsort(-count, kind="stable")[: 4 * most].tolist():
+        a, b = int(left[k]), int(right[k])
+        if a in last or b in first or (a == b and (a in first or a in last)):
             continue
         first.add(a)
         last.add(b)
-        out.append((a, b))
+        out.append(k)
         if len(out) == most:
             break
     return out
 
 
-def _replace(seq, owner, pairs, base: int):
-    """Replace the pairs in a sequence where both symbols have one owner."""
-    key = seq[:-1].astype(np.int64) << 32 | seq[1:]
-    wanted = np.array([a << 32 | b for a, b in pairs], np.int64)
-    by = np.argsort(wanted)
-    at = np.minimum(np.searchsorted(wanted[by], key), len(wanted) - 1)
-    hit = (wanted[by][at] == key) & (owner[:-1] == owner[1:])
-    out = seq.copy()
-    out[:-1][hit] = base + by[at[hit]]
-    keep = np.ones(len(seq), bool)
-    keep[1:][hit] = False
-    return out[keep], owner[keep]
+def _fold(symbols: np.ndarray, owner: np.ndarray, weight: np.ndarray | None, rules: list[tuple[int, int]], base: int, most: int, least: int):
+    """Replace pairs inside runs of one owner until none reaches ``least``; the new rules are added to ``rules``.
 
-
-def repair(flat: np.ndarray, off: np.ndarray, seq: np.ndarray, doc_off: np.ndarray, base: int, rounds: int = 4, most: int = 4096, least: int = 8):
+    ``weight`` is what each position counts (None: 1). Positions stay where they
+    are: ``after`` and ``before`` link those still alive.
+    """
+    n = len(symbols)
+    symbols = symbols.copy()
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    edge = np.append(owner[1:] != owner[:-1], True) if n else np.zeros(0, bool)
+    after[edge] = n
+    before[1:][edge[:-1]] = -1
+    alive = np.ones(n, bool)
+    at = np.flatnonzero(after < n)
+    while len(at):
+        key = symbols[at] << 32 | symbols[after[at]]
+        by = np.argsort(key)
+        key, at = key[by], at[by]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        count = size if weight is None else np.add.reduceat(weight[at], start)
+        often = np.flatnonzero(count >= least)
+        if not len(often):
+            break
+        key = key[start]
+        took = often[_chosen(key[often] >> 32, key[often] & 0xFFFFFFFF, count[often], most)]
+        rule = np.full(len(start), -1)
+        rule[took] = len(rules) + np.arange(len(took))
+        rules += zip((key[took] >> 32).tolist(), (key[took] & 0xFFFFFFFF).tolist(), strict=True)
+        of = np.repeat(rule, size)
+        hit, new = at[of >= 0], of[of >= 0]
+        double = symbols[hit] == symbols[after[hit]]
+        if double.any():  # in a run of one symbol every second place
+            places = np.flatnonzero(double)
+            places = places[np.lexsort((hit[places], new[places]))]
+            run, own = hit[places], new[places]
+            opens = np.append(True, (after[run[:-1]] != run[1:]) | (own[1:] != own[:-1]))
+            nth = np.arange(len(run)) - np.maximum.accumulate(np.where(opens, np.arange(len(run)), 0))
+            keep = np.ones(len(hit), bool)
+            keep[places[nth % 2 == 1]] = False
+            hit, new = hit[keep], new[keep]
+        gone = after[hit]
+        symbols[hit] = base + new
+        alive[gone] = False
+        after[hit] = beyond = after[gone]
+        before[beyond[beyond < n]] = hit[beyond < n]
+        again = np.zeros(n + 1, bool)  # the last place takes the -1 of what has nothing before it
+        for some in (at[np.repeat((count >= least) & (rule < 0), size)], hit, before[hit]):
+            again[some] = True
+        at = np.flatnonzero(again[:n] & alive & (after < n))
+    return symbols[alive], owner[alive]
+
+
+def repair(flat: np.ndarray, off: np.ndarray, seq: np.ndarray, doc_off: np.ndarray, base: int, most: int = 4096, least: int = 8):
     """Grammar over types (``flat``/``off``) and the type sequence ``seq`` cut at ``doc_off``.
 
     Returns ``rules`` (n x 2), ``lengths``, the compressed symbols and each document's end.
     """
     rules: list[tuple[int, int]] = []
     used, slot = np.unique(seq, return_inverse=True)
-    weight = np.bincount(slot, minlength=len(used)).astype(np.int64)
-    sizes = np.diff(off)[used]
-    symbols = flat[gather(off[:-1], np.diff(off), used)].astype(np.int64)
-    owner = np.repeat(np.arange(len(used)), sizes)
-    for _ in range(rounds):  # inside words: over types, weighted
-        same = owner[:-1] == owner[1:]
-        pairs = _pairs_to_replace(symbols[:-1][same], symbols[1:][same], weight[owner[:-1][same]], most, least, base) if len(symbols) > 1 else []
-        if not pairs:
-            break
-        symbols, owner = _replace(symbols, owner, pairs, base + len(rules))
-        rules += pairs
-    sizes = np.bincount(owner, minlength=len(used))
+    frequency = np.bincount(slot, minlength=len(used)).astype(np.int64)
+    own = np.repeat(np.arange(len(used)), np.diff(off)[used])
+    symbols, own = _fold(flat[gather(off[:-1], np.diff(off), used)].astype(np.int64), own, frequency[own], rules, base, most, least)
+    sizes = np.bincount(own, minlength=len(used))
     starts = np.cumsum(sizes) - sizes
     out = symbols[gather(starts, sizes, slot)]
     ends = np.append(0, np.cumsum(sizes[slot]))[doc_off[1:]]
-    if len(out) > 1:  # across words: over the sequence
-        doc = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
-        same = doc[:-1] == doc[1:]
-        left, right = out[:-1][same], out[1:][same]
-        pairs = _pairs_to_replace(left, right, np.ones(len(left), np.int64), most, least, base)
-        if pairs:
-            out, doc = _replace(out, doc, pairs, base + len(rules))
-            rules += pairs
-            ends = np.cumsum(np.bincount(doc, minlength=len(ends)))
+    doc = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
+    out, doc = _fold(out, doc, None, rules, base, most, least)
+    ends = np.cumsum(np.bincount(doc, minlength=len(ends)))
+    pairs = np.array(rules, np.int64).reshape(-1, 2)
     lengths = np.ones(base + len(rules), np.int64)
-    for r, (a, b) in enumerate(rules):
-        lengths[base + r] = lengths[a] + lengths[b]
-    return np.array(rules, np.uint32).reshape(-1, 2), lengths[base:].astype(np.uint32), out, ends
+    for lo, hi in _layers(pairs, base):
+        lengths[base + lo : base + hi] = lengths[pairs[lo:hi]].sum(1)
+    return pairs.astype(np.uint32), lengths[base:].astype(np.uint32), out, ends
+
+
+def _layers(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules that only hold symbols made before the run."""
+    newest = rules.max(1, initial=0) - base if len(rules) else np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(rules):
+        later = np.flatnonzero(newest[lo:] >= lo)
+        hi = lo + int(later[0]) if len(later) else len(rules)
+        yield lo, hi
+        lo = hi
 
 
 def expand(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: int) -> np.ndarray:
     """Ids of a symbol sequence: each rule's expansion is built once, then copied."""
-    pool = [np.arange(base, dtype=np.uint32)]
-    start = np.append(np.arange(base), base + np.cumsum(lengths, dtype=np.int64) - lengths).astype(np.int64)
+    rules = rules.astype(np.int64)
     size = np.append(np.ones(base, np.int64), lengths.astype(np.int64))
-    table = np.zeros(int(base + lengths.sum(dtype=np.int64)), np.uint32)
-    table[:base] = pool[0]
-    for r, (a, b) in enumerate(rules.tolist()):
-        s = start[base + r]
-        table[s : s + size[a]] = table[start[a] : start[a] + size[a]]
-        table[s + size[a] : s + size[a] + size[b]] = table[start[b] : start[b] + size[b]]
+    start = np.cumsum(size) - size
+    table = np.zeros(int(size.sum()), np.uint32)
+    table[:base] = np.arange(base)
+    for lo, hi in _layers(rules, base):
+        parts = rules[lo:hi].ravel()
+        stop = start[base + hi - 1] + size[base + hi - 1]
+        table[start[base + lo] : stop] = table[gather(start, size, parts)]
     return table[gather(start, size, symbols)]
 
 
+def packed(symbols: np.ndarray, width: int) -> bytes:
+    """Symbols at ``width`` bits each, greatest bit first."""
+    bits = np.empty((len(symbols), width), np.uint8)
+    for j in range(width):
+        bits[:, j] = symbols >> (width - 1 - j) & 1
+    return np.packbits(bits.reshape(-1)).tobytes()
+
+
+def unpacked(blob: bytes, width: int, lo: int, hi: int) -> np.ndarray:
+    """Symbols ``lo .. hi`` of what :func:`packed` gave."""
+    first = lo * width // 8
+    bits = np.unpackbits(np.frombuffer(blob, np.uint8)[first : -(-hi * width // 8)])[lo * width - first * 8 : hi * width - first * 8]
+    out = np.zeros(hi - lo, np.int64)
+    for column in bits.reshape(-1, width).T:
+        out = out << 1 | column
+    return out
+
+
 # ---- write and read ----------------------------------------------------------------
 
 _SHARD = (
@@ -302,7 +360,7 @@ def _write(tokenizer_path: str, end_id: int, shard_ids: int):
                 seq = np.insert(seq, seq_off[1:], n_types)
                 seq_off = seq_off + np.arange(len(seq_off))
                 rules, lengths, symbols, ends = repair(flat, off, seq, seq_off, base)
-                width = 2 if base + len(rules) <= 1 << 16 else 4
+                width = max(1, (base + len(rules) - 1).bit_length())
                 ids = doc_ids.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], t) for x, t in ((part, pa.int32()), (shard, pa.int32()), (hi - lo, pa.int64()), (int(np.diff(off)[seq].sum()), pa.int64()), (base, pa.int32()), (width, pa.int32()))]
@@ -311,7 +369,7 @@ def _write(tokenizer_path: str, end_id: int, shard_ids: int):
                         for x in (
                             rules.astype("<u4"),
                             lengths.astype("<u4"),
-                            symbols.astype("<u2" if width == 2 else "<u4"),
+                            np.frombuffer(packed(symbols, width), np.uint8),
                             ends.astype("<u4"),
                             ids.fill_null(0).to_numpy().astype("<i8"),
                             ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8),
@@ -335,18 +393,20 @@ def _encoder(path: str) -> WordEncoder:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Encode every text and write the shards to ``path`` (any store Spark writes)."""
+    C.shared_dir(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows.mapInArrow(_write(tokenizer_path, end_id, shard_ids), _SHARD).write.option("compression", "zstd").parquet(path)
+    # NULL or often repeated ids are cut by text, equal rows by their place in the input
+    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "th", "place").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
+    rows.mapInArrow(C.task(_write(tokenizer_path, end_id, shard_ids)), _SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def decode_document(shard: dict, j: int) -> np.ndarray:
     """Ids of document ``j`` of a shard row, without expanding the others."""
     rules = np.frombuffer(shard["rules"], "<u4").reshape(-1, 2)
-    symbols = np.frombuffer(shard["symbols"], "<u2" if shard["width"] == 2 else "<u4")
-    ends = np.append(0, np.frombuffer(shard["doc_symbols"], "<u4"))
+    ends = np.append(0, np.frombuffer(shard["doc_symbols"], "<u4")).tolist()
     out: list[int] = []
-    stack = symbols[ends[j] : ends[j + 1]][::-1].tolist()
+    stack = unpacked(shard["symbols"], shard["width"], ends[j], ends[j + 1])[::-1].tolist()
     while stack:
         s = stack.pop()
         if s < shard["base"]:
@@ -359,11 +419,12 @@ def decode_document(shard: dict, j: int) -> np.ndarray:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            symbols = np.frombuffer(r["symbols"], "<u2" if r["width"] == 2 else "<u4")
+            doc_symbols = np.frombuffer(r["doc_symbols"], "<u4")
+            symbols = unpacked(r["symbols"], r["width"], 0, int(doc_symbols[-1]))
             lengths = np.frombuffer(r["lengths"], "<u4")
             ids = expand(np.frombuffer(r["rules"], "<u4").reshape(-1, 2), lengths, symbols, r["base"])
             size = np.append(np.ones(r["base"], np.int64), lengths.astype(np.int64))[symbols]
-            ends = np.append(0, np.cumsum(size))[np.frombuffer(r["doc_symbols"], "<u4")]
+            ends = np.append(0, np.cumsum(size))[doc_symbols]
             n = np.diff(np.append(0, ends))
             raw = memoryview(ids.astype("<u4").tobytes())
             crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
@@ -385,7 +446,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     inner = Window.partitionBy("part").orderBy("shard")
     places = shards.select("part", "shard", "n_ids").withColumn("in_part", F.sum("n_ids").over(inner) - F.col("n_ids")).join(parts, "part")
     places = places.select("part", "shard", (F.col("in_part") + F.col("before_part")).alias("before"))
-    read = shards.drop("n_docs", "n_ids").mapInArrow(_read, "doc_id long, own long, n_tokens long, ids_crc32 long, part int, shard int")
+    read = shards.drop("n_docs", "n_ids").mapInArrow(C.task(_read), "doc_id long, own long, n_tokens long, ids_crc32 long, part int, shard int")
     return read.join(places, ["part", "shard"]).select("doc_id", (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "part", "shard")
 
 
