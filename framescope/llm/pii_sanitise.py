@@ -1,21 +1,24 @@
 """PII: information-theoretic sanitisation, with DataFrame functions only.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone
-numbers found by fixed patterns. A term near an entity (a word of ``MIN_LETTERS``
-or more letters within ``CONTEXT`` code points) reveals it as far as the corpus
-makes the entity likely given the term: over all distinct texts,
-``P(e | t) = texts with t near e / texts with t`` and the information
-``log2(P(e | t) / P(e))``. Terms seen near one entity in ``MIN_TEXTS`` or more
-distinct texts whose ``P(e | t)`` reaches ``GENERALISE`` are replaced by a
-general mark, those reaching ``REMOVE`` are removed; both become spans of kind
-``term`` around that entity. Copies of one text count once, so a lone
-document's own words are no evidence.
+numbers found by fixed patterns: each value, and each kind as a class. Terms are
+runs of letters and digits of any length, outside the entities. Over all distinct texts, a
+term reveals an entity as far as the corpus makes it likely given the term
+anywhere in the text: ``P(e | t) = (texts with both + PRIOR * P(e)) / (texts with
+t + PRIOR)`` (the prior keeps a word seen once or twice from being evidence) and
+the information ``log2(P(e | t) / P(e))``. Terms with positive information whose
+greatest ``P(e | t)`` reaches ``GENERALISE`` are replaced by a general mark,
+those reaching ``REMOVE`` are removed, wherever they stand, in texts without the
+entity too; both become spans of kind ``term``.
 
 Counting terms is a group with map-side combine; a frequent term or entity is
-one row per task in the exchange.
+one row per task in the exchange. Values that stand in too few texts to reach
+``GENERALISE`` with any term meet no terms. Positions are folded in runs, so a
+text of many spans costs its length, not its square.
 
 Defined cases: NULL text is empty. Rows of one ``doc_id`` with different texts
-are kept apart; rows with NULL ``doc_id`` take part. Extra columns are ignored.
+are kept apart; rows with NULL ``doc_id`` take part. Copies of one text count
+once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from framescope.llm import common as C
 from framescope.llm import spans as S
 
 KINDS = ["email", "ip", "card", "phone"]
-CONTEXT, MIN_LETTERS, MIN_TEXTS, GENERALISE, REMOVE = 48, 4, 2, 0.5, 0.9
+PRIOR, GENERALISE, REMOVE = 3.0, 0.5, 0.9
+_TERM = r"[\p{L}\p{N}]++"
 # possessive forms and the run-start test change no match; they keep long runs linear
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
@@ -58,65 +62,54 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _terms(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
 def pii_sanitise(docs: DataFrame) -> DataFrame:
     """``doc_id, th, text, sanitised, base, all_spans`` per row; ``base`` and ``all_spans`` are arrays of ``(start, rank, end, kind, value)``."""
     # a NULL doc_id still needs a key for its spans
     rows = C.keyed(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    found = base_spans(rows).withColumn("base", S.merged(KINDS))
-    # the text around each span, cut at white space so that no word is taken in part
-    around = F.transform("base", lambda x: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"),
-        F.concat_ws(":", x["kind"], F.lower(x["value"])).alias("entity"),
-        F.substr(F.col("text"), F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT))).alias("before"),
-        F.substr(F.col("text"), x["end"] + 1, F.lit(CONTEXT)).alias("after")))
-    found = C.written(found.select("key", "th", "base", F.when(F.size("base") > 0, around).alias("around")), "base")
-
-    near = found.where("around is not null").select("key", "th", "base", F.explode("around").alias("a")).select("key", "th", "base", "a.*")
-    near = near.withColumn("lo", F.greatest(F.col("start") - CONTEXT, F.lit(0)))
-    near = S.add_spans(S.add_spans(near, "before", "left", r"\p{L}++"), "after", "right", r"\p{L}++")
-    # a word at the outer edge of the cut may go on beyond it
-    left = F.filter("left", lambda x: (x["start"] > 0) | (F.col("lo") == 0))
-    right = F.filter("right", lambda x: (x["end"] < F.lit(CONTEXT)))
-    shift = lambda c, by: F.transform(c, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), F.lower(x["value"]).alias("term")))
-    words = F.filter(F.concat(shift(left, F.col("lo")), shift(right, F.col("end"))), lambda x: (F.length(x["term"]) >= MIN_LETTERS) & ~S.overlaps(x, F.col("base")))
-    near = C.written(near.select("key", "th", "entity", F.explode(words).alias("w")).select("key", "th", "entity", "w.*"), "near")
-
-    together = near.select("entity", "term", "th").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= MIN_TEXTS)
-    together = C.written(together, "together")
-    counts = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    counts = counts.groupBy("term").agg(F.count(F.lit(1)).alias("rows"))
-    entities = found.where("around is not null").select("th", F.explode("around.entity").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("texts"))
-    # texts that hold a term: rows less the rows that repeat a text already counted
+    keys = ["key", "th"]
+    found = C.written(base_spans(rows).withColumn("base", S.merged(KINDS)).where(F.size("base") > 0).select(*keys, "text", "base").dropDuplicates(keys), "base")
+    # texts with entities, these blanked out: places stay as they are
+    blank = S.replaced("text", "blocks", "base", lambda x, n: F.repeat(F.lit(" "), n))
+    plain = C.written(found.withColumn("blocks", S.blocks(F.col("text"))).withColumn("plain", blank).drop("blocks"), "plain")
+
+    n = rows.agg(F.countDistinct("th")).first()[0]
+    once = plain.dropDuplicates(["th"])
+    name = F.transform("base", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"])))
+    entities = once.select("th", F.explode(F.array_distinct(F.concat(name, F.transform("base", lambda x: x["kind"])))).alias("entity"))
+    share = lambda both, texts_t, texts_e: (both + PRIOR * texts_e / n) / (texts_t + PRIOR)
+    sizes = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"))
+    # with any term, at best all the entity's texts and no other hold it
+    sizes = C.written(sizes.where(share(F.col("texts"), F.col("texts"), F.col("texts")) >= GENERALISE), "entities")
+    near = once.select("th", F.explode(_terms(F.col("plain"))).alias("term")).join(entities.join(sizes, "entity"), "th")
+    together = C.written(near.groupBy("entity", "term", "texts").agg(F.count(F.lit(1)).alias("both")), "together")
+
+    # texts that hold a term: all rows, less the rows that repeat a text; where entities stand, by the text without them
     again = rows.groupBy("th").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    extra = rows.dropDuplicates(["th"]).join(again, "th").select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"), (F.col("k") - 1).alias("k"))
-    extra = extra.groupBy("term").agg(F.sum("k").alias("twice"))
-    n = found.agg(F.countDistinct("th")).first()[0]
-    judged = together.join(counts, "term").join(extra, "term", "left").join(entities, "entity")
-    held = F.col("rows") - F.coalesce("twice", F.lit(0))
-    judged = judged.withColumn("share", F.col("both") / held).withColumn("bits", F.log2(F.col("share") * n / F.col("texts")))
-    judged = C.written(judged.where((F.col("share") >= GENERALISE) & (F.col("bits") > 0)).select("entity", "term", "share", "bits"), "judged")
-
-    own = near.join(judged, ["entity", "term"]).groupBy("key", "th", "start", "end", "term").agg(F.max("share").alias("share"))
-    own = own.groupBy("key", "th").agg(F.array_sort(F.collect_list(F.struct(
+    repeats = rows.dropDuplicates(["th"]).join(again, "th").select(F.explode(_terms(F.col("text"))).alias("term"), (1 - F.col("k")).alias("n"))
+    whole, bare = _terms(F.col("text")), _terms(F.col("plain"))
+    inside = once.select(F.explode(F.array_except(whole, bare)).alias("term"), F.lit(-1).cast("long").alias("n"))
+    freed = once.select(F.explode(F.array_except(bare, whole)).alias("term"), F.lit(1).cast("long").alias("n"))
+    held = rows.select(F.explode(whole).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    held = held.unionByName(repeats).unionByName(inside).unionByName(freed).groupBy("term").agg(F.sum("n").alias("holds"))
+    judged = together.join(held, "term").withColumn("share", share(F.col("both"), F.col("holds"), F.col("texts")))
+    judged = judged.where((F.col("share") >= GENERALISE) & (F.log2(F.col("share") * n / F.col("texts")) > 0))
+    judged = C.written(judged.groupBy("term").agg(F.max("share").alias("share")), "judged")
+
+    # the texts that hold a judged term, and its places there outside the entities
+    hit = rows.select(*keys, F.explode(_terms(F.col("text"))).alias("term")).join(judged.select("term"), "term", "left_semi").select(*keys).distinct()
+    texts = rows.dropDuplicates(keys).join(C.written(hit, "hit"), keys).join(plain.select(*keys, "plain"), keys, "left").select(*keys, F.coalesce("plain", "text").alias("plain"))
+    words = S.add_spans(texts, "plain", "words", _TERM).select(*keys, F.explode("words").alias("w")).select(*keys, "w.start", "w.end", F.lower("w.value").alias("term"))
+    own = words.join(judged, "term").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         "start", F.lit(len(KINDS)).alias("rank"), "end", F.when(F.col("share") >= REMOVE, "gone").otherwise("term").alias("kind"), F.col("term").alias("value")))).alias("terms"))
-    out = rows.join(found.select("key", "th", "base").dropDuplicates(["key", "th"]), ["key", "th"], "left").join(own, ["key", "th"], "left")
+    out = rows.join(found.select(*keys, "base"), keys, "left").join(C.written(own, "terms"), keys, "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     out = out.withColumn("base", F.coalesce("base", none)).withColumn("marks", F.array_sort(F.concat("base", F.coalesce("terms", none))))
-
-    # overlapping spans: the earlier one is replaced, and what it does not cover of the next
+    out = out.withColumn("blocks", F.when(F.size("marks") > 0, S.blocks(F.col("text"))))
     mark = F.create_map(*[F.lit(x) for kv in _MARK.items() for x in kv])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        at = F.greatest(acc["at"], x["end"])
-        between = F.substr(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        return F.struct(at.alias("at"), F.concat(acc["out"], between, F.when(x["end"] > acc["at"], mark[x["kind"]]).otherwise("")).alias("out"))
-
-    done = F.aggregate("marks", start, step)
-    clean = F.when(F.size("marks") == 0, F.col("text")).otherwise(F.concat(done["out"], F.substr(F.col("text"), done["at"] + 1, F.length("text"))))
+    clean = S.replaced("text", "blocks", "marks", lambda x, _: F.element_at(mark, x["kind"]))
     all_spans = F.transform("marks", lambda x: x.withField("kind", F.when(x["kind"] == "gone", "term").otherwise(x["kind"])))
     return out.select("doc_id", "th", "text", clean.alias("sanitised"), "base", all_spans.alias("all_spans"))
 

@@ -8,19 +8,73 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_SPAN = "array<struct<start:int,end:int,value:string,part:string>>"
+#: matches handled together; appending to an array copies it, so long lists are built in runs of this size
+RUN = 128
+#: code points of a block of text (see ``blocks``)
+BLOCK = 1024
+
+
+def in_runs(rows: Column, after: Callable[[Column, Column], Column], step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """A running fold over ``rows`` that keeps what it makes of each: ``step(state, row)`` gives the next state and one element.
+
+    ``after(state, run)`` is the state (an int, 0 at first) behind a whole run.
+    The work is linear in the rows but for a factor of ``RUN``.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda i: F.slice(rows, i * RUN + 1, F.lit(RUN)))
+    starts = F.aggregate(runs, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(after(F.element_at(acc, -1), run))))
+
+    def inside(acc, x):
+        state, made = step(acc["at"], x)
+        return F.struct(state.alias("at"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    def fold(run, start):
+        return F.aggregate(run, F.struct(start.alias("at"), F.array().cast(kind).alias("out")), inside, lambda acc: acc["out"])
+
+    each = F.zip_with(runs, F.slice(starts, F.lit(1), F.size(runs)), fold)
+    return F.when(F.size(rows) > 0, F.flatten(each)).otherwise(F.array().cast(kind))
+
+
 def places(pieces: Column, matches: Column, group: Column | None = None) -> Column:
     """``array<struct<start, end, value, part>>`` of the matches, from ``split(text, pattern, -1)`` and ``regexp_extract_all``."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,part:string>>").alias("out"))
     rows = F.arrays_zip(matches.alias("m"), pieces.alias("p"), *([] if group is None else [group.alias("g")]))
     rows = F.filter(rows, lambda x: x["m"].isNotNull())  # the last piece has no match behind it
+    after = lambda at, run: F.aggregate(run, at, lambda a, x: a + F.length(x["p"]) + F.length(x["m"]))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
+    def step(at, x):
+        start = at + F.length(x["p"])
         end = start + F.length(x["m"])
         part = x["m"] if group is None else x["g"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), part.alias("part")))).alias("out"))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), part.alias("part"))
+
+    return in_runs(rows, after, step, _SPAN)
 
-    return F.when(F.size(matches) == 0, zero["out"]).otherwise(F.aggregate(rows, zero, step)["out"])
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of ``BLOCK`` code points, for :func:`cut`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start .. end`` of a text from its blocks: the work follows the piece, not its place."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.greatest(F.floor((end - 1) / BLOCK).cast("int") - first + 1, F.lit(1))), "")
+    return F.when(end > start, F.substr(some, start - first * BLOCK + 1, end - start)).otherwise(F.lit(""))
+
+
+def replaced(text: str, blocks: str, spans: str, mark: Callable[[Column, Column], Column]) -> Column:
+    """The text with each span of ``spans`` (in order of start) replaced by ``mark(span, length)``; of overlapping
+    spans the earlier one is replaced, and what it does not cover of the next. ``blocks`` are those of the text."""
+
+    def step(at, x):
+        here = F.greatest(at, x["start"])
+        new = F.when(x["end"] > at, mark(x, F.greatest(x["end"] - here, F.lit(0)))).otherwise(F.lit(""))
+        return F.greatest(at, x["end"]), F.concat(cut(F.col(blocks), at, here), new)
+
+    after = lambda at, run: F.greatest(at, F.array_max(F.transform(run, lambda x: x["end"])))
+    last = F.array_max(F.transform(F.col(spans), lambda x: x["end"]))
+    done = F.concat(F.array_join(in_runs(F.col(spans), after, step, "array<string>"), ""), cut(F.col(blocks), last, F.length(text)))
+    return F.when(F.size(spans) > 0, done).otherwise(F.col(text))
 
 
 def add_spans(df, text: str, name: str, pattern: str, keep: Callable[[Column], Column] | None = None, gate: Column | None = None, group: int = 0):
@@ -52,7 +106,3 @@ def merged(kinds: list[str], columns: list[str] | None = None) -> Column:
 def written_out(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-
-
-def overlaps(a: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda x: (x["start"] < a["end"]) & (a["start"] < x["end"]))
