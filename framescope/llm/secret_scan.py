@@ -3,16 +3,20 @@
 Base spans come from fixed patterns (assignments, access keys, long hex runs).
 Two first-order character models are trained from labelled samples of the
 corpus itself: strings of values that the base patterns found (random), and
-ordinary identifiers, words of the same alphabet outside those spans. A token
-of ``MIN_LENGTH`` or more characters is a further secret when the sum of its
-transitions' log-likelihood ratios (random against ordinary) reaches
-``THRESHOLD`` and ``PER_CHAR`` on average. Samples are bounded: the
-``SAMPLES`` values of least hash of each kind; the tables have one cell for each
-pair of characters, so they are of fixed size. Scanning covers every whole text
+ordinary identifiers, words of the same alphabet outside those spans that stand in two texts or more. A token is
+a further secret when the sum of its transitions' log-likelihood ratios (random
+against ordinary) reaches ``THRESHOLD`` and ``PER_CHAR`` on average: the ratio
+decides, for every token of ``MIN_LENGTH`` or more characters, which is less
+than any token that can reach the threshold has in practice. Tokens that hold or
+touch a base span are judged too; only those inside one add nothing.
+
+Samples are bounded: the documents of least hash, about ``SAMPLE_DOCS``, and of
+them the ``SAMPLES`` values of least hash of each kind; the tables have one cell
+for each pair of ASCII characters. Scanning covers every whole text
 in its own row, with no exchange.
 
 Defined cases: NULL text is empty. Without samples of both kinds no span is
-added to the base ones. Extra columns are ignored.
+added to the base ones. Tokens of digits alone are numbers, not secrets. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ from pyspark.sql import functions as F
 from framescope.llm import spans as S
 
 KINDS = ["assign", "access", "hex"]
-MIN_LENGTH, THRESHOLD, PER_CHAR, SAMPLES = 16, 12.0, 0.6, 20_000
+MIN_LENGTH, THRESHOLD, PER_CHAR, SAMPLES, SAMPLE_DOCS, BACK_OFF = 8, 12.0, 0.6, 20_000, 50_000, 8.0
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
 _ACCESS = r"AKIA[A-Z0-9]{16,}+"
 _HEX = r"(?:\G|(?<![0-9a-f]))[0-9a-f]{24,}+"
 _TOKEN = rf"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}+"
 _WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_]{5,}+"
-_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-_SIDE = len(_ALPHABET) + 1
+_SIDE = 128
+#: characters of tokens
+_ALPHABET = [*range(48, 58), *range(65, 91), *range(97, 123), *map(ord, "+/_=-")]
 
 
 def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
@@ -43,34 +48,42 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     return S.add_spans(df, text, "hex", _HEX)
 
 
-def _code(token, i):
-    """Place of a character in the alphabet, 0 for any other."""
-    return F.instr(F.lit(_ALPHABET), F.substr(token, i, F.lit(1)))
+def _steps(token, each):
+    """``each(cell)`` for every pair of neighbouring characters; tokens are ASCII."""
+    code = lambda i: F.ascii(F.substr(token, i, F.lit(1)))
+    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: each(code(i) * _SIDE + code(i + 1)))
 
 
-def train(docs: DataFrame, samples: int = SAMPLES) -> list[float] | None:
+def train(docs: DataFrame, samples: int = SAMPLES, sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
     """Log-likelihood ratio of every transition, or None without samples of both kinds."""
-    rows = base_spans(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    share = min(1.0, sample_docs / max(texts.count(), 1))
+    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = base_spans(texts)
     secret = F.concat(F.transform("assign", lambda x: x["part"]), F.transform("access", lambda x: x["value"]), F.transform("hex", lambda x: x["value"]))
     marked = rows.select("text", secret.alias("secret"))
-    take = lambda df: df.select("s").distinct().orderBy(F.xxhash64("s"), "s").limit(samples)
+    take = lambda df: df.select("s").where(F.col("s").rlike(r"^[\x21-\x7E]{2,}$")).distinct().orderBy(F.xxhash64("s"), "s").limit(samples)
     random = take(marked.select(F.explode("secret").alias("s")).where(F.length("s") >= 8)).withColumn("kind", F.lit(1))
-    # one word of each text, the one of least hash: every document is read, the sample is spread over all
-    words = F.array_except(F.regexp_extract_all(F.col("text"), F.lit(_WORD), F.lit(0)), F.col("secret"))
-    plain = take(marked.select(F.array_min(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("s")))).alias("w")).where("w is not null").select("w.s")).withColumn("kind", F.lit(0))
-    cell = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: _code(F.col("s"), i) * _SIDE + _code(F.col("s"), i + 1))
-    counts = random.unionByName(plain).select("kind", F.explode(cell).alias("cell")).groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    # ordinary words come again: those of two or more of the texts
+    words = F.array_except(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(_WORD), F.lit(0))), F.col("secret"))
+    again = marked.select(F.explode(words).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    plain = take(again).withColumn("kind", F.lit(0))
+    counts = random.unionByName(plain).select("kind", F.explode(_steps(F.col("s"), lambda c: c)).alias("cell")).groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
     if len({r["kind"] for r in counts}) < 2:
         return None
-    n = {k: [0.5] * (_SIDE * _SIDE) for k in (0, 1)}
+    n = {k: {} for k in (0, 1)}
     for r in counts:
-        n[r["kind"]][r["cell"]] += r["n"]
-    out = []
-    for a in range(_SIDE):
-        row = slice(a * _SIDE, (a + 1) * _SIDE)
-        total = {k: sum(n[k][row]) for k in n}
-        out += [math.log(n[1][a * _SIDE + b] / total[1]) - math.log(n[0][a * _SIDE + b] / total[0]) for b in range(_SIDE)]
-    return out
+        n[r["kind"]].setdefault(r["cell"] // _SIDE, {})[r["cell"] % _SIDE] = r["n"]
+    into = {k: {b: sum(row.get(b, 0) for row in rows.values()) for b in range(_SIDE)} for k, rows in n.items()}
+    total = {k: sum(x.values()) for k, x in into.items()}
+
+    def share(k: int, a: int, b: int) -> float:
+        """P(b | a), backed off to how often b is reached at all: a first character never seen says nothing by itself."""
+        any_ = (into[k][b] + 0.5) / (total[k] + 0.5 * len(_ALPHABET))
+        row = n[k].get(a, {})
+        return (row.get(b, 0) + BACK_OFF * any_) / (sum(row.values()) + BACK_OFF)
+
+    return [math.log(share(1, a, b) / share(0, a, b)) if a in _ALPHABET and b in _ALPHABET else 0.0 for a in range(_SIDE) for b in range(_SIDE)]
 
 
 def secret_scan(docs: DataFrame, model: list[float] | None, threshold: float = THRESHOLD, per_char: float = PER_CHAR) -> DataFrame:
@@ -81,14 +94,9 @@ def secret_scan(docs: DataFrame, model: list[float] | None, threshold: float = T
         return found.select("doc_id", "text", "base", F.col("base").alias("all_spans"))
     table = F.array(*[F.lit(float(x)) for x in model])
 
-    def ratio(x):
-        v = x["value"]
-        steps = F.transform(F.sequence(F.lit(1), F.length(v) - 1), lambda i: F.element_at(table, _code(v, i) * _SIDE + _code(v, i + 1) + 1))
-        return F.aggregate(steps, F.lit(0.0), lambda a, b: a + b)
-
     found = S.add_spans(found, "text", "markov", _TOKEN)
-    # digits alone are numbers, whatever their order
-    near = F.filter("markov", lambda x: ~S.overlaps(x, F.col("base")) & x["value"].rlike("[A-Za-z]"))
-    judged = F.filter(F.transform(near, lambda x: x.withField("ratio", ratio(x))), lambda x: (x["ratio"] >= threshold) & (x["ratio"] >= per_char * F.length(x["value"])))
+    outside = F.filter("markov", lambda x: x["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
+    ratio = lambda x: F.aggregate(_steps(x["value"], lambda c: F.element_at(table, c + 1)), F.lit(0.0), lambda a, b: a + b)
+    judged = F.filter(F.transform(outside, lambda x: x.withField("ratio", ratio(x))), lambda x: (x["ratio"] >= threshold) & (x["ratio"] >= per_char * F.length(x["value"])))
     found = found.withColumn("markov", judged)
     return found.select("doc_id", "text", "base", S.merged([*KINDS, "markov"]).alias("all_spans"))
