@@ -5,7 +5,7 @@ numbers found by fixed patterns: each value, and each kind as a class. Terms are
 runs of letters and digits of any length, outside the entities. Over all distinct texts, a
 term reveals an entity as far as the corpus makes it likely given the term
 anywhere in the text: ``P(e | t) = (texts with both + PRIOR * P(e)) / (texts with
-t + PRIOR)`` (the prior keeps a word seen once or twice from being evidence) and
+t + PRIOR)`` (the prior keeps a word of one text from being evidence) and
 the information ``log2(P(e | t) / P(e))``. Terms with positive information whose
 greatest ``P(e | t)`` reaches ``GENERALISE`` are replaced by a general mark,
 those reaching ``REMOVE`` are removed, wherever they stand, in texts without the
@@ -30,7 +30,7 @@ from framescope.llm import common as C
 from framescope.llm import spans as S
 
 KINDS = ["email", "ip", "card", "phone"]
-PRIOR, GENERALISE, REMOVE = 3.0, 0.5, 0.9
+PRIOR, GENERALISE, REMOVE = 1.5, 0.5, 0.9
 _TERM = r"[\p{L}\p{N}]++"
 # possessive forms and the run-start test change no match; they keep long runs linear
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -99,7 +99,8 @@ def pii_sanitise(docs: DataFrame) -> DataFrame:
     judged = C.written(judged.groupBy("term").agg(F.max("share").alias("share")), "judged")
 
     # the texts that hold a judged term, and its places there outside the entities
-    hit = rows.select(*keys, F.explode(_terms(F.col("text"))).alias("term")).join(judged.select("term"), "term", "left_semi").select(*keys).distinct()
+    standing = rows.select(*keys, F.explode(whole).alias("term")).unionByName(plain.select(*keys, F.explode(bare).alias("term")))
+    hit = standing.join(judged.select("term"), "term", "left_semi").select(*keys).distinct()
     texts = rows.dropDuplicates(keys).join(C.written(hit, "hit"), keys).join(plain.select(*keys, "plain"), keys, "left").select(*keys, F.coalesce("plain", "text").alias("plain"))
     words = S.add_spans(texts, "plain", "words", _TERM).select(*keys, F.explode("words").alias("w")).select(*keys, "w.start", "w.end", F.lower("w.value").alias("term"))
     own = words.join(judged, "term").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(

@@ -64,7 +64,7 @@ def _pii_terms(texts):
         both.update((e, w) for e in own for w in words)
     n, judged = len(once), {}
     for (e, w), b in both.items():
-        share = (b + 3 * entities[e] / n) / (holds[w] + 3)
+        share = (b + pii_sanitise.PRIOR * entities[e] / n) / (holds[w] + pii_sanitise.PRIOR)
         if share >= 0.5 and math.log2(share * n / entities[e]) > 0:
             judged[w] = max(judged.get(w, 0), share)
     return judged
