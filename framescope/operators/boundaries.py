@@ -10,9 +10,10 @@ log-likelihood ratio over counts of the corpus itself:
 * a **collocation** is a pair around a period (of an abbreviation, number or
   initial) that belongs together, so no sentence ends between.
 
-Plans: types and pairs are exploded from token arrays zipped with themselves
-shifted by one (no window, no shuffle of text) and counted with map-side
-combine; scores are Column expressions over the counts, so the model is four
+Plans: equal tokens are counted before one of each is described, and pairs (token
+arrays zipped with themselves shifted by one: no window, no shuffle of text) are
+only described where a sentence may end or a capital follows, since no other pair
+counts for anything. Scores are Column expressions over the counts, so the model is four
 small tables, none of which comes to the driver. Splitting a text first cuts it
 at every candidate (the rule of :mod:`functions.text`), then joins each
 candidate's two tokens to the tables (broadcast only behind the size check) and
@@ -26,9 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTENCE_END, WS, split_words, trim_ws
-from ..session import ensure_checkpoint_dir
-from .guards import MAX_BROADCAST_LOOKUP, checked_broadcast, spread
+from ..functions.text import NON_WS, SENTENCE_END, WS, split_words, trim_ws
+from .guards import MAX_BROADCAST_LOOKUP, checked_broadcast, kept, spread
 
 # Thresholds of the published method.
 ABBREVIATION, COLLOCATION, STARTER, ALWAYS = 0.3, 7.88, 30.0, 0.99
@@ -73,11 +73,34 @@ def _described(df: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
     )
 
 
+def _tokens(docs: DataFrame, text: str) -> DataFrame:
+    return spread(docs.select(text)).select(split_words(F.col(text)).alias("t"))
+
+
+def _raw_pairs(docs: DataFrame, text: str) -> DataFrame:
+    pairs = _tokens(docs, text).select(F.explode_outer(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("b"))).alias("p"))
+    return pairs.where("p is not null").select("p.a", "p.b")
+
+
 def token_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every token with the next one of its text (NULL for the last)."""
-    toks = spread(docs.select(text)).select(split_words(F.col(text)).alias("t"))
-    pairs = toks.select(F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("b"))).alias("p"))
-    return _described(pairs.select("p.a", "p.b"), "a", "b")
+    return _described(_raw_pairs(docs, text), "a", "b")
+
+
+def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(type, n_with, n_without, n_lower): tokens of each type with and without a period, and lower-cased; equal tokens are described once."""
+    equal = _tokens(docs, text).select(F.explode_outer("t").alias("a")).where("a is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    each = equal.select("n", type_of(F.col("a")).alias("type"), has_period(F.col("a")).alias("period"), _shape(F.col("a")).alias("shape"))
+    of = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+    return each.groupBy("type").agg(of(F.col("period")).alias("n_with"), of(~F.col("period")).alias("n_without"), of(F.col("shape") == "lower").alias("n_lower"))
+
+
+def telling_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """:func:`token_pairs` of those that can count: the first may end a sentence, or the next has a capital. Other pairs have no period, no sure end and no capital."""
+    a, b = F.col("a"), F.col("b")
+    may_end = F.contains(a, F.lit(".")) | F.contains(a, F.lit("!")) | F.contains(a, F.lit("?"))
+    pairs = _raw_pairs(docs, text).where(b.isNotNull()).where(may_end | b.rlike(f"^(?:{OPENERS})?\\p{{Lu}}"))
+    return _described(pairs, "a", "b")
 
 
 def _times_log(n: Column, p: Column) -> Column:
@@ -115,24 +138,13 @@ def _side(df: DataFrame, what: str) -> DataFrame:
     return checked_broadcast(df, MAX_BROADCAST_LOOKUP, what).df
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Counts that several tables are made from, computed once (in the folder of ``spark.checkpoint.dir``)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _letter(column: str) -> Column:
     return F.col(column).rlike(r"\p{L}")
 
 
 def learn(docs: DataFrame, *, text: str = "text") -> Boundaries:
     """Counts over the whole corpus, scored; two scans of the text."""
-    pairs = token_pairs(docs, text)
-    counts = pairs.groupBy("type").agg(
-        F.count_if("period").alias("n_with"), F.count_if(~F.col("period")).alias("n_without"),
-        F.count_if(F.col("shape") == "lower").alias("n_lower"),
-    )
-    counts = _kept(counts)
+    counts = kept(token_counts(docs, text))
     total = F.broadcast(counts.agg(F.sum(F.col("n_with") + F.col("n_without")).alias("n_tokens"), F.sum("n_with").alias("n_period")))
 
     a, ab, p = F.col("n_with") + F.col("n_without"), F.col("n_with"), F.col("n_period") / F.col("n_tokens")
@@ -146,16 +158,16 @@ def learn(docs: DataFrame, *, text: str = "text") -> Boundaries:
     )
 
     known = _side(abbreviations.select("type", F.lit(True).alias("abbreviation")), "abbreviations")
-    seen = pairs.join(known, "type", "left").withColumn("abbreviation", F.coalesce("abbreviation", F.lit(False)))
+    seen = telling_pairs(docs, text).join(known, "type", "left").withColumn("abbreviation", F.coalesce("abbreviation", F.lit(False)))
     initial = F.col("period") & F.col("type").rlike(r"^\p{L}$")
     number = F.col("period") & (F.col("type") == NUMBERS)
     end = F.col("sure") | (F.col("period") & ~F.col("abbreviation") & ~initial & ~number)
     weak = F.col("period") & (F.col("abbreviation") | initial | number)
-    after = seen.where(F.col("next").isNotNull()).groupBy("type", "next").agg(
+    after = seen.groupBy("type", "next").agg(
         F.count_if(end).alias("n_end"), F.count_if(weak).alias("n_weak"),
         F.count_if((F.col("next_shape") == "upper") & ~F.col("period") & ~F.col("sure")).alias("n_upper"),
     )
-    after = _kept(after)
+    after = kept(after)
     nexts = after.groupBy("next").agg(F.sum("n_end").alias("n_end"), F.sum("n_upper").alias("n_upper"))
     ends = F.broadcast(nexts.agg(F.sum("n_end").alias("n_ends")))
 
@@ -200,9 +212,10 @@ def split(docs: DataFrame, model: Boundaries, *, key: str = "doc_id", text: str
     """
     mark = F.regexp_replace(trim_ws(F.coalesce(F.col(text), F.lit(""))), SENTENCE_END[:-1].removesuffix(WS) + f"({WS}+)", "$1" + _MARK + "$2")
     rows = spread(docs.select(key, text)).select(F.monotonically_increasing_id().alias("_row"), key, F.split(mark, _MARK).alias("p"))
-    rows = rows.select("_row", key, F.posexplode(F.arrays_zip(F.col("p").alias("a"), F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))).alias("b"))).alias("_at", "_p"))
-    rows = rows.select("_row", key, "_at", F.col("_p.a").alias("_piece"), split_words(F.col("_p.a")).alias("_w"), split_words(F.col("_p.b")).alias("_n"))
-    rows = rows.select("_row", key, "_at", "_piece", F.try_element_at("_w", F.lit(-1)).alias("_a"), F.try_element_at("_n", F.lit(1)).alias("_b"))
+    rows = rows.select("_row", key, F.posexplode_outer(F.arrays_zip(F.col("p").alias("a"), F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))).alias("b"))).alias("_at", "_p")).where("_p is not null")
+    first = lambda s: F.regexp_extract(s, f"^{WS}*({NON_WS}+)", 1)
+    a, b = F.reverse(first(F.reverse("_p.a"))), first(F.col("_p.b"))
+    rows = rows.select("_row", key, "_at", F.col("_p.a").alias("_piece"), F.nullif(a, F.lit("")).alias("_a"), F.nullif(b, F.lit("")).alias("_b"))
     d = _described(rows, "_a", "_b", "_row", key, "_at", "_piece")
     flag = F.lit(True)
     d = d.join(_side(model.abbreviations.select("type", flag.alias("abbreviation")), "abbreviations"), "type", "left")

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Row limits for sides that are broadcast or collected. A query vector of
 # 768 floats is ~3 KiB, so 20,000 queries are ~60 MiB: a safe broadcast.
 MAX_BROADCAST_QUERIES = 20_000
@@ -59,6 +61,12 @@ def fetched_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= max_rows else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Counts that several tables are made from, computed once (in the folder of ``spark.checkpoint.dir``)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when ``df`` has fewer partitions than the cluster has cores.
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from framescope.operators import boundaries as B
 
@@ -148,3 +149,20 @@ def test_empty_corpus(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     model = B.learn(empty)
     assert model.table().collect() == [] and B.split(empty, model).collect() == []
+
+
+def test_telling_pairs_are_the_pairs_that_count(spark):
+    """Equal tokens are described once and only pairs that can count are looked at; the counts stay those of all pairs."""
+    texts = ["Dr. Who said \"No!\" (Ünder) 3.5 e.g. This ... it's U.S.A. 'Tis end", "a A. a. “Quote.” [B] 12. twelve? 𝐀x", "", None, "one", "a. a. a. B a"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = B.token_pairs(docs)
+    counts = pairs.groupBy("type").agg(F.count_if("period").alias("n_with"), F.count_if(~F.col("period")).alias("n_without"), F.count_if(F.col("shape") == "lower").alias("n_lower"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(B.token_counts(docs)) == rows(counts)
+    capital = (F.col("next_shape") == "upper") & ~F.col("period") & ~F.col("sure")
+    counting = F.col("next").isNotNull() & (F.col("sure") | F.col("period") | capital)
+    told = B.telling_pairs(docs)
+    assert rows(told.where(counting)) == rows(pairs.where(counting))
+    assert told.count() < pairs.count()
+    plan = docs.select("text").transform(B._raw_pairs, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # each text is cut into words once
