@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ..functions.shipping import by_value
 from ..functions.text import is_alpha
 from ..functions.wordlists import ANALYSIS_STOPWORDS, ENGLISH_STOPWORDS
-from .guards import MAX_BROADCAST_LOOKUP, checked_broadcast
+from .guards import MAX_BROADCAST_LOOKUP, checked_broadcast, kept
 
 START, END = "<s>", "</s>"
 #: words tagged at most this often teach the suffixes, of up to this many letters
@@ -55,13 +55,41 @@ class TagModel:
 def train(tagged: DataFrame, sentence: list[str], *, position: str = "position", token: str = "token", tag: str = "tag") -> TagModel:
     """Counts of ``tagged``, one row a token; ``sentence`` names the key columns of a sentence. Rows without token or tag are left out."""
     known = tagged.where(F.col(token).isNotNull() & F.col(tag).isNotNull()).select(*sentence, F.col(position).alias("_p"), F.lower(token).alias("_w"), F.col(tag).alias("_t"))
-    tags = known.groupBy(*sentence).agg(F.array_sort(F.collect_list(F.struct("_p", "_w", "_t"))).alias("_all"))
-    padded = F.concat(F.array(F.lit(START), F.lit(START)), F.transform("_all", lambda x: x["_t"]), F.array(F.lit(END)))
-    tags = tags.select(padded.alias("t"))
-    n = F.size("t") - 2
-    three = F.explode(F.arrays_zip(F.slice("t", 1, n).alias("t1"), F.slice("t", 2, n).alias("t2"), F.slice("t", 3, n).alias("t3")))
-    trigrams = tags.select(three.alias("x")).groupBy("x.t1", "x.t2", "x.t3").agg(F.count(F.lit(1)).alias("n"))
-    words = known.groupBy(F.col("_w").alias("word"), F.col("_t").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    return _counted(_gathered(known, sentence))
+
+
+def train_sentences(sentences: DataFrame, keys: list[str], repeated: DataFrame, *, tokens: str = "tokens", tags: str = "tags") -> TagModel:
+    """:func:`train` of sentences that stand as arrays, without NULLs; rows with the same ``keys`` are one sentence.
+
+    ``repeated`` has the values of some of ``keys`` that more than one row may share: only these rows
+    are brought together token by token, the others are counted where they are.
+    """
+    side = checked_broadcast(repeated.distinct(), MAX_BROADCAST_LOOKUP, "repeated keys").df
+    side = side.select(*[F.col(c).alias(f"_{c}") for c in side.columns], F.lit(True).alias("_again"))
+    same = [sentences[c].eqNullSafe(side[f"_{c}"]) for c in repeated.columns]
+    rows = sentences.select(*keys, tokens, tags).join(side, same, "left")
+    again = rows.where("_again").select(*keys, F.posexplode(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t"))).alias("_p", "_x"))
+    again = _gathered(again.select(*keys, "_p", F.lower("_x.w").alias("_w"), F.col("_x.t").alias("_t")), keys)
+    own = rows.where("_again is null").select(F.col(tokens).alias("w"), F.col(tags).alias("t"))
+    return _counted(own.unionByName(again))
+
+
+def _gathered(known: DataFrame, sentence: list[str]) -> DataFrame:
+    """(w, t): words and tags of each sentence in order of position."""
+    whole = known.groupBy(*sentence).agg(F.array_sort(F.collect_list(F.struct("_p", "_w", "_t"))).alias("_all"))
+    return whole.select(F.col("_all._w").alias("w"), F.col("_all._t").alias("t"))
+
+
+def _counted(sentences: DataFrame) -> TagModel:
+    """The model from one pass over (w, t): trigrams and words are counted together, a word as a triple without third."""
+    padded = F.concat(F.array(F.lit(START), F.lit(START)), F.col("t"), F.array(F.lit(END)))
+    n = F.size("t") + 1
+    three = F.arrays_zip(F.slice("p", 1, n).alias("t1"), F.slice("p", 2, n).alias("t2"), F.slice("p", 3, n).alias("t3"))
+    one = F.arrays_zip(F.col("w").alias("t1"), F.col("t").alias("t2"), F.array_repeat(F.lit(None).cast("string"), F.size("t")).alias("t3"))
+    both = sentences.where(F.size("t") > 0).withColumn("p", padded).select(F.explode_outer(F.concat(three, one)).alias("x")).where("x is not null")
+    counts = kept(both.groupBy("x.t1", "x.t2", "x.t3").agg(F.count(F.lit(1)).alias("n")))
+    trigrams = counts.where("t3 is not null")
+    words = counts.where("t3 is null").groupBy(F.lower("t1").alias("word"), F.col("t2").alias("tag")).agg(F.sum("n").alias("n"))
     rare = words.withColumn("_total", F.sum("n").over(Window.partitionBy("word"))).where(F.col("_total") <= RARE)
     suffixes = rare.select(F.explode(_suffixes("word")).alias("suffix"), "tag", "n").groupBy("suffix", "tag").agg(F.sum("n").alias("n"))
     return TagModel(trigrams, words, suffixes)
@@ -189,14 +217,17 @@ def tag(sentences: DataFrame, model: TagModel, keys: list[str], *, tokens: str =
 
 def noun_chunks(tokens: Column, tags: Column, modifiers=MODIFIERS, nouns=NOUNS) -> Column:
     """Array of chunks, each an array of its tokens: maximal runs of modifiers and then at least one noun."""
-    sign = F.transform(tags, lambda t: F.when(t.isin(list(nouns)), F.lit("N")).when(t.isin(list(modifiers)), F.lit("M")).otherwise(F.lit("x")))
-    # cut around other tags, and where a noun is followed by a modifier; modifiers without a noun are no chunk
-    runs = F.split(F.array_join(sign, ""), "(?<=N)(?=M)|(?<=x)|(?=x)")
-    sizes = F.transform(runs, lambda r: F.char_length(r))
-    parts = F.transform(
-        runs, lambda r, i: F.when(F.contains(r, F.lit("N")), F.slice(tokens, F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(1), lambda a, b: a + b), F.greatest(F.char_length(r), F.lit(1))))
-    )
-    return F.filter(parts, lambda p: p.isNotNull())
+    sign = F.transform(tags, lambda t: F.when(t.isin(list(nouns)), F.lit(2)).when(t.isin(list(modifiers)), F.lit(1)).otherwise(F.lit(0)))
+    # each sign with the one before and after it: a run opens behind another tag, or where a modifier follows a noun
+    n = F.size(tokens)
+    before, after = F.concat(F.array(F.lit(0)), sign), F.concat(F.slice(sign, F.lit(2), F.greatest(n, F.lit(1))), F.array(F.lit(0)))
+    beside = F.arrays_zip(sign.alias("s"), F.slice(before, F.lit(1), n).alias("b"), after.alias("a"), F.sequence(F.lit(1), n).alias("i"))
+    opens = F.filter(beside, lambda x: (x["s"] > 0) & ((x["b"] == 0) | ((x["s"] == 1) & (x["b"] == 2))))
+    ends = F.filter(beside, lambda x: (x["s"] > 0) & ((x["a"] == 0) | ((x["s"] == 2) & (x["a"] == 1))))
+    # modifiers without a noun are no chunk: a run with one ends in it
+    runs = F.zip_with(opens, ends, lambda o, e: F.struct(o["i"].alias("i"), e["i"].alias("j"), e["s"].alias("s")))
+    chunks = F.transform(F.filter(runs, lambda r: r["s"] == 2), lambda r: F.slice(tokens, r["i"], r["j"] - r["i"] + 1))
+    return F.when(n > 0, chunks).otherwise(F.array().cast("array<array<string>>"))
 
 
 def chunk_phrases(sentences: DataFrame, *, tokens: str = "tokens", tags: str = "tags", by=(), lemmas: DataFrame | None = None, stopwords=ENGLISH_STOPWORDS, custom=ANALYSIS_STOPWORDS, min_length: int = 3) -> DataFrame:
@@ -208,7 +239,7 @@ def chunk_phrases(sentences: DataFrame, *, tokens: str = "tokens", tags: str = "
     """
     by = list(by)
     # the array of chunks is exploded before its tokens are looked at: the tag string is made once a sentence
-    chunks = sentences.select(*by, F.explode(noun_chunks(F.col(tokens), F.col(tags))).alias("chunk"))
+    chunks = sentences.select(*by, F.explode_outer(noun_chunks(F.col(tokens), F.col(tags))).alias("chunk")).where("chunk is not null")
     kept = F.filter("chunk", lambda w: is_alpha(w) & ~F.lower(w).isin(list(stopwords)) & (F.char_length(w) >= min_length))
     # without a lemma table the custom stopwords are those of the surface
     if lemmas is None:

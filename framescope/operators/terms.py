@@ -44,7 +44,9 @@ def sentences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep=
     ``abbreviations`` lists forms such as "e.g." that do not end a sentence.
     """
     arr = sentence_array(F.col(text), abbreviations)
-    return docs.select(key, *keep, F.posexplode(arr).alias("sentence_index", "sentence")).select(
+    # outer: of an inner explode Spark makes a filter on the array's size, and splits every text twice
+    rows = docs.select(key, *keep, F.posexplode_outer(arr).alias("sentence_index", "sentence")).where("sentence is not null")
+    return rows.select(
         key, *keep, F.col("sentence_index").cast("long").alias("sentence_index"), "sentence"
     )
 

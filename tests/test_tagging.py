@@ -160,3 +160,25 @@ def test_whole_tokens(spark):
     assert [r.a for r in df.select(F.explode(word_tokens(F.col("text"))).alias("w")).select(is_alpha(F.col("w")).alias("a")).collect()].count(True) == 6
     counts = {r.term for r in terms.word_counts(df, whole=True, surface_stopwords=["the", "data"], stopwords=["being"], min_length=3).collect()}
     assert counts == {"use", "well", "élan"}
+
+
+def test_training_on_arrays_is_training_on_rows(spark):
+    """Sentences as arrays are counted where they stand; rows that share a key are one sentence, as in ``train``."""
+    rows = [(1, 0, ["A", "cat"], ["DET", "NOUN"]), (1, 0, ["a", "Dog", "x"], ["DET", "NOUN", "NOUN"]), (2, 0, ["Cat"], ["NOUN"]), (None, 1, ["b"], ["X"]), (None, 1, ["a"], ["Y"]), (3, 0, [], [])]
+    arrays = spark.createDataFrame(rows, "doc long, i long, tokens array<string>, tags array<string>")
+    each = arrays.select("doc", "i", F.posexplode(F.arrays_zip("tokens", "tags")).alias("position", "x")).select("doc", "i", "position", F.col("x.tokens").alias("token"), F.col("x.tags").alias("tag"))
+    want = G.train(each, ["doc", "i"])
+    repeated = spark.createDataFrame([(1,), (None,)], "doc long")
+    got = G.train_sentences(arrays, ["doc", "i"], repeated)
+    for a, b in ((want.trigrams, got.trigrams), (want.words, got.words), (want.suffixes, got.suffixes)):
+        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    # only rows with a repeated key are brought together
+    alone = G.train_sentences(arrays.where("doc = 2"), ["doc", "i"], repeated.limit(0))
+    assert {tuple(r) for r in alone.trigrams.collect()} == {("<s>", "<s>", "NOUN", 1), ("<s>", "NOUN", "</s>", 1)}
+
+
+def test_chunks_of_a_long_sentence_take_linear_work(spark):
+    n = 40_000
+    df = spark.range(1).select(F.array_repeat(F.lit("w"), n).alias("tokens"), F.flatten(F.array_repeat(F.array(F.lit("ADJ"), F.lit("NOUN")), n // 2)).alias("tags"))
+    got = df.select(G.noun_chunks(F.col("tokens"), F.col("tags")).alias("c")).select(F.size("c"), F.array_max(F.transform("c", F.size))).first()
+    assert tuple(got) == (n // 2, 2)
