@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ..functions import vectors as _vectors
 from ..functions.shipping import by_value
 from ..functions.vectors import l2_normalise, round_scores, stack
-from .guards import MAX_BROADCAST_QUERIES
+from .guards import MAX_BROADCAST_QUERIES, key_partitions
 
 # Bound on rows x queries materialised per scoring step inside one batch.
 _MAX_CELLS = 4_000_000
@@ -126,6 +126,84 @@ def _scorer(bc, doc: str, sentence_index: str, vector: str, k: int | None, carry
     return run
 
 
+def _best_of(sidx: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """(min(k, n), queries) rows of the best scores of one document, best first, ties to the smaller index."""
+    by = np.argsort(sidx, kind="stable")
+    if (by[1:] > by[:-1]).all():
+        by = None
+    else:
+        scores = scores[by]
+    rows = scores.argmax(0)[None] if k == 1 else np.argsort(-scores, axis=0, kind="stable")[:k]
+    return rows if by is None else by[rows]
+
+
+def _document_scorer(bc, doc: str, sentence_index: str, vector: str, k: int, carry, qtype):
+    """Task over rows clustered and sorted by document: the final top k of each (document, query), without a shuffle of them."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ids, qmat = bc.value
+        names = [doc, "query_id", "rank", "score", sentence_index, *carry]
+        step = max(1, _MAX_CELLS // max(1, len(ids)))
+
+        def scored(part):
+            with np.errstate(invalid="ignore"):
+                scores = round_scores(l2_normalise(_matrix(part.column(vector))) @ qmat.T)
+            # a vector with a non-finite component is no match: NaN would sort first
+            scores[~np.isfinite(scores)] = 0.0
+            return scores, part.column(sentence_index).to_numpy(zero_copy_only=False)
+
+        def starts(part):
+            key = part.column(doc)
+            a, b = key.slice(0, len(key) - 1), key.slice(1)
+            differ = pc.or_(pc.xor(a.is_null(), b.is_null()), pc.not_equal(a, b).fill_null(False))
+            return np.append(0, np.flatnonzero(differ.to_numpy(zero_copy_only=False)) + 1)
+
+        def finished(part, start):
+            """Result rows of whole documents."""
+            for lo in range(0, len(start), 4096):
+                own = np.append(start[lo : lo + 4097], part.num_rows)[: min(4096, len(start) - lo) + 1]
+                first = 0
+                while first < len(own) - 1:  # documents that are scored together
+                    stop = max(first + 1, int(np.searchsorted(own, own[first] + step, side="right")) - 1)
+                    piece = part.slice(int(own[first]), int(own[stop] - own[first]))
+                    scores, sidx = scored(piece)
+                    rows = [a - own[first] + _best_of(sidx[a - own[first] : b - own[first]], scores[a - own[first] : b - own[first]], k) for a, b in zip(own[first:stop], own[first + 1 : stop + 1], strict=True)]
+                    rank = np.concatenate([np.repeat(np.arange(1, len(r) + 1, dtype=np.int32), r.shape[1]) for r in rows])
+                    query = np.concatenate([np.tile(np.arange(r.shape[1]), len(r)) for r in rows])
+                    at = np.concatenate([r.ravel() for r in rows])
+                    for cut in range(0, len(at), 1 << 16):
+                        r, q = at[cut : cut + (1 << 16)], query[cut : cut + (1 << 16)]
+                        take = pa.array(r)
+                        yield pa.RecordBatch.from_arrays(
+                            [piece.column(doc).take(take), pa.array(ids[q]).cast(qtype), pa.array(rank[cut : cut + (1 << 16)]), pa.array(scores[r, q]),
+                             *[piece.column(c).take(take) for c in (sentence_index, *carry)]], names=names)
+                    first = stop
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            start = starts(batch)
+            if start[-1]:
+                yield from finished(batch.slice(0, int(start[-1])), start[:-1])
+            held = batch.slice(int(start[-1]))
+            if held.num_rows > step:  # of a large document only rows that are among the best for a query go on
+                kept = []
+                for lo in range(0, held.num_rows, step):
+                    part = held.slice(lo, step)
+                    scores, sidx = scored(part)
+                    kept.append(part.take(pa.array(np.unique(_best_of(sidx, scores, k)))))
+                held = pa.concat_batches(kept)
+        if held is not None:
+            yield from finished(held, np.zeros(1, np.int64))
+
+    return run
+
+
 def score_dense(
     sentences: DataFrame,
     queries: DataFrame,
@@ -234,23 +312,36 @@ def topk_text(
     query_id: str = "query_id",
     query_text: str = "text",
     batch_size: int = 64,
+    with_sentence: bool = True,
 ) -> DataFrame:
     """The reference's extraction end to end (E1): split documents into sentences, encode sentences
     and queries with the user's batch encoder, and keep the top-k sentences per (document, query).
 
-    Output: (key, query_id, rank, score, sentence_index, sentence). Queries are
-    encoded once (not once per document); the sentence text rides through the
-    scorer with the partial top-k rows, so no join back to the sentences is needed.
+    Output: (key, query_id, rank, score, sentence_index[, sentence]). Queries are
+    encoded once (not once per document). Texts are clustered by key before they are split, so a task
+    ranks whole documents: neither scores nor sentences are shuffled, and the sentence text rides along.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     from ..sources.sinks import encode_with
     from .terms import sentences as split_sentences
 
-    sents = split_sentences(docs, key=key, text=text)
-    sv = encode_with(sents, "sentence", make_encoder, batch_size=batch_size)
+    spark = docs.sparkSession
+    clustered = docs.select(key, text)
+    clustered = clustered.repartition(key_partitions(clustered), key).sortWithinPartitions(key)
+    sents = split_sentences(clustered, key=key, text=text)
+    carry = ("sentence",) if with_sentence else ()
+    sv = encode_with(sents, "sentence", make_encoder, batch_size=batch_size).select(key, "sentence_index", "embedding", *carry).where("embedding is not null")
     qv = encode_with(queries.select(query_id, query_text), query_text, make_encoder, batch_size=batch_size)
-    partial = score_dense(sv, qv, k, doc=key, query_id=query_id, carry=("sentence",))
-    top = rank_topk(partial, k, doc=key)
-    return top.select(key, "query_id", "rank", "score", "sentence_index", "sentence")
+    qtype = queries.schema[query_id].dataType
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("query_id", qtype), T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([*fields, *[sv.schema[c] for c in ("sentence_index", *carry)]])
+    out = None
+    for ids, mat in _query_blocks(qv, query_id, "embedding", MAX_BROADCAST_QUERIES):
+        task = _document_scorer(spark.sparkContext.broadcast((ids, mat)), key, "sentence_index", "embedding", k, carry, to_arrow_type(qtype))
+        part = sv.mapInArrow(task, schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 # the scorer's helpers travel with its closure to the Python workers

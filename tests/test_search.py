@@ -202,3 +202,40 @@ def test_empty_framework_gives_empty_results(spark):
     s = spark.createDataFrame([("a", 0, [1.0, 0.0])], "doc string, sentence_index long, embedding array<float>")
     assert dense.topk_dense(s, empty_vecs, 3).collect() == []
     assert search.adherence_long(dense.best_dense(s, empty_vecs), s.select("doc"), empty_vecs, 0.3).collect() == []
+
+
+def test_topk_text_ranks_whole_documents_in_one_task(spark, monkeypatch):
+    """Documents over several batches, repeated and NULL keys, ties: as by brute force, and without a window over the scores."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 4))) + "." for _ in range(rng.randint(0, 40))) for _ in range(12)]
+    keys = [1, 2, 3, 3, None, None, 7, 8, 9, 10, 11, 12]
+    docs = spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "ab"), (1, "c"), (2, "abc")], "query_id int, text string")
+
+    def make_encoder():
+        def encode(texts):
+            return np.array([[str(t).count(c) for c in "abc"] for t in texts], np.float32).reshape(-1, 3)
+
+        return encode
+
+    vec = lambda t: np.array([t.count(c) for c in "abc"], float)
+    unit = lambda v: v / np.linalg.norm(v)
+    want = set()
+    for key in set(keys):
+        sents = [(i, s) for k, t in zip(keys, texts, strict=True) if k == key for i, s in enumerate(t.split())]
+        for q, text in enumerate(("ab", "c", "abc")):
+            best = sorted((-round(float(unit(vec(s)) @ unit(vec(text))), 6), i) for i, s in sents)[:2]
+            want |= {(key, q, r + 1, -s, i) for r, (s, i) in enumerate(best)}
+    monkeypatch.setattr(dense, "_MAX_CELLS", 15)
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = dense.topk_text(docs, queries, make_encoder, 2, with_sentence=False)
+            assert {(r[0], r[1], r[2], round(r[3], 6) + 0.0, r[4]) for r in got.collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Window" not in got._jdf.queryExecution().toString()
