@@ -301,7 +301,8 @@ def sentence_terms(docs: DataFrame, key: str, text: str, partitions: int | None
     d = docs.select(key, text)
     # an explicit count: AQE would coalesce the CPU-bound text work to a few tasks
     d = d.repartition(key_partitions(d, partitions), key).sortWithinPartitions(key)
-    sents = d.select(key, F.posexplode(sentence_array(F.col(text))).alias("sentence_index", "sentence"))
+    # outer: of an inner explode Spark makes a filter on the array's size, and splits every text before the shuffle too
+    sents = d.select(key, F.posexplode_outer(sentence_array(F.col(text))).alias("sentence_index", "sentence")).where("sentence is not null")
     terms = letter_tokens(F.col("sentence"))
     return sents.select(key, F.col("sentence_index").cast("long").alias("sentence_index"), terms.alias("terms"), *(["sentence"] if with_sentence else []))
 
