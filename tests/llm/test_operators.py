@@ -15,7 +15,7 @@ from framescope.llm.latent_decontamination import latent_decontamination, lcs
 from framescope.llm.soft_mixing import fold, soft_mixing
 from framescope.llm.substring_dedup import substring_dedup
 from framescope.llm.suffix_dedup import RunIndex, suffix_dedup, suffix_order
-from framescope.llm.token_output import WordEncoder, decode_document, expand, gather, packed, repair, token_output, unpacked, write_tokens
+from framescope.llm.token_output import WordEncoder, _by_pair, decode_document, expand, gather, packed, repair, token_output, unpacked, write_tokens
 from framescope.llm.topk_search import topk_search
 
 RNG = np.random.default_rng(5)
@@ -172,6 +172,19 @@ def test_token_output(spark, docs, rows, empty, tmp_path):
     assert token_output(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("symbols", [300, 1 << 30])  # as one number, and where pair and place do not fit in one
+def test_pairs_are_ordered_with_their_places(symbols):
+    rng = np.random.default_rng(4)
+    left, right = rng.integers(symbols - 30, symbols, (2, 5000))
+    at = rng.permutation(9000)[:5000]
+    key, places, wide = _by_pair(left, right, at, symbols, 9000)
+    order = np.lexsort((right, left))
+    assert (key >> wide == left[order]).all() and (key & ((1 << wide) - 1) == right[order]).all()
+    pair = dict(zip(at.tolist(), zip(left.tolist(), right.tolist(), strict=True), strict=True))
+    assert sorted(places.tolist()) == sorted(pair)
+    assert [pair[x] for x in places.tolist()] == list(zip((key >> wide).tolist(), (key & ((1 << wide) - 1)).tolist(), strict=True))
+
+
 def test_repair_leaves_no_frequent_pair():
     types = [RNG.integers(0, 6, n) for n in (1, 3, 2, 7, 12)] + [np.array([5], np.int64)]
     off = np.append(0, np.cumsum([len(t) for t in types]))
