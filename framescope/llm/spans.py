@@ -15,14 +15,17 @@ RUN = 128
 BLOCK = 1024
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, however often ``use`` names it and wherever the optimizer puts the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def in_runs(rows: Column, after: Callable[[Column, Column], Column], step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
     """A running fold over ``rows`` that keeps what it makes of each: ``step(state, row)`` gives the next state and one element.
 
     ``after(state, run)`` is the state (an int, 0 at first) behind a whole run.
     The work is linear in the rows but for a factor of ``RUN``.
     """
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda i: F.slice(rows, i * RUN + 1, F.lit(RUN)))
-    starts = F.aggregate(runs, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(after(F.element_at(acc, -1), run))))
 
     def inside(acc, x):
         state, made = step(acc["at"], x)
@@ -31,8 +34,14 @@ def in_runs(rows: Column, after: Callable[[Column, Column], Column], step: Calla
     def fold(run, start):
         return F.aggregate(run, F.struct(start.alias("at"), F.array().cast(kind).alias("out")), inside, lambda acc: acc["out"])
 
-    each = F.zip_with(runs, F.slice(starts, F.lit(1), F.size(runs)), fold)
-    return F.when(F.size(rows) > 0, F.flatten(each)).otherwise(F.array().cast(kind))
+    def folded(runs):
+        starts = F.aggregate(runs, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(after(F.element_at(acc, -1), run))))
+        return F.flatten(F.zip_with(runs, F.slice(starts, F.lit(1), F.size(runs)), fold))
+
+    def in_parts(rows):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda i: F.slice(rows, i * RUN + 1, F.lit(RUN)))
+
+    return bound(rows, lambda rows: F.when(F.size(rows) > 0, bound(in_parts(rows), folded)).otherwise(F.array().cast(kind)))
 
 
 def places(pieces: Column, matches: Column, group: Column | None = None) -> Column:

@@ -8,8 +8,10 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from framescope.llm import pii_sanitise, secret_scan
+from framescope.llm import spans as S
 
 FILL = "stone river cloud paper green walk letter number office answer field value table night".split()
 
@@ -168,3 +170,14 @@ def test_long_texts_cost_their_length(spark, scan):
 
     seconds(50)
     assert seconds(16_000) < 8 * max(seconds(4_000), 1.0)
+
+
+def test_spans_are_worked_out_once_where_a_filter_repeats_them(spark):
+    # the filter that explode() brings along stands below the columns: the patterns must not be run anew for every run of matches
+    texts = ["one two  three", "", "x " * 1000, None]
+    df = S.add_spans(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text", "words", r"[a-z]++")
+    out = df.select("id", F.explode("words").alias("w")).select("id", "w.start", "w.end", "w.value")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 6 and plan.count("split(") <= 3
+    want = [(i, m.start(), m.end(), m.group()) for i, t in enumerate(texts) for m in re.finditer("[a-z]+", t or "")]
+    assert sorted(map(tuple, out.collect())) == want
