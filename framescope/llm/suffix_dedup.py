@@ -9,15 +9,20 @@ the same offset), so the index is built where copies are and nowhere else:
    a 128-bit class. A class seen twice is removed whole wherever it stands, and
    one member represents it from here on; so a group of thousands of copies
    enters the index once.
-3. Representatives of anchors with differing neighbourhoods are dealt by anchor
-   and indexed in blocks of bounded size: suffix order, its Burrows-Wheeler
+3. Representatives of anchors with differing neighbourhoods are dealt by anchor.
+   Those that share neither half of their neighbourhood with another of their
+   anchor hold no common string and end here; the rest
+   are indexed in blocks of bounded size: suffix order, its Burrows-Wheeler
    transform as runs, and samples (position, neighbour, common length) at run
    heads and run ends only. Between two samples the text is streamed and the
    matching statistics follow by counting down from the last one, because a
    match of the previous position, less one byte, is a match of this one.
    Positions matching ``length`` bytes of another place are marked.
 4. An anchor with more neighbourhoods than one block holds is settled exactly
-   another way: a 128-bit hash per string, counted with map-side combine.
+   another way. Its strings are taken in pieces of neighbouring starts: a piece
+   whose strings' common part stands once ends; pieces equal throughout are
+   removed whole and represented once; only strings of pieces that remain are
+   counted one by one, as 128-bit hashes with map-side combine.
 
 Defined cases: NULL or empty text has no bytes. Identical rows are two places.
 Rows with NULL ``doc_id`` take part. Extra columns are ignored.
@@ -26,6 +31,8 @@ Rows with NULL ``doc_id`` take part. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +44,10 @@ from framescope.llm import common as C
 
 _U = np.uint64
 GRAM = 32
-#: index blocks stay in the processor's cache
+#: texts are hashed in chunks, and indexed in blocks, that stay in the processor's cache
+ANCHOR_BYTES = 1 << 16
 BLOCK_BYTES = 1 << 16
-#: neighbourhoods of one anchor that are indexed together; beyond it, strings are hashed one by one
+#: neighbourhoods of one anchor that are indexed together; beyond it, strings are hashed
 MOST_IN_BLOCK = 4096
 
 
@@ -55,6 +63,32 @@ def _joined(texts: list[bytes]):
     return np.frombuffer(b"".join(texts), np.uint8), end - sizes, end, np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
 
 
+def _order_keys(buf: np.ndarray, gram: int) -> np.ndarray:
+    """A 32-bit value of every gram, by which anchors are picked; never zero.
+
+    It only orders grams: equal ones must be equal, and nothing is decided on unequal ones that collide.
+    """
+    k = _U(0x9E3779B97F4A7C15)
+    size = 8 if gram >= 8 else 1
+    h = (np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,)) if size == 8 else buf.astype(_U) + _U(1)) * k
+    while size < gram:
+        step = min(size, gram - size)
+        h = h[:-step] * k + h[step:]
+        size += step
+    return ((h * k) >> _U(32)).astype(np.uint32) | np.uint32(1)
+
+
+def _gram_hashes(buf: np.ndarray, pos: np.ndarray, gram: int) -> np.ndarray:
+    """64-bit hashes of the grams at the given places; they deal rows, equal bytes are told by other hashes or the bytes."""
+    h = np.zeros(len(pos), _U)
+    for k in range(0, gram, 8):
+        word = np.zeros((len(pos), 8), np.uint8)
+        size = min(8, gram - k)
+        word[:, :size] = buf[pos[:, None] + np.arange(k, k + size)]
+        h = C.mix(h * _U(0x9E3779B97F4A7C15) + word.view("<u8")[:, 0] + _U(1))
+    return h
+
+
 def _anchor_rows(length: int, gram: int, counting: bool):
     """Anchors: only their grams, or with neighbourhood class and place."""
 
@@ -62,24 +96,22 @@ def _anchor_rows(length: int, gram: int, counting: bool):
         for batch in batches:
             texts = C.text_bytes(batch.column("text"))
             doc, th = batch.column("doc").to_numpy(), batch.column("th").to_numpy()
-            for lo, hi in C.chunks(texts):
+            for lo, hi in C.chunks(texts, ANCHOR_BYTES):
                 buf, first, last, owner = _joined(texts[lo:hi])
                 if len(buf) < length:
                     continue
-                p1 = C.prefix_sums(buf.astype(_U) + _U(1), C.WORD_BASE_1)
-                at = np.arange(len(buf) - gram + 1)
-                g = C.span_hash(p1, at, at + gram, C.WORD_BASE_1) | _U(1)
-                pos = C.anchors(g, owner, gram, length)
+                pos = C.anchors(_order_keys(buf, gram), owner, gram, length)
+                g = _gram_hashes(buf, pos, gram)
                 if counting:
-                    yield pa.RecordBatch.from_arrays([pa.array(C.signed(g[pos]))], names=["gram"])
+                    yield pa.RecordBatch.from_arrays([pa.array(C.signed(g))], names=["gram"])
                     continue
                 row = owner[pos]
-                p2 = C.prefix_sums(buf.astype(_U) + _U(1), C.WORD_BASE_2)
+                p1, p2 = _prefixes(buf)
                 left, right = np.maximum(pos + gram - length, first[row]), np.minimum(pos + length, last[row])
                 c1 = C.mix(C.span_hash(p1, left, right, C.WORD_BASE_1) + (pos - left).astype(_U))
                 c2 = C.span_hash(p2, left, right, C.WORD_BASE_2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(C.signed(g[pos])), pa.array(C.signed(c1)), pa.array(C.signed(c2)), pa.array(doc[lo + row]), pa.array(th[lo + row]), pa.array(pos - first[row])],
+                    [pa.array(C.signed(g)), pa.array(C.signed(c1)), pa.array(C.signed(c2)), pa.array(doc[lo + row]), pa.array(th[lo + row]), pa.array(pos - first[row])],
                     names=["gram", "c1", "c2", "doc", "th", "pos"],
                 )
 
@@ -99,19 +131,25 @@ def _neighbourhoods(length: int, gram: int):
                 for m in own:
                     left = max(0, m["pos"] + gram - length)
                     snip = text[left : m["pos"] + length]
-                    out.append((m["gram"], d, t, left, snip))
+                    out.append((m["gram"], d, t, left, snip, m["pos"] - left))
                     size += len(snip)
                     if size > 8 * C.CHUNK_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["gram", "doc", "th", "left", "snip"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["gram", "doc", "th", "left", "snip", "at"])
                         out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["gram", "doc", "th", "left", "snip"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["gram", "doc", "th", "left", "snip", "at"])
 
     return rows
 
 
-def _string_rows(length: int, gram: int):
-    """A 128-bit hash of every string around the given anchors, each place once."""
+def _piece_width(length: int, gram: int) -> int:
+    """Starts in a piece: as many as there are pieces around an anchor."""
+    return math.isqrt(length - gram) + 1
+
+
+def _piece_rows(length: int, gram: int):
+    """The strings around the given anchors in pieces: hashes of what a piece's strings have in common and of all they cover, and its starts."""
+    width = _piece_width(length, gram)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +158,42 @@ def _string_rows(length: int, gram: int):
             for text, d, t, pos in zip(texts, doc, th, marks, strict=True):
                 p1, p2 = _prefixes(np.frombuffer(text, np.uint8))
                 own = np.unique(np.asarray(pos, np.int64))
-                for k in range(0, len(own), 4096):
-                    at = own[k : k + 4096, None] + np.arange(gram - length, 1)[None, :]
-                    at = np.unique(at[(at >= 0) & (at + length <= len(text))])
-                    if k:
-                        at = at[at > own[k - 1]]  # the rest stands in the piece before
+                for k in range(0, len(own), 1 << 15):
+                    after = np.arange(0, length - gram + 1, width)[None, :]  # from the last start to the anchor
+                    last = (own[k : k + (1 << 15), None] - after).ravel()
+                    after = np.broadcast_to(after, (len(last) // after.shape[1], after.shape[1])).ravel()
+                    first = last - np.minimum(width - 1, length - gram - after)
+                    start, stop = np.maximum(first, 0), np.minimum(last, len(text) - length) + 1
+                    fits = start < stop
+                    first, last, after, start, stop = (x[fits] for x in (first, last, after, start, stop))
+                    side = (after * (length + 1) + last - start).astype(_U)  # where the anchor stands
+                    common = C.mix(C.span_hash(p1, last, first + length, C.WORD_BASE_1) + after.astype(_U))
+                    c1 = C.mix(C.span_hash(p1, start, stop - 1 + length, C.WORD_BASE_1) + side)
+                    c2 = C.span_hash(p2, start, stop - 1 + length, C.WORD_BASE_2)
+                    n = len(start)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(C.signed(x)) for x in (common, c1, c2)] + [pa.array(np.full(n, d, np.int64)), pa.array(np.full(n, t, np.int64)), pa.array(start), pa.array(stop)],
+                        names=["common", "c1", "c2", "doc", "th", "start", "stop"],
+                    )
+
+    return rows
+
+
+def _string_rows(length: int):
+    """A 128-bit hash of every string of the given pieces, each place once."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = C.text_bytes(batch.column("text"))
+            doc, th, marks = batch.column("doc").to_pylist(), batch.column("th").to_pylist(), batch.column("pieces").to_pylist()
+            for text, d, t, pieces in zip(texts, doc, th, marks, strict=True):
+                p1, p2 = _prefixes(np.frombuffer(text, np.uint8))
+                step = np.zeros(len(text) + 1, np.int64)
+                np.add.at(step, [x["start"] for x in pieces], 1)
+                np.add.at(step, [x["stop"] for x in pieces], -1)
+                places = np.flatnonzero(np.cumsum(step))
+                for k in range(0, len(places), 1 << 18):
+                    at = places[k : k + (1 << 18)]
                     h1, h2 = C.span_hash(p1, at, at + length, C.WORD_BASE_1), C.span_hash(p2, at, at + length, C.WORD_BASE_2)
                     n = len(at)
                     yield pa.RecordBatch.from_arrays(
@@ -228,7 +297,7 @@ def _index_block(parts: list[tuple], length: int) -> list[tuple]:
     symbols = np.frombuffer(b"\0".join(bytes(p[3]) for p in pieces) + b"\0", np.uint8).astype(np.int32) + 1
     symbols[end] = 0
     room = np.repeat(end, sizes) - np.arange(len(symbols))
-    hit = (RunIndex(symbols, length, int(sizes.max())).matches() >= length) & (room >= length)
+    hit = (RunIndex(symbols, length, len(symbols)).matches() >= length) & (room >= length)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
     start, stop = edge[0::2], edge[1::2]
     piece = np.searchsorted(end, start)
@@ -236,31 +305,45 @@ def _index_block(parts: list[tuple], length: int) -> list[tuple]:
     return [(pieces[k][0], pieces[k][1], int(a - base[k]) + pieces[k][2], int(b - base[k]) + pieces[k][2]) for k, a, b in zip(piece.tolist(), start, stop, strict=True)]
 
 
-def _indexed(length: int):
+def _sharing(group: list[tuple], length: int, gram: int) -> list[tuple]:
+    """``(doc, th, left, snip)`` of an anchor's neighbourhoods that can have a string in common with another of them.
+
+    A common string reaches half of ``length - gram`` bytes beyond the anchor on one side at least.
+    """
+    half = (length - gram) // 2
+    before = [snip[at - half : at] if at >= half else None for *_, snip, at in group]
+    behind = [snip[at + gram : at + gram + half] if len(snip) - at - gram >= half else None for *_, snip, at in group]
+    n_before, n_behind = Counter(before), Counter(behind)
+    return [p[:4] for p, a, b in zip(group, before, behind, strict=True) if a is not None and n_before[a] > 1 or b is not None and n_behind[b] > 1]
+
+
+def _indexed(length: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
         group: list[tuple] = []
         size, now = 0, None
 
         def done():
+            if not block:
+                return
             found = _index_block(block, length)
             block.clear()
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["doc", "th", "start", "stop"])
 
         for batch in batches:
-            for gram, *part in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "th", "left", "snip")), strict=True):
-                if gram != now:
+            for own, *part in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "th", "left", "snip", "at")), strict=True):
+                if own != now:
+                    group = _sharing(group, length, gram)
                     block += group
                     size += sum(len(p[3]) for p in group)
-                    group, now = [], gram
+                    group, now = [], own
                     if size > BLOCK_BYTES:
                         yield from done()
                         size = 0
                 group.append(part)
-        block += group
-        if block:
-            yield from done()
+        block += _sharing(group, length, gram)
+        yield from done()
 
     return rows
 
@@ -328,12 +411,20 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM, most_in_b
         F.collect_list(F.when(F.col("wide").isNull(), F.struct("gram", "pos"))).alias("at"), F.collect_list(F.when(F.col("wide"), F.col("pos"))).alias("pos")
     )
     asked = C.written(texts.dropDuplicates(keys).join(asked, keys).select("doc", "th", "text", "at", "pos"), "asked")
-    snippets = asked.where(F.size("at") > 0).mapInArrow(C.task(_neighbourhoods(length, gram)), "gram long, doc long, th long, left long, snip binary")
-    indexed = snippets.repartition("gram").sortWithinPartitions("gram").mapInArrow(C.task(_indexed(length)), "doc long, th long, start long, stop long")
-
-    strings = asked.where(F.size("pos") > 0).mapInArrow(C.task(_string_rows(length, gram)), "h1 long, h2 long, doc long, th long, pos long")
+    snippets = asked.where(F.size("at") > 0).mapInArrow(C.task(_neighbourhoods(length, gram)), "gram long, doc long, th long, left long, snip binary, at long")
+    indexed = snippets.repartition("gram").sortWithinPartitions("gram").mapInArrow(C.task(_indexed(length, gram)), "doc long, th long, start long, stop long")
+
+    around = asked.where(F.size("pos") > 0)
+    pieces = around.mapInArrow(C.task(_piece_rows(length, gram)), "common long, c1 long, c2 long, doc long, th long, start long, stop long")
+    alike = pieces.groupBy("common", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys, "start", "stop")).alias("rep"))
+    alike = C.written(alike, "alike")
+    equal = pieces.join(alike.where("n > 1").select("common", "c1", "c2"), ["common", "c1", "c2"], "left_semi").select(*keys, "start", "stop")
+    unlike = C.written(alike.groupBy("common").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("common"), "unlike")
+    left = alike.join(unlike, "common", "left_semi").select("rep.*").groupBy(*keys).agg(F.collect_set(F.struct("start", "stop")).alias("pieces"))
+    left = C.written(around.select(*keys, "text").join(left, keys), "left")
+    strings = left.mapInArrow(C.task(_string_rows(length)), "h1 long, h2 long, doc long, th long, pos long")
     twice = C.written(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "twice")
-    single = strings.join(twice, ["h1", "h2"], "left_semi").select(*keys, F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"))
+    single = strings.join(twice, ["h1", "h2"], "left_semi").select(*keys, F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop")).unionByName(equal)
 
     no_pos, no_span = F.lit(None).cast("long").alias("pos"), F.lit(None).cast("struct<start:long,stop:long>").alias("span")
     span = F.struct("start", "stop").alias("span")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framescope.llm import quality_crf
+from framescope.llm import suffix_dedup as suffix
 from framescope.llm.jaccard_join import divide_skip, jaccard_join
 from framescope.llm.latent_decontamination import latent_decontamination, lcs
 from framescope.llm.soft_mixing import fold, soft_mixing
@@ -87,6 +88,68 @@ def test_suffix_dedup(docs, rows, empty, most):
         assert suffix_dedup(empty).count() == 0
 
 
+def _repeated(texts, length):
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    return {(d, i) for d, t in enumerate(texts) for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1}
+
+
+def _framed(n, passage=300, frame=60):
+    """Texts that hold parts of one passage between bytes of their own."""
+    rng = np.random.default_rng(9)
+    letters = lambda k, to: rng.integers(97, to, k).astype(np.uint8).tobytes()
+    shared = letters(passage, 123)
+    return [letters(rng.integers(0, frame), 100) + shared[rng.integers(0, 100) : rng.integers(150, passage)] + letters(rng.integers(0, frame), 100) for _ in range(n)]
+
+
+def _anchored(texts, length, gram):
+    batch = pa.RecordBatch.from_pydict({"text": texts, "doc": list(range(len(texts))), "th": [0] * len(texts)})
+    return batch, [r for b in suffix._anchor_rows(length, gram, False)(iter([batch])) for r in b.to_pylist()]
+
+
+def test_index_of_neighbourhoods_that_share_half():
+    texts, length, gram = _framed(12), 50, 16
+    _, found = _anchored(texts, length, gram)
+    groups = {}
+    for r in found:
+        left = max(0, r["pos"] + gram - length)
+        groups.setdefault(r["gram"], []).append([r["doc"], 0, left, texts[r["doc"]][left : r["pos"] + length], r["pos"] - left])
+    got = set()
+    for group in groups.values():
+        own = suffix._sharing(group, length, gram)
+        # equal neighbourhoods in a row match beyond their ends; matches must not be cut there
+        got |= {(d, s) for d, _, a, b in (suffix._index_block(own, length) if own else []) for s in range(a, b)}
+    assert got == _repeated(texts, length)
+    # the same gram among bytes that differ on both sides is not indexed
+    alone = [[d, 0, 0, bytes([97 + d]) * 34 + b"g" * 16 + bytes([97 + d]) * 34, 34] for d in range(20)]
+    assert suffix._sharing(alone, length, gram) == []
+    assert len(suffix._sharing([*alone, [20, 0, 0, b"-" * 17 + alone[3][3][17:], 34]], length, gram)) == 2
+
+
+def test_pieces_of_neighbourhoods():
+    texts, length, gram = _framed(12), 50, 16
+    batch, found = _anchored(texts, length, gram)
+    by = {}
+    for r in found:
+        by.setdefault(r["doc"], []).append(r["pos"])
+    asked = batch.append_column("pos", pa.array([by.get(d, []) for d in range(len(texts))], pa.list_(pa.int64())))
+    pieces = [r for b in suffix._piece_rows(length, gram)(iter([asked])) for r in b.to_pylist()]
+    assert len(pieces) <= len(found) * 6  # not 35, one for each string
+    alike = {}
+    for r in pieces:
+        alike.setdefault((r["common"], r["c1"], r["c2"]), []).append((r["doc"], r["start"], r["stop"]))
+    n = Counter(k[0] for k in alike)
+    got = {(d, s) for own in alike.values() if len(own) > 1 for d, a, b in own for s in range(a, b)}
+    left = {}
+    for k, own in alike.items():
+        if n[k[0]] > 1:
+            d, a, b = min(own)
+            left.setdefault(d, []).append({"start": a, "stop": b})
+    rest = pa.RecordBatch.from_pydict({"text": [texts[d] for d in left], "doc": list(left), "th": [0] * len(left), "pieces": list(left.values())})
+    strings = [r for b in suffix._string_rows(length)(iter([rest])) for r in b.to_pylist()]
+    times = Counter((r["h1"], r["h2"]) for r in strings)
+    assert got | {(r["doc"], r["pos"]) for r in strings if times[r["h1"], r["h2"]] > 1} == _repeated(texts, length)
+
+
 def test_run_index():
     s = RNG.integers(1, 4, 400)
     s[300:340] = s[100:140]
