@@ -19,7 +19,8 @@ the same offset), so the index is built where copies are and nowhere else:
    match of the previous position, less one byte, is a match of this one.
    Positions matching ``length`` bytes of another place are marked.
 4. An anchor with more neighbourhoods than one block holds is settled exactly
-   another way. Its strings are taken in pieces of neighbouring starts: a piece
+   another way. The strings it was picked for (it is their first least gram, which
+   equal strings agree on) are taken in pieces of neighbouring starts: a piece
    whose strings' common part stands once ends; pieces equal throughout are
    removed whole and represented once; only strings of pieces that remain are
    counted one by one, as 128-bit hashes with map-side combine.
@@ -147,8 +148,20 @@ def _piece_width(length: int, gram: int) -> int:
     return math.isqrt(length - gram) + 1
 
 
+def _decided(keys: np.ndarray, pos: np.ndarray, span: int):
+    """First and last start (clipped by nothing but the anchor's reach) of the strings whose first least gram stands at ``pos``."""
+    padded = np.full(len(keys) + 2 * span, np.iinfo(np.uint32).max, np.uint32)
+    padded[span : span + len(keys)] = keys
+    own = keys[pos][:, None]
+    before = padded[pos[:, None] + np.arange(span)[None, ::-1]] <= own  # from the anchor to the left
+    behind = padded[pos[:, None] + np.arange(span + 1, 2 * span + 1)[None, :]] < own
+    free_before = np.where(before.any(axis=1), before.argmax(axis=1), span)
+    free_behind = np.where(behind.any(axis=1), behind.argmax(axis=1), span)
+    return pos - free_before, pos + free_behind - span
+
+
 def _piece_rows(length: int, gram: int):
-    """The strings around the given anchors in pieces: hashes of what a piece's strings have in common and of all they cover, and its starts."""
+    """The strings that the given anchors decide, in pieces: hashes of what a piece's strings have in common and of all they cover, and its starts."""
     width = _piece_width(length, gram)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +169,18 @@ def _piece_rows(length: int, gram: int):
             texts = C.text_bytes(batch.column("text"))
             doc, th, marks = batch.column("doc").to_pylist(), batch.column("th").to_pylist(), batch.column("pos").to_pylist()
             for text, d, t, pos in zip(texts, doc, th, marks, strict=True):
-                p1, p2 = _prefixes(np.frombuffer(text, np.uint8))
+                buf = np.frombuffer(text, np.uint8)
+                p1, p2 = _prefixes(buf)
+                keys = _order_keys(buf, gram)
                 own = np.unique(np.asarray(pos, np.int64))
-                for k in range(0, len(own), 1 << 15):
+                for k in range(0, len(own), 4096):
                     after = np.arange(0, length - gram + 1, width)[None, :]  # from the last start to the anchor
-                    last = (own[k : k + (1 << 15), None] - after).ravel()
-                    after = np.broadcast_to(after, (len(last) // after.shape[1], after.shape[1])).ravel()
+                    part = own[k : k + 4096]
+                    low, high = (np.repeat(x, after.shape[1]) for x in _decided(keys, part, length - gram))
+                    last = (part[:, None] - after).ravel()
+                    after = np.tile(after[0], len(part))
                     first = last - np.minimum(width - 1, length - gram - after)
-                    start, stop = np.maximum(first, 0), np.minimum(last, len(text) - length) + 1
+                    start, stop = np.maximum(np.maximum(first, low), 0), np.minimum(np.minimum(last, high), len(text) - length) + 1
                     fits = start < stop
                     first, last, after, start, stop = (x[fits] for x in (first, last, after, start, stop))
                     side = (after * (length + 1) + last - start).astype(_U)  # where the anchor stands

@@ -134,6 +134,8 @@ def test_pieces_of_neighbourhoods():
     asked = batch.append_column("pos", pa.array([by.get(d, []) for d in range(len(texts))], pa.list_(pa.int64())))
     pieces = [r for b in suffix._piece_rows(length, gram)(iter([asked])) for r in b.to_pylist()]
     assert len(pieces) <= len(found) * 6  # not 35, one for each string
+    places = Counter((r["doc"], s) for r in pieces for s in range(r["start"], r["stop"]))
+    assert len(places) == sum(len(t) - length + 1 for t in texts) and set(places.values()) == {1}  # each string by one anchor
     alike = {}
     for r in pieces:
         alike.setdefault((r["common"], r["c1"], r["c2"]), []).append((r["doc"], r["start"], r["stop"]))
